@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference has no stream source, watermark, event-time window or state,
+so there is nothing to build here; every operator in this package works on
+batch DataFrames read from files.
+"""
