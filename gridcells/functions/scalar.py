@@ -68,7 +68,7 @@ def safe_ratio(a: Column | str, b: Column | str) -> Column:
 
 def normalize_text(c: Column | str) -> Column:
     """lower + trim, separators to '_', collapse runs, strip '_'."""
-    return F.trim(F.regexp_replace(F.lower(F.trim(_c(c))), r"[ \-/.(),_]+", "_"), "_")
+    return F.trim(F.regexp_replace(F.lower(F.trim(_c(c))), r"[ \-/.(),_]+", "_"), F.lit("_"))
 
 
 def is_finite(c: Column | str) -> Column:

@@ -30,6 +30,8 @@ class GridTable:
     attrs: Mapping[str, str] = field(default_factory=dict)
     coord_attrs: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
     roles: Mapping[str, str | None] = field(default_factory=dict)
+    # dims each auxiliary (N-d) coordinate depends on, e.g. {"yc": ("y", "x")}
+    aux_dims: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         missing = [c for c in (*self.dims, self.value, *self.aux) if c not in self.df.columns]

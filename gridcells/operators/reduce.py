@@ -75,7 +75,8 @@ def resample(grid: GridTable, rule: str = "QS-DEC", how: str = "mean", fill_empt
         span = binned.agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
         step = bin_step_months(rule)
         bins = span.select(F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"),
-                                                F.expr(f"INTERVAL {step} MONTH"))).cast("timestamp_ntz").alias(t))
+                                                F.expr(f"INTERVAL {step} MONTH"))).alias(t)) \
+            .select(F.col(t).cast("timestamp_ntz").alias(t))
         cells = grid.df.select(*others).distinct() if others else None
         spine = bins if cells is None else cells.join(F.broadcast(bins), how="cross")
         df = spine.join(df, [t, *others], "left")

@@ -85,6 +85,8 @@ def select_grid(grid: GridTable, filterable: Iterable[str] | None = None, **quer
             continue
         if isinstance(value, tuple) and len(value) == 2:
             df = filter_range(df, key, value[0], value[1])
+            if "year" in df.columns and "year" not in grid.dims and grid.is_time(key):
+                df = _year_pruning(df, value)
         elif isinstance(value, list):
             df = filter_in(df, key, value)
         else:
@@ -93,6 +95,19 @@ def select_grid(grid: GridTable, filterable: Iterable[str] | None = None, **quer
     return grid.with_df(df, dims=tuple(dims))
 
 
+def _year_pruning(df: DataFrame, bounds: tuple) -> DataFrame:
+    """Tables saved partitioned by year: the same time range expressed on the
+    partition column, so whole year folders are skipped (Spark does not
+    derive it from the timestamp predicate)."""
+    years = [typed_literal(b, T.TimestampNTZType()) for b in bounds if b is not None]
+    if len(years) == 2:
+        return df.where(F.col("year").between(F.least(*[F.year(y) for y in years]),
+                                              F.greatest(*[F.year(y) for y in years])))
+    if bounds[0] is not None:
+        return df.where(F.col("year") >= F.year(years[0]))
+    return df.where(F.col("year") <= F.year(years[0]))
+
+
 def project_columns(grid: GridTable, filterable: Iterable[str] | None = None) -> DataFrame:
     """Output order: queryable 1-D coordinates, auxiliary role coordinates,
     the value; each column once.  Unlisted coordinates vanish, rows stay."""

@@ -67,10 +67,16 @@ def monthly_anomaly(grid: GridTable, how: str = "mean", approx: bool = False) ->
     others = grid.other_dims(t)
     keyed = grid.df.withColumn("__gc_month", month_of(t))
     clim = keyed.groupBy("__gc_month", *others).agg(reducer(how, grid.value, approx).alias("__gc_base"))
-    joined = keyed.join(clim, [*(keyed[c].eqNullSafe(clim[c]) for c in ["__gc_month", *others])], "inner")
-    df = joined.select(*[keyed[c] for c in grid.df.columns if c != grid.value],
-                       (keyed[grid.value] - clim["__gc_base"]).alias(grid.value))
-    return grid.with_df(df.select(*grid.df.columns))
+    return grid.with_df(_subtract_baseline(keyed, clim, ["__gc_month", *others], grid))
+
+
+def _subtract_baseline(cells: DataFrame, base: DataFrame, keys: list[str], grid: GridTable) -> DataFrame:
+    """cells.value - base.__gc_base, joined NULL-safely on ``keys``."""
+    a, b = cells.alias("__a"), base.alias("__b")
+    cond = [F.col(f"__a.{k}").eqNullSafe(F.col(f"__b.{k}")) for k in keys]
+    joined = a.join(b, cond, "inner")
+    return joined.select(*[(F.col(f"__a.{c}") - F.col("__b.__gc_base")).alias(c) if c == grid.value
+                           else F.col(f"__a.{c}") for c in grid.df.columns])
 
 
 def mean_anomaly(grid: GridTable) -> GridTable:
@@ -82,7 +88,4 @@ def mean_anomaly(grid: GridTable) -> GridTable:
         base = grid.df.select(F.avg(grid.value)).scalar()
         return grid.with_df(grid.df.withColumn(grid.value, F.col(grid.value) - base))
     means = grid.df.groupBy(*others).agg(F.avg(grid.value).alias("__gc_base"))
-    joined = grid.df.join(means, [grid.df[c].eqNullSafe(means[c]) for c in others], "inner")
-    df = joined.select(*[grid.df[c] for c in grid.df.columns if c != grid.value],
-                       (grid.df[grid.value] - means["__gc_base"]).alias(grid.value))
-    return grid.with_df(df.select(*grid.df.columns))
+    return grid.with_df(_subtract_baseline(grid.df, means, others, grid))
