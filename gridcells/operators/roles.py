@@ -83,17 +83,20 @@ def coordinate_profile(grid: GridTable) -> DataFrame:
         rows.append((name, dtype.simpleString(), grid.is_time(name), grid.is_numeric(name), len(cdims),
                      ",".join(cdims), a.get("standard_name", ""), a.get("long_name", a.get("description", "")),
                      a.get("units", ""), a.get("axis", ""), a.get("positive", "")))
-    meta = spark.createDataFrame(rows, _PROFILE_SCHEMA)
     numeric = [n for n, _ in coords if grid.is_numeric(n)]
-    if not numeric:
-        return meta.withColumn("lo", F.lit(None).cast("double")).withColumn("hi", F.lit(None).cast("double"))
-    finite = {n: F.when(is_finite(F.col(n)), F.col(n).cast("double")) for n in numeric}
-    wide = grid.df.agg(*[x for i, n in enumerate(numeric) for x in (
-        F.min(finite[n]).alias(f"lo{i}"), F.max(finite[n]).alias(f"hi{i}"))])
-    bounds = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("column"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
-        for i, n in enumerate(numeric)])).alias("b")).select("b.*")
-    return meta.join(bounds, "column", "left")
+    bounds: dict[str, tuple] = {}
+    if numeric:
+        # one aggregate pass over the cells; the result is one row of
+        # 2 x (number of coordinates) values
+        finite = {n: F.when(is_finite(F.col(n)), F.col(n).cast("double")) for n in numeric}
+        row = grid.df.agg(*[x for i, n in enumerate(numeric) for x in (
+            F.min(finite[n]).alias(f"lo{i}"), F.max(finite[n]).alias(f"hi{i}"))]).collect()[0]
+        bounds = {n: (row[f"lo{i}"], row[f"hi{i}"]) for i, n in enumerate(numeric)}
+    rows = [r + bounds.get(r[0], (None, None)) for r in rows]
+    schema = T.StructType([*_PROFILE_SCHEMA.fields, T.StructField("lo", T.DoubleType()),
+                           T.StructField("hi", T.DoubleType())])
+    # the profile has one row per coordinate (schema-sized, not data-sized)
+    return spark.createDataFrame(rows, schema)
 
 
 def _pts(cond: Column, points: int, reason: str) -> tuple[Column, Column]:
@@ -101,12 +104,9 @@ def _pts(cond: Column, points: int, reason: str) -> tuple[Column, Column]:
 
 
 def _role_terms(role: str) -> list[tuple[Column, Column]]:
-    name = normalize_text(F.col("column"))
-    std = normalize_text(F.col("standard_name"))
-    long_name = normalize_text(F.col("long_name"))
-    units = normalize_text(F.col("units"))
-    axis = normalize_text(F.col("axis"))
-    positive = normalize_text(F.col("positive"))
+    # normalised attribute columns are computed once in ``score_roles``
+    name, std, long_name = F.col("n_name"), F.col("n_std"), F.col("n_long")
+    units, axis, positive = F.col("n_units"), F.col("n_axis"), F.col("n_positive")
     lo, hi = F.col("lo"), F.col("hi")
 
     def within(bounds):
@@ -162,27 +162,31 @@ def _confidence(score: Column) -> Column:
 
 
 def score_roles(profile: DataFrame) -> DataFrame:
-    out = profile
+    norm = profile.select(
+        "*", normalize_text(F.col("column")).alias("n_name"), normalize_text(F.col("standard_name")).alias("n_std"),
+        normalize_text(F.col("long_name")).alias("n_long"), normalize_text(F.col("units")).alias("n_units"),
+        normalize_text(F.col("axis")).alias("n_axis"), normalize_text(F.col("positive")).alias("n_positive"))
+    cols = []
     for role in ROLE_ORDER:
         terms = _role_terms(role)
         total = terms[0][0]
         for p, _ in terms[1:]:
             total = total + p
-        out = out.withColumn(f"{role}_score", total) \
-                 .withColumn(f"{role}_reasons", F.array_compact(F.array(*[r for _, r in terms])))
+        cols += [total.alias(f"{role}_score"), F.array_compact(F.array(*[r for _, r in terms])).alias(f"{role}_reasons")]
+    scored = norm.select(*profile.columns, *cols)
     # best role: highest score, ties to the earlier role in ROLE_ORDER
-    best = F.col("time_score")
-    best_role = F.lit("time")
-    best_reasons = F.col("time_reasons")
-    for role in ROLE_ORDER[1:]:
-        better = F.col(f"{role}_score") > best
-        best_role = F.when(better, F.lit(role)).otherwise(best_role)
-        best_reasons = F.when(better, F.col(f"{role}_reasons")).otherwise(best_reasons)
-        best = F.greatest(best, F.col(f"{role}_score"))
-    return (out.withColumn("best_score", best)
-            .withColumn("best_role", F.when(best >= MIN_ROLE_SCORE, best_role))
-            .withColumn("best_reasons", best_reasons)
-            .withColumn("confidence", _confidence(best)))
+    scores = F.array(*[F.struct(F.col(f"{r}_score").alias("s"), F.lit(-i).alias("o"), F.lit(r).alias("role"))
+                       for i, r in enumerate(ROLE_ORDER)])
+    top = F.array_max(scores)
+    best = scored.withColumn("__top", top)
+    reasons = F.col("time_reasons")
+    for r in ROLE_ORDER[1:]:
+        reasons = F.when(F.col("__top.role") == r, F.col(f"{r}_reasons")).otherwise(reasons)
+    return (best.withColumn("best_score", F.col("__top.s"))
+            .withColumn("best_role", F.when(F.col("__top.s") >= MIN_ROLE_SCORE, F.col("__top.role")))
+            .withColumn("best_reasons", reasons)
+            .withColumn("confidence", _confidence(F.col("__top.s")))
+            .drop("__top"))
 
 
 def assign_roles(scored: DataFrame) -> DataFrame:

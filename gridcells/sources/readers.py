@@ -21,21 +21,29 @@ def looks_like_multi_input(uri: str) -> bool:
     return "\n" in uri or ";" in uri or bool(_GLOB_CHARS.search(uri))
 
 
-def expand_input_uris(uri: str) -> list[str]:
-    """Newline- or ';'-separated list; local globs expanded and sorted, an
-    unmatched pattern kept literally (opening it then fails).  Remote globs
-    are left for Hadoop to expand at read time."""
+def expand_input_uris(uri: str, spark: SparkSession | None = None) -> list[str]:
+    """Newline- or ';'-separated list; glob patterns expanded and sorted, an
+    unmatched pattern kept literally (opening it then fails).  With a session
+    the Hadoop file system expands the pattern, so any URI scheme works."""
     parts = [p.strip() for p in re.split(r"[\n;]", uri) if p.strip()]
     out: list[str] = []
     for p in parts:
-        if _GLOB_CHARS.search(p) and "://" not in p:
-            matches = sorted(_glob.glob(p))
-            out.extend(matches if matches else [p])
-        else:
+        if not _GLOB_CHARS.search(p):
             out.append(p)
+            continue
+        matches = _hadoop_glob(spark, p) if spark is not None else sorted(_glob.glob(p))
+        out.extend(matches if matches else [p])
     return out
 
 
+def _hadoop_glob(spark: SparkSession, pattern: str) -> list[str]:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    statuses = fs.globStatus(path) or []
+    return sorted(str(s.getPath().toString()) for s in statuses)
+
+
 def _format_of(path: str, fmt: str | None) -> str:
     if fmt:
         return fmt
@@ -51,7 +59,7 @@ def open_single(spark: SparkSession, uri: str | None, fmt: str | None = None, **
 
 def open_multi(spark: SparkSession, uri: str | Iterable[str], fmt: str | None = None, **load_kwargs) -> DataFrame:
     """Open every input and stack them by column name (missing columns NULL)."""
-    paths = expand_input_uris(uri) if isinstance(uri, str) else list(uri)
+    paths = expand_input_uris(uri, spark) if isinstance(uri, str) else list(uri)
     if not paths:
         raise ValueError("No input paths.")
     frames = [open_single(spark, p, fmt, **load_kwargs) for p in paths]
