@@ -49,7 +49,7 @@ GRID_PATH: list[str] = []
 
 
 def bench_grid(spark) -> GridTable:
-    return GridTable.from_frame(spark.read.parquet(GRID_PATH[0]), ("time", "lat", "lon"), "sst")
+    return GridTable.from_frame(spark.read.parquet(GRID_PATH[0]), ("time", "lat", "lon"), "sst", unique_cells=True)
 
 
 def run(df) -> None:

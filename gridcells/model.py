@@ -32,6 +32,10 @@ class GridTable:
     roles: Mapping[str, str | None] = field(default_factory=dict)
     # dims each auxiliary (N-d) coordinate depends on, e.g. {"yc": ("y", "x")}
     aux_dims: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    # True when the table holds at most one row per cell (a proper grid, e.g.
+    # the output of an aggregation); then any per-cell partition is bounded by
+    # the axis lengths, not by the data volume.
+    unique_cells: bool = False
 
     def __post_init__(self) -> None:
         missing = [c for c in (*self.dims, self.value, *self.aux) if c not in self.df.columns]
@@ -58,10 +62,11 @@ class GridTable:
         return cls(df.select(*cols), tuple(dims), value, tuple(aux), **kw)
 
     def with_df(self, df: DataFrame, dims: tuple[str, ...] | None = None, value: str | None = None,
-                aux: tuple[str, ...] | None = None) -> "GridTable":
+                aux: tuple[str, ...] | None = None, unique_cells: bool | None = None) -> "GridTable":
         return replace(
             self,
             df=df,
+            unique_cells=self.unique_cells if unique_cells is None else unique_cells,
             dims=tuple(self.dims if dims is None else dims),
             value=self.value if value is None else value,
             aux=tuple(a for a in (self.aux if aux is None else aux) if a in df.columns),

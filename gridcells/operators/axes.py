@@ -15,7 +15,7 @@ executor recomputes nothing that could shift partition boundaries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcells.session import checkpoint_dir
@@ -54,10 +54,45 @@ def global_index(df: DataFrame, order_cols: list[str], index_col: str = "k",
     return ranged.withColumn(index_col, F.col(_LOCAL) + offset_col).drop(_PID, _LOCAL)
 
 
-def axis_table(df: DataFrame, dim: str, pos_col: str = "pos") -> DataFrame:
-    """Distinct non-null values of ``dim`` with their ascending 0-based position."""
+# Axes with at most this many labels are numbered in a single small window
+# task and broadcast; longer axes use the distributed global index.
+LOCAL_AXIS_MAX = 2_000_000
+
+
+def index_rows(df: DataFrame, order_cols: list[str], index_col: str = "k",
+               local_max: int | None = None) -> tuple[DataFrame, int]:
+    """0-based index in ``order_cols`` order plus the row count.  Up to
+    ``local_max`` rows (checked by counting first) are numbered by one window
+    task; more rows use the distributed ``global_index``."""
+    local_max = LOCAL_AXIS_MAX if local_max is None else local_max
+    n = df.count()
+    if n <= local_max:
+        w = Window.orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
+        return df.withColumn(index_col, (F.row_number().over(w) - 1).cast("long")), n
+    return global_index(df, order_cols, index_col), n
+
+
+def axis_table(df: DataFrame, dim: str, pos_col: str = "pos", local_max: int = LOCAL_AXIS_MAX) -> tuple[DataFrame, int]:
+    """Distinct non-null values of ``dim`` with their ascending 0-based
+    position, and the axis length.
+
+    The labels are computed once: at most ``local_max + 1`` of them are
+    numbered in one window task (bounded by the limit) and checkpointed; if
+    the checkpoint holds ``local_max`` labels or fewer it is the whole axis
+    and is broadcast, otherwise the axis is numbered by the distributed
+    ``global_index``.
+    """
+    checkpoint_dir(df.sparkSession)
     values = df.select(dim).where(F.col(dim).isNotNull()).distinct()
-    return global_index(values, [dim], pos_col)
+    if local_max > 0:
+        bounded = values.limit(local_max + 1)
+        numbered = bounded.withColumn(pos_col, (F.row_number().over(Window.orderBy(dim)) - 1).cast("long"))
+        numbered = numbered.checkpoint(eager=True)
+        n = numbered.count()
+        if n <= local_max:
+            return F.broadcast(numbered), n
+    indexed = global_index(values, [dim], pos_col)
+    return indexed, indexed.count()
 
 
 def axis_first_value(df: DataFrame, dim: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcells.model import GridTable
-from gridcells.operators.axes import axis_sizes, global_index
+from gridcells.operators.axes import axis_sizes, index_rows
 
 
 def preview_extent(sizes: list[int], limit: int) -> list[int]:
@@ -74,14 +74,13 @@ def linspace_positions(spark, n: int, resolution: int) -> DataFrame:
     return r.select(pos.cast("long").alias("k")).distinct()
 
 
-def downsample(df: DataFrame, order_by: list[str], resolution: int) -> DataFrame:
+def downsample(df: DataFrame, order_by: list[str], resolution: int, local_max: int | None = None) -> DataFrame:
     """At most ``resolution`` rows at evenly spread positions of the sorted
     rows; ``order_by`` must order the rows totally."""
     resolution = max(int(resolution), 1)
-    n = df.count()
+    indexed, n = index_rows(df, order_by, "__gc_k", local_max)
     if n <= resolution:
         return df
-    indexed = global_index(df, order_by, "__gc_k")
     positions = linspace_positions(df.sparkSession, n, resolution)
     kept = indexed.join(F.broadcast(positions.withColumnRenamed("k", "__gc_k")), "__gc_k", "left_semi")
     return kept.drop("__gc_k")

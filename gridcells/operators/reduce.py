@@ -37,7 +37,7 @@ def reduce_dims(grid: GridTable, dims: list[str], how: str = "mean", approx: boo
     keep = [d for d in grid.dims if d not in dims]
     agg = reducer(how, grid.value, approx).alias(grid.value)
     df = grid.df.groupBy(*keep).agg(agg) if keep else grid.df.agg(agg)
-    return grid.with_df(df, dims=tuple(keep), aux=())
+    return grid.with_df(df, dims=tuple(keep), aux=(), unique_cells=True)
 
 
 def spatial_mean(grid: GridTable, how: str = "mean") -> GridTable:
@@ -60,7 +60,7 @@ def climatology(grid: GridTable, how: str = "mean", month_col: str = "month") ->
     t = grid.require_time("Climatology")
     others = grid.other_dims(t)
     df = grid.df.groupBy(month_of(t).alias(month_col), *others).agg(reducer(how, grid.value).alias(grid.value))
-    return grid.with_df(df, dims=(month_col, *others), aux=())
+    return grid.with_df(df, dims=(month_col, *others), aux=(), unique_cells=True)
 
 
 def resample(grid: GridTable, rule: str = "QS-DEC", how: str = "mean", fill_empty: bool = False) -> GridTable:
@@ -82,7 +82,7 @@ def resample(grid: GridTable, rule: str = "QS-DEC", how: str = "mean", fill_empt
         df = spine.join(df, [t, *others], "left")
         if how == "sum":
             df = df.withColumn(grid.value, F.coalesce(grid.value, F.lit(0.0)))
-    return grid.with_df(df.select(t, *others, grid.value), dims=(t, *others), aux=())
+    return grid.with_df(df.select(t, *others, grid.value), dims=(t, *others), aux=(), unique_cells=True)
 
 
 def series_reduce(grid: GridTable, how: str = "mean") -> DataFrame:

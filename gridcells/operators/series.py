@@ -13,16 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcells.operators.axes import global_index
+from gridcells.operators.axes import index_rows
 from gridcells.operators.windows import halo_window
 
 STEP = "time_step"
 
 
-def with_time_step(series: DataFrame, time: str, value: str) -> DataFrame:
+def with_time_step(series: DataFrame, time: str, value: str, local_max: int | None = None) -> DataFrame:
     """Drop missing points, then number the rest in time order (W7)."""
     clean = series.where(F.col(value).isNotNull() & F.col(time).isNotNull())
-    return global_index(clean, [time], STEP)
+    return index_rows(clean, [time], STEP, local_max)[0]
 
 
 def series_rolling(indexed: DataFrame, value: str, window: int, out: str = "rolling", bucket: int = 4096) -> DataFrame:

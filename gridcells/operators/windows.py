@@ -26,11 +26,18 @@ _BUCKET = "__gc_bucket"
 _HALO = "__gc_halo"
 
 
-def halo_window(df: DataFrame, partition: list[str], pos: str, width: int, out: str, agg, bucket: int = 4096) -> DataFrame:
+def halo_window(df: DataFrame, partition: list[str], pos: str, width: int, out: str, agg, bucket: int = 4096,
+                axis_length: int | None = None) -> DataFrame:
     """``agg`` (a function Column->Column) over the trailing ``width`` positions
-    ending at each row, within ``partition``; rows keep their columns."""
+    ending at each row, within ``partition``; rows keep their columns.  When
+    the whole axis fits in one bucket (``axis_length <= bucket``) the window
+    runs per partition directly."""
     width = max(int(width), 1)
     bucket = max(int(bucket), width - 1, 1)
+    if axis_length is not None and axis_length <= bucket:
+        w = Window.partitionBy(*partition).orderBy(pos).rangeBetween(-(width - 1), 0) if partition else \
+            Window.partitionBy(F.lit(0)).orderBy(pos).rangeBetween(-(width - 1), 0)
+        return df.withColumn(out, agg(w))
     base = df.withColumn(_BUCKET, F.floor(F.col(pos) / bucket).cast("long"))
     if width > 1:
         in_tail = (F.col(pos) - F.col(_BUCKET) * bucket) >= bucket - (width - 1)
@@ -49,22 +56,31 @@ def rolling_mean(grid: GridTable, window: int = 3, bucket: int = 4096) -> GridTa
     t = grid.require_time("Rolling mean")
     w = max(int(window), 1)
     others = grid.other_dims(t)
-    axis = axis_table(grid.df, t, "__gc_pos")
+    axis, n = axis_table(grid.df, t, "__gc_pos")
     cells = grid.df.join(axis, t, "inner")
     value = grid.value
-    out = halo_window(cells, others, "__gc_pos", w, "__gc_roll", lambda win: F.avg(value).over(win), bucket)
+    out = halo_window(cells, others, "__gc_pos", w, "__gc_roll", lambda win: F.avg(value).over(win), bucket, n)
     df = out.withColumn(value, F.col("__gc_roll")).select(*grid.df.columns)
     return grid.with_df(df)
 
 
-def monthly_anomaly(grid: GridTable, how: str = "mean", approx: bool = False) -> GridTable:
+def monthly_anomaly(grid: GridTable, how: str = "mean", approx: bool = False, strategy: str = "auto") -> GridTable:
     """value minus the per-cell climatology of its calendar month, computed on
-    this (already selected) grid.  The climatology is a grouped aggregate
-    (partial aggregation, so hot cells are combined map-side) joined back on
-    (month, cell); AQE broadcasts it at runtime when its measured size is
-    small and splits skewed join partitions otherwise."""
+    this (already selected) grid.
+
+    ``window``: one shuffle, the baseline is a window aggregate over
+    (month, cell).  Used by ``auto`` when the table holds one row per cell,
+    because a (month, cell) partition then holds one row per year at most.
+    ``join``: the climatology is a grouped aggregate (partial aggregation, so
+    a hot cell of a long observation table is combined map-side) joined back
+    on (month, cell); AQE broadcasts it when its measured size is small and
+    splits skewed join partitions otherwise."""
     t = grid.require_time("Anomaly")
     others = grid.other_dims(t)
+    if strategy == "window" or (strategy == "auto" and grid.unique_cells and not approx):
+        w = Window.partitionBy(month_of(t), *others)
+        base = reducer(how, grid.value).over(w)
+        return grid.with_df(grid.df.withColumn(grid.value, F.col(grid.value) - base))
     keyed = grid.df.withColumn("__gc_month", month_of(t))
     clim = keyed.groupBy("__gc_month", *others).agg(reducer(how, grid.value, approx).alias("__gc_base"))
     return grid.with_df(_subtract_baseline(keyed, clim, ["__gc_month", *others], grid))
@@ -79,11 +95,14 @@ def _subtract_baseline(cells: DataFrame, base: DataFrame, keys: list[str], grid:
                            else F.col(f"__a.{c}") for c in grid.df.columns])
 
 
-def mean_anomaly(grid: GridTable) -> GridTable:
+def mean_anomaly(grid: GridTable, strategy: str = "auto") -> GridTable:
     """value minus the cell's mean over time (the baseline when the time dim
-    carries no calendar)."""
+    carries no calendar).  Same strategies as ``monthly_anomaly``."""
     t = grid.require_time("Anomaly")
     others = grid.other_dims(t)
+    if others and (strategy == "window" or (strategy == "auto" and grid.unique_cells)):
+        return grid.with_df(grid.df.withColumn(grid.value, F.col(grid.value) - F.avg(grid.value).over(
+            Window.partitionBy(*others))))
     if not others:
         base = grid.df.select(F.avg(grid.value)).scalar()
         return grid.with_df(grid.df.withColumn(grid.value, F.col(grid.value) - base))

@@ -34,6 +34,7 @@ def events_grid(spark: SparkSession, sf_dir: str) -> GridTable:
         cells, ("time", "lat", "lon"), "value",
         attrs={"long_name": "Mean event value", "units": "1"},
         coord_attrs={"lat": {"units": "degrees_north"}, "lon": {"units": "degrees_east"}},
+        unique_cells=True,
     )
 
 
@@ -56,7 +57,8 @@ def orders_daily_grid(spark: SparkSession, sf_dir: str) -> GridTable:
     oo = table(spark, sf_dir, "orders")
     cells = oo.groupBy("o_orderdate", "o_orderpriority", "o_orderstatus").agg(
         F.sum("o_totalprice").alias("o_totalprice"))
-    return GridTable.from_frame(cells, ("o_orderdate", "o_orderpriority", "o_orderstatus"), "o_totalprice")
+    return GridTable.from_frame(cells, ("o_orderdate", "o_orderpriority", "o_orderstatus"), "o_totalprice",
+                                unique_cells=True)
 
 
 def orders_compare_dataset(spark: SparkSession, sf_dir: str) -> GridDataset:
@@ -67,6 +69,7 @@ def orders_compare_dataset(spark: SparkSession, sf_dir: str) -> GridDataset:
         F.avg("o_totalprice").alias("price"))
     count = oo.groupBy("o_orderdate", "o_orderpriority").agg(F.count(F.lit(1)).cast("double").alias("orders"))
     return GridDataset({
-        "price": GridTable.from_frame(price, ("o_orderdate", "o_orderpriority", "o_orderstatus"), "price"),
-        "orders": GridTable.from_frame(count, ("o_orderdate", "o_orderpriority"), "orders"),
+        "price": GridTable.from_frame(price, ("o_orderdate", "o_orderpriority", "o_orderstatus"), "price",
+                                      unique_cells=True),
+        "orders": GridTable.from_frame(count, ("o_orderdate", "o_orderpriority"), "orders", unique_cells=True),
     })

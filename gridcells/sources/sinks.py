@@ -48,6 +48,7 @@ def save_dataset(dataset: GridDataset, path: str, partition_by_year: bool = True
         rows += [(name, c, k, str(v)) for c, a in grid.coord_attrs.items() for k, v in a.items()]
         rows.append((name, "__grid__", "dims", ",".join(grid.dims)))
         rows.append((name, "__grid__", "value", grid.value))
+        rows.append((name, "__grid__", "unique_cells", "true" if grid.unique_cells else "false"))
     spark = next(iter(dataset.variables.values())).df.sparkSession
     spark.createDataFrame(rows, "variable string, owner string, key string, value string") \
         .coalesce(1).write.mode(mode).parquet(os.path.join(path, "_metadata_table"))
@@ -72,5 +73,6 @@ def load_dataset(spark: SparkSession, path: str) -> GridDataset:
             df = df.drop("year")
         variables[name] = GridTable(df.select(*spec["dims"].split(","), spec["value"]),
                                     tuple(spec["dims"].split(",")), spec["value"],
-                                    attrs=spec["attrs"], coord_attrs=spec["coord_attrs"])
+                                    attrs=spec["attrs"], coord_attrs=spec["coord_attrs"],
+                                    unique_cells=spec.get("unique_cells") == "true")
     return GridDataset(variables, source_mode="parquet", source_uris=(path,))
