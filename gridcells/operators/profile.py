@@ -220,5 +220,35 @@ def query_cost(full: GridTable, selected: GridTable) -> DataFrame:
         .withColumn("risk", risk))
 
 
+def describe(dataset) -> DataFrame:
+    """Tables plus dimension info: ``dimension_info`` of every variable,
+    stacked with the table name."""
+    frames = [dimension_info(grid).select(F.lit(name).alias("table"), "*")
+              for name, grid in dataset.variables.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def flatten_estimate(source: DataFrame, flat: GridTable, bytes_per_value: int = 8) -> DataFrame:
+    """Size arithmetic of flattening: source rows, flattened rows (product of
+    the axis sizes), bytes at ``bytes_per_value`` per column, and the row
+    explosion factor (flattened / source, 4 decimals, 0.0 without source)."""
+    columns = len([c for c in (*flat.dims, *flat.aux, flat.value) if c in flat.df.columns])
+    sizes = flat.df.agg(*[F.count_distinct(d).alias(f"n{i}") for i, d in enumerate(flat.dims)])
+    rows = F.lit(1).cast("long")
+    for i in range(len(flat.dims)):
+        rows = rows * F.col(f"n{i}")
+    src = source.agg(F.count(F.lit(1)).alias("source_rows"))
+    wide = attach_scalars(sizes.select(rows.alias("flattened_rows")), src)
+    nbytes = F.col("flattened_rows") * F.lit(columns * bytes_per_value)
+    return wide.select(
+        "source_rows", "flattened_rows", F.lit(columns).alias("columns"), nbytes.alias("dataframe_bytes"),
+        stable_round(nbytes / F.lit(1024.0 * 1024.0), 2).alias("dataframe_mb"),
+        F.when(F.col("source_rows") > 0, stable_round(F.col("flattened_rows") / F.col("source_rows"), 4))
+        .otherwise(F.lit(0.0)).alias("row_explosion"))
+
+
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"))

@@ -48,3 +48,13 @@ def test_enrich_schema(spark):
     rows = {r.column: r for r in roles.enrich_schema(schema, meta, role).collect()}
     assert rows["temperature"].unit == "degC" and rows["temperature"].description == "Air temperature"
     assert rows["lat"].role == "latitude"
+
+
+def test_table_metadata(spark, synthetic):
+    from gridcells.model import GridDataset
+    g = GridTable(synthetic.df, synthetic.dims, synthetic.value, attrs={"long_name": "Air temperature"},
+                  coord_attrs={"lat": {"long_name": "Latitude"}})
+    rows = {r.column: r for r in roles.table_metadata(spark, GridDataset({"temperature": g})).collect()}
+    assert rows["temperature"].description == "Air temperature"
+    assert rows["lat"].column_description == "Latitude" and rows["lon"].column_description == "lon coordinate"
+    assert rows["time"].dims == "time,lat,lon"
