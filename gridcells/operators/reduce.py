@@ -72,13 +72,15 @@ def resample(grid: GridTable, rule: str = "QS-DEC", how: str = "mean", fill_empt
     binned = grid.df.withColumn(t, bin_start(t, rule))
     df = binned.groupBy(t, *others).agg(reducer(how, grid.value).alias(grid.value))
     if fill_empty:
-        span = binned.agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
+        # every bin between the first and last label: a sequence built from
+        # two scalar subqueries, exploded per cell (no join of unrelated rows)
+        lo = binned.select(F.to_date(F.min(t))).scalar()
+        hi = binned.select(F.to_date(F.max(t))).scalar()
         step = bin_step_months(rule)
-        bins = span.select(F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"),
-                                                F.expr(f"INTERVAL {step} MONTH"))).alias(t)) \
-            .select(F.col(t).cast("timestamp_ntz").alias(t))
-        cells = grid.df.select(*others).distinct() if others else None
-        spine = bins if cells is None else cells.join(F.broadcast(bins), how="cross")
+        bins = F.explode(F.sequence(lo, hi, F.expr(f"INTERVAL {step} MONTH")))
+        cells = grid.df.select(*others).distinct() if others else grid.df.sparkSession.range(1)
+        spine = cells.select(*others, bins.alias("__gc_bin")).select(
+            F.col("__gc_bin").cast("timestamp_ntz").alias(t), *others)
         df = spine.join(df, [t, *others], "left")
         if how == "sum":
             df = df.withColumn(grid.value, F.coalesce(grid.value, F.lit(0.0)))

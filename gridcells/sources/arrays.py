@@ -21,9 +21,11 @@ def densify(grid: GridTable, max_cells: int = 50_000_000) -> GridTable:
     a NULL value.
 
     The result *is* the product of the axis sizes, so those sizes are
-    measured first and checked against ``max_cells``; every axis but the
-    largest is broadcast (their product is bounded by the same check), and
-    the cells are left-joined onto the product.
+    measured first and checked against ``max_cells``.  The largest axis stays
+    a distributed table; every other axis becomes a sorted label array (a
+    scalar subquery, bounded by the same check) exploded next to it, so no
+    join of unrelated rows is planned.  The cells are then left-joined onto
+    the product.
     """
     dims = list(grid.dims)
     sizes = grid.df.agg(*[F.count_distinct(d).alias(d) for d in dims]).collect()[0].asDict()
@@ -35,8 +37,8 @@ def densify(grid: GridTable, max_cells: int = 50_000_000) -> GridTable:
     order = sorted(dims, key=lambda d: -sizes[d])
     product = grid.df.select(order[0]).where(F.col(order[0]).isNotNull()).distinct()
     for d in order[1:]:
-        axis = grid.df.select(d).where(F.col(d).isNotNull()).distinct()
-        product = product.crossJoin(F.broadcast(axis))
+        labels = grid.df.agg(F.sort_array(F.collect_set(d))).scalar()
+        product = product.withColumn(d, F.explode(labels))
     cells = grid.df.select(*dims, grid.value)
     dense = product.join(cells, dims, "left").select(*dims, grid.value)
     return grid.with_df(dense, aux=())
