@@ -191,25 +191,35 @@ def score_roles(profile: DataFrame) -> DataFrame:
 
 def assign_roles(scored: DataFrame) -> DataFrame:
     """(role, column): each role to at most one coordinate, in ROLE_ORDER,
-    ranked by score, 1-D first, fewer dims, then name descending."""
-    assigned: DataFrame | None = None
-    for i, role in enumerate(ROLE_ORDER):
-        cand = scored.where(F.col(f"{role}_score") >= MIN_ROLE_SCORE).select(
-            "column", F.col(f"{role}_score").alias("score"), "ndim")
-        if assigned is not None:
-            cand = cand.join(assigned.select("column"), "column", "left_anti")
-        w = Window.partitionBy(F.lit(role)).orderBy(F.col("score").desc(), (F.col("ndim") == 1).desc(),
-                                                     F.col("ndim").asc(), F.col("column").desc())
-        pick = cand.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(
-            F.lit(role).alias("role"), "column")
-        assigned = pick if assigned is None else assigned.unionByName(pick)
-    return assigned
+    ranked by score, 1-D first, fewer dims, then name descending.
+
+    The scored profile has one row per coordinate column, so the sequential
+    choice runs over its rows on the driver."""
+    rows = scored.select("column", "ndim", *[f"{r}_score" for r in ROLE_ORDER]).collect()
+    taken: set[str] = set()
+    picks = []
+    for role in ROLE_ORDER:
+        cands = [r for r in rows if r[f"{role}_score"] >= MIN_ROLE_SCORE and r["column"] not in taken]
+        if not cands:
+            continue
+        best = max(cands, key=lambda r: (r[f"{role}_score"], r["ndim"] == 1, -r["ndim"], r["column"]))
+        taken.add(best["column"])
+        picks.append((role, best["column"]))
+    return scored.sparkSession.createDataFrame(picks, "role string, column string")
+
+
+def scored_profile(grid: GridTable) -> DataFrame:
+    """Scores per coordinate, materialised once: the table has one row per
+    coordinate column (schema-sized), so it is rebuilt as a local relation
+    instead of re-deriving the expressions in every assignment step."""
+    scored = score_roles(coordinate_profile(grid))
+    return grid.df.sparkSession.createDataFrame(scored.collect(), scored.schema)
 
 
 def column_roles(grid: GridTable) -> DataFrame:
     """Per coordinate: the four role scores, best role/score/confidence and
     the role it was selected for (NULL if none)."""
-    scored = score_roles(coordinate_profile(grid))
+    scored = scored_profile(grid)
     picks = assign_roles(scored).withColumnRenamed("role", "selected_role")
     return scored.join(picks, "column", "left").select(
         "column", "time_score", "latitude_score", "longitude_score", "vertical_score",
@@ -219,14 +229,14 @@ def column_roles(grid: GridTable) -> DataFrame:
 
 def detect_roles(grid: GridTable) -> dict[str, str | None]:
     """Role map ``{role: column}`` (four rows at most reach the driver)."""
-    found = {r["role"]: r["column"] for r in assign_roles(score_roles(coordinate_profile(grid))).collect()}
+    found = {r["role"]: r["column"] for r in assign_roles(scored_profile(grid)).collect()}
     return {role: found.get(role) for role in ROLE_ORDER}
 
 
 def coord_metadata(grid: GridTable) -> DataFrame:
     """Role details plus axis facts for every coordinate: size, first/last
     label (smallest/largest), queryable, curvilinear, map candidate."""
-    scored = score_roles(coordinate_profile(grid))
+    scored = scored_profile(grid)
     picks = assign_roles(scored).withColumnRenamed("role", "selected_role")
     coords = _coordinates(grid)
     wide = grid.df.agg(*[x for i, (n, _) in enumerate(coords) for x in (
