@@ -8,7 +8,7 @@ percentile sketch for very large groups).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcells.functions.scalar import bin_start, bin_step_months, month_of
@@ -19,6 +19,67 @@ from gridcells.model import GridTable
 TRANSFORM_AGGREGATIONS = ("mean", "median", "min", "max", "sum")
 
 
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str | None = None,
+                 num_partitions: int | None = None) -> DataFrame:
+    """Exact median of ``value`` per ``keys`` group without putting a group in
+    one task.
+
+    Rows are range partitioned on (keys, value), so the values of one hot
+    group spread over many partitions, and sorted inside each partition.
+    Each row's index inside its partition plus the group's row count in
+    earlier partitions is its rank in the group; only the one or two middle
+    ranks are kept (two rows per group) and averaged.  The sorted data is
+    checkpointed so that recomputation cannot move partition boundaries.
+    Groups whose values are all missing get NULL.
+    """
+    from gridcells.session import checkpoint_dir
+
+    out = out or value
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vals = df.select(*keys, F.col(value).alias("__gc_v")).where(F.col("__gc_v").isNotNull())
+    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col("__gc_v").asc()]
+    ranged = (vals.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn("__gc_pid", F.spark_partition_id())
+              .withColumn("__gc_local", F.monotonically_increasing_id()
+                          - F.shiftleft(F.col("__gc_pid").cast("long"), 33))
+              .checkpoint(eager=True))
+    # one row per (partition, group): where the group starts in the partition
+    # and how many of its rows the partition holds
+    parts = ranged.groupBy("__gc_pid", *keys).agg(F.min("__gc_local").alias("__gc_first"),
+                                                 F.count(F.lit(1)).alias("__gc_cnt"))
+    gw = Window.partitionBy(*keys)
+    parts = (parts.withColumn("__gc_before", F.coalesce(F.sum("__gc_cnt").over(
+                gw.orderBy("__gc_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("__gc_n", F.sum("__gc_cnt").over(gw)))
+    # middle ranks (n-1) div 2 and n div 2 -> the local index holding each
+    middle_ranks = F.array_distinct(F.array(F.floor((F.col("__gc_n") - 1) / 2).cast("long"),
+                                            F.floor(F.col("__gc_n") / 2).cast("long")))
+    targets = parts.select("__gc_pid", *keys, "__gc_first", "__gc_before", "__gc_cnt",
+                           F.explode(middle_ranks).alias("__gc_rank")) \
+        .where((F.col("__gc_rank") >= F.col("__gc_before"))
+               & (F.col("__gc_rank") < F.col("__gc_before") + F.col("__gc_cnt"))) \
+        .select("__gc_pid", (F.col("__gc_first") + F.col("__gc_rank") - F.col("__gc_before")).alias("__gc_local"))
+    middle = ranged.join(targets, ["__gc_pid", "__gc_local"], "left_semi")
+    med = middle.groupBy(*keys).agg(F.avg("__gc_v").alias(out))
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__gc_rows")).drop("__gc_rows") if keys else None
+    if groups is None:
+        return med if med.count() else spark.range(1).select(F.lit(None).cast("double").alias(out))
+    return groups.join(med, [groups[k].eqNullSafe(med[k]) for k in keys], "left").select(
+        *[groups[k] for k in keys], med[out])
+
+
+def grouped(df: DataFrame, keys: list[str], value: str, how: str, median_strategy: str = "collect") -> DataFrame:
+    """``groupBy(keys).agg(reducer)`` with the median strategy applied:
+    ``collect`` (exact, a group's values meet in one task), ``approx``
+    (mergeable percentile sketch) or ``sort`` (exact, hot groups split)."""
+    if how == "median" and median_strategy == "sort":
+        return exact_median(df, keys, value)
+    agg = reducer(how, value, median_strategy == "approx").alias(value)
+    return df.groupBy(*keys).agg(agg) if keys else df.agg(agg)
+
+
 def reducer(name: str, value: str, approx: bool = False) -> Column:
     v = F.col(value)
     if name == "median":
@@ -32,12 +93,12 @@ def reducer(name: str, value: str, approx: bool = False) -> Column:
     return F.avg(v)
 
 
-def reduce_dims(grid: GridTable, dims: list[str], how: str = "mean", approx: bool = False) -> GridTable:
+def reduce_dims(grid: GridTable, dims: list[str], how: str = "mean", approx: bool = False,
+                median_strategy: str | None = None) -> GridTable:
     """Aggregate away ``dims``; remaining dims keep their order."""
     keep = [d for d in grid.dims if d not in dims]
-    agg = reducer(how, grid.value, approx).alias(grid.value)
-    df = grid.df.groupBy(*keep).agg(agg) if keep else grid.df.agg(agg)
-    return grid.with_df(df, dims=tuple(keep), aux=(), unique_cells=True)
+    df = grouped(grid.df, keep, grid.value, how, median_strategy or ("approx" if approx else "collect"))
+    return grid.with_df(df.select(*keep, grid.value), dims=tuple(keep), aux=(), unique_cells=True)
 
 
 def spatial_mean(grid: GridTable, how: str = "mean") -> GridTable:
@@ -54,23 +115,26 @@ def zonal_mean(grid: GridTable, how: str = "mean") -> GridTable:
     return reduce_dims(grid, [lon], how)
 
 
-def climatology(grid: GridTable, how: str = "mean", month_col: str = "month") -> GridTable:
+def climatology(grid: GridTable, how: str = "mean", month_col: str = "month",
+                median_strategy: str = "collect") -> GridTable:
     """Per calendar month across years; only months present appear; the time
     dim is replaced by ``month`` (placed first, other dims kept)."""
     t = grid.require_time("Climatology")
     others = grid.other_dims(t)
-    df = grid.df.groupBy(month_of(t).alias(month_col), *others).agg(reducer(how, grid.value).alias(grid.value))
+    keyed = grid.df.withColumn(month_col, month_of(t))
+    df = grouped(keyed, [month_col, *others], grid.value, how, median_strategy)
     return grid.with_df(df, dims=(month_col, *others), aux=(), unique_cells=True)
 
 
-def resample(grid: GridTable, rule: str = "QS-DEC", how: str = "mean", fill_empty: bool = False) -> GridTable:
+def resample(grid: GridTable, rule: str = "QS-DEC", how: str = "mean", fill_empty: bool = False,
+             median_strategy: str = "collect") -> GridTable:
     """Time bins labelled by their start.  ``fill_empty=True`` also emits bins
     inside the overall span that hold no data (value NULL, or 0 for sum), like
     the array model; the span comes from a scalar subquery."""
     t = grid.require_time("Resample")
     others = grid.other_dims(t)
     binned = grid.df.withColumn(t, bin_start(t, rule))
-    df = binned.groupBy(t, *others).agg(reducer(how, grid.value).alias(grid.value))
+    df = grouped(binned, [t, *others], grid.value, how, median_strategy)
     if fill_empty:
         # every bin between the first and last label: a sequence built from
         # two scalar subqueries, exploded per cell (no join of unrelated rows)

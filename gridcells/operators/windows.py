@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gridcells.functions.scalar import month_of
 from gridcells.model import GridTable
 from gridcells.operators.axes import axis_table
-from gridcells.operators.reduce import reducer
+from gridcells.operators.reduce import grouped, reducer
 
 _BUCKET = "__gc_bucket"
 _HALO = "__gc_halo"
@@ -64,7 +64,8 @@ def rolling_mean(grid: GridTable, window: int = 3, bucket: int = 4096) -> GridTa
     return grid.with_df(df)
 
 
-def monthly_anomaly(grid: GridTable, how: str = "mean", approx: bool = False, strategy: str = "auto") -> GridTable:
+def monthly_anomaly(grid: GridTable, how: str = "mean", approx: bool = False, strategy: str = "auto",
+                    median_strategy: str = "collect") -> GridTable:
     """value minus the per-cell climatology of its calendar month, computed on
     this (already selected) grid.
 
@@ -77,12 +78,14 @@ def monthly_anomaly(grid: GridTable, how: str = "mean", approx: bool = False, st
     splits skewed join partitions otherwise."""
     t = grid.require_time("Anomaly")
     others = grid.other_dims(t)
-    if strategy == "window" or (strategy == "auto" and grid.unique_cells and not approx):
+    if strategy == "window" or (strategy == "auto" and grid.unique_cells and not approx
+                                and median_strategy == "collect"):
         w = Window.partitionBy(month_of(t), *others)
         base = reducer(how, grid.value).over(w)
         return grid.with_df(grid.df.withColumn(grid.value, F.col(grid.value) - base))
     keyed = grid.df.withColumn("__gc_month", month_of(t))
-    clim = keyed.groupBy("__gc_month", *others).agg(reducer(how, grid.value, approx).alias("__gc_base"))
+    clim = grouped(keyed, ["__gc_month", *others], grid.value, how,
+                   "approx" if approx else median_strategy).withColumnRenamed(grid.value, "__gc_base")
     return grid.with_df(_subtract_baseline(keyed, clim, ["__gc_month", *others], grid))
 
 

@@ -100,3 +100,25 @@ def test_focus_profile_prefers_month(monthly):
     clim = reduce.climatology(monthly)
     out = reduce.focus_profile(clim)
     assert out.dims == ("month",) and out.df.count() == 6
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_exact_median_sorted_matches_collect(spark, parts):
+    from gridcells.operators.reduce import exact_median
+    import random
+    rnd = random.Random(7)
+    rows = [("hot", float(rnd.randint(0, 50))) for _ in range(3001)]          # one hot group, odd count
+    rows += [("even", float(v)) for v in (1, 2, 3, 10)]                      # even count -> mean of middle two
+    rows += [("one", 4.0), ("nulls", None), ("nulls", None), (None, 8.0), (None, 9.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.v for r in exact_median(df, ["k"], "v", num_partitions=parts).collect()}
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert got == want and got["even"] == 2.5 and got["nulls"] is None and got[None] == 8.5
+
+
+def test_anomaly_join_path_with_sorted_median(spark):
+    rows = [(dt.datetime(2000 + y, m, 1), "a", float(y * 10 + m)) for y in range(3) for m in (1, 2)]
+    g = GridTable.from_frame(spark.createDataFrame(rows, "time timestamp_ntz, c string, v double"), ("time", "c"), "v")
+    a = {r.time: r.v for r in windows.monthly_anomaly(g, "median", median_strategy="sort").df.collect()}
+    b = {r.time: r.v for r in windows.monthly_anomaly(g, "median", strategy="window").df.collect()}
+    assert a == b and a[dt.datetime(2001, 1, 1)] == 0.0
