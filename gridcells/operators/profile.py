@@ -65,10 +65,11 @@ def statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                      F.stddev_samp(x).alias(f"sd{i}")]
         elif kind == "datetime":
             aggs += [F.min(v).cast("string").alias(f"mn{i}"), F.max(v).cast("string").alias(f"mx{i}")]
-        else:
-            aggs += [F.mode(v.cast("string"), True).alias(f"mo{i}")]
         names.append((c, dtype, kind))
     wide = df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
+    others = [(i, c) for i, (c, _, kind) in enumerate(names) if kind == "other"]
+    if others:
+        wide = attach_scalars(wide, _modes(df, others))
     dnull, snull = F.lit(None).cast("double"), F.lit(None).cast("string")
     structs = []
     for i, (c, dtype, kind) in enumerate(names):
@@ -89,6 +90,20 @@ def statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return _unpivot(wide, structs)
 
 
+def _modes(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
+    """Most frequent value of each column (smallest on ties) as one row
+    ``mo<i>``.  Counting is a distributed ``groupBy(column, value)`` with
+    partial aggregation; each column then keeps the minimum of
+    (-count, value), a constant-size aggregate, so no task ever holds a
+    column's full value-count map."""
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("x")) for i, c in columns])).alias("p")) \
+        .select("p.i", "p.x").where(F.col("x").isNotNull())
+    counts = pairs.groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("x").alias("x"))).alias("b"))
+    return best.agg(*[F.max(F.when(F.col("i") == i, F.col("b.x"))).alias(f"mo{i}") for i, _ in columns])
+
+
 def coverage(selection: DataFrame, full: DataFrame, dims: list[str]) -> DataFrame:
     """Per dim: labels present in the selection vs on the whole axis, the
     percentage (1 decimal) and the selection's min/max as text."""

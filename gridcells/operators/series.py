@@ -82,3 +82,34 @@ def series_summary(series: DataFrame, time: str, value: str) -> DataFrame:
         F.avg(value).alias("mean"),
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"),
     )
+
+
+# Time-analysis modes of the reference.
+TIME_MODES = ("raw", "rolling mean", "anomaly", "cumulative", "trend")
+
+
+def time_analysis(grid, how: str = "mean", mode: str = "raw", window: int = 3, resolution: int = 400):
+    """The time-analysis frame: reduce every non-time dim to one series, drop
+    missing points, number them in time order, derive ``value`` by ``mode``
+    (``trend`` also adds the fitted line), then thin to ``resolution``
+    evenly spread points.  Returns (frame, summary DataFrame of one row)."""
+    from gridcells.operators.preview import downsample
+    from gridcells.operators.reduce import series_reduce
+
+    if mode not in TIME_MODES:
+        raise ValueError(f"unknown time mode {mode!r}")
+    t = grid.require_time("Time analysis")
+    raw = series_reduce(grid, how).select(F.col(t).alias("time"), F.col(grid.value).alias("raw"))
+    idx = with_time_step(raw, "time", "raw")
+    if mode == "rolling mean":
+        frame = series_rolling(idx, "raw", window, out="value")
+    elif mode == "anomaly":
+        frame = series_anomaly(idx, "raw", out="value")
+    elif mode == "cumulative":
+        frame = cumulative(idx, "raw", out="value")
+    elif mode == "trend":
+        frame = trend_line(idx, "raw", out="trend").withColumn("value", F.col("raw"))
+    else:
+        frame = idx.withColumn("value", F.col("raw"))
+    frame = frame.withColumn("time_label", F.col("time").cast("string"))
+    return downsample(frame, ["time"], resolution), series_summary(raw, "time", "raw")

@@ -46,12 +46,21 @@ def sql_guard(spark: SparkSession, query: str) -> str:
 
 
 def sql_execute(spark: SparkSession, tables: GridDataset | dict[str, DataFrame], query: str,
-                max_rows: int = DEFAULT_MAX_ROWS, double_quoted_identifiers: bool = True) -> DataFrame:
+                max_rows: int = DEFAULT_MAX_ROWS, double_quoted_identifiers: bool = True,
+                preview_rows: int | None = None) -> DataFrame:
     """Run a checked SELECT over the variables; the result is capped with
-    ``limit`` (which keeps the query's own ORDER BY)."""
+    ``limit`` (which keeps the query's own ORDER BY).  ``preview_rows=n``
+    registers each grid's leading-rectangle preview instead of the full
+    table (the reference queries previews)."""
+    from gridcells.operators.preview import preview
+
     views = tables.variables if isinstance(tables, GridDataset) else tables
     for name, obj in views.items():
-        (obj.df if isinstance(obj, GridTable) else obj).createOrReplaceTempView(name)
+        if isinstance(obj, GridTable):
+            df = preview(obj, preview_rows) if preview_rows else obj.df
+        else:
+            df = obj
+        df.createOrReplaceTempView(name)
     conf = {"spark.sql.runSQLOnFiles": "false",
             "spark.sql.ansi.doubleQuotedIdentifiers": "true" if double_quoted_identifiers else "false"}
     with _session_conf(spark, **conf):

@@ -122,3 +122,29 @@ def test_anomaly_join_path_with_sorted_median(spark):
     a = {r.time: r.v for r in windows.monthly_anomaly(g, "median", median_strategy="sort").df.collect()}
     b = {r.time: r.v for r in windows.monthly_anomaly(g, "median", strategy="window").df.collect()}
     assert a == b and a[dt.datetime(2001, 1, 1)] == 0.0
+
+
+def test_apply_transform_dispatch_and_summary(monthly):
+    from gridcells.operators.transforms import apply_transform
+    out, info = apply_transform(monthly, "spatial mean", summary=True)
+    assert info["dims_after"] == ["time"] and info["shape_before"] == [6, 2, 2] and info["shape_after"] == [6]
+    with pytest.raises(ValueError):
+        apply_transform(monthly, "warp")
+    same, info = apply_transform(monthly, "none")
+    assert same.dims == monthly.dims
+    clim, info = apply_transform(monthly, "climatology")
+    assert info["group"] == "month" and clim.dims == ("month", "lat", "lon")
+    anom, info = apply_transform(monthly, "anomaly")
+    assert info["baseline"] == "monthly climatology"
+
+
+def test_time_analysis_modes(monthly):
+    from gridcells.operators.series import time_analysis
+    frame, summ = time_analysis(monthly, "mean", "trend", resolution=4)
+    rows = frame.orderBy("time").collect()
+    assert len(rows) == 4 and [r.time_step for r in rows] == [0, 1, 3, 5]
+    assert all(abs(r.trend - r.raw) < 1e-9 for r in rows)  # the series is exactly linear
+    s = summ.collect()[0]
+    assert s.points == 6 and s.mean == 11.5
+    cum, _ = time_analysis(monthly, "mean", "cumulative")
+    assert [r.value for r in cum.orderBy("time").collect()][-1] == sum(4 * i + 1.5 for i in range(6))
