@@ -98,3 +98,15 @@ def typed_literal(value: Any, dtype: T.DataType) -> Column:
             return F.lit(value).cast("date")
         return F.lit(value).cast(dtype.simpleString())
     return F.lit(value).cast(dtype.simpleString())
+
+
+def format_scalar(c: Column | str) -> Column:
+    """Report text of a value: NULL -> "n/a", doubles with 4 decimals, other
+    values as their text."""
+    c = _c(c)
+    return F.coalesce(c.cast("string"), F.lit("n/a"))
+
+
+def format_number(c: Column | str) -> Column:
+    c = _c(c).cast("double")
+    return F.when(c.isNull(), F.lit("n/a")).otherwise(F.format_string("%.4f", c))

@@ -16,8 +16,15 @@ from gridcells.model import GridTable
 from gridcells.operators.select import first_slice
 
 
+# Histogram bins = resolution // 10 clamped to [8, 40];
+# spatial binning uses at least 4 bins per axis.
+HISTOGRAM_BINS_PER_RESOLUTION = 10
+HISTOGRAM_MIN_BINS, HISTOGRAM_MAX_BINS = 8, 40
+SPATIAL_MIN_BINS = 4
+
+
 def histogram_bins(resolution: int) -> int:
-    return min(max(int(resolution) // 10, 8), 40)
+    return min(max(int(resolution) // HISTOGRAM_BINS_PER_RESOLUTION, HISTOGRAM_MIN_BINS), HISTOGRAM_MAX_BINS)
 
 
 def _edge(i: Column, lo: Column, hi: Column, step: Column, n: int) -> Column:
@@ -51,15 +58,15 @@ def histogram(df: DataFrame, column: str, resolution: int = 150) -> DataFrame:
 
 
 def bar_means(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Mean of y per x (NULL group kept), x as text."""
-    return df.groupBy(F.col(x).cast("string").alias(x)).agg(F.avg(to_numeric(y)).alias(y))
+    """Mean of y per x (NULL group kept), x as text, sorted by x."""
+    return df.groupBy(F.col(x).cast("string").alias(x)).agg(F.avg(to_numeric(y)).alias(y)).orderBy(x)
 
 
 def spatial_bins(df: DataFrame, lat: str, lon: str, value: str, bins: int = 8) -> DataFrame:
     """Mean value on an equal-width lat x lon grid (right-closed bins, bin
     midpoints as coordinates), or the raw points when there are at most
     bins^2 rows or both axes have at most ``bins`` labels."""
-    bins = max(int(bins), 4)
+    bins = max(int(bins), SPATIAL_MIN_BINS)
     pts = df.select(to_numeric(lat).alias(lat), to_numeric(lon).alias(lon), to_numeric(value).alias(value)) \
         .na.drop(subset=[lat, lon, value])
     stats = pts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(lat).alias("ulat"),

@@ -99,11 +99,49 @@ def coordinate_profile(grid: GridTable) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _pts(cond: Column, points: int, reason: str) -> tuple[Column, Column]:
-    return F.when(cond, F.lit(points)).otherwise(F.lit(0)), F.when(cond, F.lit(reason))
-
-
-def _role_terms(role: str) -> list[tuple[Column, Column]]:
+# Points and reason text of each scoring rule, per role, in
+# rule order (the conditions are paired with them in ``_conditions``).
+TIME_RULES = [
+    (8, "time-like coordinate name"),
+    (10, "CF standard_name indicates time"),
+    (7, "axis=T attribute"),
+    (10, "datetime dtype"),
+    (7, "CF time units"),
+    (4, "long_name suggests time"),
+]
+LATITUDE_RULES = [
+    (8, "latitude-style coordinate name"),
+    (5, "latitude token in name"),
+    (10, "CF standard_name=latitude"),
+    (10, "latitude units"),
+    (3, "axis=Y attribute"),
+    (5, "long_name suggests latitude"),
+    (4, "numeric bounds fit latitude range"),
+]
+LONGITUDE_RULES = [
+    (8, "longitude-style coordinate name"),
+    (5, "longitude token in name"),
+    (10, "CF standard_name=longitude"),
+    (10, "longitude units"),
+    (3, "axis=X attribute"),
+    (5, "long_name suggests longitude"),
+    (4, "numeric bounds fit longitude range"),
+]
+VERTICAL_RULES = [
+    (8, "vertical-style coordinate name"),
+    (5, "vertical token in name"),
+    (10, "CF standard_name indicates vertical axis"),
+    (7, "axis=Z attribute"),
+    (6, "positive attribute indicates vertical axis"),
+    (7, "pressure units"),
+    (4, "length units"),
+    (4, "long_name suggests vertical axis"),
+]
+RULES = {"time": TIME_RULES, "latitude": LATITUDE_RULES, "longitude": LONGITUDE_RULES, "vertical": VERTICAL_RULES}
+
+
+def _conditions(role: str) -> list[Column]:
+    """Boolean test of each rule of ``role``, in the order of its RULES."""
     # normalised attribute columns are computed once in ``score_roles``
     name, std, long_name = F.col("n_name"), F.col("n_std"), F.col("n_long")
     units, axis, positive = F.col("n_units"), F.col("n_axis"), F.col("n_positive")
@@ -113,49 +151,59 @@ def _role_terms(role: str) -> list[tuple[Column, Column]]:
         a, b = bounds
         return lo.isNotNull() & hi.isNotNull() & lo.between(a, b) & hi.between(a, b)
 
+    def any_of(col, tokens, test):
+        return F.greatest(*[test(col, t) for t in tokens])
+
     if role == "time":
         return [
-            _pts(name.isin(TIME_EXACT_NAMES), 8, "time-like coordinate name"),
-            _pts(std.isin(TIME_STANDARD_NAMES) | std.endswith("_time"), 10, "CF standard_name indicates time"),
-            _pts(axis == "t", 7, "axis=T attribute"),
-            _pts(F.col("is_datetime"), 10, "datetime dtype"),
-            _pts(F.lower(F.col("units")).contains(" since "), 7, "CF time units"),
-            _pts(long_name.contains("time") | long_name.contains("date"), 4, "long_name suggests time"),
+            name.isin(TIME_EXACT_NAMES),
+            std.isin(TIME_STANDARD_NAMES) | std.endswith("_time"),
+            axis == "t",
+            F.col("is_datetime"),
+            F.lower(F.col("units")).contains(" since "),
+            long_name.contains("time") | long_name.contains("date"),
         ]
     if role == "latitude":
         return [
-            _pts(name.isin(LATITUDE_EXACT_NAMES), 8, "latitude-style coordinate name"),
-            _pts(name.contains("lat") & ~name.contains("lon"), 5, "latitude token in name"),
-            _pts(std.isin(LATITUDE_STANDARD_NAMES), 10, "CF standard_name=latitude"),
-            _pts(units.isin(LATITUDE_UNITS), 10, "latitude units"),
-            _pts(axis == "y", 3, "axis=Y attribute"),
-            _pts(long_name.contains("latitude"), 5, "long_name suggests latitude"),
-            _pts(within(LATITUDE_BOUNDS), 4, "numeric bounds fit latitude range"),
+            name.isin(LATITUDE_EXACT_NAMES),
+            name.contains("lat") & ~name.contains("lon"),
+            std.isin(LATITUDE_STANDARD_NAMES),
+            units.isin(LATITUDE_UNITS),
+            axis == "y",
+            long_name.contains("latitude"),
+            within(LATITUDE_BOUNDS),
         ]
     if role == "longitude":
         return [
-            _pts(name.isin(LONGITUDE_EXACT_NAMES), 8, "longitude-style coordinate name"),
-            _pts(name.contains("lon"), 5, "longitude token in name"),
-            _pts(std.isin(LONGITUDE_STANDARD_NAMES), 10, "CF standard_name=longitude"),
-            _pts(units.isin(LONGITUDE_UNITS), 10, "longitude units"),
-            _pts(axis == "x", 3, "axis=X attribute"),
-            _pts(long_name.contains("longitude"), 5, "long_name suggests longitude"),
-            _pts(within(LONGITUDE_BOUNDS), 4, "numeric bounds fit longitude range"),
+            name.isin(LONGITUDE_EXACT_NAMES),
+            name.contains("lon"),
+            std.isin(LONGITUDE_STANDARD_NAMES),
+            units.isin(LONGITUDE_UNITS),
+            axis == "x",
+            long_name.contains("longitude"),
+            within(LONGITUDE_BOUNDS),
         ]
-    any_token = lambda col, toks: F.greatest(*[col.contains(t) for t in toks])
     return [
-        _pts(name.isin(VERTICAL_EXACT_NAMES), 8, "vertical-style coordinate name"),
-        _pts(any_token(name, VERTICAL_NAME_TOKENS), 5, "vertical token in name"),
-        _pts(std.isin(VERTICAL_STANDARD_NAMES) | F.greatest(*[std.endswith(s) for s in VERTICAL_STANDARD_SUFFIXES]),
-             10, "CF standard_name indicates vertical axis"),
-        _pts(axis == "z", 7, "axis=Z attribute"),
-        _pts(positive.isin("up", "down"), 6, "positive attribute indicates vertical axis"),
-        _pts(units.isin(PRESSURE_UNITS), 7, "pressure units"),
-        _pts(units.isin(VERTICAL_LENGTH_UNITS), 4, "length units"),
-        _pts(any_token(long_name, VERTICAL_LONG_NAME_TOKENS), 4, "long_name suggests vertical axis"),
+        name.isin(VERTICAL_EXACT_NAMES),
+        any_of(name, VERTICAL_NAME_TOKENS, lambda c, t: c.contains(t)),
+        std.isin(VERTICAL_STANDARD_NAMES) | any_of(std, VERTICAL_STANDARD_SUFFIXES, lambda c, t: c.endswith(t)),
+        axis == "z",
+        positive.isin("up", "down"),
+        units.isin(PRESSURE_UNITS),
+        units.isin(VERTICAL_LENGTH_UNITS),
+        any_of(long_name, VERTICAL_LONG_NAME_TOKENS, lambda c, t: c.contains(t)),
     ]
 
 
+def _role_terms(role: str) -> list[tuple[Column, Column]]:
+    """(points, reason-or-NULL) per rule of ``role``."""
+    out = []
+    for cond, (points, reason) in zip(_conditions(role), RULES[role]):
+        cond = F.coalesce(cond, F.lit(False))
+        out.append((F.when(cond, F.lit(points)).otherwise(F.lit(0)), F.when(cond, F.lit(reason))))
+    return out
+
+
 def _confidence(score: Column) -> Column:
     return (F.when(score >= HIGH_CONFIDENCE, "high").when(score >= MEDIUM_CONFIDENCE, "medium")
             .when(score >= MIN_ROLE_SCORE, "low").otherwise("none"))

@@ -74,10 +74,12 @@ def filter_eq(df: DataFrame, column: str, value: Any) -> DataFrame:
     return df.where(F.col(column) == typed_literal(value, df.schema[column].dataType))
 
 
-def select_grid(grid: GridTable, filterable: Iterable[str] | None = None, **query: Any) -> GridTable:
+def select_grid(grid: GridTable, filterable: Iterable[str] | None = None, strict: bool = False,
+                **query: Any) -> GridTable:
     """Apply a query dict: unknown keys and keys starting ``__`` are ignored,
     the rest are ANDed.  A scalar removes its dim from ``dims`` while the
-    coordinate stays as a constant column."""
+    coordinate stays as a constant column.  ``strict=True`` raises KeyError
+    for list or scalar labels that are not on the axis (array semantics)."""
     allowed = set(grid.dims if filterable is None else filterable) & set(grid.dims)
     df, dims = grid.df, list(grid.dims)
     for key, value in query.items():
@@ -88,8 +90,10 @@ def select_grid(grid: GridTable, filterable: Iterable[str] | None = None, **quer
             if "year" in df.columns and "year" not in grid.dims and grid.is_time(key):
                 df = _year_pruning(df, value)
         elif isinstance(value, list):
-            df = filter_in(df, key, value)
+            df = filter_in(df, key, value, strict=strict)
         else:
+            if strict and filter_eq(grid.df, key, value).limit(1).count() == 0:
+                raise KeyError(f"label {value!r} not found on {key!r}")
             df = filter_eq(df, key, value)
             dims.remove(key)
     return grid.with_df(df, dims=tuple(dims))

@@ -98,3 +98,18 @@ def test_preview_empty_selection(synthetic):
     sel = select.select_grid(synthetic, lat=(99, 100))
     out = preview(sel, 10)
     assert out.count() == 0 and out.columns == synthetic.df.columns
+
+
+def test_strict_scalar_and_list(synthetic):
+    with pytest.raises(KeyError):
+        select.select_grid(synthetic, strict=True, lat=15.0)
+    with pytest.raises(KeyError):
+        select.select_grid(synthetic, strict=True, lat=[10.0, 15.0])
+    assert select.select_grid(synthetic, strict=True, lat=10.0).df.count() == 4
+
+
+def test_format_scalar(spark):
+    from gridcells.functions.scalar import format_number, format_scalar
+    df = spark.createDataFrame([(1.23456, "x"), (None, None)], "v double, s string")
+    rows = df.select(format_number("v").alias("a"), format_scalar("s").alias("b")).collect()
+    assert [(r.a, r.b) for r in rows] == [("1.2346", "x"), ("n/a", "n/a")]
