@@ -34,13 +34,17 @@ def _edge(i: Column, lo: Column, hi: Column, step: Column, n: int) -> Column:
 def histogram(df: DataFrame, column: str, resolution: int = 150) -> DataFrame:
     """Equal-width histogram of the numeric values of ``column``: one row per
     bin (empty bins included) with its edges and count.  The last bin is
-    closed on both ends; a constant column spans ``value +- 0.5``."""
+    closed on both ends; a constant column spans ``value +- 0.5``.  The value
+    range is one aggregate (two scalars reach the driver)."""
     n = histogram_bins(resolution)
     vals = df.select(to_numeric(column).alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    bounds = vals.agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    lo_raw, hi_raw = bounds.select("a").scalar(), bounds.select("b").scalar()
-    lo = F.when(lo_raw == hi_raw, lo_raw - 0.5).otherwise(lo_raw)
-    hi = F.when(lo_raw == hi_raw, hi_raw + 0.5).otherwise(hi_raw)
+    lo_v, hi_v = vals.agg(F.min("v"), F.max("v")).collect()[0]
+    spark = df.sparkSession
+    if lo_v is None:
+        return spark.createDataFrame([], "bin bigint, left double, right double, count bigint")
+    if lo_v == hi_v:
+        lo_v, hi_v = lo_v - 0.5, hi_v + 0.5
+    lo, hi = F.lit(float(lo_v)), F.lit(float(hi_v))
     step = (hi - lo) / F.lit(float(n))
     guess = F.least(F.greatest(F.floor((F.col("v") - lo) * (F.lit(float(n)) / (hi - lo))), F.lit(0)), F.lit(n - 1))
     b = vals.withColumn("g", guess)
@@ -48,13 +52,11 @@ def histogram(df: DataFrame, column: str, resolution: int = 150) -> DataFrame:
     b = b.withColumn("g", F.when((F.col("v") >= _edge(F.col("g") + 1, lo, hi, step, n)) & (F.col("g") != n - 1),
                                  F.col("g") + 1).otherwise(F.col("g")))
     counts = b.groupBy(F.col("g").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    spine = df.sparkSession.range(n).select(F.col("id").alias("bin"))
+    spine = spark.range(n).select(F.col("id").alias("bin"))
     spine = spine.withColumn("left", _edge(F.col("bin"), lo, hi, step, n)) \
                  .withColumn("right", _edge(F.col("bin") + 1, lo, hi, step, n))
-    out = spine.join(counts, "bin", "left").select(
+    return spine.join(counts, "bin", "left").select(
         "bin", "left", "right", F.coalesce("count", F.lit(0).cast("long")).alias("count"))
-    # no values at all -> no bins
-    return out.where(lo_raw.isNotNull())
 
 
 def bar_means(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -70,18 +72,17 @@ def spatial_bins(df: DataFrame, lat: str, lon: str, value: str, bins: int = 8) -
     pts = df.select(to_numeric(lat).alias(lat), to_numeric(lon).alias(lon), to_numeric(value).alias(value)) \
         .na.drop(subset=[lat, lon, value])
     stats = pts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(lat).alias("ulat"),
-                    F.count_distinct(lon).alias("ulon")).collect()[0]
+                    F.count_distinct(lon).alias("ulon"), F.min(lat).alias("a"), F.max(lat).alias("b"),
+                    F.min(lon).alias("c"), F.max(lon).alias("d")).collect()[0]
     if stats["n"] == 0 or stats["n"] <= bins * bins or (stats["ulat"] <= bins and stats["ulon"] <= bins):
         return pts
     nlat, nlon = min(bins, stats["ulat"]), min(bins, stats["ulon"])
-    rng = pts.agg(F.min(lat).alias("a"), F.max(lat).alias("b"), F.min(lon).alias("c"), F.max(lon).alias("d"))
-    binned = pts.withColumn("__bl", _right_closed_bin(F.col(lat), rng.select("a").scalar(), rng.select("b").scalar(), nlat)) \
-                .withColumn("__bo", _right_closed_bin(F.col(lon), rng.select("c").scalar(), rng.select("d").scalar(), nlon))
+    a, b, c, d = (F.lit(float(stats[k])) for k in "abcd")
+    binned = pts.withColumn("__bl", _right_closed_bin(F.col(lat), a, b, nlat)) \
+                .withColumn("__bo", _right_closed_bin(F.col(lon), c, d, nlon))
     grouped = binned.groupBy("__bl", "__bo").agg(F.avg(value).alias(value))
-    return grouped.select(
-        _midpoint(F.col("__bl"), rng.select("a").scalar(), rng.select("b").scalar(), nlat).alias(lat),
-        _midpoint(F.col("__bo"), rng.select("c").scalar(), rng.select("d").scalar(), nlon).alias(lon),
-        F.col(value))
+    return grouped.select(_midpoint(F.col("__bl"), a, b, nlat).alias(lat),
+                          _midpoint(F.col("__bo"), c, d, nlon).alias(lon), F.col(value))
 
 
 def _right_closed_bin(v: Column, lo: Column, hi: Column, n: int) -> Column:

@@ -59,17 +59,19 @@ def trend_fit(indexed: DataFrame, value: str) -> DataFrame:
 
 
 def trend_line(indexed: DataFrame, value: str, out: str = "trend") -> DataFrame:
-    """Fitted value per step (W6), slope/intercept attached as scalar subqueries."""
-    fit = trend_fit(indexed, value)
-    slope = fit.select("slope").scalar()
-    intercept = fit.select("intercept").scalar()
-    fitted = intercept + slope * F.col(STEP).cast("double")
-    return indexed.withColumn(out, F.when(slope.isNull(), F.col(value)).otherwise(fitted))
+    """Fitted value per step (W6).  The fit is one aggregate row; its two
+    numbers are used as literals."""
+    fit = trend_fit(indexed, value).collect()[0]
+    if fit["slope"] is None:
+        return indexed.withColumn(out, F.col(value))
+    fitted = F.lit(float(fit["intercept"])) + F.lit(float(fit["slope"])) * F.col(STEP).cast("double")
+    return indexed.withColumn(out, fitted)
 
 
 def series_anomaly(indexed: DataFrame, value: str, out: str = "anomaly") -> DataFrame:
     """value minus the overall series mean (W4, series form)."""
-    return indexed.withColumn(out, F.col(value) - indexed.select(F.avg(value)).scalar())
+    mean = indexed.agg(F.avg(value)).collect()[0][0]
+    return indexed.withColumn(out, F.col(value) - F.lit(mean).cast("double"))
 
 
 def series_summary(series: DataFrame, time: str, value: str) -> DataFrame:
