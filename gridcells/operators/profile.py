@@ -48,17 +48,24 @@ def _unpivot(wide: DataFrame, structs: list[Column]) -> DataFrame:
     return wide.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def _distinct(c, approx: bool) -> Column:
+    """Exact distinct count, or a HyperLogLog estimate (constant-size state,
+    about 2 % error) for very high-cardinality columns."""
+    return F.approx_count_distinct(c) if approx else F.count_distinct(c)
+
+
+def statistics(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Per column: dtype, non_null, missing, unique; numeric min/mean/max/std
     (std needs two values); datetime min/max as text; other columns put their
-    mode (smallest on ties) in ``min_text``."""
+    mode (smallest on ties) in ``min_text``.  ``approx=True`` estimates
+    ``unique`` with HyperLogLog."""
     columns = columns or df.columns
     aggs, names = [], []
     for i, c in enumerate(columns):
         dtype = df.schema[c].dataType
         v = nan_to_null(c) if isinstance(dtype, (T.FloatType, T.DoubleType)) else F.col(c)
         kind = _kind(dtype)
-        aggs += [F.count(v).alias(f"nn{i}"), F.count_distinct(v).alias(f"u{i}")]
+        aggs += [F.count(v).alias(f"nn{i}"), _distinct(v, approx).alias(f"u{i}")]
         if kind == "numeric":
             x = v.cast("double")
             aggs += [F.min(x).alias(f"mn{i}"), F.avg(x).alias(f"av{i}"), F.max(x).alias(f"mx{i}"),
@@ -104,13 +111,13 @@ def _modes(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
     return best.agg(*[F.max(F.when(F.col("i") == i, F.col("b.x"))).alias(f"mo{i}") for i, _ in columns])
 
 
-def coverage(selection: DataFrame, full: DataFrame, dims: list[str]) -> DataFrame:
+def coverage(selection: DataFrame, full: DataFrame, dims: list[str], approx: bool = False) -> DataFrame:
     """Per dim: labels present in the selection vs on the whole axis, the
     percentage (1 decimal) and the selection's min/max as text."""
     sel = selection.agg(*[x for i, d in enumerate(dims) for x in (
-        F.count_distinct(d).alias(f"s{i}"), F.min(d).cast("string").alias(f"lo{i}"),
+        _distinct(d, approx).alias(f"s{i}"), F.min(d).cast("string").alias(f"lo{i}"),
         F.max(d).cast("string").alias(f"hi{i}"))])
-    tot = full.agg(*[F.count_distinct(d).alias(f"t{i}") for i, d in enumerate(dims)])
+    tot = full.agg(*[_distinct(d, approx).alias(f"t{i}") for i, d in enumerate(dims)])
     wide = attach_scalars(sel, tot)
     structs = []
     for i, d in enumerate(dims):
@@ -206,16 +213,16 @@ def bytes_per_row(df: DataFrame, columns: list[str]) -> int:
     return sum(ITEMSIZE.get(df.schema[c].dataType.simpleString(), TEXT_ITEMSIZE) for c in columns)
 
 
-def query_cost(full: GridTable, selected: GridTable) -> DataFrame:
+def query_cost(full: GridTable, selected: GridTable, approx: bool = False) -> DataFrame:
     """One row: dense sizes (product of axis sizes) of the full table and the
     selection, the actual selected cell rows, ratio, bytes/row, MB and risk.
     A scalar-selected dim counts as size 1."""
     dims = list(full.dims)
     columns = [c for c in (*full.dims, *full.aux, full.value) if c in full.df.columns]
     bpr = bytes_per_row(full.df, columns)
-    f = full.df.agg(*[F.count_distinct(d).alias(f"f{i}") for i, d in enumerate(dims)])
+    f = full.df.agg(*[_distinct(d, approx).alias(f"f{i}") for i, d in enumerate(dims)])
     s = selected.df.agg(F.count(F.lit(1)).alias("selected_cells"),
-                        *[F.count_distinct(d).alias(f"s{i}") for i, d in enumerate(dims)])
+                        *[_distinct(d, approx).alias(f"s{i}") for i, d in enumerate(dims)])
     wide = attach_scalars(s, f)
     full_rows = F.lit(1).cast("long")
     sel_rows = F.lit(1).cast("long")

@@ -113,3 +113,11 @@ def test_bar_means_keeps_null_group(spark):
     df = spark.createDataFrame([(None, 1.0), ("a", 2.0), ("a", 4.0)], "x string, y double")
     got = {r.x: r.y for r in charts.bar_means(df, "x", "y").collect()}
     assert got == {None: 1.0, "a": 3.0}
+
+
+def test_approx_distinct_options(spark, synthetic):
+    rows = {r.column: r.unique for r in profile.statistics(synthetic.df, approx=True).collect()}
+    assert rows == {"time": 2, "lat": 2, "lon": 2, "temperature": 8}
+    cov = profile.coverage(synthetic.df, synthetic.df, list(synthetic.dims), approx=True).collect()
+    assert all(r.selected_pct == 100.0 for r in cov)
+    assert profile.query_cost(synthetic, synthetic, approx=True).collect()[0].full_rows == 8
