@@ -56,11 +56,10 @@ def filter_in(df: DataFrame, column: str, values: Iterable[Any], strict: bool =
     dtype = df.schema[column].dataType
     spark = df.sparkSession
     if strict:
-        labels = spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("__label", dtype)])) \
-            if not isinstance(dtype, (T.TimestampNTZType, T.TimestampType)) else \
-            spark.createDataFrame([(str(v),) for v in values], "__label string").select(
-                F.col("__label").cast(dtype.simpleString()).alias("__label"))
-        absent = labels.join(df.select(F.col(column).alias("__label")).distinct(), "__label", "left_anti").limit(5).collect()
+        labels = spark.createDataFrame([(i,) for i in range(len(values))], "__i int").select(
+            F.element_at(F.array(*[typed_literal(v, dtype) for v in values]), F.col("__i") + 1).alias("__label"))
+        axis = df.select(F.col(column).alias("__label")).distinct()
+        absent = labels.join(axis, "__label", "left_anti").limit(5).collect()
         if absent:
             raise KeyError(f"labels {[r[0] for r in absent]} not found on {column!r}")
     if len(values) <= IN_LIST_LIMIT:

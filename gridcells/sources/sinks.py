@@ -69,9 +69,10 @@ def load_dataset(spark: SparkSession, path: str) -> GridDataset:
     variables = {}
     for name, spec in by_var.items():
         df = spark.read.parquet(os.path.join(path, name))
-        if "year" in df.columns and "year" not in spec["dims"].split(","):
-            df = df.drop("year")
-        variables[name] = GridTable(df.select(*spec["dims"].split(","), spec["value"]),
+        # the year partition column stays (not a dim): time selections add a
+        # predicate on it so whole year folders are pruned
+        extra = ["year"] if "year" in df.columns and "year" not in spec["dims"].split(",") else []
+        variables[name] = GridTable(df.select(*spec["dims"].split(","), spec["value"], *extra),
                                     tuple(spec["dims"].split(",")), spec["value"],
                                     attrs=spec["attrs"], coord_attrs=spec["coord_attrs"],
                                     unique_cells=spec.get("unique_cells") == "true")
