@@ -38,8 +38,12 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str | None = N
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vals = df.select(*keys, F.col(value).alias("__gc_v")).where(F.col("__gc_v").isNotNull())
-    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col("__gc_v").asc()]
+    # the row id breaks ties, so a hot group full of equal values still
+    # spreads over many range partitions (it is fixed by the scan's layout
+    # and everything after the checkpoint reads the stored ranks)
+    vals = df.select(*keys, F.col(value).alias("__gc_v")).where(F.col("__gc_v").isNotNull()) \
+        .withColumn("__gc_tb", F.monotonically_increasing_id())
+    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col("__gc_v").asc(), F.col("__gc_tb").asc()]
     ranged = (vals.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("__gc_pid", F.spark_partition_id())
               .withColumn("__gc_local", F.monotonically_increasing_id()

@@ -148,3 +148,11 @@ def test_time_analysis_modes(monthly):
     assert s.points == 6 and s.mean == 11.5
     cum, _ = time_analysis(monthly, "mean", "cumulative")
     assert [r.value for r in cum.orderBy("time").collect()][-1] == sum(4 * i + 1.5 for i in range(6))
+
+
+def test_exact_median_hot_group_of_equal_values_spreads(spark):
+    from gridcells.operators.reduce import exact_median
+    rows = [("hot", 5.0)] * 4000 + [("hot", 6.0)] + [("cold", 1.0), ("cold", 3.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    got = {r.k: r.v for r in exact_median(df, ["k"], "v", num_partitions=6).collect()}
+    assert got == {"hot": 5.0, "cold": 2.0}
