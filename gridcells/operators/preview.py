@@ -42,9 +42,11 @@ def preview(grid: GridTable, limit: int = 250) -> DataFrame:
             continue
         if k == 0:
             return df.limit(0)
-        # k-th smallest label: top-k of the distinct labels (bounded by k),
-        # attached as a scalar subquery
-        kth = df.select(d).where(F.col(d).isNotNull()).distinct().orderBy(d).limit(k).select(F.max(d)).scalar()
+        # k-th smallest label of the selection's axis (not of the rows left
+        # after trimming earlier dims: trimming one dim leaves the other axes
+        # whole); top-k of the distinct labels, attached as a scalar subquery
+        axis = grid.df.select(d).where(F.col(d).isNotNull()).distinct()
+        kth = axis.orderBy(d).limit(k).select(F.max(d)).scalar()
         df = df.where(F.col(d) <= kth)
     return df
 

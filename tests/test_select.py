@@ -113,3 +113,14 @@ def test_format_scalar(spark):
     df = spark.createDataFrame([(1.23456, "x"), (None, None)], "v double, s string")
     rows = df.select(format_number("v").alias("a"), format_scalar("s").alias("b")).collect()
     assert [(r.a, r.b) for r in rows] == [("1.2346", "x"), ("n/a", "n/a")]
+
+
+def test_preview_uses_whole_axes_on_sparse_grids(spark):
+    import datetime as dt
+    # day 1 lacks lat 1.0; the lat cut-off must still be the 2nd label of the axis
+    rows = [(dt.datetime(2024, 1, 1), 0.0, 1.0), (dt.datetime(2024, 1, 1), 2.0, 1.0),
+            (dt.datetime(2024, 1, 2), 1.0, 1.0), (dt.datetime(2024, 1, 2), 2.0, 1.0)]
+    g = GridTable.from_frame(spark.createDataFrame(rows, "time timestamp_ntz, lat double, v double"),
+                             ("time", "lat"), "v")
+    out = preview(g, 2)  # sizes (2, 3): keep 1 day x 2 lat labels {0, 1}
+    assert [(r.time.day, r.lat) for r in out.collect()] == [(1, 0.0)]
