@@ -76,3 +76,14 @@ def test_reversed_range_equals_range(spark, rows, a, b):
     y = select.select_grid(g, lat=(b, a)).df
     assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
     assert x.count() == sum(1 for r in rows if min(a, b) <= r[1] <= max(a, b))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=cells, strategy=st.sampled_from(["window", "join"]))
+def test_monthly_anomaly_means_are_zero(spark, rows, strategy):
+    from gridcells.operators.windows import monthly_anomaly
+    g = _grid(spark, rows)
+    out = monthly_anomaly(g, strategy=strategy).df
+    means = out.groupBy(F.month("time"), "lat", "lon").agg(F.avg("v").alias("m")).where("abs(m) > 1e-9")
+    assert means.count() == 0
+    assert out.count() == len(rows)
