@@ -97,11 +97,22 @@ def reducer(name: str, value: str, approx: bool = False) -> Column:
     return F.avg(v)
 
 
+def median_strategy_for(grid: GridTable, requested: str | None, approx: bool = False) -> str:
+    """``auto``: Spark's median on proper grids (a group is bounded by the
+    axes), the sorted skew-safe median on observation tables (a hot cell may
+    hold a large share of all rows)."""
+    if approx:
+        return "approx"
+    if requested in (None, "auto"):
+        return "collect" if grid.unique_cells else "sort"
+    return requested
+
+
 def reduce_dims(grid: GridTable, dims: list[str], how: str = "mean", approx: bool = False,
-                median_strategy: str | None = None) -> GridTable:
+                median_strategy: str | None = "auto") -> GridTable:
     """Aggregate away ``dims``; remaining dims keep their order."""
     keep = [d for d in grid.dims if d not in dims]
-    df = grouped(grid.df, keep, grid.value, how, median_strategy or ("approx" if approx else "collect"))
+    df = grouped(grid.df, keep, grid.value, how, median_strategy_for(grid, median_strategy, approx))
     return grid.with_df(df.select(*keep, grid.value), dims=tuple(keep), aux=(), unique_cells=True)
 
 
@@ -120,25 +131,25 @@ def zonal_mean(grid: GridTable, how: str = "mean") -> GridTable:
 
 
 def climatology(grid: GridTable, how: str = "mean", month_col: str = "month",
-                median_strategy: str = "collect") -> GridTable:
+                median_strategy: str = "auto") -> GridTable:
     """Per calendar month across years; only months present appear; the time
     dim is replaced by ``month`` (placed first, other dims kept)."""
     t = grid.require_time("Climatology")
     others = grid.other_dims(t)
     keyed = grid.df.withColumn(month_col, month_of(t))
-    df = grouped(keyed, [month_col, *others], grid.value, how, median_strategy)
+    df = grouped(keyed, [month_col, *others], grid.value, how, median_strategy_for(grid, median_strategy))
     return grid.with_df(df, dims=(month_col, *others), aux=(), unique_cells=True)
 
 
 def resample(grid: GridTable, rule: str = "QS-DEC", how: str = "mean", fill_empty: bool = False,
-             median_strategy: str = "collect") -> GridTable:
+             median_strategy: str = "auto") -> GridTable:
     """Time bins labelled by their start.  ``fill_empty=True`` also emits bins
     inside the overall span that hold no data (value NULL, or 0 for sum), like
     the array model; the span comes from a scalar subquery."""
     t = grid.require_time("Resample")
     others = grid.other_dims(t)
     binned = grid.df.withColumn(t, bin_start(t, rule))
-    df = grouped(binned, [t, *others], grid.value, how, median_strategy)
+    df = grouped(binned, [t, *others], grid.value, how, median_strategy_for(grid, median_strategy))
     if fill_empty:
         # every bin between the first and last label: a sequence built from
         # two scalar subqueries, exploded per cell (no join of unrelated rows)

@@ -52,20 +52,34 @@ def halo_window(df: DataFrame, partition: list[str], pos: str, width: int, out:
 
 def rolling_mean(grid: GridTable, window: int = 3, bucket: int = 4096) -> GridTable:
     """Trailing mean over ``max(int(window),1)`` time-axis positions per cell,
-    min_periods=1, missing skipped; same cells out as in."""
+    min_periods=1, missing skipped; same rows out as in.
+
+    On an observation table (several rows per cell and position, so one
+    cell can be hot) the rows are first summed and counted per (cell,
+    position); the window runs over those partial sums, one row per
+    position, and the mean is joined back to the rows -- the same value as
+    averaging all rows in the window."""
     t = grid.require_time("Rolling mean")
     w = max(int(window), 1)
     others = grid.other_dims(t)
     axis, n = axis_table(grid.df, t, "__gc_pos")
     cells = grid.df.join(axis, t, "inner")
     value = grid.value
-    out = halo_window(cells, others, "__gc_pos", w, "__gc_roll", lambda win: F.avg(value).over(win), bucket, n)
-    df = out.withColumn(value, F.col("__gc_roll")).select(*grid.df.columns)
-    return grid.with_df(df)
+    if grid.unique_cells:
+        out = halo_window(cells, others, "__gc_pos", w, "__gc_roll", lambda win: F.avg(value).over(win), bucket, n)
+        return grid.with_df(out.withColumn(value, F.col("__gc_roll")).select(*grid.df.columns))
+    parts = cells.groupBy(*others, "__gc_pos").agg(F.sum(value).alias("__gc_s"), F.count(value).alias("__gc_n"))
+    rolled = halo_window(parts, others, "__gc_pos", w, "__gc_S", lambda win: F.sum("__gc_s").over(win), bucket, n)
+    rolled = halo_window(rolled, others, "__gc_pos", w, "__gc_N", lambda win: F.sum("__gc_n").over(win), bucket, n)
+    means = rolled.select(*others, "__gc_pos", F.try_divide(F.col("__gc_S"), F.col("__gc_N")).alias("__gc_roll"))
+    a, b = cells.alias("__a"), means.alias("__b")
+    joined = a.join(b, [F.col(f"__a.{k}").eqNullSafe(F.col(f"__b.{k}")) for k in [*others, "__gc_pos"]], "inner")
+    return grid.with_df(joined.select(*[F.col("__b.__gc_roll").alias(c) if c == value else F.col(f"__a.{c}")
+                                        for c in grid.df.columns]))
 
 
 def monthly_anomaly(grid: GridTable, how: str = "mean", approx: bool = False, strategy: str = "auto",
-                    median_strategy: str = "collect") -> GridTable:
+                    median_strategy: str = "auto") -> GridTable:
     """value minus the per-cell climatology of its calendar month, computed on
     this (already selected) grid.
 
@@ -79,13 +93,13 @@ def monthly_anomaly(grid: GridTable, how: str = "mean", approx: bool = False, st
     t = grid.require_time("Anomaly")
     others = grid.other_dims(t)
     if strategy == "window" or (strategy == "auto" and grid.unique_cells and not approx
-                                and median_strategy == "collect"):
+                                and median_strategy in ("auto", "collect")):
         w = Window.partitionBy(month_of(t), *others)
         base = reducer(how, grid.value).over(w)
         return grid.with_df(grid.df.withColumn(grid.value, F.col(grid.value) - base))
     keyed = grid.df.withColumn("__gc_month", month_of(t))
-    clim = grouped(keyed, ["__gc_month", *others], grid.value, how,
-                   "approx" if approx else median_strategy).withColumnRenamed(grid.value, "__gc_base")
+    strat = "approx" if approx else ("sort" if median_strategy == "auto" else median_strategy)
+    clim = grouped(keyed, ["__gc_month", *others], grid.value, how, strat).withColumnRenamed(grid.value, "__gc_base")
     return grid.with_df(_subtract_baseline(keyed, clim, ["__gc_month", *others], grid))
 
 

@@ -156,3 +156,17 @@ def test_exact_median_hot_group_of_equal_values_spreads(spark):
     df = spark.createDataFrame(rows, "k string, v double").repartition(4)
     got = {r.k: r.v for r in exact_median(df, ["k"], "v", num_partitions=6).collect()}
     assert got == {"hot": 5.0, "cold": 2.0}
+
+
+@pytest.mark.parametrize("bucket", [2, 5, 4096])
+def test_rolling_observations_equal_direct_window(spark, bucket):
+    from pyspark.sql import Window
+    rows = [(dt.datetime(2024, 1, 1 + (i % 9)), "hot" if i % 3 else "cold", float(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, c string, v double")
+    g = GridTable.from_frame(df, ("time", "c"), "v")  # several rows per (time, c)
+    out = windows.rolling_mean(g, 3, bucket=bucket).df
+    pos = df.select("time").distinct().withColumn("p", F.dense_rank().over(Window.orderBy("time")))
+    direct = df.join(pos, "time").withColumn(
+        "v", F.avg("v").over(Window.partitionBy("c").orderBy("p").rangeBetween(-2, 0))).drop("p")
+    assert out.count() == 300
+    assert out.exceptAll(direct.select(*out.columns)).count() == 0
