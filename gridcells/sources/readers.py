@@ -51,18 +51,25 @@ def _format_of(path: str, fmt: str | None) -> str:
     return _FORMATS.get(ext, "parquet")
 
 
-def open_single(spark: SparkSession, uri: str | None, fmt: str | None = None, **load_kwargs) -> DataFrame:
+def open_single(spark: SparkSession, uri: str | None, fmt: str | None = None, schema=None, **load_kwargs) -> DataFrame:
+    """Open one path.  A known ``schema`` (DDL string or StructType) skips
+    schema inference, which otherwise reads file footers (or, for CSV/JSON,
+    scans the data) in an extra job."""
     if not uri:
         raise ValueError("Either a dataset or a uri is required.")
-    return spark.read.format(_format_of(uri, fmt)).options(**load_kwargs).load(uri)
+    reader = spark.read.format(_format_of(uri, fmt)).options(**load_kwargs)
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.load(uri)
 
 
-def open_multi(spark: SparkSession, uri: str | Iterable[str], fmt: str | None = None, **load_kwargs) -> DataFrame:
+def open_multi(spark: SparkSession, uri: str | Iterable[str], fmt: str | None = None, schema=None,
+               **load_kwargs) -> DataFrame:
     """Open every input and stack them by column name (missing columns NULL)."""
     paths = expand_input_uris(uri, spark) if isinstance(uri, str) else list(uri)
     if not paths:
         raise ValueError("No input paths.")
-    frames = [open_single(spark, p, fmt, **load_kwargs) for p in paths]
+    frames = [open_single(spark, p, fmt, schema, **load_kwargs) for p in paths]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
