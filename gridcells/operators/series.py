@@ -2,10 +2,10 @@
 
 A series is a DataFrame ``(time, value)`` with unique times.  The step index
 (0-based position of each point in time order, missing points dropped first)
-comes from the distributed global index, so none of these operators needs a
-window without ``partitionBy``: rolling uses halo buckets over the step index,
-the running sum adds per-bucket offsets computed from bucket totals, and the
-trend is a single regression aggregate.
+comes from ``index_rows``: one window task when the counted series is at most
+2 M points, the distributed global index beyond.  Rolling uses halo buckets
+over the step index, the running sum adds per-bucket offsets computed from
+bucket totals, and the trend is a single regression aggregate.
 """
 
 from __future__ import annotations
