@@ -8,7 +8,7 @@ table (untimed setup, like the reference's data file); each transform query
 reads it and is fully materialised with the ``noop`` sink, so every row of the
 result is computed.  The open queries read the same grid from one file and
 from three files split along time (opened by a glob and stacked by column
-name, like the reference's single- and multi-file opens).  One warm-up pass, then each query is timed three times and the median
+name, like the reference's single- and multi-file opens).  One warm-up pass, then each query is timed five times and the median
 is reported (single runs of sub-second Spark jobs vary by +-30 %).
 
 Prints one JSON line.
@@ -119,7 +119,7 @@ def main() -> None:
             .write.parquet(os.path.join(PARTS_PATH[0], f"part-{i}.parquet"))
     for fn in QUERIES.values():  # warm-up: JIT, codegen caches, file listing
         run(fn(spark))
-    times = {name: _median_time(spark, fn) for name, fn in QUERIES.items()}
+    times = {name: _median_time(spark, fn, runs=5) for name, fn in QUERIES.items()}
     # secondary figures: the same transforms over the grid cached in memory
     CACHED.append(bench_grid(spark).df.cache())
     CACHED[0].count()
