@@ -8,8 +8,10 @@ table (untimed setup, like the reference's data file); each transform query
 reads it and is fully materialised with the ``noop`` sink, so every row of the
 result is computed.  The open queries read the same grid from one file and
 from three files split along time (opened by a glob and stacked by column
-name, like the reference's single- and multi-file opens).  One warm-up pass, then each query is timed five times and the median
-is reported (single runs of sub-second Spark jobs vary by +-30 %).
+name, like the reference's single- and multi-file opens).  One warm-up pass,
+then each query is timed five times and the median is reported (single runs
+of sub-second Spark jobs vary by +-40 % here).  ``in_memory`` repeats the six
+transforms over the grid cached in executor memory (three runs each).
 
 Prints one JSON line.
 """
