@@ -83,3 +83,15 @@ def test_export_roundtrip(spark, synthetic):
     assert back.exceptAll(synthetic.df).count() == 0
     j = sinks.export_json(synthetic.df, scratch_path(spark, "json"))
     assert sinks.read_json(spark, j, synthetic.df.schema).exceptAll(synthetic.df).count() == 0
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "csv", "json"])
+def test_open_formats_by_extension(spark, synthetic, fmt):
+    path = scratch_path(spark, "fmt") + f".{fmt}"
+    w = synthetic.df.write
+    (w.option("header", True) if fmt == "csv" else w).format(fmt).save(path)
+    opts = {"header": "true"} if fmt == "csv" else {}
+    df = readers.open_single(spark, path, schema=synthetic.df.schema, **opts)
+    assert df.exceptAll(synthetic.df).count() == 0 and synthetic.df.exceptAll(df).count() == 0
+    multi = readers.open_multi(spark, f"{path};{path}", schema=synthetic.df.schema, **opts)
+    assert multi.count() == 16
