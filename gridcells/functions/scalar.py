@@ -84,19 +84,21 @@ def to_numeric(c: Column | str) -> Column:
 def typed_literal(value: Any, dtype: T.DataType) -> Column:
     """Literal cast to the column's type, so the column itself is never wrapped
     and the predicate still reaches the Parquet scan.  Date strings are
-    instants: "2013-01" means 2013-01-01T00:00."""
+    instants: "2013-01" means 2013-01-01T00:00.
+
+    Datetime literals are passed as ISO text and cast by Spark: a Python
+    ``datetime`` would be converted with the Python process's zone, which
+    need not be the session's, and shift a ``timestamp_ntz`` bound."""
     if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-        if isinstance(value, str):
-            text = value.strip()
+        if isinstance(value, (_dt.datetime, _dt.date)):
+            text = value.isoformat(sep=" ") if isinstance(value, _dt.datetime) else value.isoformat()
+        else:
+            text = str(value).strip().replace("T", " ")
             if len(text) == 4:
                 text += "-01-01"
             elif len(text) == 7:
                 text += "-01"
-            ts = _dt.datetime.fromisoformat(text.replace("T", " "))
-            value = ts
-        if isinstance(dtype, T.DateType):
-            return F.lit(value).cast("date")
-        return F.lit(value).cast(dtype.simpleString())
+        return F.lit(text).cast(dtype.simpleString())
     return F.lit(value).cast(dtype.simpleString())
 
 

@@ -124,3 +124,15 @@ def test_preview_uses_whole_axes_on_sparse_grids(spark):
                              ("time", "lat"), "v")
     out = preview(g, 2)  # sizes (2, 3): keep 1 day x 2 lat labels {0, 1}
     assert [(r.time.day, r.lat) for r in out.collect()] == [(1, 0.0)]
+
+
+def test_datetime_literals_ignore_session_zone(spark, synthetic):
+    import datetime as dt
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        for bound in ("2024-01-02", dt.datetime(2024, 1, 2)):
+            sel = select.select_grid(synthetic, time=(bound, bound))
+            assert sel.df.count() == 4
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
