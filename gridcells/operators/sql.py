@@ -63,6 +63,9 @@ def sql_execute(spark: SparkSession, tables: GridDataset | dict[str, DataFrame],
         df.createOrReplaceTempView(name)
     conf = {"spark.sql.runSQLOnFiles": "false",
             "spark.sql.ansi.doubleQuotedIdentifiers": "true" if double_quoted_identifiers else "false"}
+    if double_quoted_identifiers:
+        # "x" as an identifier is only honoured in ANSI mode (Spark's default)
+        conf["spark.sql.ansi.enabled"] = "true"
     with _session_conf(spark, **conf):
         text = sql_guard(spark, query)
         df = spark.sql(text)
