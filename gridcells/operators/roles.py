@@ -329,10 +329,12 @@ def table_metadata(spark: SparkSession, dataset: GridDataset) -> DataFrame:
     rows = []
     for name, grid in dataset.variables.items():
         desc = grid.attrs.get("long_name") or name
+        # files behind the table: the opened URIs, else the scan's file list
+        uris = ";".join(dataset.source_uris) or ";".join(sorted(grid.df.inputFiles()))
         for c in (*grid.dims, grid.value):
             cdesc = (grid.coord_attrs.get(c, {}).get("long_name") or f"{c} coordinate") if c != grid.value else desc
             rows.append((name, desc, ",".join(grid.dims), ",".join(grid.dims), ",".join(grid.aux),
-                         dataset.source_mode, ";".join(dataset.source_uris), c, cdesc, grid.dtype(c).simpleString()))
+                         dataset.source_mode, uris, c, cdesc, grid.dtype(c).simpleString()))
     return spark.createDataFrame(rows, "table string, description string, dims string, queryable string, "
                                        "auxiliary string, source_mode string, source_uris string, column string, "
                                        "column_description string, data_type string")

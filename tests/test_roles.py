@@ -58,3 +58,12 @@ def test_table_metadata(spark, synthetic):
     assert rows["temperature"].description == "Air temperature"
     assert rows["lat"].column_description == "Latitude" and rows["lon"].column_description == "lon coordinate"
     assert rows["time"].dims == "time,lat,lon"
+
+
+def test_table_metadata_lists_input_files(spark):
+    from gridcells.model import GridDataset
+    from conftest import SF001
+    from gridcells.plans import grids
+    li = grids.lineitem_grid(spark, SF001)
+    rows = roles.table_metadata(spark, GridDataset({"li": li})).collect()
+    assert rows and all(r.source_uris.endswith("lineitem.parquet") for r in rows)
