@@ -140,58 +140,61 @@ VERTICAL_RULES = [
 RULES = {"time": TIME_RULES, "latitude": LATITUDE_RULES, "longitude": LONGITUDE_RULES, "vertical": VERTICAL_RULES}
 
 
-def _conditions(role: str) -> list[Column]:
-    """Boolean test of each rule of ``role``, in the order of its RULES."""
-    # normalised attribute columns are computed once in ``score_roles``
-    name, std, long_name = F.col("n_name"), F.col("n_std"), F.col("n_long")
-    units, axis, positive = F.col("n_units"), F.col("n_axis"), F.col("n_positive")
-    lo, hi = F.col("lo"), F.col("hi")
+def _in(col: str, values: list[str]) -> str:
+    return f"{col} IN (" + ", ".join(f"'{v}'" for v in values) + ")"
 
-    def within(bounds):
-        a, b = bounds
-        return lo.isNotNull() & hi.isNotNull() & lo.between(a, b) & hi.between(a, b)
 
-    def any_of(col, tokens, test):
-        return F.greatest(*[test(col, t) for t in tokens])
+def _any(fn: str, col: str, tokens: list[str]) -> str:
+    return "(" + " OR ".join(f"{fn}({col}, '{t}')" for t in tokens) + ")"
 
+
+def _within(bounds: tuple[float, float]) -> str:
+    a, b = bounds
+    return f"(lo IS NOT NULL AND hi IS NOT NULL AND lo BETWEEN {a} AND {b} AND hi BETWEEN {a} AND {b})"
+
+
+def _conditions(role: str) -> list[str]:
+    """SQL test of each rule of ``role``, in the order of its RULES, over the
+    normalised profile columns computed in ``score_roles`` (one expression
+    string per rule: parsed once by Spark)."""
     if role == "time":
         return [
-            name.isin(TIME_EXACT_NAMES),
-            std.isin(TIME_STANDARD_NAMES) | std.endswith("_time"),
-            axis == "t",
-            F.col("is_datetime"),
-            F.lower(F.col("units")).contains(" since "),
-            long_name.contains("time") | long_name.contains("date"),
+            _in("n_name", TIME_EXACT_NAMES),
+            f"({_in('n_std', TIME_STANDARD_NAMES)} OR endswith(n_std, '_time'))",
+            "n_axis = 't'",
+            "is_datetime",
+            "contains(lower(units), ' since ')",
+            "(contains(n_long, 'time') OR contains(n_long, 'date'))",
         ]
     if role == "latitude":
         return [
-            name.isin(LATITUDE_EXACT_NAMES),
-            name.contains("lat") & ~name.contains("lon"),
-            std.isin(LATITUDE_STANDARD_NAMES),
-            units.isin(LATITUDE_UNITS),
-            axis == "y",
-            long_name.contains("latitude"),
-            within(LATITUDE_BOUNDS),
+            _in("n_name", LATITUDE_EXACT_NAMES),
+            "(contains(n_name, 'lat') AND NOT contains(n_name, 'lon'))",
+            _in("n_std", LATITUDE_STANDARD_NAMES),
+            _in("n_units", LATITUDE_UNITS),
+            "n_axis = 'y'",
+            "contains(n_long, 'latitude')",
+            _within(LATITUDE_BOUNDS),
         ]
     if role == "longitude":
         return [
-            name.isin(LONGITUDE_EXACT_NAMES),
-            name.contains("lon"),
-            std.isin(LONGITUDE_STANDARD_NAMES),
-            units.isin(LONGITUDE_UNITS),
-            axis == "x",
-            long_name.contains("longitude"),
-            within(LONGITUDE_BOUNDS),
+            _in("n_name", LONGITUDE_EXACT_NAMES),
+            "contains(n_name, 'lon')",
+            _in("n_std", LONGITUDE_STANDARD_NAMES),
+            _in("n_units", LONGITUDE_UNITS),
+            "n_axis = 'x'",
+            "contains(n_long, 'longitude')",
+            _within(LONGITUDE_BOUNDS),
         ]
     return [
-        name.isin(VERTICAL_EXACT_NAMES),
-        any_of(name, VERTICAL_NAME_TOKENS, lambda c, t: c.contains(t)),
-        std.isin(VERTICAL_STANDARD_NAMES) | any_of(std, VERTICAL_STANDARD_SUFFIXES, lambda c, t: c.endswith(t)),
-        axis == "z",
-        positive.isin("up", "down"),
-        units.isin(PRESSURE_UNITS),
-        units.isin(VERTICAL_LENGTH_UNITS),
-        any_of(long_name, VERTICAL_LONG_NAME_TOKENS, lambda c, t: c.contains(t)),
+        _in("n_name", VERTICAL_EXACT_NAMES),
+        _any("contains", "n_name", VERTICAL_NAME_TOKENS),
+        f"({_in('n_std', VERTICAL_STANDARD_NAMES)} OR {_any('endswith', 'n_std', VERTICAL_STANDARD_SUFFIXES)})",
+        "n_axis = 'z'",
+        _in("n_positive", ["up", "down"]),
+        _in("n_units", PRESSURE_UNITS),
+        _in("n_units", VERTICAL_LENGTH_UNITS),
+        _any("contains", "n_long", VERTICAL_LONG_NAME_TOKENS),
     ]
 
 
@@ -199,8 +202,9 @@ def _role_terms(role: str) -> list[tuple[Column, Column]]:
     """(points, reason-or-NULL) per rule of ``role``."""
     out = []
     for cond, (points, reason) in zip(_conditions(role), RULES[role]):
-        cond = F.coalesce(cond, F.lit(False))
-        out.append((F.when(cond, F.lit(points)).otherwise(F.lit(0)), F.when(cond, F.lit(reason))))
+        ok = f"coalesce({cond}, false)"
+        text = reason.replace("'", "''")
+        out.append((F.expr(f"CASE WHEN {ok} THEN {points} ELSE 0 END"), F.expr(f"CASE WHEN {ok} THEN '{text}' END")))
     return out
 
 
@@ -226,15 +230,16 @@ def score_roles(profile: DataFrame) -> DataFrame:
     scores = F.array(*[F.struct(F.col(f"{r}_score").alias("s"), F.lit(-i).alias("o"), F.lit(r).alias("role"))
                        for i, r in enumerate(ROLE_ORDER)])
     top = F.array_max(scores)
-    best = scored.withColumn("__top", top)
+    best = scored.select("*", top.alias("__top"))
     reasons = F.col("time_reasons")
     for r in ROLE_ORDER[1:]:
         reasons = F.when(F.col("__top.role") == r, F.col(f"{r}_reasons")).otherwise(reasons)
-    return (best.withColumn("best_score", F.col("__top.s"))
-            .withColumn("best_role", F.when(F.col("__top.s") >= MIN_ROLE_SCORE, F.col("__top.role")))
-            .withColumn("best_reasons", reasons)
-            .withColumn("confidence", _confidence(F.col("__top.s")))
-            .drop("__top"))
+    return best.select(
+        *scored.columns,
+        F.col("__top.s").alias("best_score"),
+        F.when(F.col("__top.s") >= MIN_ROLE_SCORE, F.col("__top.role")).alias("best_role"),
+        reasons.alias("best_reasons"),
+        _confidence(F.col("__top.s")).alias("confidence"))
 
 
 def assign_roles(scored: DataFrame) -> DataFrame:
