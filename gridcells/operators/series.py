@@ -25,9 +25,11 @@ def with_time_step(series: DataFrame, time: str, value: str, local_max: int | No
     return index_rows(clean, [time], STEP, local_max)[0]
 
 
-def series_rolling(indexed: DataFrame, value: str, window: int, out: str = "rolling", bucket: int = 4096) -> DataFrame:
-    """Trailing mean over the last ``window`` points (W2)."""
-    return halo_window(indexed, [], STEP, max(int(window), 1), out, lambda w: F.avg(value).over(w), bucket)
+def series_rolling(indexed: DataFrame, value: str, window: int, out: str = "rolling", bucket: int = 4096,
+                   points: int | None = None) -> DataFrame:
+    """Trailing mean over the last ``window`` points (W2).  With the number of
+    ``points`` known and at most one bucket, no halo copies are made."""
+    return halo_window(indexed, [], STEP, max(int(window), 1), out, lambda w: F.avg(value).over(w), bucket, points)
 
 
 def cumulative(indexed: DataFrame, value: str, out: str = "cumulative", bucket: int = 4096) -> DataFrame:
@@ -102,9 +104,9 @@ def time_analysis(grid, how: str = "mean", mode: str = "raw", window: int = 3, r
         raise ValueError(f"unknown time mode {mode!r}")
     t = grid.require_time("Time analysis")
     raw = series_reduce(grid, how).select(F.col(t).alias("time"), F.col(grid.value).alias("raw"))
-    idx = with_time_step(raw, "time", "raw")
+    idx, points = index_rows(raw.where(F.col("raw").isNotNull()), ["time"], STEP)
     if mode == "rolling mean":
-        frame = series_rolling(idx, "raw", window, out="value")
+        frame = series_rolling(idx, "raw", window, out="value", points=points)
     elif mode == "anomaly":
         frame = series_anomaly(idx, "raw", out="value")
     elif mode == "cumulative":

@@ -26,18 +26,24 @@ _BUCKET = "__gc_bucket"
 _HALO = "__gc_halo"
 
 
-def halo_window(df: DataFrame, partition: list[str], pos: str, width: int, out: str, agg, bucket: int = 4096,
+def halo_window(df: DataFrame, partition: list[str], pos: str, width: int, out, agg, bucket: int = 4096,
                 axis_length: int | None = None) -> DataFrame:
-    """``agg`` (a function Column->Column) over the trailing ``width`` positions
-    ending at each row, within ``partition``; rows keep their columns.  When
-    the whole axis fits in one bucket (``axis_length <= bucket``) the window
-    runs per partition directly."""
+    """``agg`` (a function Column->Column, or a list of them with a list of
+    ``out`` names) over the trailing ``width`` positions ending at each row,
+    within ``partition``; rows keep their columns.  When the whole axis fits
+    in one bucket (``axis_length <= bucket``) the window runs per partition
+    directly."""
+    outs = [out] if isinstance(out, str) else list(out)
+    aggs = [agg] if callable(agg) else list(agg)
     width = max(int(width), 1)
     bucket = max(int(bucket), width - 1, 1)
+
+    def apply(frame: DataFrame, w) -> DataFrame:
+        return frame.select("*", *[a(w).alias(o) for o, a in zip(outs, aggs)])
+
     if axis_length is not None and axis_length <= bucket:
-        w = Window.partitionBy(*partition).orderBy(pos).rangeBetween(-(width - 1), 0) if partition else \
-            Window.partitionBy(F.lit(0)).orderBy(pos).rangeBetween(-(width - 1), 0)
-        return df.withColumn(out, agg(w))
+        keys = partition if partition else [F.lit(0)]
+        return apply(df, Window.partitionBy(*keys).orderBy(pos).rangeBetween(-(width - 1), 0))
     base = df.withColumn(_BUCKET, F.floor(F.col(pos) / bucket).cast("long"))
     if width > 1:
         in_tail = (F.col(pos) - F.col(_BUCKET) * bucket) >= bucket - (width - 1)
@@ -47,7 +53,7 @@ def halo_window(df: DataFrame, partition: list[str], pos: str, width: int, out:
     else:
         base = base.withColumn(_HALO, F.lit(False))
     w = Window.partitionBy(*partition, _BUCKET).orderBy(pos).rangeBetween(-(width - 1), 0)
-    return base.withColumn(out, agg(w)).where(~F.col(_HALO)).drop(_BUCKET, _HALO)
+    return apply(base, w).where(~F.col(_HALO)).drop(_BUCKET, _HALO)
 
 
 def rolling_mean(grid: GridTable, window: int = 3, bucket: int = 4096) -> GridTable:
@@ -68,10 +74,12 @@ def rolling_mean(grid: GridTable, window: int = 3, bucket: int = 4096) -> GridTa
     if grid.unique_cells:
         out = halo_window(cells, others, "__gc_pos", w, "__gc_roll", lambda win: F.avg(value).over(win), bucket, n)
         return grid.with_df(out.withColumn(value, F.col("__gc_roll")).select(*grid.df.columns))
-    parts = cells.groupBy(*others, "__gc_pos").agg(F.sum(value).alias("__gc_s"), F.count(value).alias("__gc_n"))
-    rolled = halo_window(parts, others, "__gc_pos", w, "__gc_S", lambda win: F.sum("__gc_s").over(win), bucket, n)
-    rolled = halo_window(rolled, others, "__gc_pos", w, "__gc_N", lambda win: F.sum("__gc_n").over(win), bucket, n)
-    means = rolled.select(*others, "__gc_pos", F.try_divide(F.col("__gc_S"), F.col("__gc_N")).alias("__gc_roll"))
+    parts = cells.groupBy(*others, "__gc_pos").agg(F.sum(value).alias("__gc_psum"), F.count(value).alias("__gc_pcnt"))
+    rolled = halo_window(parts, others, "__gc_pos", w, ["__gc_wsum", "__gc_wcnt"],
+                         [lambda win: F.sum("__gc_psum").over(win), lambda win: F.sum("__gc_pcnt").over(win)],
+                         bucket, n)
+    means = rolled.select(*others, "__gc_pos",
+                          F.try_divide(F.col("__gc_wsum"), F.col("__gc_wcnt")).alias("__gc_roll"))
     a, b = cells.alias("__a"), means.alias("__b")
     joined = a.join(b, [F.col(f"__a.{k}").eqNullSafe(F.col(f"__b.{k}")) for k in [*others, "__gc_pos"]], "inner")
     return grid.with_df(joined.select(*[F.col("__b.__gc_roll").alias(c) if c == value else F.col(f"__a.{c}")
