@@ -52,7 +52,9 @@ def preview(grid: GridTable, limit: int = 250) -> DataFrame:
 
 
 def head(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    return df.orderBy(*keys).limit(n)
+    """First ``n`` rows in key order; the remaining columns break ties, so the
+    cut is deterministic even when keys repeat (a fan-out join)."""
+    return df.orderBy(*keys, *[c for c in df.columns if c not in keys]).limit(n)
 
 
 def sort(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
