@@ -102,11 +102,20 @@ def typed_literal(value: Any, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype.simpleString())
 
 
-def format_scalar(c: Column | str) -> Column:
-    """Report text of a value: NULL -> "n/a", doubles with 4 decimals, other
-    values as their text."""
+def format_scalar(c: Column | str, dtype: T.DataType | None = None) -> Column:
+    """Report text of a value: NULL -> "n/a", floating numbers with 4
+    decimals, datetimes in ISO form (fraction only when non-zero), anything
+    else as its text."""
     c = _c(c)
-    return F.coalesce(c.cast("string"), F.lit("n/a"))
+    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
+        text = F.format_string("%.4f", c.cast("double"))
+    elif isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
+        whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        text = F.when(F.date_format(c, "SSSSSS") == "000000", whole).otherwise(
+            F.concat(whole, F.lit("."), F.date_format(c, "SSSSSS")))
+    else:
+        text = c.cast("string")
+    return F.when(c.isNull(), F.lit("n/a")).otherwise(text)
 
 
 def format_number(c: Column | str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcells.functions.scalar import nan_to_null, stable_round
+from gridcells.functions.scalar import format_scalar, nan_to_null, stable_round
 from gridcells.model import GridTable
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -113,10 +113,12 @@ def _modes(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
 
 def coverage(selection: DataFrame, full: DataFrame, dims: list[str], approx: bool = False) -> DataFrame:
     """Per dim: labels present in the selection vs on the whole axis, the
-    percentage (1 decimal) and the selection's min/max as text."""
+    percentage (1 decimal) and the selection's min/max as report text
+    ("n/a" when the selection is empty)."""
     sel = selection.agg(*[x for i, d in enumerate(dims) for x in (
-        _distinct(d, approx).alias(f"s{i}"), F.min(d).cast("string").alias(f"lo{i}"),
-        F.max(d).cast("string").alias(f"hi{i}"))])
+        _distinct(d, approx).alias(f"s{i}"),
+        format_scalar(F.min(d), selection.schema[d].dataType).alias(f"lo{i}"),
+        format_scalar(F.max(d), selection.schema[d].dataType).alias(f"hi{i}"))])
     tot = full.agg(*[_distinct(d, approx).alias(f"t{i}") for i, d in enumerate(dims)])
     wide = attach_scalars(sel, tot)
     structs = []

@@ -121,3 +121,11 @@ def test_approx_distinct_options(spark, synthetic):
     cov = profile.coverage(synthetic.df, synthetic.df, list(synthetic.dims), approx=True).collect()
     assert all(r.selected_pct == 100.0 for r in cov)
     assert profile.query_cost(synthetic, synthetic, approx=True).collect()[0].full_rows == 8
+
+
+def test_coverage_text_matches_report_format(synthetic):
+    rows = {r.dimension: r for r in profile.coverage(synthetic.df, synthetic.df, list(synthetic.dims)).collect()}
+    assert (rows["lat"].min, rows["lat"].max) == ("10.0000", "20.0000")
+    assert rows["time"].min == "2024-01-01T00:00:00"
+    empty = profile.coverage(synthetic.df.limit(0), synthetic.df, list(synthetic.dims)).collect()
+    assert all(r.min == "n/a" and r.selected_unique == 0 for r in empty)
