@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcells.llm.common import read_table
+from gridcells.llm.decontaminate import find_passages
 from gridcells.llm.substring_dedup import remove_repeated_passages
 
 
@@ -14,7 +15,16 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, h: n + h["end"] - h["start"])
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+                      F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                      (F.size("hits") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_substring_dedup": substring_dedup,
+    "op9_decontaminate": decontaminate,
 }
 ORACLE: dict[str, str] = {}

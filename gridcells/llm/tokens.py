@@ -16,6 +16,7 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C13)          # odd, 3 modulo 8
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 LONG_WORD = 64                          # bytes; longer words are hashed one by one
+SLICE = 1 << 19
 
 #: [^\x20\x09-\x0D]+
 SPACED = np.ones(256, bool)
@@ -46,15 +47,19 @@ def inverse(base: U64) -> U64:
     return U64(pow(int(base), -1, 1 << 64))
 
 
+UP, DOWN = powers(BASE, SLICE + LONG_WORD + 1), powers(inverse(BASE), SLICE + LONG_WORD + 1)
+
+
 @dataclass
 class Words:
-    """Words of a column of texts: byte range [start, end) in ``data``, text number, and the
-    number of the first word of each text (``first`` has one entry more than texts)."""
+    """Words of a column of texts: byte range [start, end) in ``data``, and for each text its first
+    byte and the number of its first word (``offsets`` and ``first`` have one entry more than texts)."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    offsets: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -65,14 +70,19 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of every word (polynomial over byte values, then mixed)."""
-        if not len(self.start):
-            return np.zeros(0, U64)
-        n = len(self.data)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(BYTE_VALUE[self.data] * powers(BASE, n), out=sums[1:])
-        out = mix((sums[self.end] - sums[self.start]) * powers(inverse(BASE), n)[self.start]
-                  + (self.end - self.start).astype(U64))
-        for i in np.flatnonzero(self.end - self.start > LONG_WORD):
+        out = np.zeros(len(self.start), U64)
+        size = self.end - self.start
+        long = size > LONG_WORD
+        at = 0
+        while at < len(out):                         # a slice of bytes at a time keeps memory small
+            to = max(at + 1, int(np.searchsorted(self.start, self.start[at] + SLICE)))
+            a, b = self.start[at], min(self.end[to - 1], self.start[to - 1] + LONG_WORD)
+            sums = np.zeros(b - a + 1, U64)
+            np.cumsum(BYTE_VALUE[self.data[a:b]] * UP[:b - a], out=sums[1:])
+            start, end = self.start[at:to] - a, np.minimum(self.end[at:to] - a, b - a)
+            out[at:to] = mix((sums[end] - sums[start]) * DOWN[start] + size[at:to].astype(U64))
+            at = to
+        for i in np.flatnonzero(long):
             out[i] = xxhash.xxh64_intdigest(self.data[self.start[i]:self.end[i]].tobytes(), seed=1)
         return out
 
@@ -108,7 +118,7 @@ def words_of(column: pa.Array | pa.ChunkedArray, in_word: np.ndarray = SPACED, l
     opens[edges] = inside[edges]
     closes[edges - 1] = inside[edges - 1]
     start = np.flatnonzero(opens)
-    return Words(data, start, np.flatnonzero(closes) + 1, np.searchsorted(start, offsets))
+    return Words(data, start, np.flatnonzero(closes) + 1, np.searchsorted(start, offsets), offsets)
 
 
 def window_hashes(hashes: np.ndarray, width: int, base: U64 = BASE) -> np.ndarray:
