@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridcells.llm.common import read_table
 from gridcells.llm.decontaminate import find_passages
+from gridcells.llm.simhash import near_duplicates
 from gridcells.llm.substring_dedup import remove_repeated_passages
 
 
@@ -23,8 +24,14 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.size("hits") > 0).alias("contaminated"))
 
 
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_substring_dedup": substring_dedup,
+    "op3_simhash_near_dedup": simhash_near_dedup,
     "op9_decontaminate": decontaminate,
 }
 ORACLE: dict[str, str] = {}
