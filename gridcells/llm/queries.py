@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcells.llm.common import read_table
+from gridcells.llm import bpe
+from gridcells.llm.common import read_table, scratch_path
 from gridcells.llm.decontaminate import find_passages
 from gridcells.llm.simhash import near_duplicates
 from gridcells.llm.substring_dedup import remove_repeated_passages
+from gridcells.llm.warc import read_archives, write_archives
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +33,24 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    write_archives(read_table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    how = tokenizers.path(RANKS), tokenizers.PATTERN
+    return bpe.digests(bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), *how), *how))
+
+
 QUERIES = {
     "op1_substring_dedup": substring_dedup,
+    "op2_warc_bundles": warc_bundles,
     "op3_simhash_near_dedup": simhash_near_dedup,
+    "op7_byte_bpe": byte_bpe,
     "op9_decontaminate": decontaminate,
 }
 ORACLE: dict[str, str] = {}
