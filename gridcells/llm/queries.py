@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcells.llm import bpe
+from gridcells.llm import bpe, sql
 from gridcells.llm.common import read_table, scratch_path
 from gridcells.llm.decontaminate import find_passages
+from gridcells.llm.quality_rules import quality_rules
 from gridcells.llm.simhash import near_duplicates
 from gridcells.llm.substring_dedup import remove_repeated_passages
 from gridcells.llm.warc import read_archives, write_archives
@@ -39,6 +40,11 @@ def warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -50,7 +56,13 @@ QUERIES = {
     "op1_substring_dedup": substring_dedup,
     "op2_warc_bundles": warc_bundles,
     "op3_simhash_near_dedup": simhash_near_dedup,
+    "op5_quality_rules": line_quality,
     "op7_byte_bpe": byte_bpe,
     "op9_decontaminate": decontaminate,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op2_warc_bundles": sql.WARC,
+    "op5_quality_rules": sql.QUALITY,
+    "op9_decontaminate": sql.DECONTAMINATE,
+}
