@@ -18,18 +18,20 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcells.llm.common import texts
 
+TEXTS = 1 << 22                          # characters encoded at a time
 PAIRS = 400_000                          # remembered pairs and matches a worker; beyond that both begin anew
 MATCHES = 400_000
 
@@ -54,10 +56,16 @@ class Vocabulary:
             # the tokens at the token's right and left edge while it grows, from a byte to itself
             self.right[rank] = [*(self.right.get(parts[-1], [parts[-1]]) if len(token) > 1 else ()), rank]
             self.left[rank] = [*(self.left.get(parts[0], [parts[0]]) if len(token) > 1 else ()), rank]
-        self.suffixes = ahocorasick.Automaton()
+        self.sizes = [len(t) for t in self.tokens]
+        # tokens read backwards as a tree: (node << 8 | byte) -> node, and the token of a node
+        self.back, self.at_node = {}, [-1]
         for token, rank in self.reached.items():
-            self.suffixes.add_word(token.decode("latin-1"), (len(token), rank))
-        self.suffixes.make_automaton()
+            node = 0
+            for byte in reversed(token):
+                node = self.back.setdefault(node << 8 | byte, len(self.at_node))
+                if node == len(self.at_node):
+                    self.at_node.append(-1)
+            self.at_node[node] = rank
         self.pairs: dict[tuple[int, int], bool] = {}
         self.matches: dict[str, bytes] = {}
 
@@ -100,38 +108,50 @@ class Vocabulary:
             else:
                 j += 1
 
-    def last_tokens(self, data: bytes, last: list[int]) -> Iterator[int]:
-        """The last token of ``data[:end]`` for each end from ``len(last)`` on, given those before,
-        to which the caller adds each before the next.  An automaton over all tokens
-        names those that end at a place, the longest first."""
-        origin = max(0, len(last) - self.longest)
+    def last_token(self, data: bytes, end: int, last: list[int]) -> int:
+        """The last token of ``data[:end]``, given those of all shorter prefixes."""
+        back, at_node, ending = self.back, self.at_node, []
+        node, start = 0, end
+        while start and (node := back.get(node << 8 | data[start - 1])) is not None:
+            start -= 1
+            if (token := at_node[node]) >= 0:
+                ending.append((start, token))
         pairs, valid = self.pairs, self.valid
-        for at, (size, token) in self.suffixes.iter(data[origin:].decode("latin-1")):
-            start = origin + at + 1 - size
-            if start + size != len(last):
-                continue                     # found already, or before the first end asked for
-            if not start or ((known := pairs.get((last[start], token))) is None and valid(last[start], token)) or known:
-                yield token
-
-    def encode_match(self, match: str) -> bytes:
-        """Ids of one match of the split pattern, as 32-bit numbers."""
-        data = match.encode()
-        whole = self.ranks.get(data)
-        ids = [whole] if whole is not None else Prefixes(self, data).ids()
-        if len(self.matches) >= MATCHES:
+        for start, token in reversed(ending):
+            if not start:
+                return token
+            known = pairs.get((last[start], token))
+            if known or known is None and valid(last[start], token):
+                return token
+        raise ValueError("the rank file lacks a byte")
+
+    def learn(self, matches: set[str]) -> dict[str, bytes]:
+        """Ids, as 32-bit numbers, of matches that are not known yet.  In sorted order each shares a
+        prefix with the one before, whose entries are kept."""
+        out, table = {}, Prefixes(self)
+        for data in sorted(m.encode() for m in matches):
+            whole = self.ranks.get(data)
+            if whole is None:
+                table.become(data)
+            out[data.decode()] = array("i", (whole,) if whole is not None else table.ids()).tobytes()
+        if len(self.matches) + len(out) > MATCHES:
             self.matches.clear()
-        if len(data) <= 64:
-            self.matches[match] = np.array(ids, np.int32).tobytes()
-            return self.matches[match]
-        return np.array(ids, np.int32).tobytes()
+        self.matches.update((m, ids) for m, ids in out.items() if len(m) <= 64)
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        cut = [self.split.findall(t) for t in texts]
+        seen = set().union(*cut)
+        known = {m: self.matches[m] for m in seen & self.matches.keys()}
+        known.update(self.learn(seen - known.keys()))
+        return [np.frombuffer(b"".join(map(known.__getitem__, x)), np.int32) for x in cut]
 
     def encode(self, text: str) -> np.ndarray:
-        known, encode = self.matches.get, self.encode_match
-        return np.frombuffer(b"".join([known(m) or encode(m) for m in self.split.findall(text)]), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 class Prefixes:
@@ -143,8 +163,20 @@ class Prefixes:
 
     def append(self, data: bytes) -> None:
         self.data += data
-        for token in self.vocabulary.last_tokens(self.data, self.last):
-            self.last.append(token)
+        last, find, whole = self.last, self.vocabulary.last_token, self.data
+        for end in range(len(last), len(whole) + 1):
+            last.append(find(whole, end, last))
+
+    def become(self, data: bytes) -> None:
+        """Another string; the entries of the common prefix stay."""
+        same, old = 0, self.data
+        for a, b in zip(old, data, strict=False):
+            if a != b:
+                break
+            same += 1
+        del self.last[same + 1:]
+        self.data = old[:same]
+        self.append(data[same:])
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Put ``new`` in place of ``[start, end)``; returns how many entries were computed."""
@@ -152,11 +184,11 @@ class Prefixes:
         self.data = self.data[:start] + new + self.data[end:]
         self.last = old[:start + 1]
         same = computed = 0
-        for token in self.vocabulary.last_tokens(self.data, self.last):
+        while len(self.last) <= len(self.data):
             at = len(self.last)
-            self.last.append(token)
+            self.last.append(self.vocabulary.last_token(self.data, at, self.last))
             computed += 1
-            same = same + 1 if at > start + len(new) and old[at - shift] == token else 0
+            same = same + 1 if at > start + len(new) and old[at - shift] == self.last[at] else 0
             if same >= self.vocabulary.longest:
                 self.last += old[at + 1 - shift:]
                 break
@@ -164,10 +196,10 @@ class Prefixes:
 
     def ids(self, end: int | None = None) -> list[int]:
         """Encoding of the whole string or of its first ``end`` bytes."""
-        at, out = len(self.data) if end is None else end, []
+        at, out, last, sizes = len(self.data) if end is None else end, [], self.last, self.vocabulary.sizes
         while at:
-            out.append(self.last[at])
-            at -= len(self.vocabulary.tokens[self.last[at]])
+            out.append(last[at])
+            at -= sizes[last[at]]
         return out[::-1]
 
 
@@ -181,14 +213,21 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(ranks, pattern)
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``TEXTS`` bytes of text at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // TEXTS)) + 1):
+        if len(rows):
+            yield batch.slice(rows[0], len(rows))
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids``.  ``path`` is a rank file that every executor has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                ids = [words.encode(t.as_py() or "") for t in part.column("text")]
+            for part in parts(batch):
+                ids = words.encode_all([t or "" for t in part.column("text").to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"),
                                                   "ids": pa.ListArray.from_arrays(offsets, np.concatenate(ids))})
@@ -202,8 +241,11 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                raw = [words.decode(x.values.to_pylist() if x.is_valid else ()) for x in part.column("ids")]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": part.column("ids"),
+                column = part.column("ids")
+                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                ids, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.concatenate([[0], np.cumsum(sizes)]).tolist()
+                raw = [words.decode(ids[a:b]) for a, b in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": column,
                                                   "decoded": pa.array(raw, pa.binary())})
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
 
