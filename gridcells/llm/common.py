@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridcells.session import checkpoint_dir, scratch_path
 
-__all__ = ["block_count", "checkpoint_dir", "cut", "read_table", "scratch_path", "share_code", "text_bytes", "texts"]
+__all__ = ["block_count", "checkpoint_dir", "cut", "let", "read_table", "scratch_path", "share_code", "text_bytes", "text_key", "texts"]
 
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -46,6 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it.  (Columns of
+    an earlier projection would be put in place of their names when a filter is pushed down.)"""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 

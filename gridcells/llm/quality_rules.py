@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcells.llm.common import texts
+from gridcells.llm.common import let, texts
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -38,12 +38,6 @@ def count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it.  (Columns of
-    an earlier projection would be put in place of their names when a filter is pushed down.)"""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def window_keys(words: Column) -> Column:
     """Hashes of all 3-word windows."""
     n = F.size(words)

@@ -9,6 +9,7 @@ from gridcells.llm import bpe, sql
 from gridcells.llm.common import read_table, scratch_path
 from gridcells.llm.decontaminate import find_passages
 from gridcells.llm.quality_rules import quality_rules
+from gridcells.llm.secret_scan import find_secrets, joined
 from gridcells.llm.simhash import near_duplicates
 from gridcells.llm.substring_dedup import remove_repeated_passages
 from gridcells.llm.warc import read_archives, write_archives
@@ -45,6 +46,14 @@ def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_secrets(read_table(spark, sf_dir, "documents"))
+    count = {k: F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint") for k in ("assign", "access", "hex")}
+    return out.select("doc_id", *(n.alias(f"n_{k}") for k, n in count.items()),
+                      F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "model")), 256).alias("base_sha256"),
+                      joined(F.col("spans")).alias("spans"))
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -57,6 +66,7 @@ QUERIES = {
     "op2_warc_bundles": warc_bundles,
     "op3_simhash_near_dedup": simhash_near_dedup,
     "op5_quality_rules": line_quality,
+    "op6_secret_scan": secret_scan,
     "op7_byte_bpe": byte_bpe,
     "op9_decontaminate": decontaminate,
 }
