@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcells.llm import bpe, sql
+from gridcells.llm import bpe, pii, sql
 from gridcells.llm.common import read_table, scratch_path
 from gridcells.llm.decontaminate import find_passages
 from gridcells.llm.quality_rules import quality_rules
@@ -17,6 +17,10 @@ from gridcells.llm.warc import read_archives, write_archives
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def n_spans(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_passages(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -48,8 +52,7 @@ def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_secrets(read_table(spark, sf_dir, "documents"))
-    count = {k: F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint") for k in ("assign", "access", "hex")}
-    return out.select("doc_id", *(n.alias(f"n_{k}") for k, n in count.items()),
+    return out.select("doc_id", *map(n_spans, ("assign", "access", "hex")),
                       F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "model")), 256).alias("base_sha256"),
                       joined(F.col("spans")).alias("spans"))
 
@@ -61,6 +64,13 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), *how), *how))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *map(n_spans, pii.KINDS[:4]),
+                      F.sha2(pii.joined(F.filter("spans", lambda s: s["kind"] != pii.KINDS[4])), 256).alias("base_sha256"),
+                      pii.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_substring_dedup": substring_dedup,
     "op2_warc_bundles": warc_bundles,
@@ -68,6 +78,7 @@ QUERIES = {
     "op5_quality_rules": line_quality,
     "op6_secret_scan": secret_scan,
     "op7_byte_bpe": byte_bpe,
+    "op8_personal_data": personal_data,
     "op9_decontaminate": decontaminate,
 }
 ORACLE: dict[str, str] = {
