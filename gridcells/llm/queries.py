@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridcells.llm import bpe, pii, sql
 from gridcells.llm.common import read_table, scratch_path
 from gridcells.llm.decontaminate import find_passages
+from gridcells.llm.quality_classifier import score_quality
 from gridcells.llm.quality_rules import quality_rules
 from gridcells.llm.secret_scan import find_secrets, joined
 from gridcells.llm.simhash import near_duplicates
@@ -71,6 +72,10 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                       pii.joined(F.col("spans")).alias("spans"))
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_substring_dedup": substring_dedup,
     "op2_warc_bundles": warc_bundles,
@@ -80,6 +85,7 @@ QUERIES = {
     "op7_byte_bpe": byte_bpe,
     "op8_personal_data": personal_data,
     "op9_decontaminate": decontaminate,
+    "op10_quality_classifier": quality_classifier,
 }
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": sql.SUBSTRING_DEDUP,
