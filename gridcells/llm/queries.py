@@ -13,6 +13,7 @@ from gridcells.llm.quality_rules import quality_rules
 from gridcells.llm.secret_scan import find_secrets, joined
 from gridcells.llm.simhash import near_duplicates
 from gridcells.llm.substring_dedup import remove_repeated_passages
+from gridcells.llm.url_filters import judge_captures, page_captures, page_list_events
 from gridcells.llm.warc import read_archives, write_archives
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -76,10 +77,17 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    out = judge_captures(page_captures(pages), page_list_events(pages))
+    return out.select(F.col("id").alias("page_id"), "host", "verdict", "pattern", "list_name", "listed_since", "n_active")
+
+
 QUERIES = {
     "op1_substring_dedup": substring_dedup,
     "op2_warc_bundles": warc_bundles,
     "op3_simhash_near_dedup": simhash_near_dedup,
+    "op4_url_filters": url_filters,
     "op5_quality_rules": line_quality,
     "op6_secret_scan": secret_scan,
     "op7_byte_bpe": byte_bpe,
@@ -90,6 +98,7 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": sql.SUBSTRING_DEDUP,
     "op2_warc_bundles": sql.WARC,
+    "op4_url_filters": sql.URL_FILTERS,
     "op5_quality_rules": sql.QUALITY,
     "op9_decontaminate": sql.DECONTAMINATE,
 }

@@ -70,3 +70,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
+
+URL_FILTERS = r"""
+WITH p AS (SELECT page_id, url, DATE '2021-01-01' + ((page_id * 7919) % 1100)::INTEGER AS fetched_on,
+             regexp_replace(lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1), '')), '\.$', '') AS host,
+             [x FOR x IN string_split(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') IF x <> ''] AS seg
+           FROM pages),
+h AS (SELECT host, seg[1] AS first, string_split(host, '.') AS l FROM p WHERE host <> ''),
+k AS (SELECT DISTINCT unnest([host, array_to_string(l[greatest(len(l) - 1, 1):], '.'), concat_ws('/', host, first)]) AS pattern FROM h),
+e AS (SELECT pattern, list_name, blocks, i,
+        DATE '2021-01-01' + (('0x' || substr(md5(pattern || list_name || i), 1, 7))::BIGINT % 250 + 250 * i)::INTEGER AS day
+      FROM k, (VALUES ('spam', true), ('trusted', false)) v(list_name, blocks), range(4) r(i)
+      WHERE ('0x' || substr(md5(pattern || list_name || 'x'), 1, 7))::BIGINT % 3 = 0),
+d AS (SELECT pattern, list_name, blocks, day, bool_and(i % 2 = 0) AS adds FROM e GROUP BY ALL),
+v AS (SELECT pattern, list_name, blocks, day AS valid_from, adds,
+        lead(day) OVER (PARTITION BY pattern, list_name, blocks ORDER BY day) AS valid_to FROM d),
+c AS (SELECT page_id, url, fetched_on, host, unnest(
+        [array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)]
+        || [host || '/' || array_to_string(seg[1:i], '/') FOR i IN range(1, len(seg) + 1)]) AS pattern FROM p WHERE host <> ''),
+m AS (SELECT c.page_id, c.url, c.fetched_on, v.* FROM c JOIN v ON v.pattern = c.pattern AND v.adds
+        AND c.fetched_on >= v.valid_from AND (v.valid_to IS NULL OR c.fetched_on < v.valid_to)),
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY length(pattern) DESC, blocks DESC, list_name DESC, pattern DESC, valid_from DESC) AS n,
+        count(*) OVER (PARTITION BY page_id, url) AS n_active FROM m)
+SELECT p.page_id, p.host, CASE WHEN b.pattern IS NULL THEN 'none' WHEN b.blocks THEN 'block' ELSE 'allow' END AS verdict,
+       b.pattern, b.list_name, b.valid_from::DATE AS listed_since, coalesce(b.n_active, 0)::BIGINT AS n_active
+FROM p LEFT JOIN b ON b.page_id = p.page_id AND b.url = p.url AND b.n = 1
+"""
