@@ -1,12 +1,58 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
+
+1. quality rules: rejected documents go, and failing lines go from the others;
+2. SimHash near-dedup: of each group the document with the smallest id stays;
+3. benchmark decontamination: benchmark passages are cut out of the texts;
+4. secret scans: found secrets are replaced by a mark;
+5. byte-level BPE: texts become token ids, which are decoded again to check them.
+
+All stages but the last return the columns of their input (``n_chars`` follows a changed text).
+A null or empty text is rejected by the first stage, so later stages meet none from here; each of them
+takes them all the same.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridcells.llm import bpe
 from gridcells.llm.common import read_table, scratch_path
+from gridcells.llm.decontaminate import remove_passages
+from gridcells.llm.quality_rules import keep_good
+from gridcells.llm.secret_scan import redact
+from gridcells.llm.simhash import keep_one
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs, shingle=3, max_bits=2)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return remove_passages(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids``, and the digest of the decoded bytes."""
+    out = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality rules", quality), ("simhash near-dedup", near_dedup), ("benchmark decontamination", decontaminate),
+          ("secret scans", secrets), ("byte-level bpe", tokens)]
 
-STAGES: list = []
+#: Fingerprints, the character models and BPE are beyond SQL; tests/llm/test_pipeline.py has a plain version.
 ORACLE_SQL = None
 
 

@@ -27,12 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gridcells.llm.common import cut, text_bytes, texts
+from gridcells.llm.common import cut, share_code, text_bytes, texts
 from gridcells.llm.fm_index import FMIndex
 from gridcells.llm.tokens import ALNUM, Words, words_of
 
-FOUND = "n_words bigint, hits array<struct<start:int,end:int>>, items array<string>"
 GAP = 1                                  # stands between runs; words of items are numbered from 2
 
 
@@ -171,24 +171,43 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, bl
         yield Windows(block["id"].to_pylist(), block["text"], width)
 
 
+NONE = {"n_words": "cast(0 as bigint)", "hits": "cast(array() as array<struct<start:int,end:int>>)",
+        "items": "cast(array() as array<string>)"}
+
+
+def search(rows: DataFrame, windows: Iterator[Windows], shard_bytes: int, clean: bool) -> DataFrame:
+    """One pass over ``rows`` (with ``text``; other columns are carried along) for each block."""
+    out = rows.selectExpr("*", *(f"{x} as {c}" for c, x in NONE.items()))
+    block = next(windows)
+    while block is not None:
+        following = next(windows, None)
+        last = following is None
+        schema = StructType([f for f in out.schema if clean or not last or f.name != "text"])
+        if clean and last:
+            schema = schema.add("clean", "string")
+        out = out.mapInArrow(searcher(block, shard_bytes, schema.names, clean and last), schema)
+        out, block = out if last else cut(out), following
+    return out
+
+
 def find_passages(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id_col: str = "item_id", item_text_col: str = "text", width: int = 10,
                   shard_bytes: int = 4 << 20, item_block_bytes: int = 16 << 20, clean: bool = False) -> DataFrame:
     """``doc_id, n_words, hits`` (merged word ranges), ``items`` (sorted ids), and with ``clean``
     the text and its ``clean`` form without the hit spans."""
-    out = texts(df, id_col, text_col).select(
-        "*", F.lit(0).cast("bigint").alias("n_words"),
-        F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("hits"),
-        F.expr("cast(array() as array<string>)").alias("items"))
     blocks = item_blocks(benchmark, item_id_col, item_text_col, width, item_block_bytes)
-    windows = next(blocks)
-    while windows is not None:
-        following = next(blocks, None)
-        last = following is None
-        names = ["doc_id", *(["text"] if clean or not last else []), "n_words", "hits", "items",
-                 *(["clean"] if clean and last else [])]
-        schema = ", ".join(n + (" bigint" if n == "doc_id" else " string") for n in names if n in ("doc_id", "text"))
-        schema += ", " + FOUND + (", clean string" if "clean" in names else "")
-        out = out.mapInArrow(searcher(windows, shard_bytes, names, "clean" in names), schema)
-        out, windows = out if last else cut(out), following
-    return out
+    return search(texts(df, id_col, text_col), blocks, shard_bytes, clean)
+
+
+def remove_passages(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
+                    item_text_col: str = "text", width: int = 10, shard_bytes: int = 4 << 20,
+                    item_block_bytes: int = 16 << 20) -> DataFrame:
+    """``df`` with the hit spans cut out of its texts; ``n_chars`` follows if there is one."""
+    share_code(df.sparkSession)
+    others = [c for c in df.columns if c != text_col]
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    blocks = item_blocks(benchmark, item_id_col, item_text_col, width, item_block_bytes)
+    out = search(rows, blocks, shard_bytes, True).select("row.*", F.col("clean").alias(text_col))
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.length(f"`{text_col}`").cast(df.schema["n_chars"].dataType))
+    return out.select(*(f"`{c}`" for c in df.columns))
