@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import decimal as _dec
 from typing import Any
 
 from pyspark.sql import Column
@@ -81,6 +82,11 @@ def to_numeric(c: Column | str) -> Column:
     return _c(c).try_cast("double")
 
 
+def _instant_text(value: Any) -> str:
+    text = str(value).strip().replace("T", " ")
+    return text + {4: "-01-01", 7: "-01"}.get(len(text), "")
+
+
 def typed_literal(value: Any, dtype: T.DataType) -> Column:
     """Literal cast to the column's type, so the column itself is never wrapped
     and the predicate still reaches the Parquet scan.  Date strings are
@@ -93,15 +99,95 @@ def typed_literal(value: Any, dtype: T.DataType) -> Column:
         if isinstance(value, (_dt.datetime, _dt.date)):
             text = value.isoformat(sep=" ") if isinstance(value, _dt.datetime) else value.isoformat()
         else:
-            text = str(value).strip().replace("T", " ")
-            if len(text) == 4:
-                text += "-01-01"
-            elif len(text) == 7:
-                text += "-01"
+            text = _instant_text(value)
         return F.lit(text).cast(dtype.simpleString())
     return F.lit(value).cast(dtype.simpleString())
 
 
+_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+_EXACT = _dec.Context(prec=400)
+
+
+def _limits(dtype: T.DataType) -> tuple[int, _dec.Decimal, _dec.Decimal] | None:
+    """(scale, least, greatest) of the types that hold exact numbers."""
+    bits = _BITS.get(type(dtype))
+    if bits:
+        return 0, _dec.Decimal(-(1 << bits - 1)), _dec.Decimal((1 << bits - 1) - 1)
+    if isinstance(dtype, T.DecimalType):
+        top = _dec.Decimal(10 ** dtype.precision - 1).scaleb(-dtype.scale, _EXACT)
+        return dtype.scale, -top, top
+    return None
+
+
+def label_number(value: Any) -> _dec.Decimal:
+    try:
+        return _dec.Decimal(int(value)) if isinstance(value, bool) else _dec.Decimal(str(value).strip())
+    except _dec.InvalidOperation:
+        raise ValueError(f"label {value!r} is not a number") from None
+
+
+def _day(value: Any) -> tuple[str, bool]:
+    """(day, whether the label is the day's first instant)."""
+    if isinstance(value, _dt.datetime) or not isinstance(value, _dt.date):
+        text = value.isoformat(sep=" ") if isinstance(value, _dt.datetime) else _instant_text(value)
+        day, _, rest = text.partition(" ")
+        return day, not rest.strip("0:.")
+    return value.isoformat(), True
+
+
+def label_text(value: Any, dtype: T.DataType) -> str | None:
+    """Text that casts to exactly this label in ``dtype``; None if the type cannot hold it (1.5 on
+    an integer axis), so that no label equals it."""
+    limits = _limits(dtype)
+    if limits:
+        x = label_number(value)
+        if not x.is_finite() or not limits[1] <= x <= limits[2]:
+            return None
+        q = x.quantize(_dec.Decimal(1).scaleb(-limits[0]), _dec.ROUND_FLOOR, _EXACT)
+        return f"{q:f}" if q == x else None
+    if isinstance(dtype, T.DateType):
+        day, whole = _day(value)
+        return day if whole else None
+    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
+        if isinstance(value, _dt.date):
+            return value.isoformat(sep=" ") if isinstance(value, _dt.datetime) else value.isoformat()
+        return _instant_text(value)
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def label_bound(column: str, dtype: T.DataType, value: Any, lower: bool) -> Column:
+    """``column >= value`` (``lower``) or ``column <= value`` with a literal of the column's own type:
+    a bound between two values of an exact type moves to the next one inside."""
+    c, limits = F.col(column), _limits(dtype)
+    if limits:
+        x = label_number(value)
+        scale, least, greatest = limits
+        if x.is_nan():
+            return F.lit(False)
+        if x > greatest or x < least:
+            return c.isNotNull() if (x < least) == lower else F.lit(False)
+        q = x.quantize(_dec.Decimal(1).scaleb(-scale), _dec.ROUND_CEILING if lower else _dec.ROUND_FLOOR, _EXACT)
+    literal = F.lit(f"{q:f}").cast(dtype.simpleString()) if limits else _bound_literal(value, dtype, lower)
+    return c >= literal if lower else c <= literal
+
+
+def _bound_literal(value: Any, dtype: T.DataType, lower: bool) -> Column:
+    if isinstance(dtype, T.DateType):
+        day, whole = _day(value)
+        literal = F.lit(day).cast("date")
+        return literal if whole or not lower else F.date_add(literal, 1)
+    return typed_literal(value, dtype)
+
+
+def label_range(column: str, dtype: T.DataType, a: Any, b: Any) -> Column:
+    """Between two labels in either order; which is the lower one is decided in the column's type."""
+    if _limits(dtype):
+        lo, hi = sorted((a, b), key=label_number)
+        return label_bound(column, dtype, lo, True) & label_bound(column, dtype, hi, False)
+    low, high = ([_bound_literal(x, dtype, side) for x in (a, b)] for side in (True, False))
+    return F.col(column).between(F.least(*low), F.greatest(*high))
+
+
 def format_scalar(c: Column | str, dtype: T.DataType | None = None) -> Column:
     """Report text of a value: NULL -> "n/a", floating numbers with 4
     decimals, datetimes in ISO form (fraction only when non-zero), anything

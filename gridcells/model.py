@@ -36,6 +36,8 @@ class GridTable:
     # the output of an aggregation); then any per-cell partition is bounded by
     # the axis lengths, not by the data volume.
     unique_cells: bool = False
+    # dims whose labels are stored in descending order (positions count from the greatest label)
+    descending: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         missing = [c for c in (*self.dims, self.value, *self.aux) if c not in self.df.columns]
@@ -90,19 +92,35 @@ class GridTable:
             return role
         return next((d for d in self.dims if self.is_time(d)), None)
 
+    def role_column(self, role: str, token: str) -> str | None:
+        """The coordinate of a role: the detected one, else the first dim with the token in its name."""
+        found = self.roles.get(role)
+        if found in self.df.columns:
+            return found
+        return next((d for d in self.dims if token in d.lower()), None)
+
+    def role_dims(self, role: str, token: str) -> tuple[str, ...]:
+        """The dims a role's coordinate varies over: itself, or those of an auxiliary coordinate."""
+        column = self.role_column(role, token)
+        own = (column,) if column in self.dims else tuple(self.aux_dims.get(column, ())) if column else ()
+        return tuple(d for d in own if d in self.dims)
+
+    def _only(self, dims: tuple[str, ...]) -> str | None:
+        return dims[0] if len(dims) == 1 else None
+
     @property
     def lat_dim(self) -> str | None:
-        role = self.roles.get("latitude")
-        if role in self.dims:
-            return role
-        return next((d for d in self.dims if "lat" in d.lower()), None)
+        return self._only(self.role_dims("latitude", "lat"))
 
     @property
     def lon_dim(self) -> str | None:
-        role = self.roles.get("longitude")
-        if role in self.dims:
-            return role
-        return next((d for d in self.dims if "lon" in d.lower()), None)
+        return self._only(self.role_dims("longitude", "lon"))
+
+    @property
+    def spatial_dims(self) -> tuple[str, ...]:
+        """Dims of both horizontal coordinates (both dims of a curvilinear grid, once)."""
+        both = {*self.role_dims("latitude", "lat"), *self.role_dims("longitude", "lon")}
+        return tuple(d for d in self.dims if d in both)
 
     def other_dims(self, *exclude: str | None) -> list[str]:
         return [d for d in self.dims if d not in exclude]

@@ -15,26 +15,24 @@ executor recomputes nothing that could shift partition boundaries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcells.session import checkpoint_dir
 
 _PID = "__gc_pid"
 _LOCAL = "__gc_local"
+# An axis table is broadcast when its labels, measured while they are numbered, take no more.
+BROADCAST_BYTES = 8 << 20
 
 
-def global_index(df: DataFrame, order_cols: list[str], index_col: str = "k",
-                 num_partitions: int | None = None) -> DataFrame:
-    """Add a 0-based BIGINT index following ``order_cols`` ascending.
-
-    ``order_cols`` must order rows totally (add tiebreak columns otherwise);
-    NULLs sort first, as in ``ORDER BY ... ASC``.
-    """
+def _numbered(df: DataFrame, order_cols: list[str], index_col: str, num_partitions: int | None,
+              descending: bool) -> tuple[DataFrame, int, int]:
+    """(rows with index, number of rows, bytes of the first ordering column as text)."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c).asc_nulls_first() for c in order_cols]
+    keys = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in order_cols]
     ranged = (
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
@@ -43,56 +41,36 @@ def global_index(df: DataFrame, order_cols: list[str], index_col: str = "k",
     )
     ranged = ranged.checkpoint(eager=True)
     # one small row per partition
-    counts = {r[_PID]: r["n"] for r in ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r[_PID]: r for r in ranged.groupBy(_PID).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(order_cols[0]).cast("string"))).alias("b")).collect()}
     offsets, running = [], 0
-    for pid in range(max(counts, default=-1) + 1):
+    for pid in range(max(sizes, default=-1) + 1):
         offsets.append(running)
-        running += counts.get(pid, 0)
+        running += sizes[pid]["n"] if pid in sizes else 0
+    total = sum(r["b"] or 0 for r in sizes.values())
     if not offsets:
-        return ranged.withColumn(index_col, F.lit(None).cast("long")).drop(_PID, _LOCAL)
+        return ranged.withColumn(index_col, F.lit(None).cast("long")).drop(_PID, _LOCAL), 0, 0
     offset_col = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col(_PID) + 1)
-    return ranged.withColumn(index_col, F.col(_LOCAL) + offset_col).drop(_PID, _LOCAL)
-
+    return ranged.withColumn(index_col, F.col(_LOCAL) + offset_col).drop(_PID, _LOCAL), running, total
 
-# Axes with at most this many labels are numbered in a single small window
-# task and broadcast; longer axes use the distributed global index.
-LOCAL_AXIS_MAX = 2_000_000
 
+def global_index(df: DataFrame, order_cols: list[str], index_col: str = "k", num_partitions: int | None = None,
+                 descending: bool = False) -> tuple[DataFrame, int]:
+    """Add a 0-based BIGINT index following ``order_cols``, and count the rows.
 
-def index_rows(df: DataFrame, order_cols: list[str], index_col: str = "k",
-               local_max: int | None = None) -> tuple[DataFrame, int]:
-    """0-based index in ``order_cols`` order plus the row count.  Up to
-    ``local_max`` rows (checked by counting first) are numbered by one window
-    task; more rows use the distributed ``global_index``."""
-    local_max = LOCAL_AXIS_MAX if local_max is None else local_max
-    n = df.count()
-    if n <= local_max:
-        w = Window.orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
-        return df.withColumn(index_col, (F.row_number().over(w) - 1).cast("long")), n
-    return global_index(df, order_cols, index_col), n
-
+    ``order_cols`` must order rows totally (add tiebreak columns otherwise);
+    NULLs sort first, as in ``ORDER BY ... ASC`` (last if descending).
+    """
+    return _numbered(df, order_cols, index_col, num_partitions, descending)[:2]
 
-def axis_table(df: DataFrame, dim: str, pos_col: str = "pos", local_max: int = LOCAL_AXIS_MAX) -> tuple[DataFrame, int]:
-    """Distinct non-null values of ``dim`` with their ascending 0-based
-    position, and the axis length.
 
-    The labels are computed once: at most ``local_max + 1`` of them are
-    numbered in one window task (bounded by the limit) and checkpointed; if
-    the checkpoint holds ``local_max`` labels or fewer it is the whole axis
-    and is broadcast, otherwise the axis is numbered by the distributed
-    ``global_index``.
-    """
-    checkpoint_dir(df.sparkSession)
+def axis_table(df: DataFrame, dim: str, pos_col: str = "pos", descending: bool = False) -> tuple[DataFrame, int]:
+    """Distinct non-null values of ``dim`` with their 0-based position in
+    stored order, and the axis length.  The numbered labels are broadcast in joins when they
+    are measured to be small; otherwise Spark shuffles them."""
     values = df.select(dim).where(F.col(dim).isNotNull()).distinct()
-    if local_max > 0:
-        bounded = values.limit(local_max + 1)
-        numbered = bounded.withColumn(pos_col, (F.row_number().over(Window.orderBy(dim)) - 1).cast("long"))
-        numbered = numbered.checkpoint(eager=True)
-        n = numbered.count()
-        if n <= local_max:
-            return F.broadcast(numbered), n
-    indexed = global_index(values, [dim], pos_col)
-    return indexed, indexed.count()
+    indexed, n, size = _numbered(values, [dim], pos_col, None, descending)
+    return (F.broadcast(indexed) if size + 16 * n <= BROADCAST_BYTES else indexed), n
 
 
 def axis_sizes(df: DataFrame, dims: list[str]) -> dict[str, int]:

@@ -102,9 +102,10 @@ def _midpoint(i: Column, lo: Column, hi: Column, n: int) -> Column:
 
 
 def spatial_slice(grid: GridTable, bins: int = 8) -> DataFrame:
-    """First slice of every non-spatial dim, then ``spatial_bins``."""
-    lat, lon = grid.lat_dim, grid.lon_dim
+    """First slice of every non-spatial dim, then ``spatial_bins`` of the horizontal coordinates, which
+    may be dims or auxiliary coordinates of a curvilinear grid."""
+    lat, lon = grid.role_column("latitude", "lat"), grid.role_column("longitude", "lon")
     if lat is None or lon is None:
-        raise ValueError("A spatial slice needs latitude and longitude dimensions.")
-    sliced = first_slice(grid, keep=[lat, lon])
+        raise ValueError(f"no horizontal coordinates among {list(grid.df.columns)}")
+    sliced = first_slice(grid, keep=grid.spatial_dims)
     return spatial_bins(sliced.df, lat, lon, grid.value, bins)

@@ -1,8 +1,8 @@
 """Preview, ordering and point thinning.
 
 ``preview`` keeps the smallest *leading hyper-rectangle* of the selection that
-covers ``limit`` cells: dim i keeps its first ``k_i`` labels.  Keeping the
-first k labels is a value predicate (``dim <= k-th smallest label``), so the
+covers ``limit`` cells: dim i keeps its first ``k_i`` labels in stored order.  Keeping the
+first k labels is a value predicate (``dim <= k-th label``, or ``>=`` on a descending axis), so the
 trim is a filter that Spark pushes toward the scan, not a row LIMIT.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcells.model import GridTable
-from gridcells.operators.axes import axis_sizes, index_rows
+from gridcells.operators.axes import axis_sizes, global_index
 
 
 def preview_extent(sizes: list[int], limit: int) -> list[int]:
@@ -46,8 +46,12 @@ def preview(grid: GridTable, limit: int = 250) -> DataFrame:
         # after trimming earlier dims: trimming one dim leaves the other axes
         # whole); top-k of the distinct labels, attached as a scalar subquery
         axis = grid.df.select(d).where(F.col(d).isNotNull()).distinct()
-        kth = axis.orderBy(d).limit(k).select(F.max(d)).scalar()
-        df = df.where(F.col(d) <= kth)
+        if d in grid.descending:
+            kth = axis.orderBy(F.col(d).desc()).limit(k).select(F.min(d)).scalar()
+            df = df.where(F.col(d) >= kth)
+        else:
+            kth = axis.orderBy(d).limit(k).select(F.max(d)).scalar()
+            df = df.where(F.col(d) <= kth)
     return df
 
 
@@ -62,8 +66,8 @@ def sort(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
 
 
 def canonical_order(grid: GridTable) -> DataFrame:
-    """Row-major order of the dims (the array's natural order)."""
-    return grid.df.orderBy(*grid.dims)
+    """Row-major order of the dims in stored order (the array's natural order)."""
+    return grid.df.orderBy(*(F.col(d).desc() if d in grid.descending else F.col(d) for d in grid.dims))
 
 
 def linspace_positions(spark, n: int, resolution: int) -> DataFrame:
@@ -78,11 +82,11 @@ def linspace_positions(spark, n: int, resolution: int) -> DataFrame:
     return r.select(pos.cast("long").alias("k")).distinct()
 
 
-def downsample(df: DataFrame, order_by: list[str], resolution: int, local_max: int | None = None) -> DataFrame:
+def downsample(df: DataFrame, order_by: list[str], resolution: int) -> DataFrame:
     """At most ``resolution`` rows at evenly spread positions of the sorted
     rows; ``order_by`` must order the rows totally."""
     resolution = max(int(resolution), 1)
-    indexed, n = index_rows(df, order_by, "__gc_k", local_max)
+    indexed, n = global_index(df, order_by, "__gc_k")
     if n <= resolution:
         return df
     positions = linspace_positions(df.sparkSession, n, resolution)

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcells.functions.scalar import format_scalar, nan_to_null, stable_round
+from gridcells.functions.scalar import format_scalar, nan_to_null
 from gridcells.model import GridTable
+from gridcells.operators.axes import axis_table
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 _TIME = (T.TimestampNTZType, T.TimestampType, T.DateType)
@@ -57,15 +58,20 @@ def _distinct(c, approx: bool) -> Column:
 def statistics(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Per column: dtype, non_null, missing, unique; numeric min/mean/max/std
     (std needs two values); datetime min/max as text; other columns put their
-    mode (smallest on ties) in ``min_text``.  ``approx=True`` estimates
-    ``unique`` with HyperLogLog."""
+    mode (smallest on ties) in ``min_text``.
+
+    Numbers of distinct values and modes come from one grouped count of (column, value),
+    combined before the shuffle.  ``approx=True`` estimates ``unique`` with HyperLogLog instead, and then
+    only the columns that need a mode are counted."""
     columns = columns or df.columns
     aggs, names = [], []
     for i, c in enumerate(columns):
         dtype = df.schema[c].dataType
         v = nan_to_null(c) if isinstance(dtype, (T.FloatType, T.DoubleType)) else F.col(c)
         kind = _kind(dtype)
-        aggs += [F.count(v).alias(f"nn{i}"), _distinct(v, approx).alias(f"u{i}")]
+        aggs.append(F.count(v).alias(f"nn{i}"))
+        if approx:
+            aggs.append(F.approx_count_distinct(v).alias(f"u{i}"))
         if kind == "numeric":
             x = v.cast("double")
             aggs += [F.min(x).alias(f"mn{i}"), F.avg(x).alias(f"av{i}"), F.max(x).alias(f"mx{i}"),
@@ -74,9 +80,9 @@ def statistics(df: DataFrame, columns: list[str] | None = None, approx: bool = F
             aggs += [F.min(v).cast("string").alias(f"mn{i}"), F.max(v).cast("string").alias(f"mx{i}")]
         names.append((c, dtype, kind))
     wide = df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
-    others = [(i, c) for i, (c, _, kind) in enumerate(names) if kind == "other"]
-    if others:
-        wide = attach_scalars(wide, _modes(df, others))
+    counted = [(i, c) for i, (c, _, kind) in enumerate(names) if kind == "other" or not approx]
+    if counted:
+        wide = attach_scalars(wide, _value_counts(df, counted, not approx))
     dnull, snull = F.lit(None).cast("double"), F.lit(None).cast("string")
     structs = []
     for i, (c, dtype, kind) in enumerate(names):
@@ -86,7 +92,7 @@ def statistics(df: DataFrame, columns: list[str] | None = None, approx: bool = F
             F.lit(dtype.simpleString()).alias("dtype"),
             F.col(f"nn{i}").alias("non_null"),
             (F.col("rows") - F.col(f"nn{i}")).alias("missing"),
-            F.col(f"u{i}").alias("unique"),
+            F.coalesce(F.col(f"u{i}"), F.lit(0)).cast("bigint").alias("unique"),
             (F.col(f"mn{i}") if num else dnull).alias("min"),
             (F.col(f"av{i}") if num else dnull).alias("mean"),
             (F.col(f"mx{i}") if num else dnull).alias("max"),
@@ -97,18 +103,25 @@ def statistics(df: DataFrame, columns: list[str] | None = None, approx: bool = F
     return _unpivot(wide, structs)
 
 
-def _modes(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
-    """Most frequent value of each column (smallest on ties) as one row
-    ``mo<i>``.  Counting is a distributed ``groupBy(column, value)`` with
-    partial aggregation; each column then keeps the minimum of
-    (-count, value), a constant-size aggregate, so no task ever holds a
-    column's full value-count map."""
+def _value_counts(df: DataFrame, columns: list[tuple[int, str]], unique: bool) -> DataFrame:
+    """One row with the most frequent value ``mo<i>`` of each column (smallest on ties)
+    and, with ``unique``, its number of distinct values ``u<i>``.  Counting is a
+    distributed ``groupBy(column, value)``; a column's counts are reduced to one row by
+    constant-size aggregates, so no task holds a column's values."""
+    def text(c):
+        # zero of either sign is one value, NaN is missing
+        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            return (nan_to_null(c) + F.lit(0.0)).cast("string")
+        return F.col(c).cast("string")
+
     pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("x")) for i, c in columns])).alias("p")) \
+        F.struct(F.lit(i).alias("i"), text(c).alias("x")) for i, c in columns])).alias("p")) \
         .select("p.i", "p.x").where(F.col("x").isNotNull())
     counts = pairs.groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("x").alias("x"))).alias("b"))
-    return best.agg(*[F.max(F.when(F.col("i") == i, F.col("b.x"))).alias(f"mo{i}") for i, _ in columns])
+    best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("x").alias("x"))).alias("b"),
+                                   F.count(F.lit(1)).alias("u"))
+    return best.agg(*[F.max(F.when(F.col("i") == i, F.col("b.x"))).alias(f"mo{i}") for i, _ in columns],
+                    *[F.max(F.when(F.col("i") == i, F.col("u"))).alias(f"u{i}") for i, _ in columns if unique])
 
 
 def coverage(selection: DataFrame, full: DataFrame, dims: list[str], approx: bool = False) -> DataFrame:
@@ -129,7 +142,7 @@ def coverage(selection: DataFrame, full: DataFrame, dims: list[str], approx: boo
             F.lit(full.schema[d].dataType.simpleString()).alias("dtype"),
             s.alias("selected_unique"),
             t.alias("total_unique"),
-            F.when(t > 0, stable_round(F.lit(100.0) * s / t, 1)).otherwise(F.lit(0.0)).alias("selected_pct"),
+            F.when(t > 0, F.round(F.lit(100.0) * s / t, 1)).otherwise(F.lit(0.0)).alias("selected_pct"),
             F.col(f"lo{i}").alias("min"),
             F.col(f"hi{i}").alias("max"),
         ))
@@ -178,37 +191,29 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return _unpivot(wide, structs)
 
 
-def dimension_info(grid: GridTable, value_cap: int = 1000) -> DataFrame:
-    """Per dim: dtype, size, kind, min/max as text; categorical dims also list
-    their sorted labels when the axis holds at most ``value_cap`` of them
-    (sizes are measured first, so no unbounded set is ever built)."""
+def dimension_info(grid: GridTable) -> DataFrame:
+    """Per dim: dtype, size, kind, min/max as text (one aggregate pass); the labels of an axis are
+    rows of ``dimension_labels``."""
     dims = list(grid.dims)
     kinds = {d: ("datetime" if grid.is_time(d) else "numeric" if grid.is_numeric(d) else "categorical") for d in dims}
     wide = grid.df.agg(*[x for i, d in enumerate(dims) for x in (
         F.count_distinct(d).alias(f"n{i}"), F.min(d).cast("string").alias(f"lo{i}"),
         F.max(d).cast("string").alias(f"hi{i}"))])
-    cat = [d for d in dims if kinds[d] == "categorical"]
-    if cat:
-        sizes = wide.select(*[F.col(f"n{dims.index(d)}") for d in cat]).collect()[0]
-        listable = [d for d, n in zip(cat, sizes) if n <= value_cap]
-        if listable:
-            labels = grid.df.agg(*[F.array_join(F.sort_array(F.collect_set(d)), ",").alias(f"v{dims.index(d)}")
-                                   for d in listable])
-            wide = attach_scalars(wide, labels)
-    else:
-        listable = []
-    structs = []
-    for i, d in enumerate(dims):
-        structs.append(F.struct(
-            F.lit(d).alias("dimension"),
-            F.lit(grid.dtype(d).simpleString()).alias("dtype"),
-            F.col(f"n{i}").alias("size"),
-            F.lit(kinds[d]).alias("kind"),
-            F.col(f"lo{i}").alias("min"),
-            F.col(f"hi{i}").alias("max"),
-            (F.col(f"v{i}") if d in listable else F.lit(None).cast("string")).alias("labels"),
-        ))
-    return _unpivot(wide, structs)
+    return _unpivot(wide, [F.struct(
+        F.lit(d).alias("dimension"), F.lit(grid.dtype(d).simpleString()).alias("dtype"), F.col(f"n{i}").alias("size"),
+        F.lit(kinds[d]).alias("kind"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
+        for i, d in enumerate(dims)])
+
+
+def dimension_labels(grid: GridTable, dims: list[str] | None = None) -> DataFrame:
+    """All labels as rows ``dimension, position, label`` (position in stored order), of the categorical
+    dims unless others are named; an axis of any length."""
+    dims = [d for d in grid.dims if not grid.is_time(d) and not grid.is_numeric(d)] if dims is None else list(dims)
+    out = grid.df.sparkSession.createDataFrame([], "dimension string, position bigint, label string")
+    for d in dims:
+        axis, _ = axis_table(grid.df, d, "position", d in grid.descending)
+        out = out.union(axis.select(F.lit(d).alias("dimension"), "position", F.col(d).cast("string").alias("label")))
+    return out
 
 
 def bytes_per_row(df: DataFrame, columns: list[str]) -> int:
@@ -231,7 +236,7 @@ def query_cost(full: GridTable, selected: GridTable, approx: bool = False) -> Da
     for i in range(len(dims)):
         full_rows = full_rows * F.col(f"f{i}")
         sel_rows = sel_rows * F.col(f"s{i}")
-    mb = stable_round(sel_rows * F.lit(float(bpr)) / F.lit(1024.0 * 1024.0), 2)
+    mb = F.round(sel_rows * F.lit(float(bpr)) / F.lit(1024.0 * 1024.0), 2)
     rows = F.col("selected_rows")
     risk = (F.when((rows >= HIGH_ROWS) | (F.col("approx_mb") >= HIGH_MB), "high")
             .when((rows >= MEDIUM_ROWS) | (F.col("approx_mb") >= MEDIUM_MB), "medium").otherwise("low"))
@@ -239,7 +244,7 @@ def query_cost(full: GridTable, selected: GridTable, approx: bool = False) -> Da
         full_rows.alias("full_rows"), sel_rows.alias("selected_rows"), F.col("selected_cells"),
         F.lit(len(columns)).alias("column_count"), F.lit(bpr).alias("bytes_per_row"), mb.alias("approx_mb"))
         .withColumn("selection_ratio", F.when(F.col("full_rows") > 0,
-                                              stable_round(F.col("selected_rows") / F.col("full_rows"), 6))
+                                              F.round(F.col("selected_rows") / F.col("full_rows"), 6))
                     .otherwise(F.lit(0.0)))
         .withColumn("risk", risk))
 
@@ -269,8 +274,8 @@ def flatten_estimate(source: DataFrame, flat: GridTable, bytes_per_value: int =
     nbytes = F.col("flattened_rows") * F.lit(columns * bytes_per_value)
     return wide.select(
         "source_rows", "flattened_rows", F.lit(columns).alias("columns"), nbytes.alias("dataframe_bytes"),
-        stable_round(nbytes / F.lit(1024.0 * 1024.0), 2).alias("dataframe_mb"),
-        F.when(F.col("source_rows") > 0, stable_round(F.col("flattened_rows") / F.col("source_rows"), 4))
+        F.round(nbytes / F.lit(1024.0 * 1024.0), 2).alias("dataframe_mb"),
+        F.when(F.col("source_rows") > 0, F.round(F.col("flattened_rows") / F.col("source_rows"), 4))
         .otherwise(F.lit(0.0)).alias("row_explosion"))
 
 

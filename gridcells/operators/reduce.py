@@ -1,9 +1,8 @@
 """Reductions over dimensions and the resample bins.
 
 Every reduction is one ``groupBy(kept dims)``: Spark aggregates partially on
-the map side before the shuffle, so a hot group never ships its raw rows
-(``median`` is the exception; pass ``approx=True`` to use a mergeable
-percentile sketch for very large groups).
+the map side before the shuffle, so a hot group never ships its raw rows.  An
+exact median counts equal values first; ``approx=True`` uses a mergeable sketch.
 """
 
 from __future__ import annotations
@@ -24,12 +23,11 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str | None = N
     """Exact median of ``value`` per ``keys`` group without putting a group in
     one task.
 
-    Rows are range partitioned on (keys, value), so the values of one hot
-    group spread over many partitions, and sorted inside each partition.
-    Each row's index inside its partition plus the group's row count in
-    earlier partitions is its rank in the group; only the one or two middle
-    ranks are kept (two rows per group) and averaged.  The sorted data is
-    checkpointed so that recomputation cannot move partition boundaries.
+    Equal values are counted first (combined before the shuffle), so a hot group
+    costs its distinct values.  The counts are range partitioned on (keys,
+    value); a group's total in earlier partitions tells which one or two
+    partitions hold its middle ranks, and a running count in only those finds the values.  The counts
+    are checkpointed so that recomputation cannot move partition boundaries.
     Groups whose values are all missing get NULL.
     """
     from gridcells.session import checkpoint_dir
@@ -38,34 +36,30 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str | None = N
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the row id breaks ties, so a hot group full of equal values still
-    # spreads over many range partitions (it is fixed by the scan's layout
-    # and everything after the checkpoint reads the stored ranks)
-    vals = df.select(*keys, F.col(value).alias("__gc_v")).where(F.col("__gc_v").isNotNull()) \
-        .withColumn("__gc_tb", F.monotonically_increasing_id())
-    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col("__gc_v").asc(), F.col("__gc_tb").asc()]
-    ranged = (vals.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("__gc_pid", F.spark_partition_id())
-              .withColumn("__gc_local", F.monotonically_increasing_id()
-                          - F.shiftleft(F.col("__gc_pid").cast("long"), 33))
+    counts = (df.select(*keys, F.col(value).alias("__gc_v")).where(F.col("__gc_v").isNotNull())
+              .groupBy(*keys, "__gc_v").agg(F.count(F.lit(1)).alias("__gc_c")))
+    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col("__gc_v").asc()]
+    ranged = (counts.repartitionByRange(n, *order).withColumn("__gc_pid", F.spark_partition_id())
               .checkpoint(eager=True))
-    # one row per (partition, group): where the group starts in the partition
-    # and how many of its rows the partition holds
-    parts = ranged.groupBy("__gc_pid", *keys).agg(F.min("__gc_local").alias("__gc_first"),
-                                                 F.count(F.lit(1)).alias("__gc_cnt"))
+    # one row per (partition, group)
+    parts = ranged.groupBy("__gc_pid", *keys).agg(F.sum("__gc_c").alias("__gc_cnt"))
     gw = Window.partitionBy(*keys)
     parts = (parts.withColumn("__gc_before", F.coalesce(F.sum("__gc_cnt").over(
                 gw.orderBy("__gc_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
              .withColumn("__gc_n", F.sum("__gc_cnt").over(gw)))
-    # middle ranks (n-1) div 2 and n div 2 -> the local index holding each
+    # middle ranks (n-1) div 2 and n div 2, counted within the partition that holds them
     middle_ranks = F.array_distinct(F.array(F.floor((F.col("__gc_n") - 1) / 2).cast("long"),
                                             F.floor(F.col("__gc_n") / 2).cast("long")))
-    targets = parts.select("__gc_pid", *keys, "__gc_first", "__gc_before", "__gc_cnt",
-                           F.explode(middle_ranks).alias("__gc_rank")) \
+    targets = parts.select("__gc_pid", *keys, "__gc_before", "__gc_cnt", F.explode(middle_ranks).alias("__gc_rank")) \
         .where((F.col("__gc_rank") >= F.col("__gc_before"))
                & (F.col("__gc_rank") < F.col("__gc_before") + F.col("__gc_cnt"))) \
-        .select("__gc_pid", (F.col("__gc_first") + F.col("__gc_rank") - F.col("__gc_before")).alias("__gc_local"))
-    middle = ranged.join(targets, ["__gc_pid", "__gc_local"], "left_semi")
+        .withColumn("__gc_rank", F.col("__gc_rank") - F.col("__gc_before"))
+    a, b = ranged.alias("a"), targets.alias("b")
+    met = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ["__gc_pid", *keys]]).select(
+        *[F.col(f"a.{k}") for k in ["__gc_pid", *keys, "__gc_v", "__gc_c"]], "b.__gc_rank")
+    upto = F.sum("__gc_c").over(Window.partitionBy("__gc_pid", *keys, "__gc_rank").orderBy("__gc_v"))
+    middle = met.withColumn("__gc_upto", upto).where(
+        (F.col("__gc_upto") > F.col("__gc_rank")) & (F.col("__gc_upto") - F.col("__gc_c") <= F.col("__gc_rank")))
     med = middle.groupBy(*keys).agg(F.avg("__gc_v").alias(out))
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__gc_rows")).drop("__gc_rows") if keys else None
     if groups is None:
@@ -74,20 +68,21 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str | None = N
         *[groups[k] for k in keys], med[out])
 
 
-def grouped(df: DataFrame, keys: list[str], value: str, how: str, median_strategy: str = "collect") -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], value: str, how: str, median_strategy: str = "counts") -> DataFrame:
     """``groupBy(keys).agg(reducer)`` with the median strategy applied:
-    ``collect`` (exact, a group's values meet in one task), ``approx``
-    (mergeable percentile sketch) or ``sort`` (exact, hot groups split)."""
-    if how == "median" and median_strategy == "sort":
+    ``counts`` (exact, hot groups split), ``collect`` (exact, a group's values
+    meet in one task) or ``approx`` (mergeable percentile sketch)."""
+    if how == "median" and median_strategy == "counts":
         return exact_median(df, keys, value)
     agg = reducer(how, value, median_strategy == "approx").alias(value)
     return df.groupBy(*keys).agg(agg) if keys else df.agg(agg)
 
 
-def reducer(name: str, value: str, approx: bool = False) -> Column:
+def reducer(name: str, value: str, approx: bool = False, accuracy: int = 10_000) -> Column:
+    """``accuracy`` bounds the rank error of the approximate median by 1 / accuracy."""
     v = F.col(value)
     if name == "median":
-        return F.percentile_approx(v, 0.5, 10000).cast("double") if approx else F.median(v)
+        return F.percentile_approx(v, 0.5, accuracy).cast("double") if approx else F.median(v)
     if name == "min":
         return F.min(v)
     if name == "max":
@@ -98,13 +93,11 @@ def reducer(name: str, value: str, approx: bool = False) -> Column:
 
 
 def median_strategy_for(grid: GridTable, requested: str | None, approx: bool = False) -> str:
-    """``auto``: Spark's median on proper grids (a group is bounded by the
-    axes), the sorted skew-safe median on observation tables (a hot cell may
-    hold a large share of all rows)."""
+    """``auto`` is the exact median by value counts, whatever the table holds."""
     if approx:
         return "approx"
     if requested in (None, "auto"):
-        return "collect" if grid.unique_cells else "sort"
+        return "counts"
     return requested
 
 
@@ -117,16 +110,18 @@ def reduce_dims(grid: GridTable, dims: list[str], how: str = "mean", approx: boo
 
 
 def spatial_mean(grid: GridTable, how: str = "mean") -> GridTable:
-    dims = [d for d in (grid.lat_dim, grid.lon_dim) if d is not None]
-    if not dims:
-        raise ValueError("Spatial mean requires detected latitude and longitude dimensions.")
-    return reduce_dims(grid, dims, how)
+    """Over the dims of both horizontal coordinates (both dims of a curvilinear grid)."""
+    if not grid.spatial_dims:
+        raise ValueError(f"no dimension of {list(grid.dims)} is horizontal, so there is nothing to average over")
+    return reduce_dims(grid, list(grid.spatial_dims), how)
 
 
 def zonal_mean(grid: GridTable, how: str = "mean") -> GridTable:
     lon = grid.lon_dim
     if lon is None:
-        raise ValueError("Zonal mean requires a detected longitude dimension.")
+        dims = grid.role_dims("longitude", "lon")
+        raise ValueError(f"longitude varies over {list(dims)}; a zonal mean needs it along one dimension" if dims
+                         else f"no dimension of {list(grid.dims)} is longitude")
     return reduce_dims(grid, [lon], how)
 
 
@@ -172,7 +167,7 @@ def series_reduce(grid: GridTable, how: str = "mean") -> DataFrame:
     t = grid.require_time("Time analysis")
     if how not in ("mean", "median", "min", "max"):
         raise ValueError(f"unknown time aggregation {how!r}")
-    df = grid.df.groupBy(t).agg(reducer(how, grid.value).alias(grid.value))
+    df = grouped(grid.df.select(t, grid.value), [t], grid.value, how)
     return df.where(F.col(grid.value).isNotNull())
 
 

@@ -9,6 +9,8 @@ is then given to at most one coordinate, roles taken in order.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -286,15 +288,20 @@ def detect_roles(grid: GridTable) -> dict[str, str | None]:
     return {role: found.get(role) for role in ROLE_ORDER}
 
 
+def with_roles(grid: GridTable) -> GridTable:
+    """The grid with detected roles, unless it has roles already."""
+    return grid if grid.roles else replace(grid, roles=detect_roles(grid))
+
+
 def coord_metadata(grid: GridTable) -> DataFrame:
     """Role details plus axis facts for every coordinate: size, first/last
-    label (smallest/largest), queryable, curvilinear, map candidate."""
+    label in stored order, queryable, curvilinear, map candidate."""
     scored = scored_profile(grid)
     picks = assign_roles(scored).withColumnRenamed("role", "selected_role")
     coords = _coordinates(grid)
     wide = grid.df.agg(*[x for i, (n, _) in enumerate(coords) for x in (
-        F.count_distinct(n).alias(f"n{i}"), F.min(n).cast("string").alias(f"s{i}"),
-        F.max(n).cast("string").alias(f"e{i}"))])
+        F.count_distinct(n).alias(f"n{i}"), F.min(n).cast("string").alias(f"{'e' if n in grid.descending else 's'}{i}"),
+        F.max(n).cast("string").alias(f"{'s' if n in grid.descending else 'e'}{i}"))])
     facts = wide.select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("column"), F.col(f"n{i}").alias("size"), F.col(f"s{i}").alias("start"),
                  F.col(f"e{i}").alias("end")) for i, (n, _) in enumerate(coords)])).alias("f")).select("f.*")

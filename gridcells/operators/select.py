@@ -14,63 +14,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcells.functions.scalar import to_numeric, typed_literal
+from gridcells.functions.scalar import label_bound, label_range, label_text, to_numeric, typed_literal
 from gridcells.model import GridTable
 
-# IN lists longer than this become a broadcast semi-join on a small table.
+# Label lists longer than this are joined instead of written into the filter.
 IN_LIST_LIMIT = 1000
 
 
 def filter_range(df: DataFrame, column: str, lo: Any, hi: Any) -> DataFrame:
     """Inclusive on both ends, bounds swapped if reversed; value based, so the
     axis direction does not matter.  ``None`` leaves that end open."""
-    dtype = df.schema[column].dataType
     if lo is not None and hi is not None:
-        a, b = typed_literal(lo, dtype), typed_literal(hi, dtype)
-        if _gt(lo, hi):
-            a, b = b, a
-        return df.where(F.col(column).between(a, b))
+        return df.where(label_range(column, df.schema[column].dataType, lo, hi))
     return filter_open_range(df, column, lo, hi)
 
 
-def _gt(a: Any, b: Any) -> bool:
-    try:
-        return a > b
-    except TypeError:
-        return str(a) > str(b)
-
-
 def filter_open_range(df: DataFrame, column: str, lo: Any = None, hi: Any = None) -> DataFrame:
     dtype = df.schema[column].dataType
     if lo is not None:
-        df = df.where(F.col(column) >= typed_literal(lo, dtype))
+        df = df.where(label_bound(column, dtype, lo, True))
     if hi is not None:
-        df = df.where(F.col(column) <= typed_literal(hi, dtype))
+        df = df.where(label_bound(column, dtype, hi, False))
     return df
 
 
 def filter_in(df: DataFrame, column: str, values: Iterable[Any], strict: bool = False) -> DataFrame:
     """Membership.  ``strict=True`` raises ``KeyError`` for labels absent from
-    the axis (array semantics); the check is an anti-join on the label list."""
+    the axis (array semantics); the check is an anti-join on the label list.
+    Short and long lists are typed by the same routine; a long list becomes a
+    semi-join, with its least and greatest label as a range for the scan."""
     values = list(values)
     dtype = df.schema[column].dataType
-    spark = df.sparkSession
+    named = [(v, label_text(v, dtype)) for v in values]
+    known = list(dict.fromkeys(text for _, text in named if text is not None))
+    kind = dtype.simpleString()
+    labels = df.sparkSession.createDataFrame([(x,) for x in known], "__label string").select(
+        F.col("__label").cast(kind).alias(column))
     if strict:
-        labels = spark.createDataFrame([(i,) for i in range(len(values))], "__i int").select(
-            F.element_at(F.array(*[typed_literal(v, dtype) for v in values]), F.col("__i") + 1).alias("__label"))
-        axis = df.select(F.col(column).alias("__label")).distinct()
-        absent = labels.join(axis, "__label", "left_anti").limit(5).collect()
-        if absent:
-            raise KeyError(f"labels {[r[0] for r in absent]} not found on {column!r}")
-    if len(values) <= IN_LIST_LIMIT:
-        return df.where(F.col(column).isin(*[typed_literal(v, dtype) for v in values]))
-    labels = spark.createDataFrame([(str(v),) for v in values], "__label string").select(
-        F.col("__label").cast(dtype.simpleString()).alias(column))
-    return df.join(F.broadcast(labels.distinct()), column, "left_semi")
+        missing = [v for v, text in named if text is None][:5]
+        missing = missing or [r[0] for r in labels.join(df.select(column).distinct(), column, "left_anti").limit(5).collect()]
+        if missing:
+            raise KeyError(f"labels {missing} not found on {column!r}")
+    if not known:
+        return df.where(F.lit(False))
+    if len(known) <= IN_LIST_LIMIT:
+        return df.where(F.col(column).isin(*[F.lit(x).cast(kind) for x in known]))
+    ends = labels.agg(F.min(column), F.max(column)).first()      # of a local list, not of the data
+    return filter_range(df, column, ends[0], ends[1]).join(F.broadcast(labels.distinct()), column, "left_semi")
 
 
 def filter_eq(df: DataFrame, column: str, value: Any) -> DataFrame:
-    return df.where(F.col(column) == typed_literal(value, df.schema[column].dataType))
+    dtype = df.schema[column].dataType
+    text = label_text(value, dtype)
+    return df.where(F.lit(False) if text is None else F.col(column) == F.lit(text).cast(dtype.simpleString()))
 
 
 def select_grid(grid: GridTable, filterable: Iterable[str] | None = None, strict: bool = False,
@@ -123,42 +119,36 @@ def project_columns(grid: GridTable, filterable: Iterable[str] | None = None) ->
     return grid.df.select(*ordered)
 
 
-def attach_aux_coords(grid: GridTable, aux_df: DataFrame, on: list[str], columns: list[str],
-                      broadcast_limit: int = 1_000_000) -> GridTable:
+def attach_aux_coords(grid: GridTable, aux_df: DataFrame, on: list[str], columns: list[str]) -> GridTable:
     """Join auxiliary coordinates keyed by (some of) the grid's dims.
 
-    The aux table is keyed by dims, so it is at most the size of those axes;
-    it is broadcast only when its row count is checked below the limit and
-    otherwise shuffled with the cells.
+    A key that comes twice would multiply cells, so it raises (one grouped
+    count of the aux table).  Whether the aux table is broadcast is decided by
+    its measured size at run time; beyond that both sides are shuffled.
     """
     side = aux_df.select(*on, *columns)
-    n = side.count()
-    if n <= broadcast_limit:
-        side = F.broadcast(side)
+    twice = side.groupBy(*on).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"auxiliary coordinates are given twice for {[twice[0][c] for c in on]}")
     df = grid.df.join(side, on, "left")
     return grid.with_df(df.select(*grid.dims, *[a for a in grid.aux if a not in columns], *columns, grid.value),
                         aux=tuple([*grid.aux, *columns]))
 
 
 def first_slice(grid: GridTable, keep: Iterable[str] | None = None) -> GridTable:
-    """Position 0 of every non-spatial dim; the first label per dim comes from
-    a scalar subquery (min of the axis), so no value travels via the driver."""
-    keep = set(keep) if keep is not None else {d for d in (grid.lat_dim, grid.lon_dim) if d}
+    """Position 0 of every non-spatial dim in stored order; the first label per dim comes from
+    a scalar subquery (an end of the axis), so no value travels via the driver."""
+    keep = set(keep) if keep is not None else set(grid.spatial_dims)
     df = grid.df
-    cond = None
     for d in grid.dims:
-        if d in keep:
-            continue
-        first = grid.df.select(F.min(d)).scalar()
-        c = F.col(d) == first
-        cond = c if cond is None else cond & c
-    if cond is not None:
-        df = df.where(cond)
+        if d not in keep:
+            first = grid.df.select(F.max(d) if d in grid.descending else F.min(d)).scalar()
+            df = df.where(F.col(d) == first)
     return grid.with_df(df)
 
 
 def squeeze(grid: GridTable) -> GridTable:
-    """Drop dims that hold a single label (one aggregate pass to size them)."""
+    """Drop dims that hold a single label (an aggregate pass over the grid to size them)."""
     if not grid.dims:
         return grid
     row = grid.df.agg(*[F.count_distinct(d).alias(d) for d in grid.dims]).collect()[0]

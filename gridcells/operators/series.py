@@ -2,8 +2,7 @@
 
 A series is a DataFrame ``(time, value)`` with unique times.  The step index
 (0-based position of each point in time order, missing points dropped first)
-comes from ``index_rows``: one window task when the counted series is at most
-2 M points, the distributed global index beyond.  Rolling uses halo buckets
+comes from the distributed global index.  Rolling uses halo buckets
 over the step index, the running sum adds per-bucket offsets computed from
 bucket totals, and the trend is a single regression aggregate.
 """
@@ -13,23 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcells.operators.axes import index_rows
+from gridcells.operators.axes import global_index
 from gridcells.operators.windows import halo_window
 
 STEP = "time_step"
 
 
-def with_time_step(series: DataFrame, time: str, value: str, local_max: int | None = None) -> DataFrame:
+def with_time_step(series: DataFrame, time: str, value: str) -> DataFrame:
     """Drop missing points, then number the rest in time order (W7)."""
     clean = series.where(F.col(value).isNotNull() & F.col(time).isNotNull())
-    return index_rows(clean, [time], STEP, local_max)[0]
+    return global_index(clean, [time], STEP)[0]
 
 
-def series_rolling(indexed: DataFrame, value: str, window: int, out: str = "rolling", bucket: int = 4096,
-                   points: int | None = None) -> DataFrame:
-    """Trailing mean over the last ``window`` points (W2).  With the number of
-    ``points`` known and at most one bucket, no halo copies are made."""
-    return halo_window(indexed, [], STEP, max(int(window), 1), out, lambda w: F.avg(value).over(w), bucket, points)
+def series_rolling(indexed: DataFrame, value: str, window: int, out: str = "rolling", bucket: int = 4096) -> DataFrame:
+    """Trailing mean over the last ``window`` points (W2)."""
+    return halo_window(indexed, [], STEP, max(int(window), 1), out, lambda w: F.avg(value).over(w), bucket)
 
 
 def cumulative(indexed: DataFrame, value: str, out: str = "cumulative", bucket: int = 4096) -> DataFrame:
@@ -38,12 +35,14 @@ def cumulative(indexed: DataFrame, value: str, out: str = "cumulative", bucket:
     b = F.floor(F.col(STEP) / bucket).cast("long")
     keyed = indexed.withColumn("__gc_b", b)
     totals = keyed.groupBy("__gc_b").agg(F.sum(value).alias("__gc_t"))
-    # one row per bucket: n / bucket rows, numbered in a single small window
-    offsets = totals.withColumn(
-        "__gc_off",
-        F.coalesce(F.sum("__gc_t").over(Window.orderBy("__gc_b").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0.0)),
-    ).drop("__gc_t")
+    # the same again over groups of buckets: a group's offset, then a running sum within it
+    groups = totals.withColumn("__gc_g", F.floor(F.col("__gc_b") / bucket).cast("long"))
+    sums = groups.groupBy("__gc_g").agg(F.sum("__gc_t").alias("__gc_s"))
+    before = sums.alias("a").join(sums.alias("b"), F.col("b.__gc_g") < F.col("a.__gc_g"), "left").groupBy(
+        F.col("a.__gc_g").alias("__gc_g")).agg(F.coalesce(F.sum("b.__gc_s"), F.lit(0.0)).alias("__gc_go"))
+    within = Window.partitionBy("__gc_g").orderBy("__gc_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = groups.join(before, "__gc_g").select(
+        "__gc_b", (F.col("__gc_go") + F.coalesce(F.sum("__gc_t").over(within), F.lit(0.0))).alias("__gc_off"))
     inner = Window.partitionBy("__gc_b").orderBy(STEP).rowsBetween(Window.unboundedPreceding, 0)
     return (keyed.join(offsets, "__gc_b")
             .withColumn(out, F.col("__gc_off") + F.sum(value).over(inner))
@@ -92,10 +91,10 @@ def series_summary(series: DataFrame, time: str, value: str) -> DataFrame:
 TIME_MODES = ("raw", "rolling mean", "anomaly", "cumulative", "trend")
 
 
-def time_analysis(grid, how: str = "mean", mode: str = "raw", window: int = 3, resolution: int = 400):
+def time_analysis(grid, how: str = "mean", mode: str = "raw", window: int = 3, resolution: int | None = None):
     """The time-analysis frame: reduce every non-time dim to one series, drop
     missing points, number them in time order, derive ``value`` by ``mode``
-    (``trend`` also adds the fitted line), then thin to ``resolution``
+    (``trend`` also adds the fitted line), then, if asked, thin to ``resolution``
     evenly spread points.  Returns (frame, summary DataFrame of one row)."""
     from gridcells.operators.preview import downsample
     from gridcells.operators.reduce import series_reduce
@@ -104,9 +103,9 @@ def time_analysis(grid, how: str = "mean", mode: str = "raw", window: int = 3, r
         raise ValueError(f"unknown time mode {mode!r}")
     t = grid.require_time("Time analysis")
     raw = series_reduce(grid, how).select(F.col(t).alias("time"), F.col(grid.value).alias("raw"))
-    idx, points = index_rows(raw.where(F.col("raw").isNotNull()), ["time"], STEP)
+    idx = with_time_step(raw, "time", "raw")
     if mode == "rolling mean":
-        frame = series_rolling(idx, "raw", window, out="value", points=points)
+        frame = series_rolling(idx, "raw", window, out="value")
     elif mode == "anomaly":
         frame = series_anomaly(idx, "raw", out="value")
     elif mode == "cumulative":
@@ -116,4 +115,4 @@ def time_analysis(grid, how: str = "mean", mode: str = "raw", window: int = 3, r
     else:
         frame = idx.withColumn("value", F.col("raw"))
     frame = frame.withColumn("time_label", F.col("time").cast("string"))
-    return downsample(frame, ["time"], resolution), series_summary(raw, "time", "raw")
+    return downsample(frame, ["time"], resolution) if resolution else frame, series_summary(raw, "time", "raw")

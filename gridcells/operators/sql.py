@@ -1,20 +1,29 @@
 """SELECT-only SQL over the grid variables.
 
-Every variable is a temp view; the text is checked (SELECT/WITH prefix, and
-it must analyse as a subquery, which a ``WITH ... INSERT`` cannot), then the
-user's own query runs on Spark SQL over the full data and is capped at
-``max_rows``.  Reading files by path inside SQL is switched off while it runs.
+While a query is analysed every variable is a temp view; the text is checked (SELECT/WITH prefix, no
+other relations, no JVM calls, and it must analyse as a subquery, which a ``WITH ... INSERT`` cannot), then the
+user's own query runs on Spark SQL over the full data.  Reading files by path inside SQL is switched off while it runs.
 """
 
 from __future__ import annotations
 
+import re
 from contextlib import contextmanager
+from typing import Iterable
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from gridcells.model import GridDataset, GridTable
 
-DEFAULT_MAX_ROWS = 5000
+# Functions that call arbitrary JVM methods; no query over grids needs them.
+_JVM_CALL = re.compile(r"\b(?:try_)?reflect\s*\(|\bjava_method\s*\(", re.IGNORECASE)
+# Text between quotes (of any kind) and comments, which hold no calls.
+_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
+
+
+class RejectedQuery(ValueError):
+    """The query is not a plain SELECT over the given tables."""
 
 
 @contextmanager
@@ -32,44 +41,80 @@ def _session_conf(spark: SparkSession, **conf: str):
                 spark.conf.set(k, v)
 
 
-def sql_guard(spark: SparkSession, query: str) -> str:
+@contextmanager
+def _views(spark: SparkSession, frames: dict[str, DataFrame]):
+    """The frames as temp views; afterwards they are gone and views of the same names are back."""
+    before = {}
+    for name in frames:
+        if any(t.name == name.lower() and t.isTemporary for t in spark.catalog.listTables(pattern=name)):
+            before[name] = spark.table(f"`{name}`")
+    try:
+        for name, df in frames.items():
+            df.createOrReplaceTempView(f"`{name}`" if not name.isidentifier() else name)
+        yield
+    finally:
+        for name in frames:
+            spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)
+
+
+def _relations(spark: SparkSession, text: str) -> set[str]:
+    """Names of relations in the parsed query that are not its own WITH tables."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+    named = {x.strip() for x in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan)}
+    own = {x.strip().lower() for part in re.findall(r"\bCTE \[([^\]]*)\]", plan) for x in part.split(",")}
+    return {x for x in named if x.lower() not in own}
+
+
+def sql_guard(spark: SparkSession, query: str, tables: Iterable[str] | None = None) -> str:
+    """The query's text, if it is one SELECT (or WITH) that reads only ``tables`` (None: any) and calls no
+    JVM methods; else ``RejectedQuery``."""
     text = (query or "").strip()
     while text.endswith(";"):
         text = text[:-1].rstrip()
     if not text:
-        raise ValueError("Provide a SQL query to execute.")
+        raise RejectedQuery("the query is empty")
     if not text.lower().startswith(("select", "with")):
-        raise ValueError("Only SELECT and WITH queries are supported.")
-    # analysed, not executed: building the DataFrame resolves the plan
-    spark.sql(f"SELECT * FROM ({text}) AS __checked").schema  # noqa: B018
+        raise RejectedQuery(f"a query begins with SELECT or WITH, not {text.split()[0]!r}")
+    if _JVM_CALL.search(_QUOTED.sub("''", text)):
+        raise RejectedQuery("the query calls JVM methods")
+    try:
+        foreign = set() if tables is None else {x for x in _relations(spark, text) if x.lower() not in {t.lower() for t in tables}}
+        if foreign:
+            raise RejectedQuery(f"the query reads {sorted(foreign)}, which are not among its tables")
+        # analysed, not executed: building the DataFrame resolves the plan
+        spark.sql(f"SELECT * FROM ({text}\n) AS __checked").schema  # noqa: B018
+    except ParseException as e:
+        raise RejectedQuery(f"the query is not one SELECT: {e}") from None
     return text
 
 
 def sql_execute(spark: SparkSession, tables: GridDataset | dict[str, DataFrame], query: str,
-                max_rows: int = DEFAULT_MAX_ROWS, double_quoted_identifiers: bool = True,
+                max_rows: int = 0, double_quoted_identifiers: bool = True,
                 preview_rows: int | None = None) -> DataFrame:
-    """Run a checked SELECT over the variables; the result is capped with
-    ``limit`` (which keeps the query's own ORDER BY).  ``preview_rows=n``
-    registers each grid's leading-rectangle preview instead of the full
-    table (the reference queries previews)."""
-    from gridcells.operators.preview import preview
+    """Run a checked SELECT over the variables.  ``max_rows`` caps the result with
+    ``limit`` (which keeps the query's own ORDER BY); 0 returns all.  ``preview_rows=n``
+    lets the query read each grid's leading-rectangle preview, in stored order, instead of the full
+    table.  The session's own views are as before afterwards."""
+    from gridcells.operators.preview import canonical_order, preview
 
     views = tables.variables if isinstance(tables, GridDataset) else tables
+    frames = {}
     for name, obj in views.items():
         if isinstance(obj, GridTable):
-            df = preview(obj, preview_rows) if preview_rows else obj.df
+            frames[name] = canonical_order(obj.with_df(preview(obj, preview_rows))) if preview_rows else obj.df
         else:
-            df = obj
-        df.createOrReplaceTempView(name)
+            frames[name] = obj
     conf = {"spark.sql.runSQLOnFiles": "false",
             "spark.sql.ansi.doubleQuotedIdentifiers": "true" if double_quoted_identifiers else "false"}
     if double_quoted_identifiers:
         # "x" as an identifier is only honoured in ANSI mode (Spark's default)
         conf["spark.sql.ansi.enabled"] = "true"
-    with _session_conf(spark, **conf):
-        text = sql_guard(spark, query)
+    with _views(spark, frames), _session_conf(spark, **conf):
+        text = sql_guard(spark, query, frames)
         df = spark.sql(text)
-        # the plan is analysed now; later execution does not reread the conf
+        # the plan is analysed now; later execution does not reread the conf or the views
         df.schema  # noqa: B018
     return df.limit(max_rows) if max_rows and max_rows > 0 else df
 
@@ -77,6 +122,7 @@ def sql_execute(spark: SparkSession, tables: GridDataset | dict[str, DataFrame],
 def example_queries(name: str, grid: GridTable) -> dict[str, str]:
     """The four canned queries: head, count/min/max, mean per first dim,
     two-dim listing."""
+    # The texts of the canned queries.
     v = grid.value
     dims = list(grid.dims)
     out = {

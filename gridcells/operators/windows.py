@@ -26,13 +26,10 @@ _BUCKET = "__gc_bucket"
 _HALO = "__gc_halo"
 
 
-def halo_window(df: DataFrame, partition: list[str], pos: str, width: int, out, agg, bucket: int = 4096,
-                axis_length: int | None = None) -> DataFrame:
+def halo_window(df: DataFrame, partition: list[str], pos: str, width: int, out, agg, bucket: int = 4096) -> DataFrame:
     """``agg`` (a function Column->Column, or a list of them with a list of
     ``out`` names) over the trailing ``width`` positions ending at each row,
-    within ``partition``; rows keep their columns.  When the whole axis fits
-    in one bucket (``axis_length <= bucket``) the window runs per partition
-    directly."""
+    within ``partition``; rows keep their columns."""
     outs = [out] if isinstance(out, str) else list(out)
     aggs = [agg] if callable(agg) else list(agg)
     width = max(int(width), 1)
@@ -41,17 +38,16 @@ def halo_window(df: DataFrame, partition: list[str], pos: str, width: int, out,
     def apply(frame: DataFrame, w) -> DataFrame:
         return frame.select("*", *[a(w).alias(o) for o, a in zip(outs, aggs)])
 
-    if axis_length is not None and axis_length <= bucket:
-        keys = partition if partition else [F.lit(0)]
-        return apply(df, Window.partitionBy(*keys).orderBy(pos).rangeBetween(-(width - 1), 0))
     base = df.withColumn(_BUCKET, F.floor(F.col(pos) / bucket).cast("long"))
     if width > 1:
-        in_tail = (F.col(pos) - F.col(_BUCKET) * bucket) >= bucket - (width - 1)
+        in_tail = (F.coalesce(F.col(pos), F.lit(0)) - F.col(_BUCKET) * bucket) >= bucket - (width - 1)
         copies = F.when(in_tail, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
         base = base.withColumn(_HALO, F.explode(copies)).withColumn(
             _BUCKET, F.col(_BUCKET) + F.col(_HALO).cast("long"))
     else:
         base = base.withColumn(_HALO, F.lit(False))
+    # rows without a position have no bucket either; they share one window that nobody reads, so spread them
+    base = base.withColumn(_BUCKET, F.coalesce(_BUCKET, -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1024))))
     w = Window.partitionBy(*partition, _BUCKET).orderBy(pos).rangeBetween(-(width - 1), 0)
     return apply(base, w).where(~F.col(_HALO)).drop(_BUCKET, _HALO)
 
@@ -68,18 +64,20 @@ def rolling_mean(grid: GridTable, window: int = 3, bucket: int = 4096) -> GridTa
     t = grid.require_time("Rolling mean")
     w = max(int(window), 1)
     others = grid.other_dims(t)
-    axis, n = axis_table(grid.df, t, "__gc_pos")
-    cells = grid.df.join(axis, t, "inner")
+    axis, _ = axis_table(grid.df, t, "__gc_pos", t in grid.descending)
+    cells = grid.df.join(axis, t, "left")         # a row without a time has no position, and no window
     value = grid.value
     if grid.unique_cells:
-        out = halo_window(cells, others, "__gc_pos", w, "__gc_roll", lambda win: F.avg(value).over(win), bucket, n)
-        return grid.with_df(out.withColumn(value, F.col("__gc_roll")).select(*grid.df.columns))
+        out = halo_window(cells, others, "__gc_pos", w, "__gc_roll", lambda win: F.avg(value).over(win), bucket)
+        return grid.with_df(out.withColumn(value, F.when(F.col("__gc_pos").isNotNull(), F.col("__gc_roll")))
+                            .select(*grid.df.columns))
     parts = cells.groupBy(*others, "__gc_pos").agg(F.sum(value).alias("__gc_psum"), F.count(value).alias("__gc_pcnt"))
     rolled = halo_window(parts, others, "__gc_pos", w, ["__gc_wsum", "__gc_wcnt"],
                          [lambda win: F.sum("__gc_psum").over(win), lambda win: F.sum("__gc_pcnt").over(win)],
-                         bucket, n)
+                         bucket)
     means = rolled.select(*others, "__gc_pos",
-                          F.try_divide(F.col("__gc_wsum"), F.col("__gc_wcnt")).alias("__gc_roll"))
+                          F.when(F.col("__gc_pos").isNotNull(), F.try_divide(F.col("__gc_wsum"), F.col("__gc_wcnt")))
+                          .alias("__gc_roll"))
     a, b = cells.alias("__a"), means.alias("__b")
     joined = a.join(b, [F.col(f"__a.{k}").eqNullSafe(F.col(f"__b.{k}")) for k in [*others, "__gc_pos"]], "inner")
     return grid.with_df(joined.select(*[F.col("__b.__gc_roll").alias(c) if c == value else F.col(f"__a.{c}")
@@ -91,22 +89,20 @@ def monthly_anomaly(grid: GridTable, how: str = "mean", approx: bool = False, st
     """value minus the per-cell climatology of its calendar month, computed on
     this (already selected) grid.
 
-    ``window``: one shuffle, the baseline is a window aggregate over
-    (month, cell).  Used by ``auto`` when the table holds one row per cell,
-    because a (month, cell) partition then holds one row per year at most.
-    ``join``: the climatology is a grouped aggregate (partial aggregation, so
+    The climatology is a grouped aggregate (partial aggregation, so
     a hot cell of a long observation table is combined map-side) joined back
     on (month, cell); AQE broadcasts it when its measured size is small and
-    splits skewed join partitions otherwise."""
+    splits skewed join partitions otherwise.  ``strategy="window"`` asks for a
+    window aggregate over (month, cell) instead: one shuffle of the cells, for
+    callers who know that a cell's history is short."""
     t = grid.require_time("Anomaly")
     others = grid.other_dims(t)
-    if strategy == "window" or (strategy == "auto" and grid.unique_cells and not approx
-                                and median_strategy in ("auto", "collect")):
+    if strategy == "window":
         w = Window.partitionBy(month_of(t), *others)
         base = reducer(how, grid.value).over(w)
         return grid.with_df(grid.df.withColumn(grid.value, F.col(grid.value) - base))
     keyed = grid.df.withColumn("__gc_month", month_of(t))
-    strat = "approx" if approx else ("sort" if median_strategy == "auto" else median_strategy)
+    strat = "approx" if approx else ("counts" if median_strategy == "auto" else median_strategy)
     clim = grouped(keyed, ["__gc_month", *others], grid.value, how, strat).withColumnRenamed(grid.value, "__gc_base")
     return grid.with_df(_subtract_baseline(keyed, clim, ["__gc_month", *others], grid))
 
@@ -120,14 +116,11 @@ def _subtract_baseline(cells: DataFrame, base: DataFrame, keys: list[str], grid:
                            else F.col(f"__a.{c}") for c in grid.df.columns])
 
 
-def mean_anomaly(grid: GridTable, strategy: str = "auto") -> GridTable:
+def mean_anomaly(grid: GridTable) -> GridTable:
     """value minus the cell's mean over time (the baseline when the time dim
-    carries no calendar).  Same strategies as ``monthly_anomaly``."""
+    carries no calendar): a grouped mean joined back to the cells."""
     t = grid.require_time("Anomaly")
     others = grid.other_dims(t)
-    if others and (strategy == "window" or (strategy == "auto" and grid.unique_cells)):
-        return grid.with_df(grid.df.withColumn(grid.value, F.col(grid.value) - F.avg(grid.value).over(
-            Window.partitionBy(*others))))
     if not others:
         base = grid.df.select(F.avg(grid.value)).scalar()
         return grid.with_df(grid.df.withColumn(grid.value, F.col(grid.value) - base))

@@ -7,6 +7,7 @@ count.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Any, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,7 @@ class GridSource:
             dataset = GridDataset({value: GridTable.from_frame(df, tuple(dims), value)},
                                   source_mode="multi" if multi else "single", source_uris=uris)
         self.dataset = dataset
+        self._roles: dict[str, dict[str, str | None]] = {}
 
     # -- tables -----------------------------------------------------------
     def get_tables(self) -> list[str]:
@@ -69,6 +71,9 @@ class GridSource:
     def get_dimension_info(self, table: str) -> DataFrame:
         return profile.dimension_info(self.table(table))
 
+    def get_dimension_labels(self, table: str, dims: list[str] | None = None) -> DataFrame:
+        return profile.dimension_labels(self.table(table), dims)
+
     def describe(self) -> DataFrame:
         return profile.describe(self.dataset)
 
@@ -82,7 +87,7 @@ class GridSource:
         return roles.coord_metadata(self.table(table))
 
     # -- SQL and transforms -------------------------------------------------
-    def execute(self, query: str, max_rows: int = sql.DEFAULT_MAX_ROWS, preview_rows: int | None = None) -> DataFrame:
+    def execute(self, query: str, max_rows: int = 0, preview_rows: int | None = None) -> DataFrame:
         spark = self.table(self.get_tables()[0]).df.sparkSession
         return sql.sql_execute(spark, self.dataset, query, max_rows=max_rows, preview_rows=preview_rows)
 
@@ -91,4 +96,11 @@ class GridSource:
         return list(sql.example_queries(name, self.table(name)).values())
 
     def transform(self, table: str, transform: str = "none", query: dict | None = None, **kw: Any):
-        return apply_transform(self.select(table, **(query or {})), transform, **kw)
+        grid = self.select(table, **(query or {}))
+        return apply_transform(grid if grid.roles else replace(grid, roles=self.roles(table)), transform, **kw)
+
+    def roles(self, table: str) -> dict[str, str | None]:
+        """Detected roles of the table's coordinates, found once."""
+        if table not in self._roles:
+            self._roles[table] = dict(self.table(table).roles) or roles.detect_roles(self.table(table))
+        return self._roles[table]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcells.model import GridTable
+from gridcells.operators.axes import axis_table
 
 
 def flatten_array(df: DataFrame, keys: list[str], array_col: str, pos_col: str = "position",
@@ -16,29 +17,30 @@ def flatten_array(df: DataFrame, keys: list[str], array_col: str, pos_col: str =
     return df.select(*keys, F.posexplode(array_col).alias(pos_col, value_col))
 
 
-def densify(grid: GridTable, max_cells: int = 50_000_000) -> GridTable:
+LABELS_PER_CHUNK = 1024
+
+
+def densify(grid: GridTable) -> GridTable:
     """Make the cell table the complete product of its axes; absent cells get
     a NULL value.
 
-    The result *is* the product of the axis sizes, so those sizes are
-    measured first and checked against ``max_cells``.  The largest axis stays
-    a distributed table; every other axis becomes a sorted label array (a
-    scalar subquery, bounded by the same check) exploded next to it, so no
-    join of unrelated rows is planned.  The cells are then left-joined onto
-    the product.
+    The result *is* the product of the axis sizes (``row_guard`` before it bounds that).
+    The labels of the longest axis stay rows; every other axis is cut into numbered
+    chunks of at most ``LABELS_PER_CHUNK`` labels, and each row meets each chunk in an equality join
+    on the chunk's number, so no array grows with the data.  The cells are then
+    left-joined onto the product.
     """
     dims = list(grid.dims)
-    sizes = grid.df.agg(*[F.count_distinct(d).alias(d) for d in dims]).collect()[0].asDict()
-    total = 1
-    for d in dims:
-        total *= sizes[d]
-    if total > max_cells:
-        raise ValueError(f"dense grid would hold {total} cells (> {max_cells})")
-    order = sorted(dims, key=lambda d: -sizes[d])
-    product = grid.df.select(order[0]).where(F.col(order[0]).isNotNull()).distinct()
+    axes = {d: axis_table(grid.df, d, "__gc_pos") for d in dims}
+    order = sorted(dims, key=lambda d: -axes[d][1])
+    product = axes[order[0]][0].select(order[0])
     for d in order[1:]:
-        labels = grid.df.agg(F.sort_array(F.collect_set(d))).scalar()
-        product = product.withColumn(d, F.explode(labels))
+        axis, n = axes[d]
+        chunks = axis.groupBy(F.floor(F.col("__gc_pos") / LABELS_PER_CHUNK).cast("long").alias("__gc_chunk")).agg(
+            F.collect_list(d).alias("__gc_labels"))
+        numbers = F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0) // LABELS_PER_CHUNK).cast("long"))
+        product = (product.withColumn("__gc_chunk", F.explode(numbers)).join(chunks, "__gc_chunk")
+                   .withColumn(d, F.explode("__gc_labels")).drop("__gc_chunk", "__gc_labels"))
     cells = grid.df.select(*dims, grid.value)
     dense = product.join(cells, dims, "left").select(*dims, grid.value)
     return grid.with_df(dense, aux=())

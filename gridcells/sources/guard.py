@@ -10,10 +10,10 @@ class RowLimitExceeded(ValueError):
 
 
 def row_guard(df: DataFrame, max_rows: int) -> DataFrame:
-    """Raise if ``df`` has more than ``max_rows`` rows (0 = no guard).  Counts
-    at most ``max_rows + 1`` rows, so the check stops early on big inputs."""
+    """Raise if ``df`` has more than ``max_rows`` rows (0 = no guard): one
+    distributed count, of which a number a task reaches the driver."""
     if max_rows and max_rows > 0:
-        n = df.limit(max_rows + 1).count()
+        n = df.count()
         if n > max_rows:
-            raise RowLimitExceeded(f"selection has more than {max_rows} rows; refine the query or raise max_rows")
+            raise RowLimitExceeded(f"the selection has {n} rows and the limit is {max_rows}")
     return df

@@ -65,11 +65,22 @@ def open_single(spark: SparkSession, uri: str | None, fmt: str | None = None, sc
 
 def open_multi(spark: SparkSession, uri: str | Iterable[str], fmt: str | None = None, schema=None,
                **load_kwargs) -> DataFrame:
-    """Open every input and stack them by column name (missing columns NULL)."""
+    """Open every input and stack them by column name (missing columns NULL).
+
+    Inputs of one format are one scan over a list of paths, whose schemas Spark merges
+    in parallel; only CSV without a schema, whose columns go by position, is one
+    scan a path."""
     paths = expand_input_uris(uri, spark) if isinstance(uri, str) else list(uri)
     if not paths:
         raise ValueError("No input paths.")
-    frames = [open_single(spark, p, fmt, schema, **load_kwargs) for p in paths]
+    groups: dict[str, list[str]] = {}
+    for p in paths:
+        kind = _format_of(p, fmt)
+        groups.setdefault(p if kind == "csv" and schema is None else kind, []).append(p)
+    frames = []
+    for members in groups.values():
+        reader = spark.read.format(_format_of(members[0], fmt)).options(**{"mergeSchema": "true", **load_kwargs})
+        frames.append((reader if schema is None else reader.schema(schema)).load(members))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -81,18 +92,22 @@ def combine_parts(parts: list[DataFrame], dims: list[str], on_overlap: str = "er
 
     Overlapping cells (a cell present in two parts): ``error`` raises after a
     grouped count (partial aggregation, one small result row), ``first`` keeps
-    one value per cell, ``keep`` leaves all rows.
+    the values of the earliest part that has the cell, ``keep`` leaves all rows.
     """
     if not parts:
         raise ValueError("Nothing to combine.")
-    stacked = parts[0]
-    for p in parts[1:]:
+    numbered = [p.withColumn("__part", F.lit(i)) for i, p in enumerate(parts)]
+    stacked = numbered[0]
+    for p in numbered[1:]:
         stacked = stacked.unionByName(p, allowMissingColumns=True)
     if on_overlap == "keep":
-        return stacked
+        return stacked.drop("__part")
     if on_overlap == "first":
-        value_cols = [c for c in stacked.columns if c not in dims]
-        return stacked.groupBy(*dims).agg(*[F.first(c, ignorenulls=True).alias(c) for c in value_cols])
+        rest = [c for c in stacked.columns if c not in dims and c != "__part"]
+        # within a part the least values decide, so the result does not depend on the order of rows
+        first = F.min(F.struct("__part", *rest)).alias("__first")
+        return stacked.groupBy(*dims).agg(first).select(*dims, *[F.col(f"__first.{c}").alias(c) for c in rest])
+    stacked = stacked.drop("__part")
     dup = stacked.groupBy(*dims).count().where(F.col("count") > 1).limit(1).collect()
     if dup:
         raise ValueError(f"parts overlap at cell {dup[0].asDict()}")
@@ -107,6 +122,8 @@ def merge_variables(frames: dict[str, DataFrame], dims: list[str]) -> DataFrame:
     for name in names[1:]:
         right = frames[name]
         shared = [d for d in dims if d in out.columns and d in right.columns]
+        if not shared:
+            raise ValueError(f"{name!r} shares no dimension of {dims} with {names[0]!r}, so their cells cannot be matched")
         l, r = out.alias("l"), right.alias("r")
         cond = [F.col(f"l.{d}").eqNullSafe(F.col(f"r.{d}")) for d in shared]
         joined = l.join(r, cond, "full_outer")

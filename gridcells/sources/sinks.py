@@ -47,7 +47,8 @@ def save_dataset(dataset: GridDataset, path: str, partition_by_year: bool = True
         t = grid.time_dim
         if t:
             n = num_files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            df = df.repartitionByRange(n, F.col(t)).sortWithinPartitions(t)
+            # the other dims split a time label that holds many cells
+            df = df.repartitionByRange(n, *[F.col(d) for d in (t, *grid.other_dims(t))]).sortWithinPartitions(t)
         writer_df = df.withColumn("year", F.year(t)) if (partition_by_year and t) else df
         w = writer_df.write.mode(mode)
         if partition_by_year and t:
@@ -58,6 +59,7 @@ def save_dataset(dataset: GridDataset, path: str, partition_by_year: bool = True
         rows.append((name, "__grid__", "dims", ",".join(grid.dims)))
         rows.append((name, "__grid__", "value", grid.value))
         rows.append((name, "__grid__", "unique_cells", "true" if grid.unique_cells else "false"))
+        rows.append((name, "__grid__", "descending", ",".join(grid.descending)))
     spark = next(iter(dataset.variables.values())).df.sparkSession
     spark.createDataFrame(rows, "variable string, owner string, key string, value string") \
         .coalesce(1).write.mode(mode).parquet(os.path.join(path, "_metadata_table"))
@@ -84,5 +86,6 @@ def load_dataset(spark: SparkSession, path: str) -> GridDataset:
         variables[name] = GridTable(df.select(*spec["dims"].split(","), spec["value"], *extra),
                                     tuple(spec["dims"].split(",")), spec["value"],
                                     attrs=spec["attrs"], coord_attrs=spec["coord_attrs"],
-                                    unique_cells=spec.get("unique_cells") == "true")
+                                    unique_cells=spec.get("unique_cells") == "true",
+                                    descending=tuple(d for d in spec.get("descending", "").split(",") if d))
     return GridDataset(variables, source_mode="parquet", source_uris=(path,))

@@ -12,7 +12,8 @@ from gridcells.operators.windows import halo_window
 @pytest.mark.parametrize("parts", [1, 3, 7])
 def test_global_index_dense_and_ordered(spark, parts):
     df = spark.range(0, 3000, 3).select((F.col("id") * 7 % 3000).alias("x")).distinct()
-    out = global_index(df, ["x"], "k", num_partitions=parts)
+    out, n = global_index(df, ["x"], "k", num_partitions=parts)
+    assert n == df.count()
     rows = sorted((r.k, r.x) for r in out.collect())
     assert [k for k, _ in rows] == list(range(len(rows)))
     assert [x for _, x in rows] == sorted(x for _, x in rows)

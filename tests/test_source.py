@@ -27,8 +27,8 @@ def test_source_api(spark, synthetic):
     assert len(src.example_queries()) == 4
     out = src.execute('SELECT "lat", AVG("temperature") AS m FROM "temperature" GROUP BY "lat"')
     assert {r.lat: r.m for r in out.collect()} == {10.0: 3.5, 20.0: 5.5}
-    grid, info = src.transform("temperature", "spatial mean", query={"time": ("2024-01-01", "2024-01-01")})
-    assert info["dims_after"] == [] and grid.df.collect()[0].temperature == 2.5
+    grid, did = src.transform("temperature", "spatial mean", query={"time": ("2024-01-01", "2024-01-01")}, squeeze=True)
+    assert did.dims_after == () and grid.df.collect()[0].temperature == 2.5
     assert {r.column: r.selected_role for r in src.coordinate_roles("temperature").collect()}["lat"] == "latitude"
 
 

@@ -119,23 +119,24 @@ def test_exact_median_sorted_matches_collect(spark, parts):
 def test_anomaly_join_path_with_sorted_median(spark):
     rows = [(dt.datetime(2000 + y, m, 1), "a", float(y * 10 + m)) for y in range(3) for m in (1, 2)]
     g = GridTable.from_frame(spark.createDataFrame(rows, "time timestamp_ntz, c string, v double"), ("time", "c"), "v")
-    a = {r.time: r.v for r in windows.monthly_anomaly(g, "median", median_strategy="sort").df.collect()}
+    a = {r.time: r.v for r in windows.monthly_anomaly(g, "median", median_strategy="counts").df.collect()}
     b = {r.time: r.v for r in windows.monthly_anomaly(g, "median", strategy="window").df.collect()}
     assert a == b and a[dt.datetime(2001, 1, 1)] == 0.0
 
 
 def test_apply_transform_dispatch_and_summary(monthly):
     from gridcells.operators.transforms import apply_transform
-    out, info = apply_transform(monthly, "spatial mean", summary=True)
-    assert info["dims_after"] == ["time"] and info["shape_before"] == [6, 2, 2] and info["shape_after"] == [6]
+    out, did = apply_transform(monthly, "spatial mean", measure=True)
+    assert did.dims_after == ("time",) and did.parameters["over"] == ("lat", "lon") and did.dtype == "double"
+    assert did.sizes == {"before": {"time": 6, "lat": 2, "lon": 2}, "after": {"time": 6}}
     with pytest.raises(ValueError):
         apply_transform(monthly, "warp")
-    same, info = apply_transform(monthly, "none")
+    same, did = apply_transform(monthly, "none")
     assert same.dims == monthly.dims
-    clim, info = apply_transform(monthly, "climatology")
-    assert info["group"] == "month" and clim.dims == ("month", "lat", "lon")
-    anom, info = apply_transform(monthly, "anomaly")
-    assert info["baseline"] == "monthly climatology"
+    clim, did = apply_transform(monthly, "climatology")
+    assert clim.dims == did.dims_after == ("month", "lat", "lon")
+    anom, did = apply_transform(monthly, "anomaly")
+    assert did.parameters["baseline"] == "mean of each month"
 
 
 def test_time_analysis_modes(monthly):
