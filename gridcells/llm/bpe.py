@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from gridcells.llm.common import texts
 
-TEXTS = 1 << 22                          # characters encoded at a time
-PAIRS = 400_000                          # remembered pairs and matches a worker; beyond that both begin anew
-MATCHES = 400_000
+TEXTS = 1 << 21                          # characters encoded at a time
+PAIRS = 200_000                          # remembered pairs and matches a worker; beyond that both begin anew
+MATCHES = 250_000
 
 
 class Vocabulary:
@@ -221,17 +221,21 @@ def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(rows[0], len(rows))
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids``.  ``path`` is a rank file that every executor has."""
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           and_decode: bool = False) -> DataFrame:
+    """``doc_id, ids``; with ``and_decode`` also ``decoded``, the bytes that the ids stand for (in the
+    same pass, so that one worker a task holds the vocabulary).  ``path`` is a rank file that every executor has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
         for batch in batches:
             for part in parts(batch):
                 ids = words.encode_all([t or "" for t in part.column("text").to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"),
-                                                  "ids": pa.ListArray.from_arrays(offsets, np.concatenate(ids))})
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>")
+                out = {"doc_id": part.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, np.concatenate(ids))}
+                if and_decode:
+                    out["decoded"] = pa.array([words.decode(x.tolist()) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
+    return texts(df, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>" + ", decoded binary" * and_decode)
 
 
 def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:

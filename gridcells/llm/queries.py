@@ -62,8 +62,7 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
-    how = tokenizers.path(RANKS), tokenizers.PATTERN
-    return bpe.digests(bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), *how), *how))
+    return bpe.digests(bpe.encode(read_table(spark, sf_dir, "documents"), tokenizers.path(RANKS), tokenizers.PATTERN, and_decode=True))
 
 
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

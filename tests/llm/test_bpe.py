@@ -70,6 +70,8 @@ def test_edits_stop_where_entries_agree(ours):
 def test_documents(spark, documents, odd_documents, theirs):
     for df in (documents.where("doc_id % 4 = 1"), odd_documents):
         out = bpe.digests(bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)).collect()
+        both = bpe.digests(bpe.encode(df, PATH, public_tokenizers.PATTERN, and_decode=True)).collect()
+        assert sorted(map(tuple, out), key=str) == sorted(map(tuple, both), key=str)
         want = []
         for r in df.select("doc_id", "text").collect():
             ids, raw = theirs.encode_ordinary(r.text or ""), (r.text or "").encode()
