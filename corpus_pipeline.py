@@ -13,7 +13,6 @@ takes them all the same.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +23,6 @@ from gridcells.llm.quality_rules import keep_good
 from gridcells.llm.secret_scan import redact
 from gridcells.llm.simhash import keep_one
 
-RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
@@ -45,7 +42,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids``, and the digest of the decoded bytes."""
-    out = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, and_decode=True)
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.encode(docs, ranks, public_tokenizers.PATTERN, and_decode=True)
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from gridcells.llm.common import texts
 
-TEXTS = 1 << 21                          # characters encoded at a time
-PAIRS = 200_000                          # remembered pairs and matches a worker; beyond that both begin anew
-MATCHES = 250_000
+TEXTS = 1 << 22                          # characters encoded at a time
+PAIRS = 300_000                          # remembered pairs and matches a worker; beyond that most are forgotten
+MATCHES = 600_000
 
 
 class Vocabulary:
@@ -134,9 +134,6 @@ class Vocabulary:
             if whole is None:
                 table.become(data)
             out[data.decode()] = array("i", (whole,) if whole is not None else table.ids()).tobytes()
-        if len(self.matches) + len(out) > MATCHES:
-            self.matches.clear()
-        self.matches.update((m, ids) for m, ids in out.items() if len(m) <= 64)
         return out
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
@@ -144,7 +141,11 @@ class Vocabulary:
         cut = [self.split.findall(t) for t in texts]
         seen = set().union(*cut)
         known = {m: self.matches[m] for m in seen & self.matches.keys()}
-        known.update(self.learn(seen - known.keys()))
+        new = self.learn(seen - known.keys())
+        known.update(new)
+        if len(self.matches) + len(new) > MATCHES:
+            new, self.matches = known, {}        # of the old ones, those of these texts stay
+        self.matches.update((m, ids) for m, ids in new.items() if len(m) <= 64)
         return [np.frombuffer(b"".join(map(known.__getitem__, x)), np.int32) for x in cut]
 
     def encode(self, text: str) -> np.ndarray:

@@ -66,7 +66,7 @@ def test_equals_a_plain_version(spark):
             assert {r.doc_id: r.text for r in out.collect()} == plain, name
             assert out.where("n_chars <> length(text)").count() == 0
         docs = out
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(corpus_pipeline.RANKS, "rb"))}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = {r.doc_id: (r.ids, r.n_tokens, r.decoded_sha256) for r in docs.collect()}
     assert got == {i: (e := encoding.encode_ordinary(t), len(e), hashlib.sha256(t.encode()).hexdigest()) for i, t in plain.items()}
