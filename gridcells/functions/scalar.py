@@ -41,25 +41,39 @@ def month_of(t: Column | str) -> Column:
     return F.month(_c(t))
 
 
-def bin_start(t: Column | str, rule: str) -> Column:
-    """Label of the resample bin containing ``t`` (bin start), as timestamp_ntz.
+# Months per bin and months by which its start precedes a multiple of them.
+_BIN_MONTHS = {"MS": (1, 0), "QS-DEC": (3, 1), "YS": (12, 0)}
 
-    Computed on dates only, so the result does not depend on the session zone.
-    """
-    d = F.to_date(_c(t))
-    if rule == "MS":
-        out = F.trunc(d, "MM")
-    elif rule == "QS-DEC":
-        out = F.add_months(F.trunc(F.add_months(d, 1), "quarter"), -1)
-    elif rule == "YS":
-        out = F.trunc(d, "year")
-    else:
+
+def _bin(rule: str) -> tuple[int, int]:
+    if rule not in _BIN_MONTHS:
         raise ValueError(f"Unknown resample rule {rule!r}; expected one of {RESAMPLE_RULES}")
-    return out.cast("timestamp_ntz")
+    return _BIN_MONTHS[rule]
+
+
+def bin_number(t: Column | str, rule: str) -> Column:
+    """The bin containing ``t`` as the number of its first month (since year 0): integer arithmetic on
+    the calendar fields, so it is cheap to group by and does not depend on the session zone."""
+    step, early = _bin(rule)
+    d = F.to_date(_c(t))
+    month = F.year(d) * 12 + F.month(d) - 1 + early
+    return month - F.pmod(month, F.lit(step)) - early
+
+
+def bin_label(number: Column | str, rule: str) -> Column:
+    """Label of a numbered bin (bin start), as timestamp_ntz."""
+    n = _c(number)
+    month = F.pmod(n, F.lit(12))
+    return F.make_date(((n - month) / 12).cast("int"), month + 1, F.lit(1)).cast("timestamp_ntz")
+
+
+def bin_start(t: Column | str, rule: str) -> Column:
+    """Label of the resample bin containing ``t``."""
+    return bin_label(bin_number(t, rule), rule)
 
 
 def bin_step_months(rule: str) -> int:
-    return {"MS": 1, "QS-DEC": 3, "YS": 12}[rule]
+    return _bin(rule)[0]
 
 
 def safe_ratio(a: Column | str, b: Column | str) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcells.functions.scalar import bin_start, bin_step_months, month_of
+from gridcells.functions.scalar import bin_label, bin_number, bin_step_months, month_of
 from gridcells.model import GridTable
 
 # Reducer names the reference accepts for transforms; unknown
@@ -143,13 +143,14 @@ def resample(grid: GridTable, rule: str = "QS-DEC", how: str = "mean", fill_empt
     the array model; the span comes from a scalar subquery."""
     t = grid.require_time("Resample")
     others = grid.other_dims(t)
-    binned = grid.df.withColumn(t, bin_start(t, rule))
+    binned = grid.df.withColumn(t, bin_number(t, rule))
     df = grouped(binned, [t, *others], grid.value, how, median_strategy_for(grid, median_strategy))
+    df = df.withColumn(t, bin_label(t, rule))        # once for each group, not for each cell
     if fill_empty:
         # every bin between the first and last label: a sequence built from
         # two scalar subqueries, exploded per cell (no join of unrelated rows)
-        lo = binned.select(F.to_date(F.min(t))).scalar()
-        hi = binned.select(F.to_date(F.max(t))).scalar()
+        lo = binned.select(F.to_date(bin_label(F.min(t), rule))).scalar()
+        hi = binned.select(F.to_date(bin_label(F.max(t), rule))).scalar()
         step = bin_step_months(rule)
         bins = F.explode(F.sequence(lo, hi, F.expr(f"INTERVAL {step} MONTH")))
         cells = grid.df.select(*others).distinct() if others else grid.df.sparkSession.range(1)

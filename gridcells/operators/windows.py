@@ -21,6 +21,7 @@ from gridcells.functions.scalar import month_of
 from gridcells.model import GridTable
 from gridcells.operators.axes import axis_table
 from gridcells.operators.reduce import grouped, reducer
+from gridcells.session import checkpoint_dir
 
 _BUCKET = "__gc_bucket"
 _HALO = "__gc_halo"
@@ -107,10 +108,29 @@ def monthly_anomaly(grid: GridTable, how: str = "mean", approx: bool = False, st
     return grid.with_df(_subtract_baseline(keyed, clim, ["__gc_month", *others], grid))
 
 
+# A baseline is broadcast when its measured size is at most this.
+BROADCAST_BYTES = 32 << 20
+
+
+def _sized(base: DataFrame) -> DataFrame:
+    """The table computed once (it has one row per cell and month at most), with a broadcast hint if
+    its measured bytes are few; beyond that both sides of its join are shuffled."""
+    checkpoint_dir(base.sparkSession)
+    base = base.checkpoint(eager=True)
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in base.dtypes if t == "string"]
+    rows, size = base.agg(F.count(F.lit(1)), F.sum(sum(texts, F.lit(16 * (len(base.columns) + 1))))).first()
+    return F.broadcast(base) if (size or 0) <= BROADCAST_BYTES else base
+
+
 def _subtract_baseline(cells: DataFrame, base: DataFrame, keys: list[str], grid: GridTable) -> DataFrame:
-    """cells.value - base.__gc_base, joined NULL-safely on ``keys``."""
+    """cells.value - base.__gc_base, joined NULL-safely on ``keys``: on one hash of them, and then on
+    the keys themselves."""
+    cells = cells.withColumn("__gc_hash", F.xxhash64(*keys))
+    base = _sized(base.withColumn("__gc_hash", F.xxhash64(*keys)))
     a, b = cells.alias("__a"), base.alias("__b")
-    cond = [F.col(f"__a.{k}").eqNullSafe(F.col(f"__b.{k}")) for k in keys]
+    cond = F.col("__a.__gc_hash") == F.col("__b.__gc_hash")
+    for k in keys:
+        cond &= F.col(f"__a.{k}").eqNullSafe(F.col(f"__b.{k}"))
     joined = a.join(b, cond, "inner")
     return joined.select(*[(F.col(f"__a.{c}") - F.col("__b.__gc_base")).alias(c) if c == grid.value
                            else F.col(f"__a.{c}") for c in grid.df.columns])
