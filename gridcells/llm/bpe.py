@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcells.llm.common import texts
+from gridcells.llm.tokens import slices
 
-TEXTS = 1 << 22                          # characters encoded at a time
-PAIRS = 300_000                          # remembered pairs and matches a worker; beyond that most are forgotten
-MATCHES = 600_000
+TEXTS = 1 << 21                          # characters encoded at a time
+PAIRS = 200_000                          # remembered pairs and matches a worker; beyond that most are forgotten
+MATCHES = 350_000
 
 
 class Vocabulary:
@@ -214,14 +215,6 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(ranks, pattern)
 
 
-def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of about ``TEXTS`` bytes of text at a time."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // TEXTS)) + 1):
-        if len(rows):
-            yield batch.slice(rows[0], len(rows))
-
-
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
            and_decode: bool = False) -> DataFrame:
     """``doc_id, ids``; with ``and_decode`` also ``decoded``, the bytes that the ids stand for (in the
@@ -229,7 +222,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
         for batch in batches:
-            for part in parts(batch):
+            for part in slices(batch, TEXTS):
                 ids = words.encode_all([t or "" for t in part.column("text").to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 out = {"doc_id": part.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, np.concatenate(ids))}

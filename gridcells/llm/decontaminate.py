@@ -31,7 +31,7 @@ from pyspark.sql.types import StructType
 
 from gridcells.llm.common import cut, share_code, text_bytes, texts
 from gridcells.llm.fm_index import FMIndex
-from gridcells.llm.tokens import ALNUM, Words, words_of
+from gridcells.llm.tokens import ALNUM, Words, slices, words_of
 
 GAP = 1                                  # stands between runs; words of items are numbered from 2
 
@@ -105,15 +105,6 @@ def search_shard(column: pa.Array, windows: Windows) -> tuple[Words, np.ndarray,
     return words, hit, np.repeat(pairs[:, 0], owners), item
 
 
-def shards(batch: pa.RecordBatch, name: str, shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(name).cast(pa.large_string())]) \
-        if batch.num_rows else np.zeros(0)
-    shard = (np.cumsum(sizes) // shard_bytes).astype(np.int64)
-    for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(shard)) + 1):
-        if len(part):
-            yield batch.slice(part[0], len(part))
-
-
 def spans(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of set marks as [start, end)."""
     edge = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))
@@ -147,7 +138,7 @@ def searcher(windows: Windows, shard_bytes: int, names: list[str], clean: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in shards(batch, "text", shard_bytes):
+            for shard in slices(batch, shard_bytes):
                 yield one(shard)
     return run
 

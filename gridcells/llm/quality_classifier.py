@@ -23,12 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcells.llm.common import share_code
-from gridcells.llm.tokens import U64, window_hashes, words_of
+from gridcells.llm.tokens import U64, slices, window_hashes, words_of
 
 STATISTICS = 14
 SHARD = 4 << 20
@@ -131,15 +130,6 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``SHARD`` bytes of text."""
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-        for rows in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // SHARD)) + 1):
-            if len(rows):
-                yield batch.slice(rows[0], len(rows))
-
-
 def inputs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     chars = F.col("n_chars").cast("bigint") if "n_chars" in df.columns else F.lit(None).cast("bigint")
     share_code(df.sparkSession)
@@ -155,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, bits: int, factors
     some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
+        for b in (part for batch in batches for part in slices(batch, SHARD)):
             row, feature, value = features(b, bits)
             order = np.argsort(row, kind="stable")
             cuts = np.searchsorted(row[order], np.arange(1, b.num_rows))
@@ -191,7 +181,7 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     machine.w, machine.v = machine.w.astype(np.float32), machine.v.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
+        for b in (part for batch in batches for part in slices(batch, SHARD)):
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(machine.scores(b, bits))})
 
     return docs.mapInArrow(run, RESULT).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",

@@ -178,10 +178,10 @@ def send_windows(width: int, buckets: int):
 
 def later_windows(width: int):
     def run(table: pa.Table) -> pa.Table:
-        blocks, blobs = [], []
-        sent = [(b, x) for k, b, x in zip(table["kind"].to_pylist(), table["block"].to_pylist(),
-                                          table["blob"].to_pylist(), strict=True)
-                if k == "windows" or (blocks.append(b), blobs.append(x))[0]]
+        rows = list(zip(table["kind"].to_pylist(), table["block"].to_pylist(), table["blob"].to_pylist(), strict=True))
+        # what blocks found within themselves goes on as it is
+        blocks, blobs = [b for k, b, _ in rows if k == "ranges"], [x for k, _, x in rows if k == "ranges"]
+        sent = [(b, x) for k, b, x in rows if k == "windows"]
         if sent:
             parts = [unpack(x, "u8", "u8", "u8", "i8", "i8") for _, x in sent]
             owner = np.repeat([b for b, _ in sent], [len(p[0]) for p in parts])

@@ -6,10 +6,12 @@ can be cut and hashed on bytes without decoding.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 U64 = np.uint64
@@ -87,6 +89,15 @@ class Words:
         return out
 
 
+def slices(batch: pa.RecordBatch, n_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about ``n_bytes`` of text at a time (a longer text alone)."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    place = np.cumsum(size, dtype=np.int64) // n_bytes
+    for rows in np.split(np.arange(len(size)), np.flatnonzero(np.diff(place)) + 1):
+        if len(rows):
+            yield batch.slice(rows[0], len(rows))
+
+
 def string_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and the offsets (nulls are empty)."""
     if isinstance(column, pa.ChunkedArray):
