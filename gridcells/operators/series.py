@@ -35,11 +35,11 @@ def cumulative(indexed: DataFrame, value: str, out: str = "cumulative", bucket:
     b = F.floor(F.col(STEP) / bucket).cast("long")
     keyed = indexed.withColumn("__gc_b", b)
     totals = keyed.groupBy("__gc_b").agg(F.sum(value).alias("__gc_t"))
-    # the same again over groups of buckets: a group's offset, then a running sum within it
+    # the same again over groups of buckets: only n / bucket^2 sums are ordered in one place
     groups = totals.withColumn("__gc_g", F.floor(F.col("__gc_b") / bucket).cast("long"))
     sums = groups.groupBy("__gc_g").agg(F.sum("__gc_t").alias("__gc_s"))
-    before = sums.alias("a").join(sums.alias("b"), F.col("b.__gc_g") < F.col("a.__gc_g"), "left").groupBy(
-        F.col("a.__gc_g").alias("__gc_g")).agg(F.coalesce(F.sum("b.__gc_s"), F.lit(0.0)).alias("__gc_go"))
+    before = sums.select("__gc_g", F.coalesce(F.sum("__gc_s").over(
+        Window.orderBy("__gc_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__gc_go"))
     within = Window.partitionBy("__gc_g").orderBy("__gc_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.join(before, "__gc_g").select(
         "__gc_b", (F.col("__gc_go") + F.coalesce(F.sum("__gc_t").over(within), F.lit(0.0))).alias("__gc_off"))
