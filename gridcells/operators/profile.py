@@ -40,9 +40,11 @@ def _kind(dtype: T.DataType) -> str:
 
 
 def attach_scalars(wide: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate as scalar subqueries (Catalyst
-    merges subqueries over the same plan into one computation)."""
-    return wide.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
+    """Add the columns of a one-row aggregate, as the fields of one scalar subquery (a subquery
+    a column would compute the aggregate once for each)."""
+    names = one_row.columns
+    row = one_row.select(F.struct(*names).alias("__row")).scalar()
+    return wide.withColumn("__row", row).select(*wide.columns, *[F.col(f"__row.{c}").alias(c) for c in names])
 
 
 def _unpivot(wide: DataFrame, structs: list[Column]) -> DataFrame:
