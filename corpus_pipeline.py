@@ -24,6 +24,10 @@ from gridcells.llm.secret_scan import redact
 from gridcells.llm.simhash import keep_one
 
 
+# Workers of earlier stages stay beside those that encode, so these remember less and forget after each task.
+TOKEN_MEMORY = bpe.Memory(matches=200_000, pairs=100_000, texts=1 << 20, release=True)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
@@ -45,7 +49,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = bpe.encode(docs, ranks, public_tokenizers.PATTERN, and_decode=True)
+    out = bpe.encode(docs, ranks, public_tokenizers.PATTERN, and_decode=True, memory=TOKEN_MEMORY)
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -20,6 +20,7 @@ import base64
 import functools
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -32,9 +33,15 @@ from pyspark.sql import functions as F
 from gridcells.llm.common import texts
 from gridcells.llm.tokens import slices
 
-TEXTS = 1 << 21                          # characters encoded at a time
-PAIRS = 200_000                          # remembered pairs and matches a worker; beyond that most are forgotten
-MATCHES = 350_000
+@dataclass(frozen=True)
+class Memory:
+    """What a worker remembers: matches and pairs (beyond that most are forgotten), the bytes of text it
+    encodes at a time, and whether it forgets all of them when a task ends."""
+
+    matches: int = 350_000
+    pairs: int = 200_000
+    texts: int = 1 << 21
+    release: bool = False
 
 
 class Vocabulary:
@@ -58,17 +65,10 @@ class Vocabulary:
             self.right[rank] = [*(self.right.get(parts[-1], [parts[-1]]) if len(token) > 1 else ()), rank]
             self.left[rank] = [*(self.left.get(parts[0], [parts[0]]) if len(token) > 1 else ()), rank]
         self.sizes = [len(t) for t in self.tokens]
-        # tokens read backwards as a tree: (node << 8 | byte) -> node, and the token of a node
-        self.back, self.at_node = {}, [-1]
-        for token, rank in self.reached.items():
-            node = 0
-            for byte in reversed(token):
-                node = self.back.setdefault(node << 8 | byte, len(self.at_node))
-                if node == len(self.at_node):
-                    self.at_node.append(-1)
-            self.at_node[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self._automaton()
+        self.pairs: dict[int, bool] = {}
         self.matches: dict[str, bytes] = {}
+        self.memory = Memory()
 
     def merge(self, data: bytes, down_to: int = 1) -> list[int]:
         """Plain merging of the lowest-ranked neighbours, for short byte strings."""
@@ -80,14 +80,33 @@ class Vocabulary:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _automaton(self) -> None:
+        """States for all prefixes of tokens.  After reading a string the state is its longest suffix that
+        begins a token; ``ending`` has the (size, id) of all tokens that end there, the longest first."""
+        prefixes = sorted({t[:i] for t in self.reached for i in range(1, len(t) + 1)}, key=lambda p: (len(p), p))
+        state = {b"": 0} | {p: i for i, p in enumerate(prefixes, 1)}
+        self.moves = {state[p[:-1]] << 8 | p[-1]: i for p, i in state.items() if p}
+        self.shorter, self.ending = [0] * len(state), [()] * len(state)
+        for p, i in state.items():               # shorter prefixes come first
+            if len(p) > 1:
+                self.shorter[i] = self.move(self.shorter[state[p[:-1]]], p[-1])
+            token = self.reached.get(p)
+            self.ending[i] = self.ending[self.shorter[i]] if token is None else ((len(p), token), *self.ending[self.shorter[i]])
+
+    def move(self, state: int, byte: int) -> int:
+        """The state after one more byte."""
+        while (to := self.moves.get(state << 8 | byte)) is None and state:
+            state = self.shorter[state]
+        return to or 0
+
     def valid(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
             known = self.stays_apart(left, right) if self.ordered \
                 else self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
-            if len(self.pairs) >= PAIRS:
+            if len(self.pairs) >= self.memory.pairs:
                 self.pairs.clear()
-            self.pairs[left, right] = known
+            self.pairs[left << 32 | right] = known
         return known
 
     def stays_apart(self, left: int, right: int) -> bool:
@@ -109,23 +128,6 @@ class Vocabulary:
             else:
                 j += 1
 
-    def last_token(self, data: bytes, end: int, last: list[int]) -> int:
-        """The last token of ``data[:end]``, given those of all shorter prefixes."""
-        back, at_node, ending = self.back, self.at_node, []
-        node, start = 0, end
-        while start and (node := back.get(node << 8 | data[start - 1])) is not None:
-            start -= 1
-            if (token := at_node[node]) >= 0:
-                ending.append((start, token))
-        pairs, valid = self.pairs, self.valid
-        for start, token in reversed(ending):
-            if not start:
-                return token
-            known = pairs.get((last[start], token))
-            if known or known is None and valid(last[start], token):
-                return token
-        raise ValueError("the rank file lacks a byte")
-
     def learn(self, matches: set[str]) -> dict[str, bytes]:
         """Ids, as 32-bit numbers, of matches that are not known yet.  In sorted order each shares a
         prefix with the one before, whose entries are kept."""
@@ -137,6 +139,9 @@ class Vocabulary:
             out[data.decode()] = array("i", (whole,) if whole is not None else table.ids()).tobytes()
         return out
 
+    def forget(self) -> None:
+        self.matches, self.pairs = {}, {}
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         cut = [self.split.findall(t) for t in texts]
@@ -144,7 +149,7 @@ class Vocabulary:
         known = {m: self.matches[m] for m in seen & self.matches.keys()}
         new = self.learn(seen - known.keys())
         known.update(new)
-        if len(self.matches) + len(new) > MATCHES:
+        if len(self.matches) + len(new) > self.memory.matches:
             new, self.matches = known, {}        # of the old ones, those of these texts stay
         self.matches.update((m, ids) for m, ids in new.items() if len(m) <= 64)
         return [np.frombuffer(b"".join(map(known.__getitem__, x)), np.int32) for x in cut]
@@ -157,17 +162,38 @@ class Vocabulary:
 
 
 class Prefixes:
-    """The last token of every prefix of a byte string."""
+    """The last token, and the automaton's state, of every prefix of a byte string."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
+        self.vocabulary, self.data, self.last, self.states = vocabulary, b"", [-1], [0]
         self.append(data)
 
     def append(self, data: bytes) -> None:
         self.data += data
-        last, find, whole = self.last, self.vocabulary.last_token, self.data
-        for end in range(len(last), len(whole) + 1):
-            last.append(find(whole, end, last))
+        for _ in self.grow():
+            pass
+
+    def grow(self) -> Iterator[None]:
+        """Compute the missing entries; yields after each."""
+        words, last, states, data = self.vocabulary, self.last, self.states, self.data
+        moves, ending, pairs, valid = words.moves, words.ending, words.pairs, words.valid
+        state = states[-1]
+        for end in range(len(last), len(data) + 1):
+            byte = data[end - 1]
+            to = moves.get(state << 8 | byte)
+            state = words.move(state, byte) if to is None else to
+            states.append(state)
+            for size, token in ending[state]:
+                if size == end:
+                    break
+                before = last[end - size]
+                known = pairs.get(before << 32 | token)
+                if known or known is None and valid(before, token):
+                    break
+            else:
+                raise ValueError("the rank file lacks a byte")
+            last.append(token)
+            yield
 
     def become(self, data: bytes) -> None:
         """Another string; the entries of the common prefix stay."""
@@ -176,23 +202,23 @@ class Prefixes:
             if a != b:
                 break
             same += 1
-        del self.last[same + 1:]
+        del self.last[same + 1:], self.states[same + 1:]
         self.data = old[:same]
         self.append(data[same:])
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Put ``new`` in place of ``[start, end)``; returns how many entries were computed."""
-        old, shift = self.last, len(new) - (end - start)
+        old, states, shift = self.last, self.states, len(new) - (end - start)
         self.data = self.data[:start] + new + self.data[end:]
-        self.last = old[:start + 1]
+        self.last, self.states = old[:start + 1], states[:start + 1]
         same = computed = 0
-        while len(self.last) <= len(self.data):
-            at = len(self.last)
-            self.last.append(self.vocabulary.last_token(self.data, at, self.last))
+        for _ in self.grow():
+            at = len(self.last) - 1
             computed += 1
             same = same + 1 if at > start + len(new) and old[at - shift] == self.last[at] else 0
             if same >= self.vocabulary.longest:
                 self.last += old[at + 1 - shift:]
+                self.states += states[at + 1 - shift:]
                 break
         return computed
 
@@ -216,19 +242,22 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           and_decode: bool = False) -> DataFrame:
+           and_decode: bool = False, memory: Memory = Memory()) -> DataFrame:
     """``doc_id, ids``; with ``and_decode`` also ``decoded``, the bytes that the ids stand for (in the
     same pass, so that one worker a task holds the vocabulary).  ``path`` is a rank file that every executor has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
+        words.memory = memory
         for batch in batches:
-            for part in slices(batch, TEXTS):
+            for part in slices(batch, memory.texts):
                 ids = words.encode_all([t or "" for t in part.column("text").to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 out = {"doc_id": part.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, np.concatenate(ids))}
                 if and_decode:
                     out["decoded"] = pa.array([words.decode(x.tolist()) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
+        if memory.release:
+            words.forget()                   # an idle worker holds the vocabulary only
     return texts(df, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>" + ", decoded binary" * and_decode)
 
 
