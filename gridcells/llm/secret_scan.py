@@ -6,8 +6,9 @@ token, then a value of 6+ characters), ``access`` (AKIA..., 20+), ``hex`` (24+ h
 Models.  Two first-order Markov chains over characters: one of random strings, one of ordinary
 words and identifiers.  Both learn from a labelled sample of about ``train_rows`` documents, chosen by a hash
 of the text: as random are labelled the values that the base patterns match there and the base64
-forms of the texts' SHA-256 digests; as ordinary the other words.  Distinct strings count once.  A
-string of ``min_length`` or more characters of the alphabet, with a letter, is a ``model`` span if its log-likelihood ratio is at least
+forms of the texts' SHA-256 digests; as ordinary those of the other words that are found after ``min_texts``
+different words in as many texts, since a word of one text, or of copies of it, may be a secret that no base
+pattern knows.  Distinct strings count once.  A string of ``min_length`` or more characters of the alphabet, with a letter, is a ``model`` span if its log-likelihood ratio is at least
 ``min_ratio`` a step.  Strings that are an access or hex match as a whole are not reported twice.  The table of ratios has one
 entry for each pair of characters, so its size is fixed.
 
@@ -67,7 +68,7 @@ def ratio_per_step(word: Column, table: Column) -> Column:
     return let(F.split(word, ""), mean)
 
 
-def samples(docs: DataFrame, train_rows: int) -> DataFrame:
+def samples(docs: DataFrame, train_rows: int, min_texts: int = 3) -> DataFrame:
     """``word, random`` of the labelled sample, distinct."""
     every = max(1, -(-docs.count() // train_rows))
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).where("text is not null")
@@ -75,9 +76,15 @@ def samples(docs: DataFrame, train_rows: int) -> DataFrame:
                       F.regexp_extract_all("text", F.lit(HEX), F.lit(0)), F.array(F.base64(F.unhex(F.sha2("text", 256)))))
     rest = F.regexp_replace("text", "|".join((ASSIGN, ACCESS, HEX)), " ")
     words = F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_-]{4,}"), F.lit(0))
-    return (some.select(F.explode(F.array(F.struct(values.alias("words"), F.lit(1).alias("random")),
-                                          F.struct(words.alias("words"), F.lit(0).alias("random")))).alias("s"))
-            .select(F.explode("s.words").alias("word"), "s.random").distinct())
+
+    def labelled(word, random, before):
+        return F.struct(word.alias("word"), F.lit(random).alias("random"), before.alias("before"))
+    every_word = F.concat(F.transform(values, lambda x: labelled(x, 1, F.lit(""))), let(words, lambda w: F.transform(
+        w, lambda x, i: labelled(x, 0, F.coalesce(F.get(w, i - 1), F.lit(""))))))
+    found = some.select(F.xxhash64("text").alias("text"), F.explode(every_word).alias("s")).select("text", "s.*")
+    places = found.groupBy("word", "random", "before").agg(F.min("text").alias("text"))       # the first text of each place
+    known = places.groupBy("word", "random").agg(F.count_distinct("text").alias("n"))
+    return known.where((F.col("random") == 1) | (F.col("n") >= min_texts)).select("word", "random")
 
 
 def ratio_table(docs: DataFrame, train_rows: int = 4000, smoothing: float = 1.0) -> list[float]:

@@ -1,6 +1,9 @@
 import base64
 import random
 import re
+import string
+
+from pyspark.sql import functions as F
 
 from gridcells.llm import secret_scan as s
 
@@ -72,3 +75,28 @@ def test_odd_rows(spark, odd_documents):
     assert len(out) == odd_documents.count() and not [r for r in out if r.doc_id in (1, 2, 3) and r.spans]
     assert s.find_secrets(odd_documents.limit(0)).count() == 0
     assert s.redact(odd_documents).columns == odd_documents.columns
+
+
+def tokens(rng, letters, n):
+    return ["".join(rng.choices(letters, k=32)) for _ in range(n)]
+
+
+def recall(spark, ratios, secrets):
+    df = spark.createDataFrame([(f"see {x} there",) for x in secrets], "text string").select(s.scan(F.col("text"), ratios, 20, 0.25).alias("s"))
+    return df.where(F.exists("s", lambda x: x["rank"] == 3)).count() / len(secrets)
+
+
+LETTERS = (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits)
+
+
+def test_random_tokens_of_a_hot_source_are_not_ordinary(spark, documents):
+    """A third of the rows hold 100 unknown tokens each, and every such row has two near copies."""
+    rng, rows = random.Random(5), []
+    for i, r in enumerate(documents.select("text").where("text is not null").limit(600).collect()):
+        if i % 3:
+            rows.append((i, r.text))
+        else:
+            dump = r.text + "\n" + "\n".join(f"GET /a?sig={x} ok" for x in tokens(rng, LETTERS[i % 2], 100))
+            rows += [(i, f"{dump}\nserved on day {day}") for day in range(3)]
+    ratios = s.ratio_table(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert [recall(spark, ratios, tokens(rng, x, 100)) >= 0.97 for x in LETTERS] == [True, True]
