@@ -4,9 +4,9 @@ Base spans, leftmost and non-overlapping for each kind: ``assign`` (a name such
 token, then a value of 6+ characters), ``access`` (AKIA..., 20+), ``hex`` (24+ hexadecimal digits).
 
 Models.  Two first-order Markov chains over characters: one of random strings, one of ordinary
-words and identifiers.  Both learn from a labelled sample of about ``train_rows`` documents, chosen by a hash
-of the text: as random are labelled the values that the base patterns match there and the base64
-forms of the texts' SHA-256 digests; as ordinary those of the other words that are found after ``min_texts``
+words and identifiers.  Both learn from a labelled sample of about ``train_rows`` distinct texts, chosen by a hash
+of the text, so copies change nothing: as random are labelled the values that the base patterns match there and the base64
+forms of ``train_rows`` SHA-256 digests; as ordinary a fixed list of words (``COMMON``, for tables with few texts), and those of the other words that are found after ``min_texts``
 different words in as many texts, since a word of one text, or of copies of it, may be a secret that no base
 pattern knows.  Distinct strings count once.  A string of ``min_length`` or more characters of the alphabet, with a letter, is a ``model`` span if its log-likelihood ratio is at least
 ``min_ratio`` a step.  Strings that are an access or hex match as a whole are not reported twice.  The table of ratios has one
@@ -15,8 +15,9 @@ entry for each pair of characters, so its size is fixed.
 Positions are code points, end exclusive.  Scanning is one projection of a row without a
 shuffle; a pattern is matched in full only where a first test finds it.
 
-Cases.  A null or empty text has no spans; without random samples (an empty table) there are no model spans;
-very long texts cost their own task only; repeated rows and ids are scanned row by row.
+Cases.  A null or empty text has no spans; an empty table gives no rows; with few texts the fixed samples carry the models;
+very long texts cost their own task only; repeated rows and ids are scanned row by row.  Only the texts of
+the sample are shuffled.
 """
 
 from __future__ import annotations
@@ -31,6 +32,21 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"            # as AKIA[A-Z0-9]+ and then 20 or more
 HEX = r"[0-9a-f]{24,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}"
+#: Ordinary in four languages and in code, for tables with few texts.
+COMMON = """the and that have with this from they will would there their what about which when make like time just know take
+people into year your good some could them other than then look only come over think also back after work first well even
+want because these give most information number system program question government during without however another between
+international development management available university community different important according application
+configuration environment administration communication documentation user name account password session server client
+request response message error warning index value string object array function class method return import export default
+public private static config settings service database table column query update delete insert select create file path
+directory image content header footer button window height width color background style version release license test build
+https http www com org html json data code text page home search login profile order product price address email phone
+der die und das nicht eine sich auch werden durch haben wird sein ihre nach über keine können schon zwischen jahr gesellschaft
+entwicklung wissenschaft möglichkeit verwaltung regierung verschiedene les des une pour dans est que qui avec sur pas plus
+sont cette leur être tout comme nous vous deux aussi même années gouvernement développement université organisation
+los las una por con para como más pero sus este entre cuando muy sin sobre también hasta desde donde todo durante siempre
+desarrollo gobierno universidad información administración"""
 KINDS = ("assign", "access", "hex", "model")
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
@@ -68,12 +84,29 @@ def ratio_per_step(word: Column, table: Column) -> Column:
     return let(F.split(word, ""), mean)
 
 
+def ordinary_forms() -> list[str]:
+    """Words that are ordinary in any table, also joined in pairs as names and paths are."""
+    words = COMMON.split()
+    return [form for i, (a, b) in enumerate(zip(words, words[1:] + words[:1])) for form in (
+        a, a.title(), a.upper(), f"{a}_{b}", f"{a}-{b}", f"{a}{b.title()}", f"{a.upper()}_{b.upper()}", f"/{a}/{b}",
+        f"{a}{37 * i % 9973}", f"{1900 + i % 150}-{1 + i % 12:02}-{1 + i % 28:02}")]
+
+
+def picked(docs: DataFrame, train_rows: int) -> DataFrame:
+    """About ``train_rows`` distinct texts, chosen by their hash, or all if there are no more; each
+    once, as copies are combined before the shuffle."""
+    some = docs.where("text is not null").select("text")
+    n = some.agg(F.approx_count_distinct("text", 0.02)).first()[0]
+    if n > train_rows:
+        some = some.where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < (train_rows << 32) // n)
+    return some.distinct()
+
+
 def samples(docs: DataFrame, train_rows: int, min_texts: int = 3) -> DataFrame:
     """``word, random`` of the labelled sample, distinct."""
-    every = max(1, -(-docs.count() // train_rows))
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).where("text is not null")
+    some = picked(docs, train_rows)
     values = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)),
-                      F.regexp_extract_all("text", F.lit(HEX), F.lit(0)), F.array(F.base64(F.unhex(F.sha2("text", 256)))))
+                      F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
     rest = F.regexp_replace("text", "|".join((ASSIGN, ACCESS, HEX)), " ")
     words = F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_-]{4,}"), F.lit(0))
 
@@ -84,7 +117,11 @@ def samples(docs: DataFrame, train_rows: int, min_texts: int = 3) -> DataFrame:
     found = some.select(F.xxhash64("text").alias("text"), F.explode(every_word).alias("s")).select("text", "s.*")
     places = found.groupBy("word", "random", "before").agg(F.min("text").alias("text"))       # the first text of each place
     known = places.groupBy("word", "random").agg(F.count_distinct("text").alias("n"))
-    return known.where((F.col("random") == 1) | (F.col("n") >= min_texts)).select("word", "random")
+    known = known.where((F.col("random") == 1) | (F.col("n") >= min_texts)).select("word", "random")
+    spark = docs.sparkSession
+    digests = spark.range(train_rows).select(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))).alias("word"), F.lit(1).alias("random"))
+    common = spark.range(1).select(F.explode(F.split(F.lit(" ".join(ordinary_forms())), " ")).alias("word"), F.lit(0).alias("random"))
+    return known.union(digests).union(common).distinct()
 
 
 def ratio_table(docs: DataFrame, train_rows: int = 4000, smoothing: float = 1.0) -> list[float]:

@@ -100,3 +100,23 @@ def test_random_tokens_of_a_hot_source_are_not_ordinary(spark, documents):
             rows += [(i, f"{dump}\nserved on day {day}") for day in range(3)]
     ratios = s.ratio_table(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert [recall(spark, ratios, tokens(rng, x, 100)) >= 0.97 for x in LETTERS] == [True, True]
+
+
+def test_copies_change_no_model(spark, documents):
+    docs = s.texts(documents).where("text is not null").limit(300).localCheckpoint()
+    hot = docs.limit(1).crossJoin(spark.range(5000).select("id")).select("doc_id", "text")
+    assert s.picked(docs.union(hot), 400).count() == docs.select("text").distinct().count()
+    assert s.ratio_table(docs.union(hot), 400) == s.ratio_table(docs, 400)
+    half = s.picked(docs.union(hot), 100)
+    assert 60 <= half.count() <= 140 and half.count() == half.distinct().count()
+
+
+def test_few_texts_have_models(spark, documents):
+    rng, text = random.Random(6), "Only one text, and ordinary words."
+    found = [[recall(spark, s.ratio_table(spark.createDataFrame([(1, text)] * n, "doc_id bigint, text string")), tokens(rng, x, 100)) >= 0.9
+              for x in LETTERS] for n in (1, 9)]
+    assert found == [[True, True]] * 2
+    few = s.ratio_table(s.texts(documents.limit(4)))
+    names = ["internationalization_settings", "get_user_account_information", "/articles/archive/international", "MAX_CONNECTION_TIMEOUT_SECONDS",
+             "thatheintiontionererblething", "createDefaultConfigurationObject"]
+    assert recall(spark, few, names) == 0
