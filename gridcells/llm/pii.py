@@ -5,14 +5,17 @@ that a text of any kind takes time in proportion to its length.
 
 Bootstrap.  The base spans are the seeds.  Every occurrence of a seed, and of a word that holds a
 digit or an @ and is 4 to 64 characters long, gives edges between its text (the instance) and the lexical
-patterns around it: the two words before, and the word on each side.  Over all
+patterns around it: the two words before, and the word on each side, in full however long they are.  Words end at
+white space, at base spans, and at each character of a script without spaces (``UNSPACED``).  Over all
 documents Spark scores the graph of distinct edges: a pattern is as sure as the mean of its instances
 (with ``prior`` unsure ones added, and nothing below ``min_seeds`` distinct seeds); an instance that is no
 seed is as sure as a noisy-or of its patterns.  After ``rounds`` rounds the instances of at least ``min_score`` in the
-places of patterns of at least ``min_score`` are ``context`` spans.
+places of patterns of at least ``min_score`` are ``context`` spans.  Any other word of any length in the place of
+a pattern is one too if the pattern is that sure with all distinct words in its place counted, the other words as unsure.
 
 Jobs.  One pass over the texts writes base spans and occurrences (texts are never
-shuffled); the rounds join and group edges only, combined before each shuffle, so a
+shuffled).  A second one, if any pattern is sure, finds the other words in the places of sure patterns; it tests them with
+a bitmap of fixed size, and a join puts its errors right.  The rounds join and group edges only, combined before each shuffle, so a
 pattern that a third of all rows hold is one row for each of its distinct instances.
 
 Cases.  A null or empty text has no spans; repeated rows get the same spans each; edges are distinct, so
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +43,13 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
-WORD = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
+#: Thai, Lao, Burmese, Khmer, Chinese and Japanese characters, and full-width forms: each is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+WORD = re.compile(rf"(?<![^\s{UNSPACED}])[^\s0-9@{UNSPACED}]*[0-9@][^\s{UNSPACED}]*")
+TOKEN = re.compile(rf"[^\s{UNSPACED}]+|(?!\s)[{UNSPACED}]")
+#: Bits of the bitmap of sure patterns.
+BITS = 1 << 23
+LETTER = re.compile(r"\w")
 EDGES = ".,;:!?()[]{}<>\"'"
 
 
@@ -82,29 +92,77 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
+def words(text: str, base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the words."""
+    starts, ends = [], []
+    borders, k = sorted({p for a, _, b in base for p in (a, b)}), 0
+    for m in TOKEN.finditer(text):
+        a, b = m.span()
+        while k < len(borders) and borders[k] < b:
+            if borders[k] > a:
+                starts.append(a)
+                ends.append(borders[k])
+                a = borders[k]
+            k += 1
+        starts.append(a)
+        ends.append(b)
+    return starts, ends
+
+
+def contexts(text: str, starts: list[int], ends: list[int], start: int, end: int) -> list[str]:
     """Patterns around a place: the two words before it, and the word on each side.  Digits count as 0."""
-    before = DIGITS.sub("0", text[max(0, start - 80):start]).lower().split()[-2:]
-    after = DIGITS.sub("0", text[end:end + 40]).lower().split()[:1]
+    i, j = bisect.bisect_left(starts, start), bisect.bisect_right(ends, end)
+    before = [DIGITS.sub("0", text[starts[k]:min(ends[k], start)]).lower() for k in range(max(0, i - 2), i)]
     out = [" ".join(before) + " _"] if len(before) == 2 else []
-    return [*out, f"{before[-1]} _ {after[0]}"] if before and after else out
+    if before and j < len(ends):
+        out.append(f"{before[-1]} _ " + DIGITS.sub("0", text[max(starts[j], end):ends[j]]).lower())
+    return out
 
 
-def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Seeds and candidate words with their patterns."""
-    out = [{"start": a, "end": b, "instance": text[a:b], "seed": True, "patterns": contexts(text, a, b)} for a, _, b in base]
+def stripped(text: str, start: int, end: int) -> tuple[int, int]:
+    """The place without the punctuation at its edges."""
+    word = text[start:end].lstrip(EDGES)
+    start = end - len(word)
+    return start, start + len(word.rstrip(EDGES))
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Places of the words that the rounds score."""
     starts, longest = [a for a, _, _ in base], []
     for _, _, b in base:
         longest.append(max(b, longest[-1]) if longest else b)
     for m in WORD.finditer(text):
-        word = m[0].lstrip(EDGES)
-        a = m.end() - len(word)
-        word = word.rstrip(EDGES)
-        b = a + len(word)
+        a, b = stripped(text, *m.span())
         before = bisect.bisect_left(starts, b)       # seeds that begin before the word ends
-        if 4 <= len(word) <= 64 and not (before and longest[before - 1] > a):
-            out.append({"start": a, "end": b, "instance": word, "seed": False, "patterns": contexts(text, a, b)})
-    return out
+        if 4 <= b - a <= 64 and not (before and longest[before - 1] > a):
+            yield a, b
+
+
+def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
+    """Seeds and candidate words with their patterns."""
+    places = [(a, b, True) for a, _, b in base] + [(a, b, False) for a, b in candidates(text, base)]
+    at = words(text, base) if places else ([], [])
+    return [{"start": a, "end": b, "instance": text[a:b], "seed": seed, "patterns": contexts(text, *at, a, b)} for a, b, seed in places]
+
+
+def other_words(text: str, base: list[tuple[int, int, int]], bitmap: bytes) -> Iterator[dict]:
+    """The words that are neither seeds nor candidates, with those of their patterns that the bitmap has."""
+    def has(what: str) -> int:
+        p = zlib.crc32(what.encode()) % BITS
+        return bitmap[p >> 3] >> (p & 7) & 1
+
+    starts, ends = words(text, base)
+    taken, k, reach = sorted([(a, b) for a, _, b in base] + list(candidates(text, base))), 0, 0
+    for i in range(1, len(starts)):
+        a, b = stripped(text, starts[i], ends[i])
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][1])
+            k += 1
+        last = text[starts[i - 1]:ends[i - 1]] if a == starts[i] else text[starts[i]:a]
+        if a < b and reach <= a and has("^" + DIGITS.sub("0", last).lower()) and LETTER.search(text, a, b):
+            patterns = [x for x in contexts(text, starts, ends, a, b) if has(x)]
+            if patterns:
+                yield {"start": a, "end": b, "instance": text[a:b], "patterns": patterns}
 
 
 SCANNED = ("doc_id bigint, key bigint, tie bigint, base array<struct<start:int,rank:int,end:int>>, "
@@ -125,12 +183,42 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 found.append(occurrences(text, spans))
             yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("doc_id", "key", "tie")},
                                               "base": pa.array(base, SPAN), "found": pa.array(found, FOUND)})
-    docs = texts(df, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tie", text_key())
-    return docs.mapInArrow(run, SCANNED)
+    return keyed(df, id_col, text_col).mapInArrow(run, SCANNED)
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return texts(df, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tie", text_key())
+
+
+OTHERS = "key bigint, tie bigint, found array<struct<start:int,end:int,instance:string,patterns:array<string>>>"
+OTHER = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
+
+
+def others(df: DataFrame, id_col: str, text_col: str, good: DataFrame) -> DataFrame | None:
+    """``key, tie, start, end, instance, pattern`` of the other words in the places of patterns like the
+    good ones; None if there are no good ones."""
+    parts = F.split("pattern", " ")
+    marks = good.select(F.explode(F.array("pattern", *(F.concat(F.lit("^"), F.get(parts, F.lit(i))) for i in (0, 1)))).alias("mark"))
+    place = marks.select((F.crc32(F.col("mark").cast("binary")) % BITS).alias("p"))
+    rows = place.groupBy(F.shiftright("p", 3).alias("byte")).agg(F.bit_or(F.pow(F.lit(2), F.col("p") % 8).cast("int")).alias("bits")).collect()
+    if not rows:
+        return None
+    bitmap = bytearray(BITS >> 3)
+    for row in rows:                                                  # at most one row a byte of the bitmap
+        bitmap[row.byte] = row.bits
+    shared = df.sparkSession.sparkContext.broadcast(bytes(bitmap))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(other_words(text, base_spans(text), shared.value)) for text in (t.as_py() or "" for t in batch.column("text"))]
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "tie": batch.column("tie"), "found": pa.array(found, OTHER)})
+    found = keyed(df, id_col, text_col).select("key", "tie", "text").mapInArrow(run, OTHERS)
+    return cut(found.select("key", "tie", F.explode("found").alias("f")).select("key", "tie", "f.*").withColumn(
+        "pattern", F.explode("patterns")).drop("patterns").join(good.select("pattern"), "pattern", "left_semi"))
 
 
 def scores(edges: DataFrame, rounds: int, min_seeds: int, prior: float) -> tuple[DataFrame, DataFrame]:
-    """Scores of patterns and of instances that are no seeds."""
+    """Scores of patterns, with the numbers of their instances, and of instances that are no seeds."""
     sure = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= min_seeds)
     edges = cut(edges.join(sure.select("pattern"), "pattern"))        # only these patterns can score
     instances = None
@@ -140,9 +228,9 @@ def scores(edges: DataFrame, rounds: int, min_seeds: int, prior: float) -> tuple
         else:
             scored = edges.join(instances, "instance", "left").withColumn(
                 "score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        patterns = cut(scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + prior)).alias("score")))
+        patterns = cut(scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + prior)).alias("score"), F.count("*").alias("n")))
         doubt = F.sum(F.log(F.lit(1.0) - F.least("score", F.lit(0.999999))))
-        instances = cut(edges.where(~F.col("seed")).join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("score")))
+        instances = cut(edges.where(~F.col("seed")).join(patterns.drop("n"), "pattern").groupBy("instance").agg((1 - F.exp(doubt)).alias("score")))
     return patterns, instances
 
 
@@ -154,9 +242,15 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     places = places.select("key", "tie", "start", "end", "instance", "seed", F.explode("patterns").alias("pattern"))
     edges = places.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     patterns, instances = scores(edges, rounds, min_seeds, prior)
-    good = places.where(~F.col("seed")).join(patterns.where(F.col("score") >= min_score), "pattern", "left_semi").join(
-        instances.where(F.col("score") >= min_score), "instance", "left_semi")
-    extra = good.groupBy("key", "tie").agg(F.collect_set(F.struct(
+    good = patterns.where(F.col("score") >= min_score)
+    accepted = places.where(~F.col("seed")).join(good, "pattern", "left_semi").join(
+        instances.where(F.col("score") >= min_score), "instance", "left_semi").select("key", "tie", "start", "end")
+    rest = others(df, id_col, text_col, good)
+    if rest is not None:
+        more = rest.groupBy("pattern").agg(F.count_distinct("instance").alias("more"))
+        sure = good.join(more, "pattern").where(F.col("score") * (F.col("n") + prior) / (F.col("n") + F.col("more") + prior) >= min_score)
+        accepted = accepted.union(rest.join(sure, "pattern", "left_semi").select("key", "tie", "start", "end"))
+    extra = accepted.groupBy("key", "tie").agg(F.collect_set(F.struct(
         "start", F.lit(len(KINDS) - 1).alias("rank"), "end")).alias("extra"))
     kinds = F.array(*map(F.lit, KINDS))
     every = F.array_sort(F.concat("base", F.coalesce("extra", F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)"))))

@@ -62,3 +62,28 @@ def test_odd_rows(spark, odd_documents):
     out = pii.find_personal_data(odd_documents)
     assert out.count() == odd_documents.count()
     assert pii.find_personal_data(odd_documents.limit(0)).count() == 0
+
+
+def test_any_word_in_the_place_of_a_sure_pattern(spark):
+    long = "x" * 70 + "y"
+    rows = [(i, f"Number {i * 7919}. You can write me at person{i}@mail.example.org any time. Or so to {i}@mail.example.org now.") for i in range(40)]
+    rows += [(100 + i, f"Say it. You can write me at {name} any time.") for i, name in enumerate(("jane", "al", "q7", "u" * 90, "jane."))]
+    rows += [(200 + i, f"It is or so to {chr(97 + i % 26)}{'abcd'[i // 26]}word now.") for i in range(90)]           # not sure: mostly plain words
+    rows += [(300 + i, f"{long} {long}z {'k' * i}person{i}@mail.example.org {long}{long}") for i in range(9)]
+    rows += [(400, f"{long} {long}z zed#4411 {long}{long}"), (401, f"{long} {long}w zed#4412 {long}{'y' * 70}")]
+    got = spans(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert [got[100 + i] for i in range(5)] == [[("context", 28, 28 + n)] for n in (4, 2, 2, 90, 4)]
+    assert not any(got[200 + i] for i in range(90))
+    assert got[400] == [("context", 145, 153)] and got[401] == []
+
+
+def test_texts_without_spaces(spark):
+    rows = [(i, f"{'天地人'[i % 3]}{chr(0x4e00 + i)}联系邮箱person{i}@mail.example.org谢谢") for i in range(30)]
+    rows += [(100, "你好联系邮箱zed_4411谢谢"), (101, "你好联系邮箱zed谢谢"), (102, "你好zed_4411谢谢")]
+    got = spans(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert got[100] == [("context", 6, 14)] and got[101] == [("context", 6, 9)] and got[102] == []
+
+
+def test_other_words_take_linear_time():
+    for text in ("x" * 300_000, "1" * 300_000, "a@" * 100_000, "a@b.c," * 50_000, "你" * 200_000, "1-" * 100_000):
+        list(pii.other_words(text, pii.base_spans(text), b"\xff" * (pii.BITS >> 3)))
