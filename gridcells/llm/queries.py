@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcells.llm import bpe, pii, sql
-from gridcells.llm.common import read_table, scratch_path
+from gridcells.llm import bpe, bpe_automaton, centroids, periodic_runs, pii, sql
+from gridcells.llm.common import read_table, scratch_path, texts
 from gridcells.llm.decontaminate import find_passages
 from gridcells.llm.quality_classifier import score_quality
 from gridcells.llm.quality_rules import quality_rules
@@ -17,6 +17,7 @@ from gridcells.llm.url_filters import judge_captures, page_captures, page_list_e
 from gridcells.llm.warc import read_archives, write_archives
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+MERGES = "byte_bpe_50k.json"
 
 
 def n_spans(kind: str) -> Column:
@@ -82,6 +83,23 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "host", "verdict", "pattern", "list_name", "listed_since", "n_active")
 
 
+def centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings")))
+
+
+def word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_periods(texts(read_table(spark, sf_dir, "documents")))
+    return periodic_runs.digests(periodic_runs.find_runs(docs))
+
+
+def bpe_automaton_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    out = bpe_automaton.encode(read_table(spark, sf_dir, "documents"), tokenizers.path(MERGES), and_decode=True, packed=True)
+    return out.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": substring_dedup,
     "op2_warc_bundles": warc_bundles,
@@ -93,6 +111,9 @@ QUERIES = {
     "op8_personal_data": personal_data,
     "op9_decontaminate": decontaminate,
     "op10_quality_classifier": quality_classifier,
+    "op11_centroid_clustering": centroid_clustering,
+    "op12_periodic_runs": word_runs,
+    "op13_bpe_automaton": bpe_automaton_digests,
 }
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": sql.SUBSTRING_DEDUP,
@@ -100,4 +121,5 @@ ORACLE: dict[str, str] = {
     "op4_url_filters": sql.URL_FILTERS,
     "op5_quality_rules": sql.QUALITY,
     "op9_decontaminate": sql.DECONTAMINATE,
+    "op11_centroid_clustering": sql.CENTROIDS,
 }

@@ -12,7 +12,7 @@ TINY = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_each_query_has_a_row_for_each_input_row(spark, name):
     out = queries.QUERIES[name](spark, TINY)
-    table = {"op2": "pages", "op4": "pages"}.get(name.split("_")[0], "documents")
+    table = {"op2": "pages", "op4": "pages", "op11": "embeddings"}.get(name.split("_")[0], "documents")
     assert out.count() == spark.read.parquet(f"{TINY}/{table}.parquet").count()
     assert re.fullmatch(r"op\d+_\w+", name) and len(set(out.columns)) == len(out.columns)
 
