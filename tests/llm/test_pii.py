@@ -85,5 +85,87 @@ def test_texts_without_spaces(spark):
 
 
 def test_other_words_take_linear_time():
-    for text in ("x" * 300_000, "1" * 300_000, "a@" * 100_000, "a@b.c," * 50_000, "你" * 200_000, "1-" * 100_000):
-        list(pii.other_words(text, pii.base_spans(text), b"\xff" * (pii.BITS >> 3)))
+    wanted = pii.Patterns([(1, "x x _"), (2, "a _ a"), (3, ", _ ,"), (4, "你 你 _")])
+    for text in ("x " * 150_000, "1" * 300_000, "a@" * 100_000, "a@b.c," * 50_000, "你" * 200_000, "1-" * 100_000, ",a," * 90_000, "a, " * 90_000):
+        list(pii.other_words(text, pii.base_spans(text), wanted))
+
+
+def whole(rows, rounds=3, min_seeds=5, prior=1.0, min_score=0.6):
+    """The bootstrap as it is stated, over all texts at once: context spans of each."""
+    edges, at, others = {}, [], []
+    for k, text in enumerate(rows):
+        base = pii.base_spans(text)
+        starts, ends = pii.words(text, base)
+        taken = [(a, b, True) for a, _, b in base] + [(a, b, False) for a, b in pii.candidates(text, base)]
+        for a, b, seed in taken:
+            for p in pii.contexts(text, starts, ends, a, b):
+                edges[p, text[a:b]] = edges.get((p, text[a:b]), False) or seed
+                at.append((k, a, b, seed, p))
+        for s, e in zip(starts, ends):
+            a, b = pii.stripped(text, s, e)
+            if a < b and re.search(r"\w", text[a:b]) and not any(x < b and y > a for x, y, _ in taken):
+                others += [(k, a, b, p) for p in pii.contexts(text, starts, ends, a, b)]
+    patterns = {}
+    for (p, i), seed in edges.items():
+        patterns.setdefault(p, {})[i] = seed
+    patterns = {p: x for p, x in patterns.items() if sum(x.values()) >= min_seeds}
+    score = {}
+    for _ in range(rounds):
+        sure = {p: sum(1.0 if seed else score.get(i, 0.0) for i, seed in x.items()) / (len(x) + prior) for p, x in patterns.items()}
+        doubt = {}
+        for p, x in patterns.items():
+            for i, seed in x.items():
+                if not seed:
+                    doubt[i] = doubt.get(i, 1.0) * (1 - min(sure[p], 0.999999))
+        score = {i: 1 - d for i, d in doubt.items()}
+    good = {p for p in patterns if sure[p] >= min_score}
+    out = {(k, a, b) for k, a, b, seed, p in at if not seed and p in good and score.get(rows[k][a:b], 0) >= min_score}
+    words = {}
+    for k, a, b, p in others:
+        words.setdefault(p, set()).add(rows[k][a:b])
+    out |= {(k, a, b) for k, a, b, p in others if p in good
+            and sure[p] * (len(patterns[p]) + prior) / (len(patterns[p]) + len(words[p]) + prior) >= min_score - 1e-12}
+    return [sorted((a, b) for j, a, b in out if j == k) for k in range(len(rows))]
+
+
+def random_rows(seed):
+    rng = random.Random(seed)
+    words = ["mail", "to", "me", "(at)", "call,", "see", "|", "Id:", "x", "the", "ΑΣ", "你好"]
+    def one():
+        r = rng.random()
+        return (f"u{rng.randrange(40)}@h{rng.randrange(3)}.org" if r < .12 else f"10.0.{rng.randrange(9)}.{rng.randrange(9)}" if r < .16
+                else f"nick{rng.randrange(12)}" if r < .24 else f"({rng.randrange(5)})," if r < .27 else rng.choice(words))
+    rows = []
+    for _ in range(60):
+        rows.append(" ".join(one() for _ in range(rng.randrange(1, 25))))
+        if rng.random() < .6:
+            rows[-1] += f" mail me | {rng.choice([one(), f'p{rng.randrange(99)}@q.net', f'p{rng.randrange(99)}@q.net', 'jane.', 'bob'])} | to"
+    return rows
+
+
+def test_contexts_as_stated(spark):
+    any_word = any_context = 0
+    for seed in range(4):
+        rows = random_rows(seed)
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "doc_id int, text string").repartition(3)
+        want = whole(rows, min_seeds=3, min_score=0.5)
+        for how in ({}, {"small": 0, "block": 7}):           # salted joins, and several passes
+            got = spans(df, min_seeds=3, min_score=0.5, **how)
+            assert [sorted((a, b) for k, a, b in got[i] if k == "context") for i in range(len(rows))] == want
+        any_context += sum(map(len, want))
+        any_word += sum(not re.search("[0-9@]", rows[i][a:b]) for i, x in enumerate(want) for a, b in x)
+    assert any_context > 20 and any_word > 5
+
+
+def test_a_common_pattern_with_many_words_is_dropped(spark):
+    rows = [(i, f"cell | person{i}@mail.example.org | {i}") for i in range(12)]
+    rows += [(100 + i, "row " + " ".join(f"| {a}{b}w{'xyz'[i % 3]} |" for a in "abcdefgh" for b in "abcdefgh")) for i in range(200)]
+    got = spans(spark.createDataFrame(rows, "doc_id int, text string").repartition(5))
+    assert not any(got[100 + i] for i in range(200)) and all([x[0] for x in got[i]] == ["email"] for i in range(12))
+
+
+def test_length_does_not_matter(spark):
+    rows = [(i, f"No {i * 7919}x. You can write me at person{i}@mail.example.org any time.") for i in range(40)]
+    rows += [(100 + n, f"Say it. You can write me at {'z' * (n - 1)}7 any time.") for n in (1, 3, 4, 64, 65, 300)]
+    got = spans(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert all(got[100 + n] == [("context", 28, 28 + n)] for n in (1, 3, 4, 64, 65, 300))
