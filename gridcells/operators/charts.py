@@ -60,8 +60,9 @@ def histogram(df: DataFrame, column: str, resolution: int = 150) -> DataFrame:
 
 
 def bar_means(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Mean of y per x (NULL group kept), x as text, sorted by x."""
-    return df.groupBy(F.col(x).cast("string").alias(x)).agg(F.avg(to_numeric(y)).alias(y)).orderBy(x)
+    """Mean of y per x (NULL group kept, last), sorted by x in its own type, and then x as text."""
+    means = df.groupBy(F.col(x).alias("__gc_x")).agg(F.avg(to_numeric(y)).alias(y)).orderBy(F.asc_nulls_last("__gc_x"))
+    return means.select(F.col("__gc_x").cast("string").alias(x), y)
 
 
 def spatial_bins(df: DataFrame, lat: str, lon: str, value: str, bins: int = 8) -> DataFrame:

@@ -140,7 +140,8 @@ def resample(grid: GridTable, rule: str = "QS-DEC", how: str = "mean", fill_empt
              median_strategy: str = "auto") -> GridTable:
     """Time bins labelled by their start.  ``fill_empty=True`` also emits bins
     inside the overall span that hold no data (value NULL, or 0 for sum), like
-    the array model; the span comes from a scalar subquery."""
+    the array model; the span comes from a scalar subquery.  A NULL label of another dim is a label
+    like any other; cells without a time keep a NULL bin."""
     t = grid.require_time("Resample")
     others = grid.other_dims(t)
     binned = grid.df.withColumn(t, bin_number(t, rule))
@@ -156,7 +157,11 @@ def resample(grid: GridTable, rule: str = "QS-DEC", how: str = "mean", fill_empt
         cells = grid.df.select(*others).distinct() if others else grid.df.sparkSession.range(1)
         spine = cells.select(*others, bins.alias("__gc_bin")).select(
             F.col("__gc_bin").cast("timestamp_ntz").alias(t), *others)
-        df = spine.join(df, [t, *others], "left")
+        a, b = spine.alias("a"), df.alias("b")
+        met = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (t, *others)], "left")
+        # cells without a time have a bin of their own, outside the span
+        df = met.select(*[F.col(f"a.{k}") for k in (t, *others)], F.col(f"b.{grid.value}")).union(
+            df.where(F.col(t).isNull()).select(t, *others, grid.value))
         if how == "sum":
             df = df.withColumn(grid.value, F.coalesce(grid.value, F.lit(0.0)))
     return grid.with_df(df.select(t, *others, grid.value), dims=(t, *others), aux=(), unique_cells=True)

@@ -1,25 +1,23 @@
 """SELECT-only SQL over the grid variables.
 
-While a query is analysed every variable is a temp view; the text is checked (SELECT/WITH prefix, no
-other relations, no JVM calls, and it must analyse as a subquery, which a ``WITH ... INSERT`` cannot), then the
+While a query is analysed every variable is a temp view; the query is checked (SELECT/WITH prefix, it must parse as a
+subquery, which a ``WITH ... INSERT`` cannot, and its analysed plan holds no other relations and no JVM calls), then the
 user's own query runs on Spark SQL over the full data.  Reading files by path inside SQL is switched off while it runs.
 """
 
 from __future__ import annotations
 
-import re
 from contextlib import contextmanager
 from typing import Iterable
 
-from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from gridcells.model import GridDataset, GridTable
 
-# Functions that call arbitrary JVM methods; no query over grids needs them.
-_JVM_CALL = re.compile(r"\b(?:try_)?reflect\s*\(|\bjava_method\s*\(", re.IGNORECASE)
-# Text between quotes (of any kind) and comments, which hold no calls.
-_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
+# Expressions that call arbitrary JVM methods (whatever the function is called in the text); no query over grids needs them.
+_JVM_CALLS = {"CallMethodViaReflection", "TryReflect"}
+# Leaves of an analysed plan that hold no stored data: literal rows, ranges and references to the query's own WITH tables.
+_OWN_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "ResolvedInlineTable"}
 
 
 class RejectedQuery(ValueError):
@@ -59,17 +57,39 @@ def _views(spark: SparkSession, frames: dict[str, DataFrame]):
             df.createOrReplaceTempView(name)
 
 
-def _relations(spark: SparkSession, text: str) -> set[str]:
-    """Names of relations in the parsed query that are not its own WITH tables."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
-    named = {x.strip() for x in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan)}
-    own = {x.strip().lower() for part in re.findall(r"\bCTE \[([^\]]*)\]", plan) for x in part.split(",")}
-    return {x for x in named if x.lower() not in own}
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _walk(plan, tables: set[str] | None) -> Iterable[str]:
+    """What the analysed plan may not hold: JVM calls, and relations that are not among ``tables`` (None: any).
+
+    WITH tables, subqueries and functions are resolved by then, so names and spelling do not matter.  The walk ends at the given
+    tables' views, whose plans are the caller's own."""
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "View":
+            name = node.desc().identifier()
+            if tables is not None and not (node.isTempView() and name.database().isEmpty() and name.table().lower() in tables):
+                yield f"relation {name.unquotedString()}"
+            continue
+        expressions = _items(node.expressions())
+        while expressions:
+            e = expressions.pop()
+            if e.getClass().getSimpleName() in _JVM_CALLS:
+                yield f"JVM call {e.prettyName()}"
+            expressions += _items(e.children())
+        children = _items(node.children()) + _items(node.subqueries())
+        if not children and tables is not None and kind not in _OWN_LEAVES:
+            yield f"relation {node.simpleString(3)}"
+        stack += children
 
 
 def sql_guard(spark: SparkSession, query: str, tables: Iterable[str] | None = None) -> str:
     """The query's text, if it is one SELECT (or WITH) that reads only ``tables`` (None: any) and calls no
-    JVM methods; else ``RejectedQuery``."""
+    JVM methods; else ``RejectedQuery``.  It is analysed, not run."""
     text = (query or "").strip()
     while text.endswith(";"):
         text = text[:-1].rstrip()
@@ -77,16 +97,15 @@ def sql_guard(spark: SparkSession, query: str, tables: Iterable[str] | None = No
         raise RejectedQuery("the query is empty")
     if not text.lower().startswith(("select", "with")):
         raise RejectedQuery(f"a query begins with SELECT or WITH, not {text.split()[0]!r}")
-    if _JVM_CALL.search(_QUOTED.sub("''", text)):
-        raise RejectedQuery("the query calls JVM methods")
+    state = spark._jsparkSession.sessionState()
     try:
-        foreign = set() if tables is None else {x for x in _relations(spark, text) if x.lower() not in {t.lower() for t in tables}}
-        if foreign:
-            raise RejectedQuery(f"the query reads {sorted(foreign)}, which are not among its tables")
-        # analysed, not executed: building the DataFrame resolves the plan
-        spark.sql(f"SELECT * FROM ({text}\n) AS __checked").schema  # noqa: B018
-    except ParseException as e:
+        state.sqlParser().parsePlan(text)
+        plan = state.sqlParser().parsePlan(f"SELECT * FROM ({text}\n) AS __checked")
+    except Exception as e:
         raise RejectedQuery(f"the query is not one SELECT: {e}") from None
+    found = list(dict.fromkeys(_walk(state.analyzer().execute(plan), None if tables is None else {t.lower() for t in tables})))
+    if found:
+        raise RejectedQuery(f"the query holds what it may not: {found}")
     return text
 
 

@@ -31,6 +31,8 @@ def densify(grid: GridTable) -> GridTable:
     left-joined onto the product.
     """
     dims = list(grid.dims)
+    if not dims:
+        return grid                      # a single value is complete
     axes = {d: axis_table(grid.df, d, "__gc_pos") for d in dims}
     order = sorted(dims, key=lambda d: -axes[d][1])
     product = axes[order[0]][0].select(order[0])

@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from conftest import SF001
+from sample_data import SF001
 
 from __spark_entry__ import entry, oracle_sql, queries
 

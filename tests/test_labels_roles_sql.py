@@ -202,3 +202,32 @@ def test_plain_rounding(spark):
     part = g.df.where("a < 1000")                      # 12.3456...
     assert profile.coverage(part, g.df, ["a"]).first().selected_pct == 12.3
     assert profile.statistics(spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (1.5,)], "x double")).first().unique == 2
+
+
+GUARDED = ["SELECT `reflect`('java.lang.System', 'getProperty', 'user.dir')", "SELECT \"reflect\"('java.lang.System', 'getProperty', 'user.dir')",
+           "SELECT reflect/**/('java.lang.System', 'getProperty', 'user.dir')", "SELECT java_method /*x*/ ('java.lang.System', 'getProperty', 'user.dir')",
+           "WITH other AS (SELECT * FROM other) SELECT * FROM other", "WITH a AS (WITH b AS (SELECT * FROM other) SELECT * FROM b) SELECT * FROM a",
+           "SELECT (SELECT max(x) FROM other) FROM mine", "SELECT * FROM mine WHERE EXISTS (SELECT 1 FROM other WHERE other.x = mine.x)",
+           "SELECT * FROM mine JOIN LATERAL (SELECT * FROM other WHERE other.x = mine.x)", "SELECT * FROM parquet.`/tmp`", "SELECT * FROM default.mine",
+           "SELECT 1) AS a, (SELECT 2", "SELECT 1; SELECT 2", "WITH t AS (SELECT 1) INSERT INTO mine SELECT * FROM t", "EXPLAIN SELECT 1",
+           "SELECT max(upper(try_reflect('java.lang.System', 'getProperty', 'user.dir'))) OVER () FROM mine"]
+ALLOWED = ["WITH mine2 AS (SELECT x + 1 AS x FROM mine), m AS (SELECT * FROM mine2) SELECT a.x FROM m a JOIN mine b ON a.x = b.x",
+           "WITH mine AS (SELECT x FROM mine) SELECT * FROM mine", "SELECT 'reflect(1)' AS x -- java_method(\nFROM mine",
+           "SELECT * FROM VALUES (1), (2) AS t(x)", "SELECT x FROM MINE WHERE x IN (SELECT max(x) FROM mine)", "SELECT id FROM range(3)"]
+
+
+@pytest.mark.parametrize("query", GUARDED)
+def test_guard_rejects_by_the_plan(spark, query):
+    from gridcells.operators.sql import RejectedQuery, sql_execute
+    spark.range(4).selectExpr("id AS x").createOrReplaceTempView("other")
+    try:
+        with pytest.raises(RejectedQuery):
+            sql_execute(spark, {"mine": spark.range(3).selectExpr("id AS x")}, query)
+    finally:
+        spark.catalog.dropTempView("other")
+
+
+@pytest.mark.parametrize("query", ALLOWED)
+def test_guard_accepts_own_tables(spark, query):
+    from gridcells.operators.sql import sql_execute
+    assert sql_execute(spark, {"mine": spark.range(3).selectExpr("id AS x")}, query).count() > 0

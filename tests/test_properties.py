@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from sample_data import SF001
 from gridcells.model import GridTable
 from gridcells.operators import charts, select
 from gridcells.operators.preview import preview

@@ -62,7 +62,7 @@ def test_table_metadata(spark, synthetic):
 
 def test_table_metadata_lists_input_files(spark):
     from gridcells.model import GridDataset
-    from conftest import SF001
+    from sample_data import SF001
     from gridcells.plans import grids
     li = grids.lineitem_grid(spark, SF001)
     rows = roles.table_metadata(spark, GridDataset({"li": li})).collect()

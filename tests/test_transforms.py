@@ -171,3 +171,25 @@ def test_rolling_observations_equal_direct_window(spark, bucket):
         "v", F.avg("v").over(Window.partitionBy("c").orderBy("p").rangeBetween(-2, 0))).drop("p")
     assert out.count() == 300
     assert out.exceptAll(direct.select(*out.columns)).count() == 0
+
+
+def test_filled_resample_keeps_null_labels_and_times(spark):
+    rows = [(dt.datetime.fromisoformat("2024-01-01"), None, 1.0), (dt.datetime.fromisoformat("2024-01-20"), None, 3.0), (dt.datetime.fromisoformat("2024-03-01"), None, 5.0), (dt.datetime.fromisoformat("2024-03-01"), "a", 7.0), (None, "a", 9.0)]
+    from gridcells.operators.transforms import apply_transform
+    grid = GridTable.from_frame(spark.createDataFrame(rows, "time timestamp_ntz, station string, v double"), ("time", "station"), "v")
+    out, _ = apply_transform(grid, "resample", aggregation="sum", resample_rule="MS")
+    got = {(str(r.time)[:7] if r.time else None, r.station): r.v for r in out.df.collect()}
+    assert got == {("2024-01", None): 4.0, ("2024-02", None): 0.0, ("2024-03", None): 5.0, ("2024-01", "a"): 0.0, ("2024-02", "a"): 0.0,
+                   ("2024-03", "a"): 7.0, (None, "a"): 9.0}
+
+
+def test_bars_in_numeric_order(spark):
+    from gridcells.operators.charts import bar_means
+    df = spark.createDataFrame([(x, float(x or 0)) for x in (10, 2, 1, None, 10, 33)], "x int, y double")
+    assert [r.x for r in bar_means(df, "x", "y").collect()] == ["1", "2", "10", "33", None]
+
+
+def test_densify_of_a_single_value(spark):
+    from gridcells.sources.arrays import densify
+    grid = GridTable(spark.createDataFrame([(4.0,)], "v double"), (), "v")
+    assert [tuple(r) for r in densify(grid).df.collect()] == [(4.0,)]
