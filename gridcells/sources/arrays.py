@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridcells.model import GridTable
 from gridcells.operators.axes import axis_table
@@ -17,6 +18,52 @@ def flatten_array(df: DataFrame, keys: list[str], array_col: str, pos_col: str =
     return df.select(*keys, F.posexplode(array_col).alias(pos_col, value_col))
 
 
+def array_depth(df: DataFrame, column: str) -> int:
+    """How many arrays are nested in a column (0: a plain value)."""
+    dtype, depth = df.schema[column].dataType, 0
+    while isinstance(dtype, T.ArrayType):
+        dtype, depth = dtype.elementType, depth + 1
+    return depth
+
+
+# Rows of an axis table that is broadcast; a longer one is shuffled.
+AXIS_ROWS = 1 << 18
+
+
+def flatten_grid(df: DataFrame, keys: list[str], array_col: str, axes: dict[str, DataFrame | None], value_col: str | None = None) -> GridTable:
+    """Cells of packed arrays of any number of dimensions.
+
+    ``axes`` names the dimension of each level of nesting, outermost first, with its axis table ``position, label``
+    (None: the positions are the labels).  Every level is one ``posexplode`` in the scan's stage, and each position then meets its
+    label in a join; nothing else is moved.  The dims are ``keys`` and then the axes.
+
+    Cases.  A plain value (no axes) is one cell a row; a null array, or a null or empty inner one, has no cells; a null element is a cell
+    with a NULL value; arrays of different lengths give the cells that are stored (``densify`` adds the others); a position
+    that its axis table lacks has a NULL label; an axis table that has a position twice raises."""
+    value_col = value_col or array_col
+    depth = array_depth(df, array_col)
+    if depth != len(axes):
+        raise ValueError(f"{array_col!r} has {depth} dimensions and {len(axes)} axes are given")
+    clash = [a for a in axes if a in keys or a == value_col]
+    if clash:
+        raise ValueError(f"axes {clash} are named like other columns")
+    names = list(axes)
+    cells = df.select(*keys, F.col(array_col).alias("__gc_v"))
+    for i in range(depth):
+        cells = cells.select(*keys, *[f"__gc_p{j}" for j in range(i)], F.posexplode("__gc_v").alias(f"__gc_p{i}", "__gc_v"))
+    for i, name in enumerate(names):
+        axis = axes[name]
+        if axis is None:
+            cells = cells.withColumnRenamed(f"__gc_p{i}", name)
+            continue
+        if axis.groupBy("position").count().where("count > 1").limit(1).count():
+            raise ValueError(f"the axis table of {name!r} has a position twice")
+        side = axis.select(F.col("position").cast("int").alias(f"__gc_p{i}"), F.col("label").alias(name))
+        cells = cells.join(F.broadcast(side) if side.count() <= AXIS_ROWS else side, f"__gc_p{i}", "left")
+    dims = (*keys, *names)
+    return GridTable.from_frame(cells.select(*dims, F.col("__gc_v").alias(value_col)), dims, value_col)
+
+
 LABELS_PER_CHUNK = 1024
 
 
