@@ -100,7 +100,7 @@ FROM p LEFT JOIN b ON b.page_id = p.page_id AND b.url = p.url AND b.n = 1
 
 def centroid_rounds(k: int = 8, rounds: int = 10) -> str:
     """Centroid clustering: one pair of tables (assignment, centroids) for each round.  An assignment is packed as distance * k + cluster."""
-    near = """a{i} AS MATERIALIZED (SELECT r, min(list_sum(list_transform(list_zip(p.v, c{i}.v), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * {k} + c) AS m
+    near = """a{i} AS MATERIALIZED (SELECT r, min(list_sum(list_transform(list_zip(p.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * {k} + c) AS m
     FROM kept p, c{i} GROUP BY r)"""
     move = """s{i} AS MATERIALIZED (SELECT m % {k} AS c, i, sum(v[i])::BIGINT AS s, count(*) AS n
     FROM a{i} JOIN kept USING (r), (SELECT unnest(range(1, 65)) AS i) GROUP BY m % {k}, i),
@@ -108,9 +108,9 @@ c{j} AS MATERIALIZED (SELECT c, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDE
     UNION ALL SELECT c, v FROM c{i} WHERE c NOT IN (SELECT c FROM s{i}))"""
     steps = [(near + ",\n" + move).format(i=i, j=i + 1, k=k) for i in range(rounds)] + [near.format(i=rounds, k=k)]
     return f"""WITH usable AS (SELECT vec_id, embedding FROM embeddings
-    WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))),
+    WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
 kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
-    list_transform(embedding, x -> CASE WHEN isfinite(x) THEN floor(1024 * x::DOUBLE)::BIGINT END) AS v FROM usable),
+    list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN floor(1024 * x::DOUBLE)::BIGINT END) AS v FROM usable),
 c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY c < {k}),
 {(","+chr(10)).join(steps)},
 done AS (SELECT vec_id, (m % {k})::INTEGER AS cluster, (m // {k})::BIGINT AS distance FROM a{rounds} JOIN kept USING (r))
