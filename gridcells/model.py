@@ -10,7 +10,7 @@ dictionaries next to the DataFrame and are written as a metadata table.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from typing import Mapping
+from typing import Any, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -38,6 +38,11 @@ class GridTable:
     unique_cells: bool = False
     # dims whose labels are stored in descending order (positions count from the greatest label)
     descending: tuple[str, ...] = ()
+    # True when all cells of one (other dims) lie in one partition of the scan, as a clustered saved
+    # dataset has them; a selection keeps that, any other operation is taken to lose it
+    clustered: bool = False
+    # the stored axes of a saved dataset (operators/axis_catalog.py); only for the whole, unchanged table
+    catalog: Any = None
 
     def __post_init__(self) -> None:
         missing = [c for c in (*self.dims, self.value, *self.aux) if c not in self.df.columns]
@@ -64,10 +69,12 @@ class GridTable:
         return cls(df.select(*cols), tuple(dims), value, tuple(aux), **kw)
 
     def with_df(self, df: DataFrame, dims: tuple[str, ...] | None = None, value: str | None = None,
-                aux: tuple[str, ...] | None = None, unique_cells: bool | None = None) -> "GridTable":
+                aux: tuple[str, ...] | None = None, unique_cells: bool | None = None, clustered: bool = False) -> "GridTable":
         return replace(
             self,
             df=df,
+            clustered=clustered,
+            catalog=None,
             unique_cells=self.unique_cells if unique_cells is None else unique_cells,
             dims=tuple(self.dims if dims is None else dims),
             value=self.value if value is None else value,

@@ -15,8 +15,10 @@ executor recomputes nothing that could shift partition boundaries.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridcells.session import checkpoint_dir
 
@@ -64,11 +66,31 @@ def global_index(df: DataFrame, order_cols: list[str], index_col: str = "k", num
     return _numbered(df, order_cols, index_col, num_partitions, descending)[:2]
 
 
+# An axis of numbers or times with at most so many labels is numbered by the driver, in one job.
+SHORT_AXIS = 1 << 14
+
+
+def _short_axis(values: DataFrame, dim: str, pos_col: str, descending: bool) -> tuple[DataFrame, int] | None:
+    """The numbered axis, if it has at most ``SHORT_AXIS`` labels of a type of fixed size."""
+    if not isinstance(values.schema[dim].dataType, (T.NumericType, T.DatetimeType)):
+        return None
+    labels = values.orderBy(F.col(dim).desc() if descending else F.col(dim)).limit(SHORT_AXIS + 1).toArrow()
+    n = labels.num_rows
+    if n > SHORT_AXIS:
+        return None
+    schema = T.StructType([values.schema[dim], T.StructField(pos_col, T.LongType())])
+    numbered = values.sparkSession.createDataFrame(labels.append_column(pos_col, pa.array(range(n), pa.int64())), schema)
+    return F.broadcast(numbered), n
+
+
 def axis_table(df: DataFrame, dim: str, pos_col: str = "pos", descending: bool = False) -> tuple[DataFrame, int]:
     """Distinct non-null values of ``dim`` with their 0-based position in
-    stored order, and the axis length.  The numbered labels are broadcast in joins when they
-    are measured to be small; otherwise Spark shuffles them."""
+    stored order, and the axis length.  A short axis is numbered by one job; a longer one by the distributed index, and
+    broadcast in joins when its labels are measured to be small (otherwise Spark shuffles them)."""
     values = df.select(dim).where(F.col(dim).isNotNull()).distinct()
+    short = _short_axis(values, dim, pos_col, descending)
+    if short is not None:
+        return short
     indexed, n, size = _numbered(values, [dim], pos_col, None, descending)
     return (F.broadcast(indexed) if size + 16 * n <= BROADCAST_BYTES else indexed), n
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Any, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,7 +91,7 @@ def select_grid(grid: GridTable, filterable: Iterable[str] | None = None, strict
                 raise KeyError(f"label {value!r} not found on {key!r}")
             df = filter_eq(df, key, value)
             dims.remove(key)
-    return grid.with_df(df, dims=tuple(dims))
+    return grid.with_df(df, dims=tuple(dims), clustered=grid.clustered)
 
 
 def _year_pruning(df: DataFrame, bounds: tuple) -> DataFrame:
@@ -147,16 +147,24 @@ def first_slice(grid: GridTable, keep: Iterable[str] | None = None) -> GridTable
     return grid.with_df(df)
 
 
+def single_label_dims(df: DataFrame, labels: dict[str, Column]) -> list[str]:
+    """The dims of ``labels`` that have exactly one (and no NULL): their least and greatest label agree (one aggregate
+    without distinct counts, which reads only the columns of the labels)."""
+    if not labels:
+        return []
+    row = df.agg(*[((F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1)))).alias(d) for d, c in labels.items()]).first()
+    return [d for d in labels if row[d]]
+
+
+def without_dims(grid: GridTable, drop: list[str]) -> GridTable:
+    return grid.with_df(grid.df.drop(*drop), dims=tuple(d for d in grid.dims if d not in drop)) if drop else grid
+
+
 def squeeze(grid: GridTable) -> GridTable:
-    """Drop dims that hold a single label (an aggregate pass over the grid to size them)."""
-    if not grid.dims:
-        return grid
-    row = grid.df.agg(*[F.count_distinct(d).alias(d) for d in grid.dims]).collect()[0]
-    drop = [d for d in grid.dims if row[d] == 1]
-    if not drop:
-        return grid
-    df = grid.df.drop(*drop)
-    return grid.with_df(df, dims=tuple(d for d in grid.dims if d not in drop))
+    """Drop dims that hold a single label."""
+    if grid.catalog is not None:
+        return without_dims(grid, [d for d, n in grid.catalog.sizes().items() if n == 1])
+    return without_dims(grid, single_label_dims(grid.df, {d: F.col(d) for d in grid.dims}))
 
 
 def drop_missing(df: DataFrame, subset: list[str]) -> DataFrame:

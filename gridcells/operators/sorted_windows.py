@@ -1,0 +1,92 @@
+"""Trailing means over sorted cells, a batch of rows at a time.
+
+Spark deals the cells to partitions and sorts them by (group, position); a task then sees all groups of its partition one
+after the other, and a window is a stretch of rows.  Its sum is put together from sums of 1, 2, 4, ... rows, so that every
+row costs a number of additions that grows with the logarithm of the window, nothing is subtracted, and one array operation
+serves all rows of a batch.  What a batch's first windows need of the rows before it is carried over: at most one window of positions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+SHIFT = 40                              # positions take so many bits
+
+
+def changes(column: pa.Array, before: pa.Array | None) -> np.ndarray:
+    """Whether each label differs from the one before (NULLs alike, NaNs alike); the first row of all does."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = len(column)
+    out = np.ones(n, bool)
+    last = pa.concat_arrays([before, column.slice(0, n - 1)]) if before is not None else column.slice(0, n - 1)
+    now = column if before is not None else column.slice(1)
+    same = pc.fill_null(pc.equal(now, last), False)
+    same = pc.or_(same, pc.and_(now.is_null(), last.is_null()))
+    if pa.types.is_floating(column.type):
+        same = pc.or_(same, pc.and_(pc.fill_null(pc.is_nan(now), False), pc.fill_null(pc.is_nan(last), False)))
+    out[n - len(now):] = ~same.to_numpy(zero_copy_only=False)
+    return out
+
+
+def window_means(key: np.ndarray, value: np.ndarray, held: np.ndarray, width: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of the held values at keys ``(key - width, key]`` for each row from ``skip`` on, and whether there is any.  Keys are
+    sorted, and those of different groups are further apart than any window."""
+    n = len(key)
+    at = np.arange(skip, n)
+    low = np.maximum(key[skip:] - width + 1, key[skip:] >> SHIFT << SHIFT)
+    rows = at - np.searchsorted(key, low, side="left") + 1
+    counts = np.concatenate([[0], np.cumsum(held)])
+    count = counts[at + 1] - counts[at + 1 - rows]
+    sums, total, end, size = np.where(held, value, 0.0), np.zeros(n - skip), at.copy(), 1
+    while size <= (rows.max() if len(rows) else 0):
+        part = np.flatnonzero(rows & size)
+        total[part] += sums[end[part]]
+        end[part] -= size
+        longer = sums.copy()
+        longer[size:] += sums[:-size]
+        sums, size = longer, size * 2
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return total / count, count > 0
+
+
+def rolling_batches(groups: list[str], pos: str, value: str, keep: list[str], width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` over cells sorted by ``groups`` and ``pos``: the columns ``keep`` with the value replaced by its
+    trailing mean; a cell without a position has none, and a cell with a false ``__gc_own`` is only read."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[str, pa.Array] = {}
+        number, old = 0, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for g in groups:
+                new |= changes(batch.column(g), last.get(g))
+            if not groups and not last:
+                new[0] = True
+            group = number + np.cumsum(new)
+            number = int(group[-1])
+            last = {g: batch.column(g).slice(batch.num_rows - 1) for g in groups} or {"": None}
+            places = batch.column(pos)
+            place = pc.fill_null(places, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = batch.column(value)
+            held = pc.is_valid(values).to_numpy(zero_copy_only=False) & (place >= 0)
+            numbers = pc.fill_null(values, 0.0).to_numpy(zero_copy_only=False)
+            key = (group.astype(np.int64) << SHIFT) + place
+            skip = len(old[0])
+            key, numbers, held = (np.concatenate(x) for x in zip(old, (key, numbers, held), strict=True))
+            mean, some = window_means(key, numbers, held, width, skip)
+            some &= place >= 0
+            start = int(np.searchsorted(key, max(int(key[-1]) - width + 1, number << SHIFT)))
+            old = key[start:], numbers[start:], held[start:]
+            out = {c: batch.column(c) for c in keep}
+            out[value] = pa.array(mean, pa.float64(), mask=~some)
+            result = pa.RecordBatch.from_pydict(out)
+            if "__gc_own" in batch.schema.names:
+                result = result.filter(batch.column("__gc_own"))
+            yield result
+    return run

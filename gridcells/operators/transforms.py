@@ -11,11 +11,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import functions as F
+
+from gridcells.functions.scalar import bin_number, month_of
 from gridcells.model import GridTable
 from gridcells.operators import reduce, windows
 from gridcells.operators.axes import axis_sizes
 from gridcells.operators.roles import with_roles
-from gridcells.operators.select import squeeze as squeeze_dims
+from gridcells.operators.select import single_label_dims, without_dims
 
 
 @dataclass(frozen=True)
@@ -77,11 +80,12 @@ TRANSFORM_OPTIONS = tuple(TRANSFORMS)
 
 
 def apply_transform(grid: GridTable, transform: str = "none", *, window: int = 3, aggregation: str = "mean",
-                    resample_rule: str = "QS-DEC", squeeze: bool = False,
+                    resample_rule: str = "QS-DEC", squeeze: bool = True,
                     measure: bool = False) -> tuple[GridTable, TransformReport]:
     """Build the transformed grid and its report.
 
-    ``squeeze`` drops dims that are left with one label and ``measure`` adds sizes; both run an aggregate pass.
+    ``squeeze`` drops dims that are left with one label: a pass over the labels of the grid it is given, whose values and
+    result are not computed for it.  ``measure`` adds sizes, by an aggregate pass over the result.
     Roles of horizontal coordinates are detected where a transform needs them and the grid names none."""
     if transform not in TRANSFORMS:
         raise ValueError(f"{transform!r} is none of the transforms {list(TRANSFORMS)}")
@@ -90,7 +94,13 @@ def apply_transform(grid: GridTable, transform: str = "none", *, window: int = 3
         grid = with_roles(grid)
     out = entry.build(grid, settings)
     if squeeze:
-        out = squeeze_dims(out)
+        t = grid.time_dim
+        labels = {d: F.col(d) for d in out.dims if d in grid.dims}
+        if transform == "resample":
+            labels[t] = bin_number(t, settings.rule)
+        if transform == "climatology":
+            labels["month"] = month_of(t)
+        out = without_dims(out, single_label_dims(grid.df, labels))
     report = TransformReport(transform, entry.parameters(grid, settings), tuple(grid.dims), tuple(out.dims),
                              out.attrs.get("units") or grid.attrs.get("units"), out.dtype(out.value).simpleString())
     if measure:

@@ -5,7 +5,9 @@ position of their time label on the time axis, and the window is a range over
 that position, so a missing day inside a cell shortens the window exactly as
 a NaN would in a dense array.
 
-To keep a long series of one hot cell out of a single task, positions are cut
+Where a table has one row a cell, the windows are array operations over sorted rows (``sorted_windows.py``).
+
+To keep a long series of one hot cell out of a single task, positions of an axis longer than a bucket are cut
 into buckets of ``bucket`` positions; the last ``w-1`` positions of each bucket
 are copied into the next one as a halo, every (cell, bucket) is windowed on
 its own, and halo copies are dropped afterwards.  Each window partition holds
@@ -16,12 +18,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridcells.functions.scalar import month_of
 from gridcells.model import GridTable
 from gridcells.operators.axes import axis_table
 from gridcells.operators.reduce import grouped, reducer
-from gridcells.session import checkpoint_dir
+from gridcells.operators.sorted_windows import rolling_batches
+from gridcells.session import checkpoint_dir, share_code
 
 _BUCKET = "__gc_bucket"
 _HALO = "__gc_halo"
@@ -53,6 +57,28 @@ def halo_window(df: DataFrame, partition: list[str], pos: str, width: int, out,
     return apply(base, w).where(~F.col(_HALO)).drop(_BUCKET, _HALO)
 
 
+def _rolled_in_batches(grid: GridTable, cells: DataFrame, others: list[str], width: int, length: int, bucket: int) -> DataFrame:
+    """One exchange by (cell, bucket), a sort, and array operations over the sorted rows.  Buckets (and copies at their
+    borders) are only made where the axis is longer than one."""
+    columns, value = grid.df.columns, grid.value
+    cells = cells.withColumn(value, F.col(value).cast("double"))
+    groups = list(others)
+    bucket = max(int(bucket), width - 1, 1)
+    if length > bucket:
+        b = F.floor(F.col("__gc_pos") / bucket).cast("long")
+        tail = F.coalesce(F.col("__gc_pos"), F.lit(0)) - b * bucket >= bucket - (width - 1)
+        copies = F.when(tail & (F.lit(width) > 1), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+        cells = cells.withColumn("__gc_own", F.explode(copies)).withColumn(_BUCKET, b + (~F.col("__gc_own")).cast("long"))
+        # rows without a position have no bucket either, and no window: spread them
+        cells = cells.withColumn(_BUCKET, F.coalesce(_BUCKET, -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1024))))
+        groups.append(_BUCKET)
+    dealt = cells.repartition(*groups) if groups else cells.repartition(1)
+    ordered = dealt.sortWithinPartitions(*groups, "__gc_pos")
+    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name == value else f.dataType) for f in grid.df.schema.fields])
+    share_code(cells.sparkSession)
+    return ordered.mapInArrow(rolling_batches(groups, "__gc_pos", value, columns, width), schema)
+
+
 def rolling_mean(grid: GridTable, window: int = 3, bucket: int = 4096) -> GridTable:
     """Trailing mean over ``max(int(window),1)`` time-axis positions per cell,
     min_periods=1, missing skipped; same rows out as in.
@@ -65,9 +91,19 @@ def rolling_mean(grid: GridTable, window: int = 3, bucket: int = 4096) -> GridTa
     t = grid.require_time("Rolling mean")
     w = max(int(window), 1)
     others = grid.other_dims(t)
-    axis, _ = axis_table(grid.df, t, "__gc_pos", t in grid.descending)
+    if grid.catalog is not None:
+        axis, n = grid.catalog.axis(t, "__gc_pos")
+    else:
+        axis, n = axis_table(grid.df, t, "__gc_pos", t in grid.descending)
     cells = grid.df.join(axis, t, "left")         # a row without a time has no position, and no window
     value = grid.value
+    if grid.clustered and grid.unique_cells:
+        # all cells of a place are in one partition of the scan: no exchange, and no bucket borders
+        win = Window.partitionBy(*others).orderBy("__gc_pos").rangeBetween(-(w - 1), 0)
+        rolled = F.when(F.col("__gc_pos").isNotNull(), F.avg(value).over(win)).alias(value)
+        return grid.with_df(cells.select(*[rolled if c == value else F.col(c) for c in grid.df.columns]), clustered=True)
+    if grid.unique_cells and isinstance(grid.dtype(value), (T.DoubleType, T.FloatType, T.IntegralType)):
+        return grid.with_df(_rolled_in_batches(grid, cells, others, w, n, bucket))
     if grid.unique_cells:
         out = halo_window(cells, others, "__gc_pos", w, "__gc_roll", lambda win: F.avg(value).over(win), bucket)
         return grid.with_df(out.withColumn(value, F.when(F.col("__gc_pos").isNotNull(), F.col("__gc_roll")))
@@ -98,10 +134,12 @@ def monthly_anomaly(grid: GridTable, how: str = "mean", approx: bool = False, st
     callers who know that a cell's history is short."""
     t = grid.require_time("Anomaly")
     others = grid.other_dims(t)
+    if strategy == "auto" and grid.clustered and grid.unique_cells and how != "median":
+        strategy = "window"                      # no exchange: a place's cells are in one partition of the scan
     if strategy == "window":
         w = Window.partitionBy(month_of(t), *others)
         base = reducer(how, grid.value).over(w)
-        return grid.with_df(grid.df.withColumn(grid.value, F.col(grid.value) - base))
+        return grid.with_df(grid.df.withColumn(grid.value, F.col(grid.value) - base), clustered=grid.clustered)
     keyed = grid.df.withColumn("__gc_month", month_of(t))
     strat = "approx" if approx else ("counts" if median_strategy == "auto" else median_strategy)
     clim = grouped(keyed, ["__gc_month", *others], grid.value, how, strat).withColumnRenamed(grid.value, "__gc_base")
