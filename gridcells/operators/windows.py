@@ -5,7 +5,7 @@ position of their time label on the time axis, and the window is a range over
 that position, so a missing day inside a cell shortens the window exactly as
 a NaN would in a dense array.
 
-Where a table has one row a cell, the windows are array operations over sorted rows (``sorted_windows.py``).
+Where a table has one row a cell, windows are differences of prefix sums and counts.
 
 To keep a long series of one hot cell out of a single task, positions of an axis longer than a bucket are cut
 into buckets of ``bucket`` positions; the last ``w-1`` positions of each bucket
@@ -24,8 +24,7 @@ from gridcells.functions.scalar import month_of
 from gridcells.model import GridTable
 from gridcells.operators.axes import axis_table
 from gridcells.operators.reduce import grouped, reducer
-from gridcells.operators.sorted_windows import rolling_batches
-from gridcells.session import checkpoint_dir, share_code
+from gridcells.session import checkpoint_dir
 
 _BUCKET = "__gc_bucket"
 _HALO = "__gc_halo"
@@ -57,14 +56,30 @@ def halo_window(df: DataFrame, partition: list[str], pos: str, width: int, out,
     return apply(base, w).where(~F.col(_HALO)).drop(_BUCKET, _HALO)
 
 
-def _rolled_in_batches(grid: GridTable, cells: DataFrame, others: list[str], width: int, length: int, bucket: int) -> DataFrame:
-    """One exchange by (cell, bucket), a sort, and array operations over the sorted rows.  Buckets (and copies at their
-    borders) are only made where the axis is longer than one."""
-    columns, value = grid.df.columns, grid.value
-    cells = cells.withColumn(value, F.col(value).cast("double"))
-    groups = list(others)
-    bucket = max(int(bucket), width - 1, 1)
-    if length > bucket:
+def _prefix_means(cells: DataFrame, columns: list[str], groups: list[str], value: str, width: int) -> DataFrame:
+    """Trailing means as differences of prefix sums and counts: a frame that only grows costs one addition a row, whatever the window.
+    Infinite values are counted apart, so that they end with the windows that hold them."""
+    v, pos = F.col(value).cast("double"), F.col("__gc_pos")
+    infinite = F.abs(v) == float("inf")
+    parts = {"__gc_s": F.when(~infinite, v).otherwise(0.0), "__gc_c": v.isNotNull().cast("long"),
+             "__gc_i": F.when(infinite, F.when(v > 0, F.lit(1)).otherwise(F.lit(1 << 32))).otherwise(F.lit(0)).cast("long")}
+    over = Window.partitionBy(*groups).orderBy("__gc_pos")
+    upto, before = over.rangeBetween(Window.unboundedPreceding, 0), over.rangeBetween(Window.unboundedPreceding, -width)
+    rows = cells.select("*", *[x.alias(c) for c, x in parts.items()])
+    rows = rows.select("*", *[(F.sum(c).over(upto) - F.coalesce(F.sum(c).over(before), F.lit(0))).alias(f"{c}_w") for c in parts])
+    rises, falls = F.col("__gc_i_w") % (1 << 32), F.shiftright("__gc_i_w", 32)
+    mean = (F.when(F.col("__gc_i_w") == 0, F.try_divide(F.col("__gc_s_w"), F.col("__gc_c_w")))
+            .when((rises > 0) & (falls > 0), float("nan")).when(rises > 0, float("inf")).otherwise(float("-inf")))
+    mean = F.when(pos.isNotNull() & (F.col("__gc_c_w") > 0), mean)
+    if "__gc_own" in cells.columns:
+        rows = rows.where("__gc_own")
+    return rows.select(*[mean.alias(c) if c == value else F.col(c) for c in columns])
+
+
+def _rolled_by_prefixes(grid: GridTable, cells: DataFrame, others: list[str], width: int, length: int, bucket: int) -> DataFrame:
+    """One exchange by (cell, bucket).  Buckets (and copies at their borders) are only made where the axis is longer than one."""
+    groups, bucket = list(others), max(int(bucket), width - 1, 1)
+    if length > bucket and not grid.clustered:
         b = F.floor(F.col("__gc_pos") / bucket).cast("long")
         tail = F.coalesce(F.col("__gc_pos"), F.lit(0)) - b * bucket >= bucket - (width - 1)
         copies = F.when(tail & (F.lit(width) > 1), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
@@ -72,17 +87,16 @@ def _rolled_in_batches(grid: GridTable, cells: DataFrame, others: list[str], wid
         # rows without a position have no bucket either, and no window: spread them
         cells = cells.withColumn(_BUCKET, F.coalesce(_BUCKET, -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1024))))
         groups.append(_BUCKET)
-    dealt = cells.repartition(*groups) if groups else cells.repartition(1)
-    ordered = dealt.sortWithinPartitions(*groups, "__gc_pos")
-    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name == value else f.dataType) for f in grid.df.schema.fields])
-    share_code(cells.sparkSession)
-    return ordered.mapInArrow(rolling_batches(groups, "__gc_pos", value, columns, width), schema)
+    return _prefix_means(cells, grid.df.columns, groups, grid.value, width)
 
 
-def rolling_mean(grid: GridTable, window: int = 3, bucket: int = 4096) -> GridTable:
+def rolling_mean(grid: GridTable, window: int = 3, bucket: int = 4096, frame: str = "prefix") -> GridTable:
     """Trailing mean over ``max(int(window),1)`` time-axis positions per cell,
     min_periods=1, missing skipped; same rows out as in.
 
+    With one row a cell, sums are differences of prefix sums within a bucket; a mean is then right to about 2**-52 of the
+    bucket's summed magnitudes.  ``frame="exact"`` adds up every window anew.
+
     On an observation table (several rows per cell and position, so one
     cell can be hot) the rows are first summed and counted per (cell,
     position); the window runs over those partial sums, one row per
@@ -97,13 +111,9 @@ def rolling_mean(grid: GridTable, window: int = 3, bucket: int = 4096) -> GridTa
         axis, n = axis_table(grid.df, t, "__gc_pos", t in grid.descending)
     cells = grid.df.join(axis, t, "left")         # a row without a time has no position, and no window
     value = grid.value
-    if grid.clustered and grid.unique_cells:
-        # all cells of a place are in one partition of the scan: no exchange, and no bucket borders
-        win = Window.partitionBy(*others).orderBy("__gc_pos").rangeBetween(-(w - 1), 0)
-        rolled = F.when(F.col("__gc_pos").isNotNull(), F.avg(value).over(win)).alias(value)
-        return grid.with_df(cells.select(*[rolled if c == value else F.col(c) for c in grid.df.columns]), clustered=True)
-    if grid.unique_cells and isinstance(grid.dtype(value), (T.DoubleType, T.FloatType, T.IntegralType)):
-        return grid.with_df(_rolled_in_batches(grid, cells, others, w, n, bucket))
+    if grid.unique_cells and frame == "prefix" and isinstance(grid.dtype(value), (T.DoubleType, T.FloatType, T.IntegralType)):
+        # a clustered table needs no exchange and no buckets: all cells of a place are in one partition of the scan
+        return grid.with_df(_rolled_by_prefixes(grid, cells, others, w, n, bucket), clustered=grid.clustered)
     if grid.unique_cells:
         out = halo_window(cells, others, "__gc_pos", w, "__gc_roll", lambda win: F.avg(value).over(win), bucket)
         return grid.with_df(out.withColumn(value, F.when(F.col("__gc_pos").isNotNull(), F.col("__gc_roll")))

@@ -56,14 +56,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     on a cluster, because the checkpoint folder is the shared one)."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
-
-
-PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-
-
-def share_code(spark: SparkSession) -> None:
-    """Python workers look for this package where the driver has it.  (A cluster whose machines
-    have no copy there ships it by ``--py-files``.)"""
-    there = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if PACKAGE_ROOT not in there:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (PACKAGE_ROOT, *there) if p)
