@@ -54,9 +54,14 @@ def _bin(rule: str) -> tuple[int, int]:
 def bin_number(t: Column | str, rule: str) -> Column:
     """The bin containing ``t`` as the number of its first month (since year 0): integer arithmetic on
     the calendar fields, so it is cheap to group by and does not depend on the session zone."""
-    step, early = _bin(rule)
     d = F.to_date(_c(t))
-    month = F.year(d) * 12 + F.month(d) - 1 + early
+    return bin_of_month(F.year(d) * 12 + F.month(d) - 1, rule)
+
+
+def bin_of_month(number: Column | str, rule: str) -> Column:
+    """The bin of a month, both as numbers of months since year 0."""
+    step, early = _bin(rule)
+    month = _c(number) + early
     return month - F.pmod(month, F.lit(step)) - early
 
 

@@ -21,6 +21,9 @@ _TIME_TYPES = (T.TimestampNTZType, T.TimestampType, T.DateType)
 _NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
+CLUSTER_KEY = "__gc_cell"
+
+
 @dataclass(frozen=True)
 class GridTable:
     df: DataFrame
@@ -39,7 +42,8 @@ class GridTable:
     # dims whose labels are stored in descending order (positions count from the greatest label)
     descending: tuple[str, ...] = ()
     # True when all cells of one (other dims) lie in one partition of the scan, as a clustered saved
-    # dataset has them; a selection keeps that, any other operation is taken to lose it
+    # dataset has them by its column ``CLUSTER_KEY``, a hash of the other dims (windows name doubles in a normal form, by
+    # which no scan is bucketed); a selection keeps that, any other operation is taken to lose it
     clustered: bool = False
     # the stored axes of a saved dataset (operators/axis_catalog.py); only for the whole, unchanged table
     catalog: Any = None
@@ -112,6 +116,11 @@ class GridTable:
         own = (column,) if column in self.dims else tuple(self.aux_dims.get(column, ())) if column else ()
         return tuple(d for d in own if d in self.dims)
 
+    def place(self) -> list[str]:
+        """Keys of a place (all dims but time) for windows over time; with the clustering column where there is one."""
+        others = self.other_dims(self.time_dim)
+        return [CLUSTER_KEY, *others] if self.clustered else others
+
     def _only(self, dims: tuple[str, ...]) -> str | None:
         return dims[0] if len(dims) == 1 else None
 

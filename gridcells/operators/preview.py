@@ -35,6 +35,8 @@ def preview(grid: GridTable, limit: int = 250) -> DataFrame:
     dims = list(grid.dims)
     if limit <= 0 or not dims:
         return df
+    if grid.catalog is not None:
+        return grid.catalog.preview(grid, limit)
     sizes = axis_sizes(df, dims)
     keep = preview_extent([sizes[d] for d in dims], limit)
     for d, k in zip(dims, keep):

@@ -196,6 +196,8 @@ def schema_profile(df: DataFrame) -> DataFrame:
 def dimension_info(grid: GridTable) -> DataFrame:
     """Per dim: dtype, size, kind, min/max as text (one aggregate pass); the labels of an axis are
     rows of ``dimension_labels``."""
+    if grid.catalog is not None:
+        return grid.catalog.dimension_info(grid)
     dims = list(grid.dims)
     kinds = {d: ("datetime" if grid.is_time(d) else "numeric" if grid.is_numeric(d) else "categorical") for d in dims}
     wide = grid.df.agg(*[x for i, d in enumerate(dims) for x in (
@@ -227,12 +229,17 @@ def query_cost(full: GridTable, selected: GridTable, approx: bool = False) -> Da
     selection, the actual selected cell rows, ratio, bytes/row, MB and risk.
     A scalar-selected dim counts as size 1."""
     dims = list(full.dims)
-    columns = [c for c in (*full.dims, *full.aux, full.value) if c in full.df.columns]
-    bpr = bytes_per_row(full.df, columns)
     f = full.df.agg(*[_distinct(d, approx).alias(f"f{i}") for i, d in enumerate(dims)])
     s = selected.df.agg(F.count(F.lit(1)).alias("selected_cells"),
                         *[_distinct(d, approx).alias(f"s{i}") for i, d in enumerate(dims)])
-    wide = attach_scalars(s, f)
+    return cost_row(attach_scalars(s, f), full)
+
+
+def cost_row(wide: DataFrame, full: GridTable) -> DataFrame:
+    """The estimate from one row with ``selected_cells`` and the sizes ``f<i>`` (full) and ``s<i>`` (selected) of the dims."""
+    dims = list(full.dims)
+    columns = [c for c in (*full.dims, *full.aux, full.value) if c in full.df.columns]
+    bpr = bytes_per_row(full.df, columns)
     full_rows = F.lit(1).cast("long")
     sel_rows = F.lit(1).cast("long")
     for i in range(len(dims)):

@@ -136,6 +136,23 @@ def climatology(grid: GridTable, how: str = "mean", month_col: str = "month",
     return grid.with_df(df, dims=(month_col, *others), aux=(), unique_cells=True)
 
 
+def filled_bins(df: DataFrame, binned: DataFrame, t: str, others: list[str], value: str, rule: str, step: int, how: str) -> DataFrame:
+    """The resampled ``df`` with a row for every bin between the first and the last, for every cell of ``binned`` (numbered bins).
+
+    The bins are a sequence built from two scalar subqueries and exploded per cell (no join of unrelated rows)."""
+    lo = binned.select(F.to_date(bin_label(F.min(t), rule))).scalar()
+    hi = binned.select(F.to_date(bin_label(F.max(t), rule))).scalar()
+    bins = F.explode(F.sequence(lo, hi, F.expr(f"INTERVAL {step} MONTH")))
+    cells = binned.select(*others).distinct() if others else binned.sparkSession.range(1)
+    spine = cells.select(*others, bins.alias("__gc_bin")).select(F.col("__gc_bin").cast("timestamp_ntz").alias(t), *others)
+    a, b = spine.alias("a"), df.alias("b")
+    met = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (t, *others)], "left")
+    # cells without a time have a bin of their own, outside the span
+    df = met.select(*[F.col(f"a.{k}") for k in (t, *others)], F.col(f"b.{value}")).union(
+        df.where(F.col(t).isNull()).select(t, *others, value))
+    return df.withColumn(value, F.coalesce(value, F.lit(0.0))) if how == "sum" else df
+
+
 def resample(grid: GridTable, rule: str = "QS-DEC", how: str = "mean", fill_empty: bool = False,
              median_strategy: str = "auto") -> GridTable:
     """Time bins labelled by their start.  ``fill_empty=True`` also emits bins
@@ -148,22 +165,7 @@ def resample(grid: GridTable, rule: str = "QS-DEC", how: str = "mean", fill_empt
     df = grouped(binned, [t, *others], grid.value, how, median_strategy_for(grid, median_strategy))
     df = df.withColumn(t, bin_label(t, rule))        # once for each group, not for each cell
     if fill_empty:
-        # every bin between the first and last label: a sequence built from
-        # two scalar subqueries, exploded per cell (no join of unrelated rows)
-        lo = binned.select(F.to_date(bin_label(F.min(t), rule))).scalar()
-        hi = binned.select(F.to_date(bin_label(F.max(t), rule))).scalar()
-        step = bin_step_months(rule)
-        bins = F.explode(F.sequence(lo, hi, F.expr(f"INTERVAL {step} MONTH")))
-        cells = grid.df.select(*others).distinct() if others else grid.df.sparkSession.range(1)
-        spine = cells.select(*others, bins.alias("__gc_bin")).select(
-            F.col("__gc_bin").cast("timestamp_ntz").alias(t), *others)
-        a, b = spine.alias("a"), df.alias("b")
-        met = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (t, *others)], "left")
-        # cells without a time have a bin of their own, outside the span
-        df = met.select(*[F.col(f"a.{k}") for k in (t, *others)], F.col(f"b.{grid.value}")).union(
-            df.where(F.col(t).isNull()).select(t, *others, grid.value))
-        if how == "sum":
-            df = df.withColumn(grid.value, F.coalesce(grid.value, F.lit(0.0)))
+        df = filled_bins(df, binned, t, others, grid.value, rule, bin_step_months(rule), how)
     return grid.with_df(df.select(t, *others, grid.value), dims=(t, *others), aux=(), unique_cells=True)
 
 

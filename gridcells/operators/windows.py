@@ -76,9 +76,9 @@ def _prefix_means(cells: DataFrame, columns: list[str], groups: list[str], value
     return rows.select(*[mean.alias(c) if c == value else F.col(c) for c in columns])
 
 
-def _rolled_by_prefixes(grid: GridTable, cells: DataFrame, others: list[str], width: int, length: int, bucket: int) -> DataFrame:
+def _rolled_by_prefixes(grid: GridTable, cells: DataFrame, width: int, length: int, bucket: int) -> DataFrame:
     """One exchange by (cell, bucket).  Buckets (and copies at their borders) are only made where the axis is longer than one."""
-    groups, bucket = list(others), max(int(bucket), width - 1, 1)
+    groups, bucket = grid.place(), max(int(bucket), width - 1, 1)
     if length > bucket and not grid.clustered:
         b = F.floor(F.col("__gc_pos") / bucket).cast("long")
         tail = F.coalesce(F.col("__gc_pos"), F.lit(0)) - b * bucket >= bucket - (width - 1)
@@ -113,7 +113,7 @@ def rolling_mean(grid: GridTable, window: int = 3, bucket: int = 4096, frame: st
     value = grid.value
     if grid.unique_cells and frame == "prefix" and isinstance(grid.dtype(value), (T.DoubleType, T.FloatType, T.IntegralType)):
         # a clustered table needs no exchange and no buckets: all cells of a place are in one partition of the scan
-        return grid.with_df(_rolled_by_prefixes(grid, cells, others, w, n, bucket), clustered=grid.clustered)
+        return grid.with_df(_rolled_by_prefixes(grid, cells, w, n, bucket), clustered=grid.clustered)
     if grid.unique_cells:
         out = halo_window(cells, others, "__gc_pos", w, "__gc_roll", lambda win: F.avg(value).over(win), bucket)
         return grid.with_df(out.withColumn(value, F.when(F.col("__gc_pos").isNotNull(), F.col("__gc_roll")))
@@ -147,7 +147,7 @@ def monthly_anomaly(grid: GridTable, how: str = "mean", approx: bool = False, st
     if strategy == "auto" and grid.clustered and grid.unique_cells and how != "median":
         strategy = "window"                      # no exchange: a place's cells are in one partition of the scan
     if strategy == "window":
-        w = Window.partitionBy(month_of(t), *others)
+        w = Window.partitionBy(month_of(t), *grid.place())
         base = reducer(how, grid.value).over(w)
         return grid.with_df(grid.df.withColumn(grid.value, F.col(grid.value) - base), clustered=grid.clustered)
     keyed = grid.df.withColumn("__gc_month", month_of(t))
@@ -156,6 +156,13 @@ def monthly_anomaly(grid: GridTable, how: str = "mean", approx: bool = False, st
     return grid.with_df(_subtract_baseline(keyed, clim, ["__gc_month", *others], grid))
 
 
+def month_baseline_anomaly(grid: GridTable, base: DataFrame) -> GridTable:
+    """value minus ``__gc_base`` of its calendar month ``__gc_month`` and cell."""
+    t = grid.require_time("Anomaly")
+    keyed = grid.df.withColumn("__gc_month", month_of(t))
+    return grid.with_df(_subtract_baseline(keyed, base, ["__gc_month", *grid.other_dims(t)], grid))
+
+
 # A baseline is broadcast when its measured size is at most this.
 BROADCAST_BYTES = 32 << 20
 

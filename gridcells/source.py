@@ -78,7 +78,12 @@ class GridSource:
         return profile.describe(self.dataset)
 
     def estimate_query_cost(self, table: str, **query: Any) -> DataFrame:
-        return profile.query_cost(self.table(table), self.select(table, **query))
+        """From the stored axes of a saved dataset, without reading cells; else from the cells."""
+        grid = self.table(table)
+        if grid.catalog is not None:
+            allowed = set(grid.dims if self.filterable_coords is None else self.filterable_coords)
+            return grid.catalog.query_cost(grid, **{k: v for k, v in query.items() if k in allowed})
+        return profile.query_cost(grid, self.select(table, **query))
 
     def coordinate_roles(self, table: str) -> DataFrame:
         return roles.column_roles(self.table(table))
