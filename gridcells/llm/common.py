@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridcells.session import checkpoint_dir, scratch_path
 
-__all__ = ["block_count", "checkpoint_dir", "cut", "let", "read_table", "scratch_path", "share_code", "text_bytes", "text_key", "texts"]
+__all__ = ["block_count", "checkpoint_dir", "cut", "let", "read_table", "scan", "scratch_path", "share_code", "text_bytes", "text_key", "texts"]
 
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -52,6 +52,25 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+SCAN_BLOCK = 256
+
+
+def scan(values: Column, zero: Column, step) -> Column:
+    """For each value of an array, ``zero`` and the values before it put together by ``step`` (an associative function of two columns,
+    as a sum or a maximum).  Blocks are scanned alone and then shifted, so that time hardly grows faster than the array."""
+    def along(xs):
+        first = F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("out"))
+        return F.aggregate(xs, first, lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def shifted(blocks):
+        before = along(F.transform(blocks, lambda b: b["at"]))["out"]
+        return let(before, lambda o: F.flatten(F.transform(blocks, lambda b, i: F.transform(b["out"], lambda x: step(F.get(o, i), x)))))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / SCAN_BLOCK).cast("int")),
+                        lambda b: F.slice(values, b * SCAN_BLOCK + 1, SCAN_BLOCK))
+    return let(F.transform(parts, along), shifted)
+
+
 def text_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 

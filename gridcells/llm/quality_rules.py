@@ -13,7 +13,8 @@ Everything is one projection of a row: no shuffle, and a long text costs its own
 Windows are compared within their text by 64-bit hashes.
 
 Cases.  A null or empty text has no words and is rejected; lines without a word are neither judged nor counted;
-repeated rows and ids are judged row by row; other columns are left alone.
+a very long text takes time in proportion to its length; repeated rows and ids are judged row by row; an empty table gives no rows; other
+columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -82,24 +83,27 @@ def verdict(text: Column, per_symbol: int = 5, per_separator: int = 5, heading_w
     """Struct of the base counts, ``base_failed``, ``kept``, ``clean`` (text of the kept lines),
     ``n_lines``, ``n_lines_removed``, ``chars`` and ``chars_lost`` of lines with a word."""
     def size(lines):
-        return F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+        return F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["line"]))
 
-    def judged(t, lines, bad, base):
+    def judged(t, every, lines, bad, base):
         failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
         clean = F.when(F.size(bad) == 0, t).otherwise(
-            F.array_join(F.filter(F.split(t, "\n", -1), lambda x: ~F.array_contains(bad, x)), "\n"))
+            F.array_join(F.transform(F.filter(every, lambda x: ~x["fails"]), lambda x: x["line"]), "\n"))
         return let(F.struct(size(lines).alias("chars"), size(bad).alias("lost")), lambda s: F.struct(
             *(base[c].alias(c) for c in BASE), failed.alias("base_failed"),
             (~failed & (100 * s["lost"] <= max_lost * s["chars"])).alias("kept"), clean.alias("clean"),
             F.size(lines).alias("n_lines"), F.size(bad).alias("n_lines_removed"),
             s["chars"].alias("chars"), s["lost"].alias("chars_lost")))
 
-    def fails(line):
-        return line_fails(line, per_symbol, per_separator, heading_words, phrase_words)
+    def judge(line):                                     # each line once
+        has_word = line.rlike(WORD)
+        fails = line_fails(line, per_symbol, per_separator, heading_words, phrase_words)
+        return F.struct(line.alias("line"), has_word.alias("has_word"), F.when(has_word, fails).otherwise(False).alias("fails"))
 
     return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(
-        F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)), lambda lines: let(
-            F.filter(lines, fails), lambda bad: let(base_counts(t, lines), lambda base: judged(t, lines, bad, base)))))
+        F.transform(F.split(t, "\n", -1), judge), lambda every: let(
+            F.filter(every, lambda x: x["has_word"]), lambda lines: let(F.filter(lines, lambda x: x["fails"]), lambda bad: let(
+                base_counts(t, F.transform(lines, lambda x: x["line"])), lambda base: judged(t, every, lines, bad, base))))))
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -110,9 +114,15 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_good(df: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``df`` that are kept, with cleaned texts; ``n_chars`` follows if there is one."""
+    """The rows of ``df`` that are kept, with cleaned texts; ``n_chars`` follows if there is one.  Null and empty texts go; repeated rows
+    are judged alike; an empty table gives no rows; other columns are left alone, whatever their names."""
     judged = F.filter(F.array(verdict(F.col(f"`{text_col}`"), **how)), lambda q: q["kept"])
-    out = df.withColumn("__q", F.explode(judged)).withColumn(text_col, F.col("__q.clean"))
-    if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(df.schema["n_chars"].dataType))
-    return out.drop("__q")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.explode(judged).alias("q"))
+
+    def column(c):
+        if c == text_col:
+            return F.col("q.clean").alias(c)
+        if c == "n_chars":
+            return F.length("q.clean").cast(df.schema[c].dataType).alias(c)
+        return F.col(f"row.`{c}`")
+    return rows.select(*map(column, df.columns))

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcells.llm.common import let, texts
+from gridcells.llm.common import scan as running
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"            # as AKIA[A-Z0-9]+ and then 20 or more characters
@@ -49,20 +50,22 @@ los las una por con para como más pero sus este entre cuando muy sin sobre tamb
 desarrollo gobierno universidad información administración"""
 KINDS = ("assign", "access", "hex", "model")
 SPAN = "array<struct<start:int,rank:int,end:int>>"
+CHUNK = 4096
 
 
 def located(text: Column, pattern: str, rank: int, keep=None, group: int = 0) -> Column:
     """Spans of the matches of ``pattern`` that pass ``keep(match, its group)``: the matches and
-    the texts between them, laid end to end, give the positions."""
+    the texts between them, laid end to end, give the positions (running sums of their lengths)."""
     def place(between, matches, groups):
-        def step(acc, i):
-            start = acc["at"] + F.length(F.get(between, i))
-            end = start + F.length(F.get(matches, i))
-            span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-            out = span if keep is None else F.when(keep(F.get(matches, i), F.get(groups, i)), span).otherwise(F.expr(f"cast(array() as {SPAN})"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], out).alias("out"))
-        first = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, step)["out"]
+        sizes = F.transform(matches, lambda m, i: F.length(m) + F.length(F.get(between, i)))
+
+        def spans(before):
+            def span(m, i):
+                start = F.get(before, i) + F.length(F.get(between, i))
+                kept = F.lit(True) if keep is None else keep(m, F.get(groups, i))
+                return F.when(kept, F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(m)).alias("end")))
+            return F.filter(F.transform(matches, span), lambda x: x.isNotNull())
+        return let(let(sizes, lambda z: running(z, F.lit(0), lambda x, y: x + y)), spans)
 
     whole = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else m,
@@ -180,18 +183,29 @@ def joined(spans: Column) -> Column:
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", train_rows: int = 4000, min_length: int = 20,
            min_ratio: float = 0.25, id_col: str = "doc_id") -> DataFrame:
     """``df`` with every span (overlapping ones as one) replaced by ``mark`` in the text, and
-    ``n_chars`` following if there is one."""
+    ``n_chars`` following if there is one.  A null or empty text stays as it is, repeated rows are changed alike, an empty table gives no
+    rows, a very long text takes time in proportion to its length, and other columns are left alone, whatever their names."""
     ratios = ratio_table(texts(df, id_col, text_col), train_rows)
 
-    def step(acc, s):
-        between = F.substring(acc["text"], acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(acc["text"].alias("text"), s["end"].alias("at"), F.concat(acc["out"], between, F.lit(mark)).alias("out"))
-        longer = F.struct(acc["text"].alias("text"), F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when((s["start"] >= acc["at"]), fresh).otherwise(longer)
-
     def without(text, spans):
-        first = F.struct(text.alias("text"), F.lit(0).alias("at"), F.lit("").alias("out"))
-        return let(F.aggregate(spans, first, step), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+        """The text in chunks of ``CHUNK`` characters, so that a part of it is cut from the chunks it lies in; and the end
+        that all spans before a span reach, from which the text goes on."""
+        chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+        def cut(parts, a, b):
+            first, last = F.floor(a / CHUNK).cast("int"), F.floor(F.greatest(b - 1, a) / CHUNK).cast("int")
+            within = F.transform(F.slice(parts, first + 1, last - first + 1), lambda c, i: F.substring(
+                c, F.when(i == 0, a - first * CHUNK).otherwise(0) + 1,
+                F.least(b, (first + i + 1) * CHUNK) - F.when(i == 0, a).otherwise((first + i) * CHUNK)))
+            return F.when(b > a, F.array_join(within, "")).otherwise("")
+
+        def joined_up(parts, reach):
+            pieces = F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(reach, i), F.concat(
+                cut(parts, F.get(reach, i), s["start"]), F.lit(mark))))
+            end = F.array_max(F.transform(spans, lambda s: s["end"]))
+            return F.concat(F.array_join(F.filter(pieces, lambda x: x.isNotNull()), ""), cut(parts, end, F.length(text)))
+        return let(chunks, lambda parts: let(running(F.transform(spans, lambda s: s["end"]), F.lit(0), F.greatest),
+                                             lambda reach: joined_up(parts, reach)))
 
     text = F.col(f"`{text_col}`")
     new = let(scan(text, ratios, min_length, min_ratio), lambda s: F.when(F.size(s) == 0, text).otherwise(without(text, s)))

@@ -16,7 +16,8 @@ small leaves, where distances are counted.  A shard sends on at most one edge fo
 each of its fingerprints, towards the least one it is connected to there.
 
 Cases.  Rows that share a doc_id each get their result; a null doc_id is linked by its text but
-is never the smallest id; ``component_id`` is null if all ids of a component are.
+is never the smallest id; ``component_id`` is null if all ids of a component are.  A very long text costs its own
+task only; an empty table gives no rows; columns other than id and text are left behind, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcells.llm.common import cut, text_key, texts
@@ -216,13 +217,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component the row with the smallest
-    doc_id (null last; then by a hash of the text) stays, once."""
+    doc_id (null last; then by a hash of the text) stays, once (of rows that share both, the one with the smallest hash of all columns).
+
+    Rows without words, null texts among them, are one component; an empty table gives no rows; other columns are left alone,
+    whatever their names."""
     none = -(1 << 63)
     best = (near_duplicates(df, id_col, text_col, **how)
             .groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tie")).alias("one"))
-            .select(F.coalesce("one.doc_id", F.lit(none)).alias("__best_id"), F.col("one.tie").alias("__best_tie")))
-    text = F.col(f"`{text_col}`").cast("string")
-    keyed = df.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(none)),
-                            "__tie": F.coalesce(F.xxhash64(text), F.lit(0))})
-    kept = keyed.join(best.distinct(), (F.col("__id") == F.col("__best_id")) & (F.col("__tie") == F.col("__best_tie")), "left_semi")
-    return kept.dropDuplicates(["__id", "__tie"]).drop("__id", "__tie")
+            .select(F.coalesce("one.doc_id", F.lit(none)).alias("id"), F.col("one.tie").alias("tie")).distinct())
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(none)).alias("id"),
+                     F.coalesce(F.xxhash64(F.col(f"`{text_col}`").cast("string")), F.lit(0)).alias("tie"),
+                     F.xxhash64(*columns).alias("all"), F.struct(*columns).alias("row"))
+    # one exchange of the rows, by id and tie, serves the join and the choice
+    order = Window.partitionBy("id", "tie").orderBy("all")
+    first = rows.join(best, ["id", "tie"], "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1")
+    return first.select(*(F.col(f"row.`{c}`") for c in df.columns))

@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 from gridcells.llm import quality_rules as q
@@ -69,3 +70,20 @@ def test_odd_rows(spark, odd_documents):
     kept = q.keep_good(odd_documents)
     assert kept.columns == odd_documents.columns and {r.doc_id for r in kept.collect()} <= {7, 8, None}
     assert q.quality_rules(odd_documents.limit(0)).count() == 0
+
+
+def test_working_names_are_left_alone(spark):
+    prose = " ".join(f"w{i}" for i in range(60)) + "."
+    df = spark.createDataFrame([(1, prose, "a", "b", "c", 7)], "doc_id int, text string, q string, row string, __q string, `n chars.x` int")
+    assert [tuple(r) for r in q.keep_good(df).collect()] == [(1, prose, "a", "b", "c", 7)] and q.keep_good(df).columns == df.columns
+
+
+def test_many_failing_lines_take_linear_time(spark):
+    took = []
+    for n in (20_000, 80_000):
+        df = spark.createDataFrame([(1, "\n".join(f"| {i} |" for i in range(n)))], "doc_id int, text string")
+        q.quality_rules(df).first()
+        began = time.time()
+        assert q.quality_rules(df).first().n_lines_removed == n
+        took.append(time.time() - began)
+    assert took[1] < 7 * took[0] + 2

@@ -2,6 +2,7 @@ import base64
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -103,7 +104,7 @@ def test_random_tokens_of_a_hot_source_are_not_ordinary(spark, documents):
 
 
 def test_copies_change_no_model(spark, documents):
-    docs = s.texts(documents).where("text is not null").limit(300).localCheckpoint()
+    docs = s.texts(documents).where("text is not null").limit(300).checkpoint()
     hot = docs.limit(1).crossJoin(spark.range(5000).select("id")).select("doc_id", "text")
     assert s.picked(docs.union(hot), 400).count() == docs.select("text").distinct().count()
     assert s.ratio_table(docs.union(hot), 400) == s.ratio_table(docs, 400)
@@ -120,3 +121,37 @@ def test_few_texts_have_models(spark, documents):
     names = ["internationalization_settings", "get_user_account_information", "/articles/archive/international", "MAX_CONNECTION_TIMEOUT_SECONDS",
              "thatheintiontionererblething", "createDefaultConfigurationObject"]
     assert recall(spark, few, names) == 0
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    rng, ratios = random.Random(1), [1.0] * (128 * 128)
+    took = []
+    for n in (10_000, 40_000):
+        text = "é ".join(tokens(rng, LETTERS[0], n))
+        df = spark.createDataFrame([(1, text)], "doc_id int, text string").select(F.size(s.scan(F.col("text"), ratios, 20, 0.25)).alias("n"))
+        df.first()
+        began = time.time()
+        assert df.first().n >= n
+        took.append(time.time() - began)
+    assert took[1] < 7 * took[0] + 2                         # 16 times if it grew with the square
+
+
+def test_redact_as_a_plain_version(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(["word", "é😀", "\n", "token=" + "ab12-" * rng.randrange(2, 900), "0123456789abcdef" * 2, "AKIA" + "Q" * 20, "-", " ",
+                             "x" * 5000, "password: hunter22"]) for _ in range(rng.randrange(12))]
+        rows.append((i, rng.choice(["", " "]).join(parts), "y", i))
+    df = spark.createDataFrame(rows, "doc_id int, text string, spans string, chunks int")
+    ratios = s.ratio_table(s.texts(df), 4000)
+    spans = {r.doc_id: [(x.start, x.end) for x in r.spans] for r in df.select("doc_id", s.scan(F.col("text"), ratios, 20, 0.25).alias("spans")).collect()}
+    got = s.redact(df)
+    assert got.columns == df.columns
+    for r in got.collect():
+        text, out, at = rows[r.doc_id][1], [], 0
+        for a, b in spans[r.doc_id]:
+            if a >= at:
+                out += [text[at:a], "[SECRET]"]
+            at = max(at, b)
+        assert r.text == "".join([*out, text[at:]]) and (r.spans, r.chunks) == rows[r.doc_id][2:]

@@ -3,6 +3,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from gridcells.llm import simhash
 from gridcells.llm.graph import components
 
@@ -114,3 +116,13 @@ def test_odd_rows(spark, odd_documents):
     got = [(r.doc_id, r.fingerprint) for r in kept.collect()]
     assert len([x for x in got if x[0] == 4]) == 1 and (1, "a") in got and (2, None) not in got and (None, "d") in got
     assert simhash.keep_one(odd_documents.limit(0)).count() == 0
+
+
+def test_working_names_are_left_alone(spark):
+    rows = [(1, "a b c d", "x", 2), (1, "a b c d", "y", 1), (2, "a b c d", "z", 0), (3, "e f g h i", None, 4)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, id string, tie int").withColumns({"__id": F.lit(1), "__tie": F.lit("t"), "n": F.lit(9), "row": F.lit(0)})
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(map(tuple, kept.collect()))
+    assert len(got) == 2 and got[0][:3] in ((1, "a b c d", "x"), (1, "a b c d", "y")) and got[1] == (3, "e f g h i", None, 4, 1, "t", 9, 0)
+    assert got == sorted(map(tuple, simhash.keep_one(df.repartition(4)).collect()))
