@@ -12,7 +12,9 @@ Training uses a bounded sample: of the labelled rows that are not held out, thos
 picks so that about ``train_rows`` are left.  Rows are featurised where they are; one task fits the
 sample (its size does not depend on the corpus).  All rows are scored in place, without a shuffle.
 
-Cases.  Held out are ids with crc32 of their text modulo 3 equal to 1 (a null id is not, and has
+Cases.  Rows that share an id are all scored; of a sampled id one text is trained on, so repeated ids make the sample no
+larger.  A very long text costs its own task only; an empty table gives no rows; columns other than these are left
+behind, whatever their names.  Held out are ids with crc32 of their text modulo 3 equal to 1 (a null id is not, and has
 no label).  Null and empty texts have no words and are scored by the rest.  Null labels do not
 count; of several labels of an id the largest counts.  Without any label every score is 0.5.
 """
@@ -163,7 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, bits: int, factors
                     np.concatenate(feature), np.concatenate(value))
         return pa.table({"w": pa.array([machine.w.tobytes()], pa.binary()), "v": pa.array([machine.v.tobytes()], pa.binary())})
 
-    sample = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "n_chars", "label")
+    # of rows that share an id, the text with the smallest hash: the fitting task meets one row a sampled label
+    met = docs.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(
+        F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), F.xxhash64("n_chars"))).alias("d"))
+    sample = met.select("doc_id", "d.text", "d.n_chars", "label")
     model = (sample.mapInArrow(featurise, "one int, doc_id bigint, label int, feature binary, value binary")
              .groupBy("one").applyInArrow(fit, "w binary, v binary").collect())
     machine = Machine((1 << bits) + STATISTICS, factors)

@@ -51,3 +51,13 @@ def test_odd_rows(spark, odd_documents, labels):
     assert len(out) == odd_documents.count() and all(0 <= r.score <= 1 for r in out)
     assert {r.score for r in q.score_quality(odd_documents, labels.limit(0)).collect()} == {0.5}
     assert q.score_quality(odd_documents.limit(0), labels).count() == 0
+
+
+def test_repeated_ids_make_the_sample_no_larger(spark, documents, labels):
+    docs = documents.where("length(text) < 2000").select("doc_id", "text", "n_chars").checkpoint()
+    texts = docs.select("text", "n_chars").limit(200)
+    hot = texts.selectExpr(f"{labels.where(~q.held_out(labels.doc_id)).first().doc_id} doc_id", "text", "n_chars")
+    a = q.score_quality(docs.union(hot), labels)
+    assert a.count() == docs.count() + hot.count()
+    copies = {(r.doc_id, r.score) for r in q.score_quality(docs.union(docs), labels).collect()}
+    assert copies == {(r.doc_id, r.score) for r in q.score_quality(docs, labels).collect()}
