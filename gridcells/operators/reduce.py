@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridcells.functions.scalar import bin_label, bin_number, bin_step_months, month_of
 from gridcells.model import GridTable
+from gridcells.operators.selection import median_by_selection
 
 # Reducer names the reference accepts for transforms; unknown
 # names fall back to mean.
@@ -69,9 +71,11 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str | None = N
 
 
 def grouped(df: DataFrame, keys: list[str], value: str, how: str, median_strategy: str = "counts") -> DataFrame:
-    """``groupBy(keys).agg(reducer)`` with the median strategy applied:
-    ``counts`` (exact, hot groups split), ``collect`` (exact, a group's values
+    """``groupBy(keys).agg(reducer)`` with the median strategy applied: ``select`` (exact, by narrowing, for values that hardly
+    repeat), ``counts`` (exact, by counts of equal values; both split hot groups), ``collect`` (exact, a group's values
     meet in one task) or ``approx`` (mergeable percentile sketch)."""
+    if how == "median" and median_strategy == "select":
+        return median_by_selection(df, keys, value)
     if how == "median" and median_strategy == "counts":
         return exact_median(df, keys, value)
     agg = reducer(how, value, median_strategy == "approx").alias(value)
@@ -93,11 +97,11 @@ def reducer(name: str, value: str, approx: bool = False, accuracy: int = 10_000)
 
 
 def median_strategy_for(grid: GridTable, requested: str | None, approx: bool = False) -> str:
-    """``auto`` is the exact median by value counts, whatever the table holds."""
+    """``auto`` is an exact median: by narrowing for floating-point values, which hardly repeat, and by value counts for others."""
     if approx:
         return "approx"
     if requested in (None, "auto"):
-        return "counts"
+        return "select" if isinstance(grid.dtype(grid.value), (T.DoubleType, T.FloatType)) else "counts"
     return requested
 
 
