@@ -70,7 +70,7 @@ def global_index(df: DataFrame, order_cols: list[str], index_col: str = "k", num
 SHORT_AXIS = 1 << 14
 
 
-def _short_axis(values: DataFrame, dim: str, pos_col: str, descending: bool) -> tuple[DataFrame, int] | None:
+def short_axis(values: DataFrame, dim: str, pos_col: str, descending: bool) -> tuple[DataFrame, int] | None:
     """The numbered axis, if it has at most ``SHORT_AXIS`` labels of a type of fixed size."""
     if not isinstance(values.schema[dim].dataType, (T.NumericType, T.DatetimeType)):
         return None
@@ -88,7 +88,7 @@ def axis_table(df: DataFrame, dim: str, pos_col: str = "pos", descending: bool =
     stored order, and the axis length.  A short axis is numbered by one job; a longer one by the distributed index, and
     broadcast in joins when its labels are measured to be small (otherwise Spark shuffles them)."""
     values = df.select(dim).where(F.col(dim).isNotNull()).distinct()
-    short = _short_axis(values, dim, pos_col, descending)
+    short = short_axis(values, dim, pos_col, descending)
     if short is not None:
         return short
     indexed, n, size = _numbered(values, [dim], pos_col, None, descending)

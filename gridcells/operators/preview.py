@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcells.model import GridTable
-from gridcells.operators.axes import axis_sizes, global_index
+from gridcells.operators.axes import global_index, short_axis
 
 
 def preview_extent(sizes: list[int], limit: int) -> list[int]:
@@ -37,7 +37,10 @@ def preview(grid: GridTable, limit: int = 250) -> DataFrame:
         return df
     if grid.catalog is not None:
         return grid.catalog.preview(grid, limit)
-    sizes = axis_sizes(df, dims)
+    labels = {d: df.select(d).where(F.col(d).isNotNull()).distinct() for d in dims}
+    # a short axis is numbered by the job that counts it, and needs no further scan for its k-th label
+    short = {d: short_axis(labels[d], d, "pos", d in grid.descending) for d in dims}
+    sizes = {d: short[d][1] if short[d] else labels[d].count() for d in dims}
     keep = preview_extent([sizes[d] for d in dims], limit)
     for d, k in zip(dims, keep):
         if k >= sizes[d]:
@@ -47,7 +50,7 @@ def preview(grid: GridTable, limit: int = 250) -> DataFrame:
         # k-th smallest label of the selection's axis (not of the rows left
         # after trimming earlier dims: trimming one dim leaves the other axes
         # whole); top-k of the distinct labels, attached as a scalar subquery
-        axis = grid.df.select(d).where(F.col(d).isNotNull()).distinct()
+        axis = short[d][0] if short[d] else labels[d]
         if d in grid.descending:
             kth = axis.orderBy(F.col(d).desc()).limit(k).select(F.min(d)).scalar()
             df = df.where(F.col(d) >= kth)

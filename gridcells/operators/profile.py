@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from gridcells.functions.scalar import format_scalar, nan_to_null
 from gridcells.model import GridTable
 from gridcells.operators.axes import axis_table
+from gridcells.operators.modes import mode_of, value_counts
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 _TIME = (T.TimestampNTZType, T.TimestampType, T.DateType)
@@ -51,10 +52,17 @@ def _unpivot(wide: DataFrame, structs: list[Column]) -> DataFrame:
     return wide.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def _distinct(c, approx: bool) -> Column:
-    """Exact distinct count, or a HyperLogLog estimate (constant-size state,
-    about 2 % error) for very high-cardinality columns."""
-    return F.approx_count_distinct(c) if approx else F.count_distinct(c)
+def _label_row(df: DataFrame, dims: list[str], approx: bool = False, summary=lambda d, i: []) -> DataFrame:
+    """One row with the number of labels ``n<i>`` of each dim, and the ``summary`` aggregates of its labels.  Each dim's labels are
+    grouped on their own, in a scan of that column alone; counting all of them in one aggregate would multiply every row by the dims.
+    ``approx`` takes HyperLogLog estimates (constant-size state, about 2 % error) for very high cardinality, in one aggregate."""
+    if approx:
+        return df.agg(*[x for i, d in enumerate(dims) for x in (F.approx_count_distinct(d).alias(f"n{i}"), *summary(d, i))])
+    rows = [df.select(d).distinct().agg(F.count(d).alias(f"n{i}"), *summary(d, i)) for i, d in enumerate(dims)]
+    out = rows[0]
+    for row in rows[1:]:
+        out = attach_scalars(out, row)
+    return out
 
 
 def statistics(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
@@ -62,9 +70,9 @@ def statistics(df: DataFrame, columns: list[str] | None = None, approx: bool = F
     (std needs two values); datetime min/max as text; other columns put their
     mode (smallest on ties) in ``min_text``.
 
-    Numbers of distinct values and modes come from one grouped count of (column, value),
-    combined before the shuffle.  ``approx=True`` estimates ``unique`` with HyperLogLog instead, and then
-    only the columns that need a mode are counted."""
+    Numbers of distinct values and modes come from a grouped count of each column's values, combined before the
+    shuffle, in a scan of that column alone.  ``approx=True`` estimates ``unique`` with HyperLogLog instead, and takes the (exact)
+    modes from candidates (``modes.mode_of``)."""
     columns = columns or df.columns
     aggs, names = [], []
     for i, c in enumerate(columns):
@@ -82,9 +90,14 @@ def statistics(df: DataFrame, columns: list[str] | None = None, approx: bool = F
             aggs += [F.min(v).cast("string").alias(f"mn{i}"), F.max(v).cast("string").alias(f"mx{i}")]
         names.append((c, dtype, kind))
     wide = df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
-    counted = [(i, c) for i, (c, _, kind) in enumerate(names) if kind == "other" or not approx]
-    if counted:
-        wide = attach_scalars(wide, _value_counts(df, counted, not approx))
+    for i, (c, _, kind) in enumerate(names):
+        mode = F.col("x").cast("string").alias(f"mo{i}")
+        if not approx:
+            counts = value_counts(df, c)
+            one = counts.agg(F.count(F.lit(1)).alias(f"u{i}"), F.min(F.struct(-F.col("n"), "x")).alias("b"))
+            wide = attach_scalars(wide, one.select(f"u{i}", "b.x").select(f"u{i}", mode))
+        elif kind == "other":
+            wide = attach_scalars(wide, mode_of(df, c).select(mode))
     dnull, snull = F.lit(None).cast("double"), F.lit(None).cast("string")
     structs = []
     for i, (c, dtype, kind) in enumerate(names):
@@ -105,40 +118,18 @@ def statistics(df: DataFrame, columns: list[str] | None = None, approx: bool = F
     return _unpivot(wide, structs)
 
 
-def _value_counts(df: DataFrame, columns: list[tuple[int, str]], unique: bool) -> DataFrame:
-    """One row with the most frequent value ``mo<i>`` of each column (smallest on ties)
-    and, with ``unique``, its number of distinct values ``u<i>``.  Counting is a
-    distributed ``groupBy(column, value)``; a column's counts are reduced to one row by
-    constant-size aggregates, so no task holds a column's values."""
-    def text(c):
-        # zero of either sign is one value, NaN is missing
-        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
-            return (nan_to_null(c) + F.lit(0.0)).cast("string")
-        return F.col(c).cast("string")
-
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), text(c).alias("x")) for i, c in columns])).alias("p")) \
-        .select("p.i", "p.x").where(F.col("x").isNotNull())
-    counts = pairs.groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("x").alias("x"))).alias("b"),
-                                   F.count(F.lit(1)).alias("u"))
-    return best.agg(*[F.max(F.when(F.col("i") == i, F.col("b.x"))).alias(f"mo{i}") for i, _ in columns],
-                    *[F.max(F.when(F.col("i") == i, F.col("u"))).alias(f"u{i}") for i, _ in columns if unique])
-
-
 def coverage(selection: DataFrame, full: DataFrame, dims: list[str], approx: bool = False) -> DataFrame:
     """Per dim: labels present in the selection vs on the whole axis, the
     percentage (1 decimal) and the selection's min/max as report text
     ("n/a" when the selection is empty)."""
-    sel = selection.agg(*[x for i, d in enumerate(dims) for x in (
-        _distinct(d, approx).alias(f"s{i}"),
+    sel = _label_row(selection, dims, approx, lambda d, i: [
         format_scalar(F.min(d), selection.schema[d].dataType).alias(f"lo{i}"),
-        format_scalar(F.max(d), selection.schema[d].dataType).alias(f"hi{i}"))])
-    tot = full.agg(*[_distinct(d, approx).alias(f"t{i}") for i, d in enumerate(dims)])
-    wide = attach_scalars(sel, tot)
+        format_scalar(F.max(d), selection.schema[d].dataType).alias(f"hi{i}")])
+    tot = _label_row(full, dims, approx)
+    wide = attach_scalars(sel, tot.select(*[F.col(f"n{i}").alias(f"t{i}") for i in range(len(dims))]))
     structs = []
     for i, d in enumerate(dims):
-        s, t = F.col(f"s{i}"), F.col(f"t{i}")
+        s, t = F.col(f"n{i}"), F.col(f"t{i}")
         structs.append(F.struct(
             F.lit(d).alias("dimension"),
             F.lit(full.schema[d].dataType.simpleString()).alias("dtype"),
@@ -194,15 +185,13 @@ def schema_profile(df: DataFrame) -> DataFrame:
 
 
 def dimension_info(grid: GridTable) -> DataFrame:
-    """Per dim: dtype, size, kind, min/max as text (one aggregate pass); the labels of an axis are
+    """Per dim: dtype, size, kind, min/max as text (a pass over each dim's column); the labels of an axis are
     rows of ``dimension_labels``."""
     if grid.catalog is not None:
         return grid.catalog.dimension_info(grid)
     dims = list(grid.dims)
     kinds = {d: ("datetime" if grid.is_time(d) else "numeric" if grid.is_numeric(d) else "categorical") for d in dims}
-    wide = grid.df.agg(*[x for i, d in enumerate(dims) for x in (
-        F.count_distinct(d).alias(f"n{i}"), F.min(d).cast("string").alias(f"lo{i}"),
-        F.max(d).cast("string").alias(f"hi{i}"))])
+    wide = _label_row(grid.df, dims, summary=lambda d, i: [F.min(d).cast("string").alias(f"lo{i}"), F.max(d).cast("string").alias(f"hi{i}")])
     return _unpivot(wide, [F.struct(
         F.lit(d).alias("dimension"), F.lit(grid.dtype(d).simpleString()).alias("dtype"), F.col(f"n{i}").alias("size"),
         F.lit(kinds[d]).alias("kind"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
@@ -229,10 +218,10 @@ def query_cost(full: GridTable, selected: GridTable, approx: bool = False) -> Da
     selection, the actual selected cell rows, ratio, bytes/row, MB and risk.
     A scalar-selected dim counts as size 1."""
     dims = list(full.dims)
-    f = full.df.agg(*[_distinct(d, approx).alias(f"f{i}") for i, d in enumerate(dims)])
-    s = selected.df.agg(F.count(F.lit(1)).alias("selected_cells"),
-                        *[_distinct(d, approx).alias(f"s{i}") for i, d in enumerate(dims)])
-    return cost_row(attach_scalars(s, f), full)
+    wide = selected.df.agg(F.count(F.lit(1)).alias("selected_cells"))
+    for prefix, df in (("f", full.df), ("s", selected.df)):
+        wide = attach_scalars(wide, _label_row(df, dims, approx).select(*[F.col(f"n{i}").alias(f"{prefix}{i}") for i in range(len(dims))]))
+    return cost_row(wide, full)
 
 
 def cost_row(wide: DataFrame, full: GridTable) -> DataFrame:
@@ -274,7 +263,7 @@ def flatten_estimate(source: DataFrame, flat: GridTable, bytes_per_value: int =
     the axis sizes), bytes at ``bytes_per_value`` per column, and the row
     explosion factor (flattened / source, 4 decimals, 0.0 without source)."""
     columns = len([c for c in (*flat.dims, *flat.aux, flat.value) if c in flat.df.columns])
-    sizes = flat.df.agg(*[F.count_distinct(d).alias(f"n{i}") for i, d in enumerate(flat.dims)])
+    sizes = _label_row(flat.df, list(flat.dims))
     rows = F.lit(1).cast("long")
     for i in range(len(flat.dims)):
         rows = rows * F.col(f"n{i}")
