@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridcells.session import checkpoint_dir, scratch_path
 
-__all__ = ["block_count", "checkpoint_dir", "cut", "let", "read_table", "scan", "scratch_path", "share_code", "text_bytes", "text_key", "texts"]
+__all__ = ["block_count", "checkpoint_dir", "cut", "let", "read_table", "scan", "scratch_path", "share_code", "spread", "text_bytes", "text_key", "texts"]
 
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -78,3 +78,13 @@ def text_bytes(df: DataFrame) -> int:
 def block_count(spark: SparkSession, n_bytes: int, block_bytes: int) -> int:
     """Blocks of about ``block_bytes``; at least one for each shuffle partition."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // block_bytes))
+
+
+#: More tasks than this are not asked of one shuffle; then a task holds many blocks, one after another.
+MOST_TASKS = 1 << 16
+
+
+def spread(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows moved by their ``key`` (an int from 0 to n-1), one key a task, so that a task's share does not grow with the
+    input; grouping by the key then moves nothing more."""
+    return df.repartitionById(n, key) if n <= MOST_TASKS else df.repartition(MOST_TASKS, key)

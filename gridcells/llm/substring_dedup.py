@@ -9,7 +9,7 @@ of ``width - v + 1`` words that starts at a cover position in both.  Only those
 hashed and compared over the corpus; a repeated anchor is then extended to the windows
 around it, and only these windows are compared, by 128-bit hashes.
 
-Jobs.  Documents are dealt into blocks of bounded bytes by a hash of their key; this one exchange
+Jobs.  Documents are dealt into blocks of bounded bytes by a hash of their key, one block a task; this one exchange
 of texts serves all three rounds.
 1. Each block sends its distinct anchors to buckets by hash; a bucket answers with one bit for
    each anchor: whether another block has it too.
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcells.llm.common import block_count, text_bytes, text_key, texts
+from gridcells.llm.common import block_count, spread, text_bytes, text_key, texts
 from gridcells.llm.tokens import BASE, U64, mix, window_hashes, words_of
 
 #: Perfect difference sets (modulus, members).
@@ -125,8 +125,8 @@ def send_anchors(width: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         block = Block(table, width)
         parts = block.by_bucket(buckets)
-        return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int64()),
-                         "block": pa.array([table["block"][0].as_py()] * len(parts), pa.int64()),
+        return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int32()),
+                         "block": pa.array([table["block"][0].as_py()] * len(parts), pa.int32()),
                          "blob": pa.array([pack(block.anchors[p]) for _, p in parts], pa.binary())})
     return run
 
@@ -169,8 +169,8 @@ def send_windows(width: int, buckets: int):
         parts = [p for p in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(p)]
         blobs = [pack(one[p], two[p], block.rank[text_of[p]], block.tie[text_of[p]], starts[p]) for p in parts]
         me, n = (docs["block"][0].as_py() if docs.num_rows else 0), len(parts)
-        return pa.table({"bucket": pa.array([int(home[p[0]]) for p in parts] + [me % buckets], pa.int64()),
-                         "block": pa.array([me] * (n + 1), pa.int64()),
+        return pa.table({"bucket": pa.array([int(home[p[0]]) for p in parts] + [me % buckets], pa.int32()),
+                         "block": pa.array([me] * (n + 1), pa.int32()),
                          "kind": pa.array(["windows"] * n + ["ranges"]),
                          "blob": pa.array([*blobs, pack(*gone)], pa.binary())})
     return run
@@ -193,7 +193,7 @@ def later_windows(width: int):
             for b in np.unique(owner[gone]):
                 blocks.append(int(b))
                 blobs.append(pack(*ranges(start[gone[owner[gone] == b]], width)))
-        return pa.table({"block": pa.array(blocks, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"block": pa.array(blocks, pa.int32()), "blob": pa.array(blobs, pa.binary())})
     return run
 
 
@@ -228,10 +228,10 @@ def remove_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: st
     docs = texts(df, id_col, text_col)
     n = block_count(df.sparkSession, text_bytes(docs), block_bytes)
     docs = docs.withColumn("tie", text_key())
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(n)))
-    anchors = docs.groupBy("block").applyInArrow(send_anchors(width, n), "bucket bigint, block bigint, blob binary")
-    shared = anchors.groupBy("bucket").applyInArrow(shared_anchors, "block bigint, bucket bigint, blob binary")
-    windows = docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
-        send_windows(width, n), "bucket bigint, block bigint, kind string, blob binary")
-    gone = windows.groupBy("bucket").applyInArrow(later_windows(width), "block bigint, blob binary")
-    return docs.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(remove_ranges(width), RESULT)
+    docs = spread(docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(n)).cast("int")), "block", n)
+    anchors = docs.groupBy("block").applyInArrow(send_anchors(width, n), "bucket int, block int, blob binary")
+    shared = spread(anchors, "bucket", n).groupBy("bucket").applyInArrow(shared_anchors, "block int, bucket int, blob binary")
+    windows = docs.groupBy("block").cogroup(spread(shared, "block", n).groupBy("block")).applyInArrow(
+        send_windows(width, n), "bucket int, block int, kind string, blob binary")
+    gone = spread(windows, "bucket", n).groupBy("bucket").applyInArrow(later_windows(width), "block int, blob binary")
+    return docs.groupBy("block").cogroup(spread(gone, "block", n).groupBy("block")).applyInArrow(remove_ranges(width), RESULT)

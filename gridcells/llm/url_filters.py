@@ -6,7 +6,7 @@ active when it was fetched.
 
 An entry's pattern is a domain (it and its subdomains match) or a host with a path (whole path segments
 match).  A capture is exploded to the patterns that could match it, its host's domains and its path's leading
-segments (no deeper than the deepest entry), so the as-of join is an equality join on the pattern with
+segments (neither deeper than the deepest entry), so the as-of join is an equality join on the pattern with
 a condition on the time; the intervals of an entry do not overlap, so a capture meets each entry at most once.
 The most specific (longest) active pattern decides; of equally long ones a blocking list
 goes before an allowing one.
@@ -15,7 +15,10 @@ Equal captures are counted first and judged once; one pattern that a third of al
 a join key whose captures Spark may split, and its events are reduced to one a day before their order matters.
 
 Cases.  Captures without a time, or whose url has no host, match nothing; events without a date or pattern are ignored;
-of several events of an entry on one day a removal wins; repeated captures each get their result.
+of several events of an entry on one day a removal wins; repeated captures each get their result.  Without captures
+there are no rows; without events every verdict is none.  A host of any number of labels and a path of any length are taken whole, but
+make no more patterns than the deepest entry has labels or segments.  Only the id, url and time of a capture are read,
+so other columns cannot clash with working names.
 """
 
 from __future__ import annotations
@@ -36,11 +39,12 @@ def segments_of(url: Column) -> Column:
     return F.array_remove(F.split(F.regexp_extract(url, PATH, 1), "/"), "")
 
 
-def pattern_keys(host: Column, segments: Column, depth: Column) -> Column:
-    """All patterns that match: the host's domains of two or more labels (or the host), and host/path."""
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
-                          lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def pattern_keys(host: Column, segments: Column, depth: Column, labels: Column) -> Column:
+    """The patterns that may match: the host's domains of two or more, but at most ``labels`` labels (or the host, if it has
+    one), and host/path of at most ``depth`` segments."""
+    most = F.least(labels, F.size(F.split(host, r"\.")))
+    domains = F.transform(F.sequence(F.lit(2), F.greatest(most, F.lit(2))),
+                          lambda k: F.call_function("substring_index", host, F.lit("."), -k))
     n = F.least(F.size(segments), depth)
     paths = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                         lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")))
@@ -63,12 +67,15 @@ def judge_captures(captures: DataFrame, events: DataFrame, id_col: str = "page_i
     """``id, url, fetched_on, host, verdict`` (block, allow or none), the deciding ``pattern``, its list
     and since when it was listed, and ``n_active`` (entries active at that time)."""
     entries = validity(events)
-    depth = entries.agg(F.coalesce(F.max(F.length("pattern") - F.length(F.translate("pattern", "/", ""))), F.lit(0)).alias("d")).first().d
+    slashes = F.length("pattern") - F.length(F.translate("pattern", "/", ""))
+    deepest = entries.agg(F.coalesce(F.max(slashes), F.lit(0)).alias("depth"),
+                          F.coalesce(F.max(F.when(slashes == 0, F.size(F.split("pattern", r"\.")))), F.lit(1)).alias("labels")).first()
     seen = (captures.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"),
                             F.col(f"`{time_col}`").cast("date").alias("fetched_on"))
             .groupBy("id", "url", "fetched_on").agg(F.count("*").alias("times")))
     seen = seen.withColumn("host", host_of(F.col("url")))
-    keyed = seen.select("*", F.explode_outer(pattern_keys(F.col("host"), segments_of(F.col("url")), F.lit(depth))).alias("pattern"))
+    keyed = seen.select("*", F.explode_outer(pattern_keys(F.col("host"), segments_of(F.col("url")), F.lit(deepest.depth),
+                                                           F.lit(deepest.labels))).alias("pattern"))
     active = ((F.col("fetched_on") >= F.col("valid_from"))
               & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to"))))
     met = keyed.join(entries, (keyed.pattern == entries.pattern) & active, "left").drop(keyed.pattern)

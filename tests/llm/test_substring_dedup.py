@@ -71,3 +71,11 @@ def test_odd_rows(spark, odd_documents):
     long = next(r for r in out if r.doc_id == 5 and r.n_words == 8000)
     assert long.kept_text == "alpha beta" and long.n_removed == 7998  # the window at word 2 repeats that at 0
     assert remove_repeated_passages(odd_documents.limit(0)).count() == 0
+
+
+def test_one_block_a_task(spark, documents):
+    out = remove_repeated_passages(documents, block_bytes=100_000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "shufflepartitionidpassthrough" in plan and "hashpartitioning(block" not in plan and "hashpartitioning(bucket" not in plan
+    n = -(-documents.selectExpr("sum(octet_length(text)) as b").first().b // 100_000)
+    assert out.rdd.getNumPartitions() == n

@@ -20,7 +20,8 @@ def test_as_of_verdicts(spark):
              ("http://good.example.com/bad/xy", "2021-04-05", "allow"), ("http://notexample.com/", "2021-04-05", "none"),
              ("http://late.org/", "2021-04-05", "none"), ("http://same.org/", "2021-04-05", "block"), ("http://day.org/", "2021-04-05", "none"),
              (None, "2021-04-05", "none"), ("", "2021-04-05", "none"), ("no url", "2021-04-05", "none"), ("http://example.com/", None, "none"),
-             ("http://example.com/" + "a/" * 50_000, "2021-04-05", "block")]
+             ("http://example.com/" + "a/" * 50_000, "2021-04-05", "block"), ("http://" + "a." * 50_000 + "example.com/", "2021-04-05", "block"),
+             ("http://localhost/x", "2021-04-05", "none")]
     rows = [(i, url, None if day is None else D(day), "x") for i, (url, day, _) in enumerate(cases)]
     rows += rows[1:3] + [(None, "http://example.com/", D("2021-04-01"), "y")]
     cap = spark.createDataFrame(rows, "page_id int, url string, fetched_on date, pattern string")
@@ -45,3 +46,15 @@ def test_no_python_in_the_plan(spark):
     out = u.judge_captures(u.page_captures(pages), u.page_list_events(pages))
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", out._jdf.queryExecution().executedPlan().toString())
     assert out.groupBy("verdict").count().count() == 3
+
+
+def test_hosts_of_many_labels_meet_long_and_short_entries(spark):
+    names = ["com", "b.com", "a.b.com", "x.y.z.a.b.com", "host", "other.host"]
+    events = [("l", True, n, D("2021-01-01"), True) for n in names] + [("l", False, "q.a.b.com/p/q", D("2021-01-01"), True)]
+    ev = spark.createDataFrame(events, "list_name string, blocks boolean, pattern string, day date, adds boolean")
+    cases = {"http://b.com": ("b.com", 1), "http://v.a.b.com": ("a.b.com", 2), "http://w.x.y.z.a.b.com/": ("x.y.z.a.b.com", 3), "http://com/": ("com", 1),
+             "http://host": ("host", 1), "http://deep.other.host": ("other.host", 1), "http://c.com": (None, 0), "http://q.a.b.com/p/q/r": ("q.a.b.com/p/q", 3),
+             "http://" + "k." * 100_000 + "b.com": ("b.com", 1)}
+    cap = spark.createDataFrame([(i, u_, D("2021-02-01")) for i, u_ in enumerate(cases)], "page_id int, url string, fetched_on date")
+    got = {r.url: (r.pattern, r.n_active) for r in u.judge_captures(cap, ev).collect()}
+    assert got == cases
