@@ -11,11 +11,13 @@ runs left, words as numbers, are indexed.  The windows are found by backward sea
 wavelet tree, occurrences by sampled suffix positions, and overlapping occurrences are merged to removal spans.
 
 The items are the stated query set.  They are read in blocks of at most about ``item_block_bytes``
-bytes; only a block's windows are in the driver and in a task at a time. Each block makes one pass
-over the shards, merged with the passes before it (which are cut off by a checkpoint).
+bytes; only a block's windows are in the driver and in a task at a time.  Where there are several, each makes one pass over the shards
+and writes hits only; a join by the text's digest, whose hot side Spark may split, brings them together.
 
 Cases.  Null texts and texts without words have no hits; items without words have no windows; a
 null item_id is written as the empty string; items with equal ids count once; a repeated row gets its result each time.
+Without documents there are no rows; without items nothing is hit.  Very long texts are searched whole.  ``find_passages`` reads the id and
+text alone, and ``remove_passages`` carries the other columns in one struct, so no column clashes with a working name.
 Words are compared by 64-bit hashes.
 """
 
@@ -166,19 +168,33 @@ NONE = {"n_words": "cast(0 as bigint)", "hits": "cast(array() as array<struct<st
         "items": "cast(array() as array<string>)"}
 
 
-def search(rows: DataFrame, windows: Iterator[Windows], shard_bytes: int, clean: bool) -> DataFrame:
-    """One pass over ``rows`` (with ``text``; other columns are carried along) for each block."""
-    out = rows.selectExpr("*", *(f"{x} as {c}" for c, x in NONE.items()))
-    block = next(windows)
+def one_pass(rows: DataFrame, windows: Windows, shard_bytes: int, clean: bool, drop_text: bool) -> DataFrame:
+    schema = StructType([f for f in rows.schema if not (drop_text and f.name == "text")])
+    if clean:
+        schema = schema.add("clean", "string")
+    return rows.mapInArrow(searcher(windows, shard_bytes, schema.names, clean), schema)
+
+
+def search(rows: DataFrame, blocks: Iterator[Windows], width: int, shard_bytes: int, clean: bool) -> DataFrame:
+    """``rows`` (with ``text``; other columns are carried along) with their words, hits and items.  One block makes one pass; of several,
+    each writes the hits of the texts that it hits, by a digest of the text, and a last pass takes the hits of all."""
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return one_pass(rows.selectExpr("*", *(f"{x} as {c}" for c, x in NONE.items())), block, shard_bytes, clean, not clean)
+    key, parts = F.sha2("text", 256).alias("key"), []
     while block is not None:
-        following = next(windows, None)
-        last = following is None
-        schema = StructType([f for f in out.schema if clean or not last or f.name != "text"])
-        if clean and last:
-            schema = schema.add("clean", "string")
-        out = out.mapInArrow(searcher(block, shard_bytes, schema.names, clean and last), schema)
-        out, block = out if last else cut(out), following
-    return out
+        found = one_pass(rows.select(key, "text").selectExpr("*", *(f"{x} as {c}" for c, x in NONE.items())), block, shard_bytes, False, True)
+        parts.append(cut(found.where("size(hits) > 0").groupBy("key").agg(F.first("hits").alias("hits"), F.first("items").alias("items"))))
+        block, following = following, next(blocks, None)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    found = found.groupBy("key").agg(F.flatten(F.collect_list("hits")).alias("hits"),
+                                     F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    joined = rows.select("*", key).join(found, "key", "left").select(
+        *rows.columns, F.expr(NONE["n_words"]).alias("n_words"),
+        *(F.coalesce(c, F.expr(NONE[c])).alias(c) for c in ("hits", "items")))
+    return one_pass(joined, Windows([], pa.array([], pa.string()), width), shard_bytes, clean, not clean)
 
 
 def find_passages(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -187,7 +203,7 @@ def find_passages(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """``doc_id, n_words, hits`` (merged word ranges), ``items`` (sorted ids), and with ``clean``
     the text and its ``clean`` form without the hit spans."""
     blocks = item_blocks(benchmark, item_id_col, item_text_col, width, item_block_bytes)
-    return search(texts(df, id_col, text_col), blocks, shard_bytes, clean)
+    return search(texts(df, id_col, text_col), blocks, width, shard_bytes, clean)
 
 
 def remove_passages(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
@@ -198,7 +214,7 @@ def remove_passages(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
     others = [c for c in df.columns if c != text_col]
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     blocks = item_blocks(benchmark, item_id_col, item_text_col, width, item_block_bytes)
-    out = search(rows, blocks, shard_bytes, True).select("row.*", F.col("clean").alias(text_col))
+    out = search(rows, blocks, width, shard_bytes, True).select("row.*", F.col("clean").alias(text_col))
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.length(f"`{text_col}`").cast(df.schema["n_chars"].dataType))
     return out.select(*(f"`{c}`" for c in df.columns))

@@ -93,3 +93,21 @@ def test_odd_rows(spark, odd_documents):
     assert {(r.doc_id, len(r.hits)) for r in out if r.hits} == {(5, 1)}
     assert find_passages(odd_documents, bench.limit(0)).where("size(hits) > 0").count() == 0
     assert find_passages(odd_documents.limit(0), bench).count() == 0
+
+
+def test_many_item_blocks_write_hits_and_no_texts(spark, documents, monkeypatch):
+    from gridcells.llm import decontaminate
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = documents.where("doc_id % 4 = 0").select("*", documents.text.alias("key"), documents.n_chars.alias("hits"))
+    docs = docs.union(docs.limit(20))
+    written = []
+    monkeypatch.setattr(decontaminate, "cut", lambda df: written.append(df.columns) or df)
+    size = sum(len(t) for _, t in items) // 3
+    got = sorted((r.doc_id, flat(r)) for r in find_passages(docs, bench, item_block_bytes=size).collect())
+    assert got == sorted((r.doc_id, flat(r)) for r in find_passages(docs, bench).collect())
+    assert len(written) >= 3 and all(c == ["key", "hits", "items"] for c in written)
+    one, many = (decontaminate.remove_passages(docs, bench, item_block_bytes=n) for n in (16 << 20, size))
+    assert one.columns == many.columns == docs.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
