@@ -11,7 +11,8 @@ itself an entry of the rank file is that entry, as its users expect, even where
 not reach it.  Special tokens are ordinary text.
 
 Cases.  Null and empty texts have no tokens; very long matches take time in proportion to their
-length; every row is encoded on its own, so repeated rows and ids need no rule.
+length; every row is encoded on its own, so repeated rows and ids need no rule; an empty table gives no rows; columns other
+than id and text are left behind, whatever their names.
 """
 
 from __future__ import annotations

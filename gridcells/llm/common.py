@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridcells.session import checkpoint_dir, scratch_path
 
-__all__ = ["block_count", "checkpoint_dir", "cut", "let", "read_table", "scan", "scratch_path", "share_code", "spread", "text_bytes", "text_key", "texts"]
+__all__ = ["block_count", "checkpoint_dir", "cut", "drop_path", "let", "read_table", "scan", "scratch_path", "share_code", "spread", "text_bytes", "text_key", "texts"]
 
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -40,6 +40,12 @@ def text_key() -> Column:
     return F.coalesce(F.xxhash64(F.col("text")), F.lit(0))
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete what a job of this session wrote to a scratch path and nothing reads any more."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint in the shared folder: survives a lost executor."""
     checkpoint_dir(df.sparkSession)

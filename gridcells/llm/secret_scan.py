@@ -17,7 +17,7 @@ shuffle; a pattern is matched in full only where a first test finds it.
 
 Cases.  A null or empty text has no spans; an empty table gives no rows; with few texts the fixed samples carry the models;
 very long texts cost their own task only; repeated rows and ids are scanned row by row.  Only the texts of
-the sample are shuffled.
+the sample are shuffled; columns other than id and text are left behind by the scan, and kept as they are by ``redact``, whatever their names.
 """
 
 from __future__ import annotations

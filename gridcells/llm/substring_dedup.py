@@ -21,7 +21,8 @@ A passage in a third of all documents costs each block one record for each of it
 
 Cases.  A null text has no words; words of an empty table give no rows.  Rows that share doc_id
 and text count as one document and each get its result; different texts under one doc_id are
-ordered by a hash of the text; a null doc_id comes after all others.
+ordered by a hash of the text; a null doc_id comes after all others.  A very long text is a block of its own or part of one;
+columns other than id and text are left behind, whatever their names.
 """
 
 from __future__ import annotations
