@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcells.llm import bpe
-from gridcells.llm.common import read_table, scratch_path
+from gridcells.llm.common import drop_path, read_table, scratch_path
 from gridcells.llm.decontaminate import remove_passages
 from gridcells.llm.quality_rules import keep_good
 from gridcells.llm.secret_scan import redact
@@ -61,10 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, beginning with the table of documents."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages, beginning with the table of documents.  A stage's files go when the next one is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            drop_path(spark, before)
+        before = path
     return docs
