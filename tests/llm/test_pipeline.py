@@ -82,3 +82,10 @@ def test_odd_rows_go_through_every_stage(spark, odd_documents):
                 assert n == docs.count()
             if name != "byte-level bpe":
                 assert out.columns == docs.columns and out.dtypes == docs.dtypes
+
+
+def test_only_the_last_stage_leaves_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "scratch_path", lambda _, name: str(tmp_path / name))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert [p.name for p in tmp_path.iterdir()] == ["pipeline-byte-level-bpe"]
+    assert out.count() > 0
