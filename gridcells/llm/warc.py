@@ -18,7 +18,7 @@ and index go below ``folder``, which all machines must share; any file system th
 Cases.  A null html is an empty payload; a null url has no target header; rows with a null
 page_id refer to the largest id with their payload, and are responses if there is none; repeated
 rows each get a record, and all rows with the largest id are responses.  An empty table has no bundles.
-A payload longer than a frame or bundle is one record of its own; columns other than id, url and html are not written, whatever their names.
+A payload longer than a frame is one record of a longer frame; columns other than id, url and html are not written, whatever their names.
 """
 
 from __future__ import annotations
