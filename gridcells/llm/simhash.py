@@ -6,9 +6,10 @@ with seed 42; a bit is set if it is set in over half the hashes.  A text without
 (null, empty) has fingerprint zero, which is linked like any other.
 
 Search.  Equal fingerprints are grouped first, so copies cost one row.  The upper levels of a
-vantage-point tree, built from a bounded sample (``sample_per_shard`` fingerprints for each
+vantage-point tree, built from a sample (about ``sample_per_shard`` fingerprints for each
 shard; the sample chooses vantage points and radii and nothing else), split all fingerprints by Hamming distance into
-shards.  By the triangle bound a partner of x across a radius r from vantage v has a distance
+shards.  The driver grows a tree of at most ``fan`` shards, from about ``fan * sample_per_shard`` fingerprints whatever the
+input; where more are needed, each of these shards grows a tree of its own in a task, from its own part of the sample, and so on.  By the triangle bound a partner of x across a radius r from vantage v has a distance
 from v within ``max_bits`` of x's; so a fingerprint inside the radius by less than that
 also visits the outer side, and a visitor goes on to every side its bounds cannot rule out.
 Each pair meets exactly where one of the two is at home.  Within a shard the tree goes on to
@@ -22,6 +23,7 @@ task only; an empty table gives no rows; columns other than id and text are left
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,8 +111,8 @@ class Tree:
         self.children[node] = (self._grow(sample[inside], part), self._grow(sample[~inside], shards - part))
         return node
 
-    def deal(self, fps: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        stack = [(self.root, fps, np.ones(len(fps), bool))]
+    def deal(self, fps: np.ndarray, bits: int, home: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        stack = [(self.root, fps, np.ones(len(fps), bool) if home is None else home)]
         while stack:
             node, fps, home = stack.pop()
             if not len(fps):
@@ -175,40 +177,88 @@ def link_within(fps: np.ndarray, home: np.ndarray, bits: int) -> np.ndarray:
     return labels.merge()
 
 
-def links(fps: DataFrame, max_bits: int, shard_size: int, sample_per_shard: int) -> DataFrame:
-    """``a, b``: a few edges that connect what pairs within ``max_bits`` connect."""
-    n = fps.count()
-    shards = max(1, -(-n // shard_size))
-    size = sample_per_shard * shards
-    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(size).toArrow()["fp"].to_numpy() if shards > 1 else np.zeros(0, np.int64)
-    tree = Tree(sample.view(np.uint64), shards)
+DEALT = "shard bigint, fps binary, home binary"
+
+
+def dealt(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> dict[str, pa.Array]:
+    return {"shard": pa.array([s for s, _, _ in parts], pa.int64()),
+            "fps": pa.array([f.tobytes() for _, f, _ in parts], pa.binary()),
+            "home": pa.array([h.tobytes() for _, _, h in parts], pa.binary())}
+
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of a shard and whether they are at home there."""
+    return (np.frombuffer(b"".join(table["fps"].to_pylist()), np.uint64),
+            np.frombuffer(b"".join(table["home"].to_pylist()), bool))
+
+
+def deal_from_top(fps: DataFrame, tree: Tree, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(tree.deal(b.column("fp").to_numpy().view(np.uint64), max_bits))
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([s for s, _, _ in rows], pa.int64()),
-                                              "fps": pa.array([f.tobytes() for _, f, _ in rows], pa.binary()),
-                                              "home": pa.array([h.tobytes() for _, _, h in rows], pa.binary())})
+            yield pa.RecordBatch.from_pydict(dealt(list(tree.deal(b.column("fp").to_numpy().view(np.uint64), bits))))
+    return fps.select("fp").mapInArrow(run, DEALT)
+
+
+def grow_trees(sample: DataFrame, rate: int, shard_size: int, sample_per_shard: int, fan: int) -> DataFrame:
+    """``shard, tree`` for the shards that the sample, one fingerprint in ``rate``, shows to be too large."""
+    def run(table: pa.Table) -> pa.Table:
+        fps = np.unique(gathered(table)[0])
+        shards = min(fan, -(-len(fps) * rate // shard_size))
+        grown = [pickle.dumps(Tree(fps[::max(1, len(fps) // (sample_per_shard * fan))], shards))] if shards > 1 else []
+        return pa.table({"shard": table["shard"][:len(grown)], "tree": pa.array(grown, pa.binary())})
+    return sample.groupBy("shard").applyInArrow(run, "shard bigint, tree binary")
+
+
+def deal_further(rows: DataFrame, trees: DataFrame, parts: int, bits: int, fan: int) -> DataFrame:
+    """Every shard dealt by its own tree, in ``parts`` tasks a shard; a shard without a tree stays as it is."""
+    def run(found: pa.Table, trees: pa.Table) -> pa.Table:
+        if not found.num_rows:
+            return pa.table(dealt([]))
+        base, (fps, home) = found["shard"][0].as_py() * (fan + 1), gathered(found)
+        if not trees.num_rows:
+            return pa.table(dealt([(base, fps, home)]))
+        tree = pickle.loads(trees["tree"][0].as_py())
+        return pa.table(dealt([(base + s, f, h) for s, f, h in tree.deal(fps, bits, home)]))
+
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("fps"), F.lit(parts)).cast("int"))
+    trees = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.groupBy("shard", "part").cogroup(trees.groupBy("shard", "part")).applyInArrow(run, DEALT)
+
+
+def links(fps: DataFrame, max_bits: int, shard_size: int, sample_per_shard: int, fan: int) -> DataFrame:
+    """``a, b``: a few edges that connect what pairs within ``max_bits`` connect."""
+    shards = max(1, -(-fps.count() // shard_size))
+    left = -(-shards // fan)                 # shards to be made of each shard of the top
+    rate = max(1, shard_size // sample_per_shard)
+    chosen = F.xxhash64("fp", F.lit("sample"))
+    top = np.zeros(0, np.int64)
+    if shards > 1:
+        top = fps.where(F.pmod(chosen, F.lit(rate * left)) == 0).select("fp").toArrow()["fp"].to_numpy()
+    tree = Tree(top.view(np.uint64), min(shards, fan))
+    rows = deal_from_top(fps, tree, max_bits)
+    sample = deal_from_top(fps.where(F.pmod(chosen, F.lit(rate)) == 0), tree, 0) if left > 1 else None
+    while left > 1:
+        trees = cut(grow_trees(sample, rate, shard_size, sample_per_shard, fan))
+        rows, sample = (deal_further(x, trees, left, bits, fan) for x, bits in ((rows, max_bits), (sample, 0)))
+        left = -(-left // fan)
 
     def search(table: pa.Table) -> pa.Table:
-        fps = np.concatenate([np.frombuffer(x, np.uint64) for x in table["fps"].to_pylist()])
-        home = np.concatenate([np.frombuffer(x, bool) for x in table["home"].to_pylist()])
+        fps, home = gathered(table)
         order = np.argsort(fps)
         fps, home = fps[order], home[order]
         label = link_within(fps, home, max_bits)
         out = np.flatnonzero(label != np.arange(len(fps)))
         return pa.table({"a": fps[out].view(np.int64), "b": fps[label[out]].view(np.int64)})
 
-    return (fps.select("fp").mapInArrow(deal, "shard bigint, fps binary, home binary")
-            .groupBy("shard").applyInArrow(search, "a bigint, b bigint"))
+    return rows.groupBy("shard").applyInArrow(search, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2,
-                    shard_size: int = 1 << 15, sample_per_shard: int = 64) -> DataFrame:
+                    shard_size: int = 1 << 15, sample_per_shard: int = 64, fan: int = 1024) -> DataFrame:
     """``doc_id, tie, fp, root, component_id`` for every row; ``root`` names the component."""
     docs = cut(fingerprints(df, id_col, text_col, shingle))
     groups = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(groups, max_bits, shard_size, sample_per_shard))
+    found = components(links(groups, max_bits, shard_size, sample_per_shard, fan))
     groups = groups.join(found, groups.fp == found.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = groups.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -99,13 +99,32 @@ def test_equals_brute_force(spark, documents):
     least = {}
     for d, f in fps.items():
         least[root[f]] = min(d, least.get(root[f], d))
-    out = simhash.near_duplicates(documents, shard_size=100, sample_per_shard=20).collect()
-    assert {r.doc_id: (r.fp % 2**64, r.component_id) for r in out} == {d: (f, least[root[f]]) for d, f in fps.items()}
+    want = {d: (f, least[root[f]]) for d, f in fps.items()}
+    for fan in (1024, 3):
+        out = simhash.near_duplicates(documents, shard_size=100, sample_per_shard=20, fan=fan).collect()
+        assert {r.doc_id: (r.fp % 2**64, r.component_id) for r in out} == want
     kept = simhash.keep_one(documents)
     assert kept.columns == documents.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
 
 
+def test_trees_grown_in_shards_lose_no_pair(spark):
+    """Shards of shards: fingerprints in clusters, some shards without a sampled fingerprint, against all pairs."""
+    for seed, per_shard in ((1, 20), (2, 4), (3, 1)):
+        fps = clustered(seed, 1500)
+        table = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp bigint").repartition(3)
+        found = simhash.links(table, 2, shard_size=40, sample_per_shard=per_shard, fan=3)
+        up = {x: x for x in fps}
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+        for r in found.collect():
+            a, b = find(r.a % 2**64), find(r.b % 2**64)
+            up[max(a, b)] = min(a, b)
+        assert {x: find(x) for x in fps} == roots(fps, 2)
+
+
 def test_odd_rows(spark, odd_documents):
     out = simhash.near_duplicates(odd_documents).collect()
     assert len(out) == odd_documents.count()
